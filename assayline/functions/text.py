@@ -66,3 +66,23 @@ def escaped_name(name: str) -> str:
 def column(name: str) -> Column:
     """Column by its literal name, dots included."""
     return F.col(escaped_name(name))
+
+
+def percent_text(value: Column) -> Column:
+    """One decimal and a percent sign, rounding the stored double exactly (ties to even).
+
+    The value is split into a whole number and a power of two, so that rounding is decided
+    on integers: a value that merely prints as a tie is not one.
+    """
+    shift = F.lit(62)
+    for power in range(-9, 7):
+        shift = F.when(value >= 2.0**power, F.lit(52 - power)).otherwise(shift)
+    unit = F.expr("bigint(1)") * F.pow(F.lit(2.0), shift).cast("bigint")
+    scaled = (value * unit.cast("double")).cast("bigint") * F.lit(10)
+    tenths = F.call_function("div", scaled, unit)
+    rest = F.pmod(scaled, unit) * F.lit(2)
+    up = (rest > unit) | ((rest == unit) & (F.pmod(tenths, F.lit(2)) == 1))
+    tenths = tenths + up.cast("bigint")
+    return F.concat(
+        F.call_function("div", tenths, F.lit(10)).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string"), F.lit("%")
+    )

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assayline.functions.text import column
-from assayline.operators.reports import FAILURE_ROWS, latest_results
+from assayline.functions.text import column, percent_text
+from assayline.operators.reports import latest_results
 from assayline.operators.skew import attach, latest_by
 from assayline.operators.suite import kpi
 
@@ -47,7 +47,7 @@ def kpi_label(status: Column, result_id: Column, value: Column) -> Column:
         F.when(status != "ACTIVE", F.lit(DASH))
         .when(result_id.isNull(), F.lit("No results"))
         .when(value.isNull(), F.lit("No checked rows"))
-        .otherwise(F.concat(F.format_string("%.1f", value), F.lit("%")))
+        .otherwise(percent_text(value))
     )
 
 
@@ -93,17 +93,24 @@ def rule_versions(rules: DataFrame, history: DataFrame) -> DataFrame:
     return current.unionByName(older)
 
 
-def latest_failures(rules: DataFrame, results: DataFrame, evidence: DataFrame, rule_id, limit: int = FAILURE_ROWS) -> DataFrame:
-    """Failing records behind a rule's newest result; a result without a run has none."""
-    shown = rules_with_latest(rules.where(F.col("rule_id") == rule_id), results.where(F.col("rule_id") == rule_id))
-    wanted = shown.where("run_id IS NOT NULL").select("run_id", "rule_id", F.col("version").alias("rule_version"))
-    failed = evidence.where((F.col("rule_id") == rule_id) & (F.col("test_result") == 1))
-    matched = failed.alias("e").join(
-        F.broadcast(wanted.alias("w")),  # one row: the rule's newest result
-        (F.col("e.run_id") == F.col("w.run_id")) & F.col("e.rule_version").eqNullSafe(F.col("w.rule_version")),
-        "left_semi",
+def latest_failures(
+    rules: DataFrame, results: DataFrame, evidence: DataFrame, rule_id=None, limit: int | None = None
+) -> DataFrame:
+    """Failing records behind each rule's newest result; a result without a run has none.
+
+    For one rule (as its details page shows it) pass ``rule_id`` and a ``limit``.
+    """
+    if rule_id is not None:
+        rules, results, evidence = (frame.where(F.col("rule_id") == rule_id) for frame in (rules, results, evidence))
+    label = F.coalesce(F.col("rule_version"), F.lit("\u0000"))  # a missing version equals a missing version
+    newest = rules_with_latest(rules, results).where("run_id IS NOT NULL").select(
+        "run_id", "rule_id", F.coalesce("version", F.lit("\u0000")).alias("_label"), F.lit(True).alias("_newest")
+    )
+    failed = evidence.where("test_result = 1 AND run_id IS NOT NULL").withColumn("_label", label)
+    shown = attach(failed, newest, ["run_id", "rule_id", "_label"]).where("_newest").select(
+        "rule_id", "record_id", "field_name", "field_value", "error_message"
     )
-    return matched.select("record_id", "field_name", "field_value", "error_message").orderBy("record_id").limit(limit)
+    return shown if limit is None else shown.orderBy("record_id").limit(limit)
 
 
 def library_match(text: str = "", table: str | None = None, active: bool | None = None) -> Column:
@@ -166,8 +173,9 @@ def definition_changes(rules: DataFrame, versions: DataFrame) -> DataFrame:
     joined = attach(versions, now, ["rule_id"])
     old_lines = F.split(F.col("sql_query"), "\n")
     new_lines = F.split(F.coalesce("_now", F.lit("")), "\n")
+    kept = [column(name) for name in versions.columns if name != "sql_query"]
     return joined.select(
-        "rule_id", "version",
+        *kept,
         (~F.col("sql_query").eqNullSafe(F.coalesce("_now", F.lit("")))).alias("changed"),
         F.array_sort(F.array_except(new_lines, old_lines)).alias("added"),
         F.array_sort(F.array_except(old_lines, new_lines)).alias("removed"),

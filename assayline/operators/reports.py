@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assayline.functions.text import column
+from assayline.functions.text import column, percent_text
 from assayline.operators.skew import attach, latest_by
 from assayline.operators.suite import kpi
 
@@ -133,8 +133,7 @@ def run_cards(runs: DataFrame, results: DataFrame) -> DataFrame:
     checks = F.col("passed") + F.col("failed")
     return board.join(done, "run_id").select(
         "run_id",
-        F.when(checks > 0, F.concat(F.format_string("%.1f", kpi(F.col("passed"), F.col("failed"))), F.lit("%")))
-        .otherwise(F.lit("—")).alias("rate"),
+        F.when(checks > 0, percent_text(kpi(F.col("passed"), F.col("failed")))).otherwise(F.lit("—")).alias("rate"),
         checks.alias("checks"), "failed",
         F.concat_ws(" / ", F.col("rules_completed").cast("string"), F.col("rules_requested").cast("string")).alias("rules"),
     )

@@ -40,7 +40,7 @@ def apply_run(tickets: DataFrame, outcome: DataFrame, loads: DataFrame) -> DataF
     """All tickets after a run, with ``action``: created, failed, verified, empty or NULL.
 
     ``outcome`` has one row per rule and table: rule_id, table_name, rule_version, title,
-    severity, run_id, actor, failed, checked, at. ``loads`` is the newest load per table.
+    severity, run_id, actor, failed, checked, occurred_at. ``loads`` is the newest load per table.
     Rules that could not be executed have no row and leave their ticket alone. New tickets
     get no number here; see ``number_new``.
     """
@@ -77,10 +77,10 @@ def apply_run(tickets: DataFrame, outcome: DataFrame, loads: DataFrame) -> DataF
         "assignee": either(new["actor"], old["assignee"], old["assignee"]),
         "imported_by": either(F.col("_load.loaded_by"), old["imported_by"], old["imported_by"]),
         "source_file": either(F.col("_load.file_name"), old["source_file"], old["source_file"]),
-        "created_at": either(new["at"], old["created_at"], old["created_at"]),
-        "last_seen": either(new["at"], new["at"], old["last_seen"]),
-        "due_at": either(due_at(new["at"], new["severity"]), old["due_at"], old["due_at"]),
-        "closed_at": F.when(closes, new["at"]).otherwise(old["closed_at"]),
+        "created_at": either(new["occurred_at"], old["created_at"], old["created_at"]),
+        "last_seen": either(new["occurred_at"], new["occurred_at"], old["last_seen"]),
+        "due_at": either(due_at(new["occurred_at"], new["severity"]), old["due_at"], old["due_at"]),
+        "closed_at": F.when(closes, new["occurred_at"]).otherwise(old["closed_at"]),
         "failed_count": F.when(closes, F.lit(0)).otherwise(either(new["failed"], new["failed"], old["failed_count"])),
         "latest_run_id": F.when(closes, new["run_id"]).otherwise(either(new["run_id"], new["run_id"], old["latest_run_id"])),
         "failure_run_id": either(new["run_id"], new["run_id"], old["failure_run_id"]),
@@ -106,14 +106,14 @@ def number_new(applied: DataFrame) -> DataFrame:
 
 def events(applied: DataFrame, outcome: DataFrame) -> DataFrame:
     """Log lines of a run: the count that failed or was checked, per touched ticket."""
-    facts = outcome.select("rule_id", "table_name", "actor", "run_id", "at", "failed", "checked")
+    facts = outcome.select("rule_id", "table_name", "actor", "run_id", "occurred_at", "failed", "checked")
     touched = applied.where("action IS NOT NULL").join(facts, ["rule_id", "table_name"])
     detail = (
         F.when(F.col("action").isin("created", "failed"), F.col("failed").cast("string"))
         .when(F.col("action") == "verified", F.col("checked").cast("string")).otherwise(F.lit("0"))
     )
     return touched.select(
-        "ticket_id", "rule_id", "table_name", F.col("at").alias("created_at"), "actor",
+        "ticket_id", "rule_id", "table_name", F.col("occurred_at").alias("created_at"), "actor",
         F.col("action").alias("kind"), detail.alias("detail"), "run_id",
     )
 
@@ -121,7 +121,7 @@ def events(applied: DataFrame, outcome: DataFrame) -> DataFrame:
 def replay(results: DataFrame, bucket: Column | None = None) -> DataFrame:
     """All tickets a whole history of results gives rise to, in one pass over the history.
 
-    ``results``: rule_id, table_name, result_id, at, failed, checked, severity, run_id,
+    ``results``: rule_id, table_name, result_id, occurred_at, failed, checked, severity, run_id,
     rule_version. A clean run with rows closes whatever ticket is open, so the number of
     closing results before a result says which ticket (``ordinal``) it belongs to. Results
     of one ordinal are then combined by an aggregate. ``bucket`` (default: the hour) splits
@@ -129,18 +129,18 @@ def replay(results: DataFrame, bucket: Column | None = None) -> DataFrame:
     """
     closing = ((F.col("failed") == 0) & (F.col("checked") > 0)).cast("int")
     marked = running(
-        results.withColumn("_closing", closing), ["rule_id", "table_name"], ["at", "result_id"],
-        F.date_trunc("hour", "at") if bucket is None else bucket, F.col("_closing"), "sum", "ordinal",
+        results.withColumn("_closing", closing), ["rule_id", "table_name"], ["occurred_at", "result_id"],
+        F.date_trunc("hour", "occurred_at") if bucket is None else bucket, F.col("_closing"), "sum", "ordinal",
     )
     fails = F.col("failed") > 0
-    order = F.struct("at", "result_id")
+    order = F.struct("occurred_at", "result_id")
     grouped = marked.groupBy("rule_id", "table_name", "ordinal").agg(
         F.count_if(fails).alias("failures"),
-        F.min(F.when(fails, F.col("at"))).alias("created_at"),
-        F.max(F.when(fails, F.col("at"))).alias("last_seen"),
+        F.min(F.when(fails, F.col("occurred_at"))).alias("created_at"),
+        F.max(F.when(fails, F.col("occurred_at"))).alias("last_seen"),
         F.min_by(F.when(fails, F.col("severity")), F.when(fails, order)).alias("severity"),
         F.max_by(F.when(fails, F.struct("run_id", "rule_version", "failed")), F.when(fails, order)).alias("_last"),
-        F.max(F.when(F.col("_closing") == 1, F.col("at"))).alias("closed_at"),
+        F.max(F.when(F.col("_closing") == 1, F.col("occurred_at"))).alias("closed_at"),
         F.max_by("run_id", order).alias("_any_run"),
         F.max_by(F.when(F.col("checked") > 0, F.col("run_id")), F.when(F.col("checked") > 0, order)).alias("latest_run_id"),
     )
