@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
+import uuid
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -191,21 +193,19 @@ def preview(
 
 
 def _bounded(frame: DataFrame, timeout: float | None) -> list[Row]:
+    """Collect a limited frame, cancelling its Spark jobs after ``timeout`` seconds."""
     if timeout is None:
         return frame.collect()
-    import threading
-    import uuid
-
-    spark = frame.sparkSession
-    tag = f"preview-{uuid.uuid4().hex}"
-    timer = threading.Timer(timeout, spark.interruptTag, [tag])
-    spark.addTag(tag)
+    context = frame.sparkSession.sparkContext
+    group = f"preview-{uuid.uuid4().hex}"
+    context.setJobGroup(group, "bounded preview", interruptOnCancel=True)
+    timer = threading.Timer(timeout, context.cancelJobGroup, [group])
     timer.start()
     try:
         return frame.collect()
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        context.setLocalProperty("spark.jobGroup.id", None)
 
 
 def preview_rule(

@@ -20,6 +20,8 @@ REFUSED_EXPRESSIONS = frozenset(
         "ScalaUDAF", "ScalaAggregator", "HiveSimpleUDF", "HiveGenericUDF", "HiveUDAFFunction",
     }
 )
+# Expressions that hold a query of their own.
+NESTED_QUERIES = frozenset({"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"})
 
 
 @dataclass
@@ -69,7 +71,7 @@ def read_plan(frame: DataFrame) -> PlanFacts:
                 name = part.getClass().getSimpleName()
                 if name in REFUSED_EXPRESSIONS:
                     facts.refused.append(part.toString()[:80])
-                if hasattr(part, "plan") and "Subquery" in name or name in ("Exists", "ListQuery"):
+                if name in NESTED_QUERIES:
                     for outer in _each(part.outerAttrs()):
                         used.update(_attributes(outer.references()))
                     visit(part.plan())
