@@ -46,6 +46,12 @@ def sniff_delimiter(head: str) -> str:
         return FALLBACK_DELIMITER
 
 
+def _single_byte_tables() -> tuple[str, str]:
+    """Latin-1 and Central European readings of the upper 128 bytes, in byte order."""
+    pairs = [(chr(b), bytes([b]).decode("cp1250", errors="ignore")) for b in range(0x80, 0x100)]
+    return "".join(a for a, b in pairs if b), "".join(b for _, b in pairs if b)
+
+
 def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = None, encoding: str | None = None) -> DataFrame:
     """All cells as text, plus ``_row`` and ``_file``; a bad line refuses the file.
 
@@ -53,8 +59,8 @@ def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = No
     """
     raw = _head(spark, path)
     if encoding is None:
-        encoding = "UTF-8" if _is_utf8(spark, path) else "windows-1250"
-    text = codecs.decode(raw, "utf-8-sig" if encoding == "UTF-8" else "cp1250", errors="ignore")
+        encoding = "utf-8" if _is_utf8(spark, path) else "cp1250"
+    text = codecs.decode(raw, "utf-8-sig" if encoding == "utf-8" else encoding, errors="ignore")
     delimiter = delimiter or sniff_delimiter(text)
     header = next(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), None)
     if not header:
@@ -66,13 +72,17 @@ def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = No
     frame = (
         spark.read.schema(schema)
         .option("header", True).option("enforceSchema", True)
-        .option("sep", delimiter).option("encoding", encoding)
+        .option("sep", delimiter)
+        # Spark reads no cp1250: take its bytes as Latin-1 and translate the cells.
+        .option("encoding", "iso-8859-1" if encoding == "cp1250" else encoding)
         .option("quote", '"').option("escape", '"').option("multiLine", False)
         .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
     )
+    tables = _single_byte_tables()
+    cells = [F.translate(column(n), *tables).alias(n) if encoding == "cp1250" else column(n) for n in names]
     return frame.select(
-        *map(column, names),
+        *cells,
         column(CORRUPT),
         F.monotonically_increasing_id().alias("_row"),
         F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("_file"),
@@ -81,9 +91,9 @@ def read_delimited(spark: SparkSession, path: str, *, delimiter: str | None = No
 
 def check_lines(frame: DataFrame) -> DataFrame:
     """Refuse a file with a line of the wrong field count, naming the first such line."""
-    bad = frame.where(column(CORRUPT).isNotNull()).select(CORRUPT).limit(1).collect()
+    bad = frame.where(column(CORRUPT).isNotNull()).limit(1).collect()  # whole rows: every field must be parsed
     if bad:
-        raise ImportRejected(f"A line has a different number of fields: {bad[0][0][:200]}")
+        raise ImportRejected(f"A line has a different number of fields: {bad[0][CORRUPT][:200]}")
     return frame.drop(CORRUPT)
 
 
