@@ -192,6 +192,7 @@ def lossless(value: Column, source: T.DataType, kind: str) -> Column:
 
 
 def _lossless_number(text: Column, is_text: bool, kind: str) -> Column:
+    """Exactness of a numeric text. Short plain numbers are decided without digit arithmetic."""
     plain = text.rlike(REAL_TEXT)
     if is_text:
         plain = plain & ~text.rlike(r"\s") & ~text.rlike(LEADING_ZERO)
@@ -199,10 +200,16 @@ def _lossless_number(text: Column, is_text: bool, kind: str) -> Column:
     whole = form["power"] >= 0
     if kind in INTEGER_TYPES:
         target = spark_type(kind)
-        return plain & whole & text.try_cast("decimal(38,0)").try_cast(target).isNotNull()
+        simple = text.rlike(r"^([+-]?[1-9][0-9]{0,18}|0)$")
+        exact = text.try_cast("decimal(38,0)").try_cast(target).isNotNull()
+        return F.when(simple, text.try_cast(target).isNotNull()).when(plain, whole & exact)
     number = _finite(text.try_cast("double"))
     same = _decimal_form(number.cast("string")) == form
-    return plain & number.isNotNull() & same & (~whole | _exact_whole_double(text, number))
+    # Up to fifteen digits always survive the way to a double and back.
+    simple = (F.length(text) <= 15) & text.rlike(r"^-?(0|[1-9][0-9]*)([.][0-9]+)?$")
+    return F.when(simple, F.lit(True)).when(
+        plain, number.isNotNull() & same & (~whole | _exact_whole_double(text, number))
+    )
 
 
 def convert(value: Column, source: T.DataType, kind: str) -> Column:

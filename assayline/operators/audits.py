@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from assayline.errors import SchemaRefused
 from assayline.functions import datatypes
@@ -13,12 +13,14 @@ from assayline.functions.text import column
 SAMPLES = 20
 
 
-def _per_column(frame: DataFrame, tests: Mapping[str, tuple[str, F.Column]] | list) -> DataFrame:
-    """One aggregate over all columns, turned into one line per column."""
-    lines = list(tests)
+def _per_column(frame: DataFrame, tests: Sequence[tuple[str, str, Column, Column]]) -> DataFrame:
+    """One aggregate over all columns, turned into one line per column.
+
+    A test is (column, kind, whether the value counts, whether it is accepted).
+    """
     totals = frame.agg(
-        *[F.count_if(accepted).alias(f"a{i}") for i, (_, _, accepted, _) in enumerate(lines)],
-        *[F.count_if(refused).alias(f"r{i}") for i, (_, _, _, refused) in enumerate(lines)],
+        *[F.count_if(counts).alias(f"n{i}") for i, (_, _, counts, _) in enumerate(tests)],
+        *[F.count_if(accepted).alias(f"a{i}") for i, (_, _, _, accepted) in enumerate(tests)],
     )
     return totals.select(
         F.inline(
@@ -26,9 +28,9 @@ def _per_column(frame: DataFrame, tests: Mapping[str, tuple[str, F.Column]] | li
                 *[
                     F.struct(
                         F.lit(name).alias("column_name"), F.lit(kind).alias("kind"),
-                        F.col(f"a{i}").alias("accepted"), F.col(f"r{i}").alias("refused"),
+                        F.col(f"a{i}").alias("accepted"), (F.col(f"n{i}") - F.col(f"a{i}")).alias("refused"),
                     )
-                    for i, (name, kind, _, _) in enumerate(lines)
+                    for i, (name, kind, _, _) in enumerate(tests)
                 ]
             )
         )
@@ -48,7 +50,7 @@ def upload_audit(frame: DataFrame, kinds: Mapping[str, str], as_text: Sequence[s
         kind = "STRING" if name in as_text else kind
         value = column(name)
         fits = datatypes.parse(value.cast("string"), kind).isNotNull()
-        tests.append((name, kind, value.isNotNull() & fits, value.isNotNull() & ~fits))
+        tests.append((name, kind, value.isNotNull(), fits))
     return _per_column(frame, tests)
 
 
@@ -64,7 +66,7 @@ def refused_samples(frame: DataFrame, kinds: Mapping[str, str], key: str, limit:
         )
         for name, kind in kinds.items()
     ]
-    found = frame.select(F.inline(F.filter(F.array(*lines), lambda line: line.isNotNull())))
+    found = frame.select(F.inline_outer(F.array_compact(F.array(*lines)))).where("column_name IS NOT NULL")
     return found.orderBy("record", "column_name").limit(limit)
 
 
@@ -73,8 +75,7 @@ def lossless_audit(frame: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
     fields = {f.name: f.dataType for f in frame.schema}
     tests = []
     for name, kind in kinds.items():
-        kept = datatypes.lossless(column(name), fields[name], kind)
-        tests.append((name, kind, kept, ~kept))
+        tests.append((name, kind, F.lit(True), datatypes.lossless(column(name), fields[name], kind)))
     return _per_column(frame, tests)
 
 

@@ -44,6 +44,12 @@ def named_views(spark: SparkSession, views: Mapping[str, DataFrame]) -> Iterator
                 spark.catalog.dropTempView(name)
 
 
+def select(spark: SparkSession, sql: str, views: Mapping[str, DataFrame]) -> DataFrame:
+    """A query the caller wrote itself, over named frames; rule texts go through ``analyse``."""
+    with named_views(spark, views):
+        return spark.sql(sql)
+
+
 def analyse(
     spark: SparkSession, sql: str, views: Mapping[str, DataFrame], *, declared_only: bool = False
 ) -> tuple[DataFrame, PlanFacts]:

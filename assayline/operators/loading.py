@@ -70,20 +70,27 @@ def convert_cells(frame: DataFrame, pairs: Sequence[tuple[str, ColumnSpec]], car
         datatypes.cell_value(column(source), spec.kind).alias(spec.name, metadata=fields[spec.name].metadata)
         for source, spec in pairs
     ]
+    # The reasons are columns of their own first: each is then evaluated once, in compiled code.
     reasons = [
-        F.struct(
-            F.lit(spec.name).alias("column_name"),
-            datatypes.cell_reason(column(source), spec.kind, spec.required, spec.default).alias("reason"),
+        datatypes.cell_reason(column(source), spec.kind, spec.required, spec.default).alias(f"_reason{i}")
+        for i, (source, spec) in enumerate(pairs)
+    ]
+    found = [
+        F.when(
+            F.col(f"_reason{i}").isNotNull(),
+            F.struct(F.lit(spec.name).alias("column_name"), F.col(f"_reason{i}").alias("reason")),
         )
-        for source, spec in pairs
+        for i, (_, spec) in enumerate(pairs)
     ]
-    found = F.filter(F.array(*reasons), lambda issue: issue["reason"].isNotNull())
-    return frame.select(*map(column, carry), *typed, found.alias("issues"))
+    judged = frame.select(*map(column, carry), *typed, *reasons)
+    kept = [column(name) for name in judged.columns[: len(carry) + len(typed)]]
+    return judged.select(*kept, F.array_compact(F.array(*found)).alias("issues"))
 
 
 def cell_issues(converted: DataFrame, row: str) -> DataFrame:
     """One line per refused cell."""
-    return converted.select(column(row), F.inline("issues"))
+    # The outer form keeps the optimiser from testing the list before it is built.
+    return converted.select(column(row), F.inline_outer("issues")).where("reason IS NOT NULL")
 
 
 def duplicate_ids(frame: DataFrame, key: str = "id") -> DataFrame:

@@ -64,23 +64,26 @@ class FusedSuite:
 
     def evidence(self, failures_only: bool = True) -> DataFrame:
         """Evidence of every rule from the same scan; passing records only if asked for."""
-        lines = F.array(
-            *[
-                F.struct(
-                    F.lit(check.rule_id).alias("rule_id"),
-                    F.lit(check.version).alias("rule_version"),
-                    column(self.key).cast("string").alias("record_id"),
-                    F.lit(check.field).alias("field_name"),
-                    column(check.field).cast("string").alias("field_value"),
-                    flag.alias("test_result"),
-                    F.when(flag == 1, F.lit(rule_message(check.message))).otherwise(F.lit("")).alias("error_message"),
-                )
-                for check, flag in zip(self.checks, self.flags)
-            ]
-        )
-        if failures_only:
-            lines = F.filter(lines, lambda line: line["test_result"] == 1)
-        return self.frame.select(F.inline(lines))
+        # The flags are columns of their own first, so that compiled code evaluates each once.
+        flagged = self.frame.select("*", *[flag.alias(f"_flag{i}") for i, flag in enumerate(self.flags)])
+        lines = []
+        for i, check in enumerate(self.checks):
+            flag = F.col(f"_flag{i}")
+            line = F.struct(
+                F.lit(check.rule_id).alias("rule_id"),
+                F.lit(check.version).alias("rule_version"),
+                column(self.key).cast("string").alias("record_id"),
+                F.lit(check.field).alias("field_name"),
+                column(check.field).cast("string").alias("field_value"),
+                flag.alias("test_result"),
+                F.when(flag == 1, F.lit(rule_message(check.message))).otherwise(F.lit("")).alias("error_message"),
+            )
+            lines.append(F.when(flag == 1, line) if failures_only else line)
+        found = F.array(*lines)
+        if not failures_only:
+            return flagged.select(F.inline(found))
+        # The outer form keeps the optimiser from testing the list before it is built.
+        return flagged.select(F.inline_outer(F.array_compact(found))).where("test_result = 1")
 
 
 def fuse(frame: DataFrame, checks: Sequence[Check], key: str = "id") -> FusedSuite:

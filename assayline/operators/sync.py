@@ -18,6 +18,7 @@ from assayline.functions.text import column
 from assayline.functions.fingerprint import revision_column
 from assayline.operators.registry import archive_entry, next_version
 from assayline.operators.skew import attach, running
+from assayline.session import cut_lineage
 
 ZONED = r"(Z|[+-]\d{2}:?\d{2})$"
 VERSION_MAP = r'^\{("[^"]+":\d+(,"[^"]+":\d+)*)?\}$'
@@ -45,28 +46,32 @@ def audit_bundles(runs: DataFrame, results: DataFrame, errors: DataFrame, links:
         F.to_json(F.array("source_catalog", "source_schema", "source_table")).alias("_source"),
     )
     known = versions.select("rule_key", "revision", "local_version", F.col("payload").alias("_payload"))
+    references = F.coalesce("reference_versions", F.lit("{}"))
+    names = F.json_object_keys(F.get_json_object("payload", "$.references"))
+    read = runs.select(
+        "*",
+        _zoned(F.col("started_at")).alias("started"), _zoned(F.col("completed_at")).alias("ended"),
+        F.get_json_object("payload", "$.rule_key").alias("_key"), F.get_json_object("payload", "$.source").alias("_from"),
+        F.coalesce(F.sort_array(names), F.array().cast("array<string>")).alias("_declared"),
+        F.coalesce(F.sort_array(F.json_object_keys(references)), F.array().cast("array<string>")).alias("_pinned"),
+        references.rlike(VERSION_MAP).alias("_numbered"),
+        (revision_column(F.col("payload")) == F.col("revision")).alias("_intact"),
+    )
     joined = attach(
-        attach(runs.join(summary, "run_id", "left").join(details, "run_id", "left"), bound, ["endpoint", "rule_key"]),
+        attach(read.join(summary, "run_id", "left").join(details, "run_id", "left"), bound, ["endpoint", "rule_key"]),
         known, ["rule_key", "revision"],
     )
-    started, ended = _zoned(F.col("started_at")), _zoned(F.col("completed_at"))
     done = F.col("status") == "completed"
-    references = F.coalesce("reference_versions", F.lit("{}"))
-    declared = F.coalesce(F.json_object_keys(F.get_json_object("payload", "$.references")), F.array().cast("array<string>"))
-    pinned = F.coalesce(F.json_object_keys(references), F.array().cast("array<string>"))
     count = F.coalesce("_errors", F.lit(0))
     tests = [
-        (revision_column(F.col("payload")) != F.col("revision"), "checksum mismatch"),
-        (~F.get_json_object("payload", "$.rule_key").eqNullSafe(F.col("rule_key")), "rule key mismatch"),
+        (~F.coalesce("_intact", F.lit(False)), "checksum mismatch"),
+        (~F.col("_key").eqNullSafe(F.col("rule_key")), "rule key mismatch"),
         (F.col("rule_id").isNull(), "rule is not linked"),
-        (~F.get_json_object("payload", "$.source").eqNullSafe(F.col("_source")), "source does not match the mapping"),
-        (started.isNull() | ended.isNull(), "timestamps must include their time zone"),
-        (ended < started, "run ends before it starts"),
+        (~F.col("_from").eqNullSafe(F.col("_source")), "source does not match the mapping"),
+        (F.col("started").isNull() | F.col("ended").isNull(), "timestamps must include their time zone"),
+        (F.col("ended") < F.col("started"), "run ends before it starts"),
         (~F.col("status").isin("completed", "failed"), "run is not complete"),
-        (
-            done & (~references.rlike(VERSION_MAP) | (F.array_sort(declared) != F.array_sort(pinned))),
-            "reference versions are missing or invalid",
-        ),
+        (done & (~F.col("_numbered") | (F.col("_declared") != F.col("_pinned"))), "reference versions are missing or invalid"),
         (done & (F.coalesce("_summaries", F.lit(0)) != 1), "run summary is incomplete"),
         (
             done & (F.col("passed").isNull() | F.col("failed").isNull() | (F.col("passed") < 0) | (F.col("failed") < 0)),
@@ -79,12 +84,13 @@ def audit_bundles(runs: DataFrame, results: DataFrame, errors: DataFrame, links:
         ),
         (F.col("local_version").isNull() | (F.col("_payload") != F.col("payload")), "unrecognised revision"),
     ]
-    reason = F.lit(None).cast("string")
-    for test, text in reversed(tests):
-        reason = F.when(test, F.lit(text)).otherwise(reason)
+    (first, text), *others = tests
+    reason = F.when(first, F.lit(text))
+    for test, text in others:
+        reason = reason.when(test, F.lit(text))
     return joined.select(
         *map(column, runs.columns), "passed", "failed", "field_name", "rule_id", "target_table", "local_version",
-        started.alias("started"), ended.alias("ended"), reason.alias("reason"),
+        "started", "ended", reason.alias("reason"),
     )
 
 
@@ -116,8 +122,9 @@ def imported_rows(fresh: DataFrame, errors: DataFrame, actor: str) -> dict[str,
     """Rows to append for new runs: runs, results, evidence and receipts.
 
     Failed runs are kept without counts or evidence; their error becomes an execution error.
+    The new runs are written out once, so all four outputs speak of the same runs.
     """
-    named = fresh.withColumn("local_run_id", local_run_id(F.col("endpoint"), F.col("run_id")))
+    named = cut_lineage(fresh).withColumn("local_run_id", local_run_id(F.col("endpoint"), F.col("run_id")))
     good = F.col("status") == "completed"
     error = F.struct(
         F.col("rule_id").cast("string").alias("rule_id"), F.get_json_object("payload", "$.description").alias("description"),

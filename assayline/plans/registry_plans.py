@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from assayline.functions.fingerprint import canonical_column, revision_column
 from assayline.operators import registry, sync, tickets
-from assayline.operators.evaluate import analyse
+from assayline.operators.evaluate import select
 from assayline.operators.loading import latest_loads
 from assayline.plans.registry import Tables, query
 from assayline.plans.stores import cte, frame, moment
@@ -56,7 +56,7 @@ COMPARED = ", ".join(registry.COMPARED)
     WHEN action = 'updated' THEN {BUMP.format(v="coalesce(version, '1.0')")} ELSE version END AS new_version FROM judged""")
 def registry_diff(t: Tables) -> DataFrame:
     rules = frame(t, "rules").withColumn("cross_spec", F.lit(None).cast("string"))
-    definitions = analyse(t.spark, DEFINITIONS, t.views("customer"))[0]
+    definitions = select(t.spark, DEFINITIONS, t.views("customer"))
     return registry.registry_diff(rules, definitions).select("rule_key", "rule_id", "action", "new_version")
 
 
@@ -112,7 +112,7 @@ def _runs_with_errors(t: Tables) -> tuple[DataFrame, DataFrame]:
     CASE WHEN outcome = 'kept' THEN remaining ELSE done END AS rules_completed FROM judged""")
 def reconcile_runs_after_delete(t: Tables) -> DataFrame:
     runs, results = _runs_with_errors(t)
-    deleted = analyse(t.spark, DELETED, t.views("customer"))[0]
+    deleted = select(t.spark, DELETED, t.views("customer"))
     after = registry.reconcile_after_delete(runs, results, frame(t, "evidence"), deleted)
     return after.select("run_id", "outcome", "status", "rules_requested", "rules_completed")
 
@@ -291,7 +291,7 @@ BUNDLE: dict[str, tuple[str, tuple[str, ...]]] = {
 def _bundle(t: Tables, name: str) -> DataFrame:
     text, tables = BUNDLE[name]
     text = text.format(sha="sha2(payload, 256)", day="date_format(o_orderdate, 'yyyy-MM-dd')") if "{" in text else text
-    return analyse(t.spark, text, t.views(*tables))[0]
+    return select(t.spark, text, t.views(*tables))
 
 
 def _bundle_cte(*names: str) -> str:
@@ -400,7 +400,7 @@ REMOTE = """SELECT concat('cust-', c_custkey) AS rule_key, md5(concat('v', c_cus
   WHEN r.revision IS NOT DISTINCT FROM base_revision THEN 'update' ELSE 'conflict' END AS outcome
   FROM l LEFT JOIN r ON r.rule_key = l.rule_key""")
 def publish_conflicts(t: Tables) -> DataFrame:
-    local, remote = (analyse(t.spark, text, t.views("customer"))[0] for text in (LOCAL, REMOTE))
+    local, remote = (select(t.spark, text, t.views("customer")) for text in (LOCAL, REMOTE))
     return sync.publish_outcome(local, remote).select("rule_key", "outcome")
 
 
@@ -408,6 +408,6 @@ def publish_conflicts(t: Tables) -> DataFrame:
   SELECT coalesce(l.rule_key, r.rule_key) AS rule_key, CASE WHEN r.revision IS NULL THEN 'only local' WHEN l.revision IS NULL THEN 'only remote'
   WHEN l.revision = r.revision THEN 'same' ELSE 'different' END AS state FROM l FULL OUTER JOIN r ON r.rule_key = l.rule_key""")
 def compare_definitions(t: Tables) -> DataFrame:
-    local, remote = (analyse(t.spark, text, t.views("customer"))[0] for text in (LOCAL, REMOTE))
+    local, remote = (select(t.spark, text, t.views("customer")) for text in (LOCAL, REMOTE))
     parts = t.part.selectExpr("concat('part-', p_partkey) AS rule_key", "'x' AS revision", "'q' AS payload")
     return sync.compare_definitions(local, remote.unionByName(parts)).select("rule_key", "state")

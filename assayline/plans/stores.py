@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from assayline.operators.evaluate import analyse
+from assayline.operators.evaluate import select
 from assayline.plans.registry import Tables
 
 RUN_ID = "(year(o_orderdate) * 100 + month(o_orderdate)) * 10 + CAST(substr(o_orderpriority, 1, 1) AS INT)"
@@ -112,7 +112,7 @@ TEXTS: dict[str, tuple[str, tuple[str, ...]]] = {
 def frame(t: Tables, name: str) -> DataFrame:
     """A derived store table as a Spark plan."""
     text, tables = TEXTS[name]
-    return analyse(t.spark, text, t.views(*tables))[0]
+    return select(t.spark, text, t.views(*tables))
 
 
 def cte(*names: str) -> str:
