@@ -18,6 +18,7 @@ from assayline.errors import ContractError, DataQualityError, JobFailed
 from assayline.functions import fingerprint
 from assayline.operators import contract, suite
 from assayline.operators.evaluate import evaluate, evidence, rule_message
+from assayline.operators.skew import only
 from assayline.sources.tables import TableStore
 
 RUNS = (
@@ -210,7 +211,7 @@ def runs(store: TableStore) -> DataFrame:
 def results(store: TableStore) -> DataFrame:
     """Counts of finished runs."""
     finished = runs(store).where("completed_at IS NOT NULL").select("run_id")
-    return store.history("results", RESULTS).join(finished, "run_id", "left_semi")
+    return only(store.history("results", RESULTS), finished, ["run_id"])
 
 
 EVIDENCE = (
@@ -222,4 +223,4 @@ EVIDENCE = (
 def stored_evidence(store: TableStore) -> DataFrame:
     """Evidence of rules whose counts were published; leftovers of failed rules stay hidden."""
     counted = results(store).select("run_id", "rule_id")
-    return store.history("evidence", EVIDENCE).join(counted, ["run_id", "rule_id"], "left_semi")
+    return only(store.history("evidence", EVIDENCE), counted, ["run_id", "rule_id"])

@@ -20,7 +20,7 @@ def description_asof_version(results: DataFrame, history: DataFrame, rules: Data
         .agg(F.max_by("description", "history_id").alias("_archived"))
     )
     current = rules.select("rule_id", F.struct("description").alias("_current"))
-    joined = attach(attach(results, archived, ["rule_id", "rule_version"]), current, ["rule_id"])
+    joined = attach(attach(results, archived, ["rule_id", "rule_version"]), current, ["rule_id"], results)
     return joined.where("_current IS NOT NULL").select(
         "result_id", F.coalesce("_archived", F.col("_current.description"), F.lit("")).alias("description")
     )

@@ -16,6 +16,7 @@ from assayline.functions.fingerprint import RULE_KEY, SEVERITIES
 from assayline.operators.crossref import CrossReference
 from assayline.operators.evaluate import analyse, message_column
 from assayline.operators.loading import number_rows
+from assayline.operators.skew import attach, without
 from assayline.operators.suite import COMPLETED, FAILED, PARTIAL, RUNNING
 
 RULE_FIELDS = ("description", "rule_type", "target_table", "error_message", "sql_query", "severity")
@@ -204,17 +205,16 @@ def reconcile_after_delete(runs: DataFrame, results: DataFrame, evidence: DataFr
     before the shuffle.
     """
     gone = deleted.select("rule_id").distinct().withColumn("_gone", F.lit(True))
-    pairs = results.where("run_id IS NOT NULL").select("run_id", "rule_id").distinct().join(gone, "rule_id", "left")
+    pairs = results.where("run_id IS NOT NULL").select("run_id", "rule_id").distinct()
+    pairs = attach(pairs, gone, ["rule_id"], results)
     counted = pairs.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("_actual"), F.count_if(F.col("_gone").isNull()).alias("_left"),
         F.count_if(F.col("_gone")).alias("_lost"),
     )
-    seen = (
-        evidence.where("run_id IS NOT NULL").groupBy("run_id", "rule_id").agg(F.count(F.lit(1)).alias("_rows"))
-        .join(gone, "rule_id", "left").groupBy("run_id").agg(
-            F.sum(F.when(F.col("_gone").isNull(), F.col("_rows")).otherwise(0)).alias("_rows_left"),
-            F.count_if(F.col("_gone")).alias("_rows_lost"),
-        )
+    stored = evidence.where("run_id IS NOT NULL").groupBy("run_id", "rule_id").agg(F.count(F.lit(1)).alias("_rows"))
+    seen = attach(stored, gone, ["rule_id"], evidence).groupBy("run_id").agg(
+        F.sum(F.when(F.col("_gone").isNull(), F.col("_rows")).otherwise(0)).alias("_rows_left"),
+        F.count_if(F.col("_gone")).alias("_rows_lost"),
     )
     errors = runs.select("run_id", F.explode("execution_errors").alias("_e")).join(
         gone.withColumnRenamed("rule_id", "_rule"), F.col("_e.rule_id") == F.col("_rule").cast("string"), "left"
@@ -260,7 +260,7 @@ def delete_rules(tables: Mapping[str, DataFrame], deleted: DataFrame, actor: str
     if reconciled.where("outcome = 'inconsistent'").limit(1).count():
         raise HistoryInconsistent("Run history cannot be verified; nothing was deleted.")
     gone = deleted.select("rule_id").distinct()
-    after = {name: tables[name].join(gone, "rule_id", "left_anti") for name in ("rules", "history", "results", "evidence")}
+    after = {name: without(tables[name], gone, ["rule_id"]) for name in ("rules", "history", "results", "evidence")}
     texts = gone.select(F.col("rule_id").cast("string").alias("_id")).withColumn("_gone", F.lit(True))
     remaining = reconciled.where("outcome <> 'removed'").drop("outcome")
     lines = remaining.select("run_id", F.explode("execution_errors").alias("_e"))

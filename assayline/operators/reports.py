@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayline.functions.text import column, percent_text
-from assayline.operators.skew import attach, latest_by
+from assayline.operators.skew import attach, latest_by, only
 from assayline.operators.suite import kpi
 
 REMOTE = "remote"
@@ -70,10 +70,9 @@ def kpi_trend(
     """
     active = rules.where("status = 'ACTIVE'").select("rule_id", "target_table")
     named = attach(results, active, ["rule_id"]).where("target_table IS NOT NULL")
-    tabled = attach(named, runs.select("run_id", "table_name"), ["run_id"])
+    tabled = attach(named, runs.select("run_id", "table_name"), ["run_id"], results)
     if allowed_runs is not None:
-        marks = allowed_runs.select("run_id").distinct().withColumn("_allowed", F.lit(True))
-        tabled = attach(tabled, marks, ["run_id"]).where("_allowed")
+        tabled = only(tabled, allowed_runs, ["run_id"], results)
     shown = tabled.select(
         F.coalesce("table_name", "target_table").alias("table_name"), "rule_id", "result_id", "executed_at",
         kpi(F.col("passed"), F.col("failed")).alias("kpi"),
@@ -162,8 +161,7 @@ def runs_in_scope(
         linked = links.where(F.col("profile") == profile).select("endpoint", "rule_id").join(
             rules.select("rule_id", "rule_key"), "rule_id"
         )
-        marks = linked.select("endpoint", "rule_key").distinct().withColumn("_linked", F.lit(True))
-        through = attach(receipts, marks, ["endpoint", "rule_key"]).where("_linked")
+        through = only(receipts, linked, ["endpoint", "rule_key"])
         return runs.join(through.select(F.col("local_run_id").alias("run_id")).distinct(), "run_id", "left_semi")
     if environment is None:
         return runs

@@ -18,7 +18,6 @@ from assayline.session import broadcast_limit, planned_bytes
 # for the shuffle are each smaller than that share.
 HEAVY_KEYS = 1000
 TRACKED_KEYS = 10000
-SPREAD = 1024
 
 
 def heavy_hashes(rows: DataFrame, on: Sequence[str]) -> list[int]:
@@ -33,15 +32,18 @@ def heavy_hashes(rows: DataFrame, on: Sequence[str]) -> list[int]:
     return [item["item"] for item in top.first()["top"] or []]
 
 
-def attach(rows: DataFrame, keyed: DataFrame, on: Sequence[str]) -> DataFrame:
+def attach(rows: DataFrame, keyed: DataFrame, on: Sequence[str], heavy_from: DataFrame | None = None) -> DataFrame:
     """Left-join ``rows`` with ``keyed``, which has at most one row per key.
 
     A NULL in a key matches nothing. Where Catalyst itself will broadcast the keyed side
     (its estimate is under the session's threshold) this is a plain join. Otherwise the
     most frequent keys of ``rows`` are looked up through a broadcast of their keyed rows -
     at most HEAVY_KEYS of them - and every other row is shuffled by key. Rows of heavy or
-    NULL keys travel through that shuffle under a spread-out salt, so no task receives a
-    whole heavy key. Which keys count as heavy changes a row's route, never its result.
+    NULL keys travel through that shuffle under a route of their own each, so no task
+    receives a whole heavy key. Which keys count as heavy changes a row's route, never its result.
+
+    ``heavy_from`` is a cheaper frame with the same key columns to look for heavy keys in,
+    for example the table ``rows`` was derived from; it spares deriving ``rows`` twice.
     """
     on = list(on)
     values = [name for name in keyed.columns if name not in on]
@@ -49,7 +51,7 @@ def attach(rows: DataFrame, keyed: DataFrame, on: Sequence[str]) -> DataFrame:
     if size is not None and 0 <= size <= broadcast_limit(rows.sparkSession):
         return rows.join(keyed, on, "left").select(*map(column, rows.columns), *map(column, values))
 
-    heavy = heavy_hashes(rows, on)
+    heavy = heavy_hashes(rows if heavy_from is None else heavy_from, on)
     is_heavy = F.xxhash64(*map(column, on)).isin(heavy) if heavy else F.lit(False)
     absent = F.lit(False)
     for name in on:
@@ -61,17 +63,19 @@ def attach(rows: DataFrame, keyed: DataFrame, on: Sequence[str]) -> DataFrame:
         is_heavy.alias("_heavy"),
     )
     few = sides.where("_heavy").select(*join_keys, F.col("_row").alias("_heavy_row"))
+    # The route is a join key of its own, so it takes part in the partitioning. It is the hash
+    # of the key, except that heavy and NULL keys are routed by the hash of the whole row.
     many = sides.where("NOT _heavy").select(
-        *join_keys, F.lit(0).cast("bigint").alias("_salt"), F.col("_row").alias("_cold_row")
+        *join_keys, F.xxhash64(*join_keys).alias("_route"), F.col("_row").alias("_cold_row")
     )
-    scatter = F.pmod(F.xxhash64(*map(column, rows.columns)), F.lit(SPREAD)) + 1
     routed = rows.select(
         "*",
         *[column(name).alias(key) for name, key in zip(on, join_keys)],
         is_heavy.alias("_heavy"),
-        F.when(is_heavy | absent, scatter).otherwise(F.lit(0)).cast("bigint").alias("_salt"),
+        F.when(is_heavy | absent, F.xxhash64(*map(column, rows.columns)))
+        .otherwise(F.xxhash64(*map(column, on))).alias("_route"),
     )
-    joined = routed.join(F.broadcast(few), join_keys, "left").join(many, [*join_keys, "_salt"], "left")
+    joined = routed.join(F.broadcast(few), join_keys, "left").join(many, [*join_keys, "_route"], "left")
     return joined.select(
         *map(column, rows.columns),
         *[
@@ -81,6 +85,18 @@ def attach(rows: DataFrame, keyed: DataFrame, on: Sequence[str]) -> DataFrame:
     )
 
 
+def only(rows: DataFrame, keys: DataFrame, on: Sequence[str], heavy_from: DataFrame | None = None) -> DataFrame:
+    """Rows whose key is among ``keys``: a semi join on the route of ``attach``."""
+    marks = keys.select(*map(column, on)).distinct().withColumn("_found", F.lit(True))
+    return attach(rows, marks, on, heavy_from).where("_found").drop("_found")
+
+
+def without(rows: DataFrame, keys: DataFrame, on: Sequence[str], heavy_from: DataFrame | None = None) -> DataFrame:
+    """Rows whose key is not among ``keys``: an anti join on the route of ``attach``."""
+    marks = keys.select(*map(column, on)).distinct().withColumn("_found", F.lit(True))
+    return attach(rows, marks, on, heavy_from).where("_found IS NULL").drop("_found")
+
+
 def running(
     rows: DataFrame,
     by: Sequence[str],

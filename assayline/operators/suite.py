@@ -96,6 +96,6 @@ def fuse(frame: DataFrame, checks: Sequence[Check], key: str = "id") -> FusedSui
         fact = f"_fact{position}"
         facts.append(fact)
         if check.prepare is not None:
-            prepared = check.prepare(prepared, fact)
+            prepared = check.prepare(prepared, fact, frame)
     flags = [failed(check, prepared, fact) for check, fact in zip(checks, facts)]
     return FusedSuite(prepared, checks, key, flags)

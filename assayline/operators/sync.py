@@ -58,8 +58,8 @@ def audit_bundles(runs: DataFrame, results: DataFrame, errors: DataFrame, links:
         (revision_column(F.col("payload")) == F.col("revision")).alias("_intact"),
     )
     joined = attach(
-        attach(read.join(summary, "run_id", "left").join(details, "run_id", "left"), bound, ["endpoint", "rule_key"]),
-        known, ["rule_key", "revision"],
+        attach(read.join(summary, "run_id", "left").join(details, "run_id", "left"), bound, ["endpoint", "rule_key"], runs),
+        known, ["rule_key", "revision"], runs,
     )
     done = F.col("status") == "completed"
     count = F.coalesce("_errors", F.lit(0))

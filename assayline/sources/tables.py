@@ -88,11 +88,20 @@ class TableStore:
             self.drop_stage(stage)
 
     def high_water(self, name: str, key: str = "id") -> int:
-        """Highest whole-number key in any kept version, so that keys are never used twice."""
-        top = 0
-        for number in self.versions(name):
+        """Highest whole-number key any version ever had, so that keys are never used twice.
+
+        The answer is kept with the version it covers: each version is looked at once.
+        """
+        kept = self.history("high_water", "table_name string, version bigint, highest bigint")
+        row = kept.where(f"table_name = '{name}'").selectExpr("max(version)", "max(highest)").first()
+        covered, top = row[0] or 0, row[1] or 0
+        fresh = [number for number in self.versions(name) if number > covered]
+        for number in fresh:
             largest = self.read(name, number).selectExpr(f"max({key})").first()[0]
             top = max(top, largest or 0)
+        if fresh:
+            line = self.spark.createDataFrame([(name, fresh[-1], top)], "table_name string, version bigint, highest bigint")
+            self.append("high_water", line, at=f"{name}-{fresh[-1]}")
         return top
 
     # Stages: written once, read as often as needed.
