@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assayline.functions.text import column
 from assayline.operators.reports import FAILURE_ROWS
-from assayline.operators.skew import running
+from assayline.operators.skew import attach, running
 
 # Days until a ticket is due, by severity.
 DUE_DAYS = {"low": 7, "medium": 3, "high": 1}
@@ -46,11 +46,18 @@ def apply_run(tickets: DataFrame, outcome: DataFrame, loads: DataFrame) -> DataF
     """
     keys = ["rule_id", "table_name"]
     names = [n for n in tickets.columns if n not in keys]
-    opened = tickets.where(is_open(F.col("status"))).select(*keys, F.struct(*map(column, names)).alias("_t"))
-    fresh = outcome.select(*keys, F.struct(*[column(n) for n in outcome.columns if n not in keys]).alias("_o"))
-    joined = opened.join(fresh, keys, "full_outer").join(
-        loads.select("table_name", F.struct("loaded_by", "file_name").alias("_load")), "table_name", "left"
+    # Only the open ticket of a rule and table shares its slot with the outcome. Settled ones
+    # have a slot each: one pass keeps them, and a rule's many old tickets stay spread.
+    slot = F.when(is_open(F.col("status")), F.xxhash64(*keys)).otherwise(F.xxhash64(*keys, "ticket_id"))
+    present = tickets.select(*keys, slot.alias("_slot"), F.struct(*map(column, names)).alias("_t"), is_open(F.col("status")).alias("_open"))
+    fresh = outcome.select(
+        *keys, F.xxhash64(*keys).alias("_slot"), F.lit(True).alias("_open"),
+        F.struct(*[column(n) for n in outcome.columns if n not in keys]).alias("_o"),
     )
+    joined = present.join(fresh, [*keys, "_slot", "_open"], "full_outer")
+    tables = tickets.select("table_name").unionAll(outcome.select("table_name"))
+    newest = loads.select("table_name", F.struct("loaded_by", "file_name").alias("_load"))
+    joined = attach(joined, newest, ["table_name"], tables)
     fails = F.coalesce(F.col("_o.failed") > 0, F.lit(False))
     known = F.col("_t").isNotNull()
     action = (
@@ -85,7 +92,7 @@ def apply_run(tickets: DataFrame, outcome: DataFrame, loads: DataFrame) -> DataF
         "latest_run_id": F.when(closes, new["run_id"]).otherwise(either(new["run_id"], new["run_id"], old["latest_run_id"])),
         "failure_run_id": either(new["run_id"], new["run_id"], old["failure_run_id"]),
     }
-    moved = judged.select(
+    return judged.select(
         *[
             (column(n) if n in keys else values[n] if n in values else old[n])
             .cast(tickets.schema[n].dataType).alias(n)
@@ -93,8 +100,6 @@ def apply_run(tickets: DataFrame, outcome: DataFrame, loads: DataFrame) -> DataF
         ],
         "action",
     )
-    settled = tickets.where(~is_open(F.col("status"))).withColumn("action", F.lit(None).cast("string"))
-    return moved.unionByName(settled)
 
 
 def number_new(applied: DataFrame) -> DataFrame:
