@@ -26,10 +26,9 @@ DEFAULT_MESSAGE = "The record did not pass this check"
 def named_views(spark: SparkSession, views: Mapping[str, DataFrame]) -> Iterator[None]:
     """Bind datasets to view names for one analysis, restoring views that were there."""
     earlier = {}
-    present = {t.name for t in spark.catalog.listTables() if t.isTemporary}
     files = spark.conf.get("spark.sql.runSQLOnFiles", "true")
     for name, frame in views.items():
-        if name.lower() in present:
+        if spark.catalog.tableExists(name) and spark.catalog.getTable(name).isTemporary:
             earlier[name] = spark.table(name)
         frame.createOrReplaceTempView(name)
     spark.conf.set("spark.sql.runSQLOnFiles", "false")

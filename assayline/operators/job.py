@@ -199,6 +199,21 @@ class RuleRunner:
         self.store.append("runs", self.spark.createDataFrame([row], RUNS), run_id=run_id, state=state)
 
 
+def ticket_outcomes(spark: SparkSession, report: RunReport, table: str, actor: str, at: datetime | None = None) -> DataFrame:
+    """What a run says to the tickets: one row per rule that was executed, see ``tickets.apply_run``."""
+    moment = at or _now()
+    lines = [
+        (c["rule_id"], table, c["rule_version"], c["description"], c["severity"], report.run_id, actor, c["failed"],
+         c["passed"] + c["failed"], moment)
+        for c in report.counts
+    ]
+    return spark.createDataFrame(
+        lines,
+        "rule_id string, table_name string, rule_version string, title string, severity string, run_id string, actor string,"
+        " failed bigint, checked bigint, occurred_at timestamp",
+    )
+
+
 def runs(store: TableStore) -> DataFrame:
     """Current state of every run: the finished row where there is one."""
     rows = store.history("runs", RUNS)

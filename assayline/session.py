@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assayline.errors import DataQualityError
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -27,7 +29,7 @@ def build_session(app_name: str = "assayline", master: str | None = None, **extr
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is set."""
+    """The cluster's shared checkpoint folder; a local one only where none is set in local mode."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if spark.sparkContext.getCheckpointDir() is None:
@@ -35,6 +37,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise DataQualityError("Set spark.checkpoint.dir to a folder all executors share.")
         current = tempfile.mkdtemp(prefix="assayline-checkpoint-")
         spark.sparkContext.setCheckpointDir(current)
     return current

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from assayline.errors import AccessError, ContractError, DataQualityError, JobFailed, PreviewTooLarge
 from assayline.functions import fingerprint
-from assayline.operators import job
+from assayline.operators import job, tickets
 from assayline.operators.columns import columns_read
 from assayline.operators.evaluate import (
     counts, evaluate, evidence, first_rows, message_column, preview, preview_rule, rule_message, validate,
@@ -172,6 +172,20 @@ def test_partial_run_keeps_good_rules_and_reports_bad_ones(store, people):
     assert run[0]["source_versions"] == {"customers": 1}
 
 
+def test_a_run_opens_and_closes_its_ticket(spark, store, people):
+    store.save("customers", people)
+    runner = RuleRunner(store)
+    loads = spark.createDataFrame([], "table_name string, file_name string, loaded_by string")
+    state = spark.createDataFrame([], tickets.TICKET.replace("rule_id bigint", "rule_id string"))
+    for ages, status in ((people, "new"), (people.where("age > 18"), "closed")):
+        store.save("customers", ages)
+        report = runner.run_table("customers", "ann", rules())
+        said = job.ticket_outcomes(spark, report, "customers", "ann")
+        rows = tickets.number_new(tickets.apply_run(state, said, loads)).drop("action").collect()
+        assert [(r["rule_id"], r["status"], r["latest_run_id"]) for r in rows] == [("adult", status, report.run_id)]
+        state = spark.createDataFrame(rows, state.schema)
+
+
 def test_empty_and_missing_rules(store, people):
     store.save("customers", people.limit(0))
     runner = RuleRunner(store)
