@@ -20,13 +20,14 @@ HEAVY_KEYS = 1000
 TRACKED_KEYS = 10000
 
 
-def heavy_hashes(rows: DataFrame, on: Sequence[str]) -> list[int]:
+def heavy_hashes(rows: DataFrame, keys: Sequence[Column]) -> list[int]:
     """Hashes of the most frequent keys: at most HEAVY_KEYS numbers, whatever the input size.
 
     The sketch is merged map-side, so the keys themselves are not shuffled.
     """
-    keys = rows.select(*map(column, on)).dropna()
-    top = keys.select(F.xxhash64(*map(column, on)).alias("_hash")).agg(
+    named = [key.alias(f"_k{i}") for i, key in enumerate(keys)]
+    present = rows.select(*named).dropna()
+    top = present.select(F.xxhash64(*present.columns).alias("_hash")).agg(
         F.expr(f"approx_top_k(_hash, {HEAVY_KEYS}, {TRACKED_KEYS})").alias("top")
     )
     return [item["item"] for item in top.first()["top"] or []]
@@ -51,14 +52,17 @@ def attach(rows: DataFrame, keyed: DataFrame, on: Sequence[str], heavy_from: Dat
     if size is not None and 0 <= size <= broadcast_limit(rows.sparkSession):
         return rows.join(keyed, on, "left").select(*map(column, rows.columns), *map(column, values))
 
-    heavy = heavy_hashes(rows if heavy_from is None else heavy_from, on)
-    is_heavy = F.xxhash64(*map(column, on)).isin(heavy) if heavy else F.lit(False)
+    # Hashes depend on the type, so both sides take the type Spark would compare them in.
+    common = rows.select(*map(column, on)).unionAll(keyed.select(*map(column, on))).schema
+    typed = [column(name).cast(field.dataType) for name, field in zip(on, common)]
+    heavy = heavy_hashes(rows if heavy_from is None else heavy_from, typed)
+    is_heavy = F.xxhash64(*typed).isin(heavy) if heavy else F.lit(False)
     absent = F.lit(False)
     for name in on:
         absent = absent | column(name).isNull()
     join_keys = [f"_key{position}" for position in range(len(on))]
     sides = keyed.select(
-        *[column(name).alias(key) for name, key in zip(on, join_keys)],
+        *[value.alias(key) for value, key in zip(typed, join_keys)],
         F.struct(*map(column, values)).alias("_row"),
         is_heavy.alias("_heavy"),
     )
@@ -70,10 +74,10 @@ def attach(rows: DataFrame, keyed: DataFrame, on: Sequence[str], heavy_from: Dat
     )
     routed = rows.select(
         "*",
-        *[column(name).alias(key) for name, key in zip(on, join_keys)],
+        *[value.alias(key) for value, key in zip(typed, join_keys)],
         is_heavy.alias("_heavy"),
         F.when(is_heavy | absent, F.xxhash64(*map(column, rows.columns)))
-        .otherwise(F.xxhash64(*map(column, on))).alias("_route"),
+        .otherwise(F.xxhash64(*typed)).alias("_route"),
     )
     joined = routed.join(F.broadcast(few), join_keys, "left").join(many, [*join_keys, "_route"], "left")
     return joined.select(

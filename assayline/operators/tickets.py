@@ -50,6 +50,8 @@ def apply_run(tickets: DataFrame, outcome: DataFrame, loads: DataFrame) -> DataF
     # have a slot each: one pass keeps them, and a rule's many old tickets stay spread.
     slot = F.when(is_open(F.col("status")), F.xxhash64(*keys)).otherwise(F.xxhash64(*keys, "ticket_id"))
     present = tickets.select(*keys, slot.alias("_slot"), F.struct(*map(column, names)).alias("_t"), is_open(F.col("status")).alias("_open"))
+    # Hashes depend on the type: the outcome's keys take the types of the tickets'.
+    outcome = outcome.withColumns({key: column(key).cast(tickets.schema[key].dataType) for key in keys})
     fresh = outcome.select(
         *keys, F.xxhash64(*keys).alias("_slot"), F.lit(True).alias("_open"),
         F.struct(*[column(n) for n in outcome.columns if n not in keys]).alias("_o"),

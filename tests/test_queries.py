@@ -46,3 +46,15 @@ def test_query_equals_sql(spark, other, name):
     assert sorted(found) == names
     places = [found.index(n) for n in names]
     assert got == sorted(tuple(plain(row[i]) for i in places) for row in result.fetchall())
+
+
+LOOKUPS = (
+    "chk_unique", "chk_unique_composite", "xref_exists", "xref_two_pairs", "run_suite", "kpi_trend", "description_asof_version",
+    "run_failures", "latest_failures", "runs_scope", "reconcile_runs_after_delete", "run_bundle_audit", "tickets_apply",
+)
+
+
+@pytest.mark.usefixtures("no_broadcast")
+@pytest.mark.parametrize("name", LOOKUPS)
+def test_query_equals_sql_on_the_shuffled_route(spark, other, name):
+    test_query_equals_sql(spark, other, name)

@@ -117,6 +117,17 @@ def test_attach_keeps_every_row_of_hot_and_missing_keys(spark):
     assert len(shares) == 4 and max(shares) < 2 * min(shares)  # the hot and missing keys fill all partitions evenly
 
 
+@pytest.mark.usefixtures("no_broadcast")
+@pytest.mark.parametrize("kinds", [("int", "bigint"), ("bigint", "smallint"), ("decimal(10,2)", "int"), ("double", "int")])
+def test_attach_compares_keys_of_different_types(spark, kinds):
+    left = spark.range(0, 40).select(F.col("id").alias("i"), F.when(F.col("id") < 20, 5).otherwise(F.col("id")).cast(kinds[0]).alias("k"))
+    right = spark.range(0, 30, 5).select(F.col("id").cast(kinds[1]).alias("k"), F.concat(F.lit("v"), "id").alias("v"))
+    got = {r["i"]: r["v"] for r in skew.attach(left, right, ["k"]).collect()}
+    assert got == {i: "v5" if i < 20 else f"v{i}" if i < 30 and i % 5 == 0 else None for i in range(40)}
+    assert skew.attach(left, right, ["k"]).columns == ["i", "k", "v"]
+    assert skew.only(left, right, ["k"]).count() == 22 and skew.without(left, right, ["k"]).count() == 18
+
+
 def payload(rule_key="name-check", **more):
     body = {"active": True, "description": "Name required", "references": {}, "rule_key": rule_key, "source": ["main", "sales", "people"]}
     return fingerprint.canonical({**body, **more})
