@@ -31,11 +31,6 @@ def output_field(schema: T.StructType, *, strict: bool = True, exact: bool = Fal
     return names[1]
 
 
-def flag(frame_or_none: DataFrame | None = None) -> Column:
-    """The flag as an integer whatever number type the rule returned."""
-    return F.col(FLAG).cast("int")
-
-
 def bad_flag(flag_column: Column) -> Column:
     return flag_column.isNull() | ~flag_column.isin(0, 1)
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from assayline.functions.fingerprint import canonical_column, revision_column
 from assayline.operators import registry, sync, tickets
 from assayline.operators.evaluate import select
 from assayline.operators.loading import latest_loads
@@ -42,7 +41,6 @@ DEFINITIONS = f"""SELECT {DEFINITION_COLUMNS} FROM (
     CASE WHEN c_acctbal > 9000 THEN 'moved' ELSE c_mktsegment END AS segment,
     CASE c_nationkey % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS severity,
     CASE WHEN c_acctbal < 500 THEN 'INACTIVE' ELSE 'ACTIVE' END AS status FROM customer WHERE c_custkey % 4 <> 1) given"""
-COMPARED = ", ".join(registry.COMPARED)
 
 
 @query("registry_diff", f"""WITH {cte("rules")}, definitions AS ({DEFINITIONS}),
@@ -60,9 +58,8 @@ def registry_diff(t: Tables) -> DataFrame:
     return registry.registry_diff(rules, definitions).select("rule_key", "rule_id", "action", "new_version")
 
 
-# Delete the rules of one in fifty customers and reconcile the runs they took part in.
+# Delete the rules of one in a hundred customers and reconcile the runs they took part in.
 DELETED = "SELECT c_custkey AS rule_id FROM customer WHERE c_name LIKE '%77'"
-FAILED_RULE = "5000000 + min(o_custkey)"
 ERRORS_SQL = """errors AS (SELECT run_id, first_rule AS rule_id FROM (SELECT run_id, min(rule_id) AS first_rule, min(result_id) AS first_result
   FROM results WHERE run_id IS NOT NULL GROUP BY run_id) WHERE first_result % 5 = 0)"""
 
