@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
-from assayline.llm import near_dedup  # noqa: E402
+from assayline.llm import near_dedup, substring_dedup  # noqa: E402
 
 NEAR_SQL = """WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
@@ -49,3 +49,24 @@ FROM sets d LEFT JOIN classes c ON len(d.s) > 0 AND list_sort(d.s) = c.s LEFT JO
 @query("op5_near_dedup", NEAR_SQL)
 def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"), words=2, percent=80)
+
+
+REPEATS_SQL = """WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+starts AS (SELECT doc_id, unnest(generate_series(1, len(w) - 34)) AS s, w FROM words WHERE len(w) >= 35),
+windows AS (SELECT doc_id, s, md5(array_to_string(w[s:s + 34], ' ')) AS h FROM starts),
+again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT doc_id, list(s) AS begins FROM windows SEMI JOIN again USING (h) GROUP BY doc_id),
+gone AS (SELECT doc_id, list_sort(list_distinct(flatten(list_transform(begins, lambda q: generate_series(q, q + 34))))) AS g FROM hit),
+numbered AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM words),
+lost AS (SELECT doc_id, unnest(g) AS i FROM gone),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS k FROM numbered ANTI JOIN lost USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(len(g.g), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(k.k, '')) AS kept_sha256
+FROM words w LEFT JOIN gone g USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
+
+
+@query("op8_substring_dedup", REPEATS_SQL)
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = substring_dedup.remove_repeats(table(spark, folder, "documents"), window=35)
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
