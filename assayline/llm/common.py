@@ -99,7 +99,7 @@ def signed(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
-def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
+def texts(batch: pa.RecordBatch, name: str | int = "text") -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
     return batch.column(name).cast(pa.binary()).to_pylist()
 

@@ -25,7 +25,8 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
-from assayline.llm import near_dedup, substring_dedup  # noqa: E402
+from assayline.llm import near_dedup, packing, substring_dedup, toxicity  # noqa: E402
+from assayline.llm.common import remainder  # noqa: E402
 
 NEAR_SQL = """WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
@@ -70,3 +71,24 @@ FROM words w LEFT JOIN gone g USING (doc_id) LEFT JOIN kept k USING (doc_id)"""
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = substring_dedup.remove_repeats(table(spark, folder, "documents"), window=35)
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op7_packing")
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), tokenizer_file(), capacity=4096, end_id=1)
+
+
+@query("op1_toxicity")
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, folder, "labels"), usable=remainder(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("toxicity").alias("score"),
+        F.col("toxic").alias("predicted"), "offending")
