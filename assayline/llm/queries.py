@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
-from assayline.llm import near_dedup, packing, substring_dedup, toxicity  # noqa: E402
+from assayline.llm import near_dedup, packing, substring_dedup, toxicity, url_filter  # noqa: E402
 from assayline.llm.common import remainder  # noqa: E402
 
 NEAR_SQL = """WITH RECURSIVE words AS (
@@ -92,3 +92,38 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select(
         "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("toxicity").alias("score"),
         F.col("toxic").alias("predicted"), "offending")
+
+
+RULES = (
+    url_filter.Rule("org", "/", True), url_filter.Rule("example.org", "/es/", False), url_filter.Rule("example.org", "/en/1", False),
+    url_filter.Rule("com", "/fr/", True), url_filter.Rule("com", "/de/", False),
+)
+
+
+def _terms(terms) -> str:
+    return "|".join(terms)
+
+
+# The automaton's boundary rule as two patterns: terms here consist of letters only.
+URL_SQL = f"""WITH parts AS (
+  SELECT page_id, coalesce(url, '') AS u, position('://' IN coalesce(url, '')) AS p FROM pages),
+split AS (SELECT page_id, CASE WHEN p = 0 THEN '' ELSE regexp_extract(substr(u, p + 3), '^[^?#]*') END AS rest FROM parts),
+named AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    CASE WHEN position('/' IN rest) = 0 THEN '' ELSE substr(rest, position('/' IN rest)) END AS path FROM split),
+rules(h, p, v) AS (VALUES {", ".join(f"('{r.host}', '{r.path}', '{'allow' if r.allow else 'block'}')" for r in RULES)}),
+fit AS (
+  SELECT page_id, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS v FROM named JOIN rules
+    ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
+spread AS (SELECT page_id, host, path, ' ' || regexp_replace(lower(host || path), '[^\\p{{L}}]', '  ', 'g') || ' ' AS u FROM named),
+found AS (
+  SELECT page_id, host, path, len(regexp_extract_all(u, ' (?:{_terms(url_filter.STRICT)}) ')) AS s,
+    list_sort(list_distinct(list_transform(regexp_extract_all(u, ' (?:{_terms(url_filter.SOFT)}) '), lambda x: trim(x)))) AS t FROM spread)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN s > 0 OR len(t) > 1 THEN 'block' ELSE 'allow' END) AS verdict,
+  CAST(s AS INTEGER) AS strict_hits, array_to_string(t, ' ') AS soft_terms FROM found LEFT JOIN fit USING (page_id)"""
+
+
+@query("op9_url_filter", URL_SQL)
+def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, folder, "pages"), RULES)
+    return judged.withColumn("soft_terms", F.array_join("soft_terms", " "))
