@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
-from assayline.llm import near_dedup, packing, substring_dedup, toxicity, url_filter  # noqa: E402
+from assayline.llm import fingerprints, near_dedup, packing, sharding, substring_dedup, toxicity, url_filter  # noqa: E402
 from assayline.llm.common import remainder  # noqa: E402
 
 NEAR_SQL = """WITH RECURSIVE words AS (
@@ -127,3 +127,85 @@ SELECT page_id, host, path, rule, coalesce(v, CASE WHEN s > 0 OR len(t) > 1 THEN
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     judged = url_filter.judge(table(spark, folder, "pages"), RULES)
     return judged.withColumn("soft_terms", F.array_join("soft_terms", " "))
+
+
+def crc32_entries() -> list[int]:
+    """The byte table of CRC-32, from its polynomial."""
+    entries = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        entries.append(value)
+    return entries
+
+
+SHARD_SQL = f"""WITH tab AS MATERIALIZED (SELECT CAST({crc32_entries()} AS BIGINT[]) AS e),
+bytes AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size,
+    hex(encode(coalesce(text, ''))) AS x FROM documents),
+crc AS (
+  SELECT doc_id, source, size, xor(4294967295, list_reduce(
+    list_transform(generate_series(1, size - 1), lambda i: CAST('0x' || substr(x, 2 * i - 1, 2) AS BIGINT)),
+    lambda a, b: xor(a >> 8, e[1 + (xor(a, b) & 255)]), 4294967295)) AS text_crc32 FROM bytes, tab),
+drawn AS (
+  SELECT doc_id, source, size, text_crc32, CAST('0x' || substr(md5('0|' || doc_id), 1, 15) AS BIGINT) AS draw FROM crc),
+ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY draw, doc_id) - CAST(0.5 AS DOUBLE)) / count(*) OVER (PARTITION BY source) AS f FROM drawn),
+numbered AS (
+  SELECT *, row_number() OVER (ORDER BY f, source IS NULL, coalesce(source, ''), draw, doc_id) - 1 AS g, count(*) OVER () AS n FROM ranked)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(g * 16 // n AS INTEGER) AS shard,
+  g - ((g * 16 // n) * n + 15) // 16 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM numbered"""
+
+
+@query("op3_sharding", SHARD_SQL)
+def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    rows = table(spark, folder, "documents").select(
+        "doc_id", "source", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
+    return sharding.interleave(rows, shards=16).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _print_sql(text: str) -> str:
+    """A fingerprint in SQL; columns x_p, x_s, x_l are its levels."""
+    return f"""(SELECT sha256(array_to_string(s, ' ')) || ':' || array_to_string(s, ' ') || ':' || array_to_string(p, ' ') || ':' || array_to_string(l, ' ')
+    FROM (SELECT p, l, list_transform(list_filter(regexp_split_to_array(array_to_string(list_transform(p,
+      lambda d: CASE WHEN d[1] IN ('0', '1') THEN d || '/' ELSE d END), ' '), '/ ?'), lambda z: z <> ''), lambda z: substr(sha256(z), 1, 32)) AS s
+    FROM (SELECT list_transform(string_split({text}, chr(10)), lambda q: substr(sha256(q), 1, 32)) AS p,
+      list_transform(regexp_extract_all({text}, '[^.!?\\n]{{1,120}}[.!?]*'), lambda q: substr(sha256(q), 1, 8)) AS l)))"""
+
+
+def _like_sql(one: str, other: str) -> str:
+    def pieces(fp: str) -> str:
+        return f"list_distinct(list_filter(string_split(split_part({fp}, ':', 4), ' '), lambda d: d <> ''))"
+
+    return f"""CASE WHEN split_part({one}, ':', 1) = split_part({other}, ':', 1) THEN 1.0 WHEN len({pieces(one)}) + len({pieces(other)}) = 0 THEN 0.0
+    ELSE CAST(2.0 AS DOUBLE) * len(list_intersect({pieces(one)}, {pieces(other)})) / (len({pieces(one)}) + len({pieces(other)})) END"""
+
+
+PRINT_SQL = f"""WITH rows AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+paired AS (
+  SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next_text FROM rows),
+edited AS (
+  SELECT doc_id, text, next_text, length(text) AS n, substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2) AS edit FROM paired),
+printed AS (
+  SELECT doc_id, n, sha256(edit) AS edited_sha256, {_print_sql('text')} AS fingerprint, {_print_sql('edit')} AS edited_fingerprint,
+    {_print_sql('next_text')} AS next_fingerprint FROM edited)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, edited_sha256, fingerprint, edited_fingerprint,
+  {_like_sql('fingerprint', 'edited_fingerprint')} AS near_edited, {_like_sql('fingerprint', 'next_fingerprint')} AS near_next FROM printed"""
+
+
+@query("op4_fingerprints", PRINT_SQL)
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = fingerprints.with_next(table(spark, folder, "documents"))
+    length = F.char_length("text")
+    half = F.floor(length / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), length - half), F.substring("next_text", F.lit(1), half))
+    printed = pairs.withColumn("n_chars", length).withColumn("edited", edited).select(
+        "doc_id", F.col("n_chars").cast("long"), F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.fingerprint(F.col("text")).alias("fingerprint"), fingerprints.fingerprint(F.col("edited")).alias("edited_fingerprint"),
+        fingerprints.fingerprint(F.col("next_text")).alias("next_fingerprint"))
+    return printed.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        fingerprints.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        fingerprints.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))

@@ -136,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None,
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
-    """The rows with three more columns.
+    """The rows with three more columns; input columns of these names are replaced.
 
     ``toxicity`` (0 to 1), ``toxic`` (1 from ``threshold`` on), and ``offending``: start, end and
     score of the sentences that reach the threshold themselves, or of the worst one where only
@@ -144,8 +144,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> Data
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     extra = {"toxicity": "double", "toxic": "int", "offending": "array<struct<start: int, end: int, score: double>>"}
-    if clash := set(extra) & set(docs.columns):
-        raise ValueError(f"columns already present: {sorted(clash)}")
+    docs = docs.drop(*extra)
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
