@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
-from assayline.llm import fingerprints, near_dedup, packing, sharding, substring_dedup, toxicity, url_filter  # noqa: E402
+from assayline.llm import fingerprints, line_dedup, near_dedup, packing, sharding, substring_dedup, toxicity, url_filter  # noqa: E402
 from assayline.llm.common import remainder  # noqa: E402
 
 NEAR_SQL = """WITH RECURSIVE words AS (
@@ -209,3 +209,27 @@ def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         fingerprints.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         fingerprints.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
+
+
+LINE_SQL = """WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS i FROM documents),
+words AS (
+  SELECT doc_id, i, line, list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM lines),
+classes AS (
+  SELECT w, min((doc_id, i)) AS first FROM words WHERE len(w) >= 3 GROUP BY w),
+gaps AS (SELECT w, first, len(w) AS n, unnest(generate_series(1, len(w) + 1)) AS g FROM classes WHERE len(w) >= 8),
+variants AS (
+  SELECT w, first, md5(array_to_string(w[1:g - 1], ' ') || ' # ' || array_to_string(w[g:], ' ') || ' #' || g) AS k FROM gaps
+  UNION ALL SELECT w, first, md5(array_to_string(w[1:g - 1], ' ') || ' # ' || array_to_string(w[g + 1:], ' ') || ' #' || g) FROM gaps WHERE g <= n),
+earliest AS (SELECT k, min(first) AS lead FROM variants GROUP BY k HAVING count(*) > 1),
+near AS (SELECT DISTINCT w FROM variants JOIN earliest USING (k) WHERE lead < first),
+gone AS (
+  SELECT a.doc_id, a.i FROM words a JOIN classes c ON a.w = c.w LEFT JOIN near n ON n.w = a.w WHERE n.w IS NOT NULL OR (a.doc_id, a.i) <> c.first)
+SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL), '') AS text
+FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id"""
+
+
+@query("op2_line_dedup", LINE_SQL)
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.deduplicate_lines(table(spark, folder, "documents").select("doc_id", "text"))
