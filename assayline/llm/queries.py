@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
-from assayline.llm import fingerprints, line_dedup, near_dedup, packing, sharding, substring_dedup, toxicity, url_filter  # noqa: E402
+from assayline.llm import decontamination, fingerprints, line_dedup, near_dedup, packing, recurrent_lm, sharding, substring_dedup, toxicity, url_filter  # noqa: E402
 from assayline.llm.common import remainder  # noqa: E402
 
 NEAR_SQL = """WITH RECURSIVE words AS (
@@ -49,7 +49,7 @@ FROM sets d LEFT JOIN classes c ON len(d.s) > 0 AND list_sort(d.s) = c.s LEFT JO
 
 @query("op5_near_dedup", NEAR_SQL)
 def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, folder, "documents"), words=2, percent=80)
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), words=2, percent=80).drop("text_key")
 
 
 REPEATS_SQL = """WITH words AS (
@@ -233,3 +233,16 @@ FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.do
 @query("op2_line_dedup", LINE_SQL)
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.deduplicate_lines(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    marked = decontamination.mark_leaks(docs, table(spark, folder, "benchmark"))
+    return marked.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
+@query("op10_lm_scoring")
+def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    scored = recurrent_lm.score(table(spark, folder, "documents"), usable=remainder(F.col("doc_id"), 7) != 2)
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), *scored.columns[1:])
