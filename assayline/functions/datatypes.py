@@ -56,7 +56,7 @@ def spark_type(kind: str) -> T.DataType:
         return SIMPLE_TYPES[kind]
     spec = decimal_spec(kind)
     if spec is None:
-        raise SchemaRefused(f"Unsupported dataset type: {kind}")
+        raise SchemaRefused(f"Not a type of this library: {kind}")
     return T.DecimalType(*spec)
 
 

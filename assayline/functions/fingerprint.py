@@ -53,25 +53,25 @@ def check_payload(payload: dict) -> dict:
     """Refuse a rule payload that does not follow its contract."""
     contract = payload.get("contract")
     if contract not in EXTRA_FIELDS or set(payload) != BASE_FIELDS | EXTRA_FIELDS[contract]:
-        raise DataQualityError("Unsupported rule contract.")
+        raise DataQualityError("The payload has other fields than its contract.")
     texts = ("local_version", "description", "rule_type", "error_message", "sql", "rule_key")
     if not all(isinstance(payload[name], str) for name in texts):
-        raise DataQualityError("Rule fields must be text.")
+        raise DataQualityError("A text field of the payload holds something else.")
     if not re.fullmatch(RULE_KEY, payload["rule_key"]):
-        raise DataQualityError("Invalid rule key.")
+        raise DataQualityError("The rule key is malformed.")
     if payload["severity"] not in SEVERITIES or not isinstance(payload["active"], bool):
-        raise DataQualityError("Invalid severity or active flag.")
+        raise DataQualityError("Severity or active flag has no known value.")
     if not _dataset(payload["source"]):
-        raise DataQualityError("The source must name catalog, schema and table.")
+        raise DataQualityError("Give the source as catalog, schema and table.")
     references = payload.get("references", {})
     if not isinstance(references, dict) or not all(map(_dataset, references.values())):
-        raise DataQualityError("A reference must name catalog, schema and table.")
+        raise DataQualityError("Give each reference as catalog, schema and table.")
     if contract == 2:
         from assayline.operators.crossref import CrossReference
 
         spec = CrossReference.from_dict(payload["cross_spec"])
         if set(references) != {spec.reference}:
-            raise DataQualityError("Reference mappings do not match the rule.")
+            raise DataQualityError("The rule compares with another reference than is mapped.")
     return payload
 
 

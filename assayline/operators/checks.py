@@ -17,7 +17,7 @@ from assayline.operators.crossref import CrossReference
 from assayline.operators.skew import attach
 
 # (frame so far, name of the fact column, the untouched table) -> frame with the fact
-Prepare = Callable[[DataFrame, str, DataFrame], DataFrame]
+Prepare = Callable[[DataFrame, str, DataFrame, str], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,7 @@ class Check:
 
 def rows(frame: DataFrame, check: Check, key: str = "id") -> DataFrame:
     """The rule output of one check: id, tested field, dq_check."""
-    prepared = frame if check.prepare is None else check.prepare(frame, "_fact", frame)
+    prepared = frame if check.prepare is None else check.prepare(frame, "_fact", frame, key)
     return prepared.select(
         column(key).alias("id"), column(check.field), failed(check, prepared, "_fact").alias("dq_check")
     )
@@ -144,7 +144,7 @@ def unique(*fields: str, ignore_case: bool = True, **named) -> Check:
                 found = found & (F.trim(column(name)) != "")
         return found
 
-    def prepare(frame: DataFrame, fact: str, table: DataFrame) -> DataFrame:
+    def prepare(frame: DataFrame, fact: str, table: DataFrame, key: str) -> DataFrame:
         keys = [f"{fact}_k{i}" for i in range(len(fields))]
         made = [F.when(present(table), comparable(table, name)).alias(key) for name, key in zip(fields, keys)]
         keyed, source = frame.select("*", *made), table.select(*made)
@@ -152,7 +152,7 @@ def unique(*fields: str, ignore_case: bool = True, **named) -> Check:
             source.dropna().groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
             .where("_n > 1").select(*keys, F.lit(True).alias(fact))
         )
-        return attach(keyed, repeated, keys, source).drop(*keys)
+        return attach(keyed, repeated, keys, source, [key]).drop(*keys)
 
     def passes(frame: DataFrame, fact: str) -> Column:
         return present(frame) & column(fact).isNull()
@@ -166,11 +166,11 @@ def cross_reference(spec: CrossReference, reference: DataFrame, **named) -> Chec
     The reference is reduced to distinct keys first, so repeated reference rows never
     multiply records.
     """
-    def prepare(frame: DataFrame, fact: str, table: DataFrame) -> DataFrame:
+    def prepare(frame: DataFrame, fact: str, table: DataFrame, key: str) -> DataFrame:
         keys = [f"{fact}_k{i}" for i in range(len(spec.pairs))]
         made = [value.alias(key) for value, key in zip(spec.row_keys(), keys)]
         known = spec.reference_keys(reference, keys, fact)
-        return attach(frame.select("*", *made), known, keys, table.select(*made)).drop(*keys)
+        return attach(frame.select("*", *made), known, keys, table.select(*made), [key]).drop(*keys)
 
     def passes(frame: DataFrame, fact: str) -> Column:
         return spec.passes(column(fact))

@@ -53,7 +53,7 @@ def _check_name(name: str | None, specs: Sequence[ColumnSpec], current: ColumnSp
         raise SchemaRefused(f"Not a valid column name: {name}")
     clash = any(s.name.lower() == name.lower() and s is not current for s in specs)
     if name.lower() == "id" or clash:
-        raise SchemaRefused("Column names must be unique; id is reserved.")
+        raise SchemaRefused("Another column has this name already, or it is id.")
 
 
 def add_column(frame: DataFrame, name: str, kind: str = "TEXT", required: bool = False) -> DataFrame:
@@ -74,9 +74,9 @@ def drop_column(frame: DataFrame, name: str) -> DataFrame:
 def _editable(specs: Sequence[ColumnSpec], name: str) -> ColumnSpec:
     current = next((s for s in specs if s.name == name), None)
     if current is None:
-        raise SchemaRefused("Select a column.")
+        raise SchemaRefused("Name the column to edit.")
     if current.pk or name.lower() == "id":
-        raise SchemaRefused("The technical id column cannot be edited.")
+        raise SchemaRefused("The id column stays as it is.")
     return current
 
 
@@ -97,7 +97,7 @@ def modify_column(
             raise SchemaRefused(f"{refused} values would lose data; no changes were made.")
         values[name] = datatypes.convert(column(name), frame.schema[name].dataType, kind)
     if required and frame.where(column(name).isNull()).limit(1).count():
-        raise SchemaRefused("A value is required.")
+        raise SchemaRefused("Empty cells would remain in a required column.")
     values[new_name] = values.pop(name)
     changed = [ColumnSpec(new_name, kind, required, s.default) if s is current else s for s in specs]
     return _retyped(frame, changed, values)
@@ -138,7 +138,7 @@ def align_types(
         datatypes.spark_type(kind)
         if spec.pk or spec.name == "id":
             if not (spec.kind in datatypes.INTEGER_TYPES and kind in datatypes.INTEGER_TYPES) and kind != spec.kind:
-                raise SchemaRefused("The technical id column cannot be edited.")
+                raise SchemaRefused("The id column stays as it is.")
             continue
         if kind != spec.kind:
             changes.append((spec.name, spec.kind, kind))

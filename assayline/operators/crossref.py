@@ -31,27 +31,27 @@ class CrossReference:
     def __post_init__(self):
         object.__setattr__(self, "pairs", tuple(tuple(pair) for pair in self.pairs))
         if not re.fullmatch(ALIAS, self.reference):
-            raise DataQualityError("A reference alias is lower case letters, digits and underscores.")
+            raise DataQualityError("The alias of a reference consists of a-z, 0-9 and _.")
         if self.mode not in ("exists", "missing") or self.nulls not in ("skip", "fail"):
             raise DataQualityError("mode is exists or missing; nulls is skip or fail.")
         if not isinstance(self.normalize, bool):
             raise DataQualityError("normalize is true or false.")
         if not 1 <= len(self.pairs) <= 12 or any(len(pair) != 2 for pair in self.pairs):
-            raise DataQualityError("Choose between 1 and 12 column pairs.")
+            raise DataQualityError("From one to twelve pairs of columns can be compared.")
         names = [self.key, *[name for pair in self.pairs for name in pair]]
         if self.active_column is not None:
             names.append(self.active_column)
         for name in names:
             if not isinstance(name, str) or not name or min(map(ord, name)) < 32:
-                raise DataQualityError("Invalid column name.")
+                raise DataQualityError("A column name is missing or holds control characters.")
         if self.pairs[0][0] in ("id", "dq_check"):
-            raise DataQualityError("The first tested column must be a business field.")
+            raise DataQualityError("The column under test cannot be id or dq_check.")
 
     @classmethod
     def from_dict(cls, data: dict) -> CrossReference:
         wanted = {"reference", "key", "pairs", "mode", "nulls", "normalize", "active_column"}
         if not isinstance(data, dict) or set(data) != wanted:
-            raise DataQualityError("Invalid cross-table configuration.")
+            raise DataQualityError("These settings do not describe a cross-table check.")
         return cls(**data)
 
     def to_dict(self) -> dict:

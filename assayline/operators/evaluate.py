@@ -60,7 +60,7 @@ def analyse(
     text = sql.strip()
     text = text[:-1] if text.endswith(";") else text
     if not text.strip():
-        raise AccessError("Write a query first.")
+        raise AccessError("The rule has no text.")
     with named_views(spark, views):
         try:
             frame = spark.sql(f"SELECT * FROM (\n{text}\n) AS checked_rows")
@@ -81,7 +81,7 @@ def analyse(
 
 
 def _first_line(error: Exception) -> str:
-    return str(error).strip().splitlines()[0][:500]
+    return str(error).strip().splitlines()[0]
 
 
 @dataclass

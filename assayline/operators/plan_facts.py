@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame
 HARMLESS_LEAVES = frozenset(
     {"OneRowRelation", "OneRowRelation$", "LocalRelation", "CTERelationRef", "UnionLoopRef"}
 )
-# Expressions that leave the query language.
+# Spark's own expressions live here; those of Hive, of plug-ins or of the caller do not.
+OWN_PACKAGES = ("org.apache.spark.sql.catalyst.",)
+# Of Spark's own, the expressions that leave the query language.
 REFUSED_EXPRESSIONS = frozenset(
     {
         "CallMethodViaReflection", "TryReflect", "PythonUDF", "PythonUDAF", "ScalaUDF",
-        "ScalaUDAF", "ScalaAggregator", "HiveSimpleUDF", "HiveGenericUDF", "HiveUDAFFunction",
+        "ScalaUDAF", "ScalaAggregator", "PythonUDTF", "UnresolvedPolymorphicPythonUDTF",
+        "PythonFuncExpression", "UserDefinedGenerator", "ApplyFunctionExpression", "V2Aggregator", "ExternalUserDefinedFunction",
     }
 )
 # Expressions that hold a query of their own.
@@ -59,7 +62,10 @@ def read_plan(frame: DataFrame) -> PlanFacts:
     def visit(node):
         kind = node.getClass().getSimpleName()
         if kind == "View":
-            views.append((node.desc().identifier().table(), node))
+            if node.isTempView():
+                views.append((node.desc().identifier().table(), node))
+            else:  # a stored view, whatever its bare name
+                facts.foreign.append(f"view {node.desc().identifier().unquotedString()}")
             return
         children = list(_each(node.children()))
         if not children and kind not in HARMLESS_LEAVES:
@@ -69,7 +75,7 @@ def read_plan(frame: DataFrame) -> PlanFacts:
         for expression in _each(node.expressions()):
             for part in _expressions(expression):
                 name = part.getClass().getSimpleName()
-                if name in REFUSED_EXPRESSIONS:
+                if name in REFUSED_EXPRESSIONS or not part.getClass().getName().startswith(OWN_PACKAGES):
                     facts.refused.append(part.toString()[:80])
                 if name in NESTED_QUERIES:
                     for outer in _each(part.outerAttrs()):

@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayline.errors import DataQualityError, HistoryInconsistent, SchemaRefused
-from assayline.functions.fingerprint import RULE_KEY, SEVERITIES
+from assayline.functions.fingerprint import RULE_KEY, SEVERITIES, canonical
 from assayline.operators.crossref import CrossReference
 from assayline.operators.evaluate import analyse, message_column
 from assayline.operators.loading import number_rows
@@ -319,7 +319,7 @@ def cross_rule(spec: CrossReference, table: str, description: str, message: str
     """A create request for a cross-table rule; its text follows from the spec."""
     return {
         "description": description, "rule_type": "cross_table", "target_table": table, "error_message": message,
-        "sql_query": spec.sql(), "severity": severity, "cross_spec": str(spec.to_dict()),
+        "sql_query": spec.sql(), "severity": severity, "cross_spec": canonical(spec.to_dict()),
     }
 
 

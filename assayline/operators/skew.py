@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from assayline.functions.text import column
 from assayline.session import broadcast_limit, planned_bytes
@@ -33,7 +33,15 @@ def heavy_hashes(rows: DataFrame, keys: Sequence[Column]) -> list[int]:
     return [item["item"] for item in top.first()["top"] or []]
 
 
-def attach(rows: DataFrame, keyed: DataFrame, on: Sequence[str], heavy_from: DataFrame | None = None) -> DataFrame:
+def plain_columns(frame: DataFrame) -> list[str]:
+    """Columns of atomic types: what a row can be told apart by with a hash."""
+    nested = (T.MapType, T.ArrayType, T.StructType, T.VariantType)
+    return [field.name for field in frame.schema if not isinstance(field.dataType, nested)]
+
+
+def attach(
+    rows: DataFrame, keyed: DataFrame, on: Sequence[str], heavy_from: DataFrame | None = None, row_id: Sequence[str] | None = None
+) -> DataFrame:
     """Left-join ``rows`` with ``keyed``, which has at most one row per key.
 
     A NULL in a key matches nothing. Where Catalyst itself will broadcast the keyed side
@@ -43,6 +51,10 @@ def attach(rows: DataFrame, keyed: DataFrame, on: Sequence[str], heavy_from: Dat
     NULL keys travel through that shuffle under a route of their own each, so no task
     receives a whole heavy key. Which keys count as heavy changes a row's route, never its result.
 
+    ``row_id`` names the columns that tell rows apart; their hash spreads the rows of a heavy
+    key. Only these and the columns used later are read. Without it all columns of atomic types
+    serve, so rows may hold values of any type.
+
     ``heavy_from`` is a cheaper frame with the same key columns to look for heavy keys in,
     for example the table ``rows`` was derived from; it spares deriving ``rows`` twice.
     """
@@ -68,15 +80,16 @@ def attach(rows: DataFrame, keyed: DataFrame, on: Sequence[str], heavy_from: Dat
     )
     few = sides.where("_heavy").select(*join_keys, F.col("_row").alias("_heavy_row"))
     # The route is a join key of its own, so it takes part in the partitioning. It is the hash
-    # of the key, except that heavy and NULL keys are routed by the hash of the whole row.
+    # of the key, except that heavy and NULL keys are routed by the hash of the row's id.
     many = sides.where("NOT _heavy").select(
         *join_keys, F.xxhash64(*join_keys).alias("_route"), F.col("_row").alias("_cold_row")
     )
+    apart = list(row_id or plain_columns(rows)) or on
     routed = rows.select(
         "*",
         *[value.alias(key) for value, key in zip(typed, join_keys)],
         is_heavy.alias("_heavy"),
-        F.when(is_heavy | absent, F.xxhash64(*map(column, rows.columns)))
+        F.when(is_heavy | absent, F.xxhash64(*map(column, apart)))
         .otherwise(F.xxhash64(*typed)).alias("_route"),
     )
     joined = routed.join(F.broadcast(few), join_keys, "left").join(many, [*join_keys, "_route"], "left")
@@ -130,7 +143,13 @@ def running(
         .withColumn("_carried", combine("_total").over(before))
         .drop("_total")
     )
-    joined = local.join(totals, [*by, "_bucket"], "left")
+    # Null-safe, so that a NULL key keeps one history over its buckets.
+    keys = [*by, "_bucket"]
+    totals = totals.select(*[column(key).alias(f"_of_{i}") for i, key in enumerate(keys)], "_carried")
+    same = F.lit(True)
+    for i, key in enumerate(keys):
+        same = same & column(key).eqNullSafe(F.col(f"_of_{i}"))
+    joined = local.join(totals, same, "left").drop(*[f"_of_{i}" for i in range(len(keys))])
     if how == "sum":
         result = F.coalesce("_carried", F.lit(0)) + F.coalesce("_local", F.lit(0))
     else:

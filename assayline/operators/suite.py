@@ -40,7 +40,11 @@ class FusedSuite:
     flags: list[Column] = field(default_factory=list)
 
     def counts(self) -> DataFrame:
-        """One row per rule. The table is scanned and aggregated once for all rules."""
+        """One row per rule. The table is scanned and aggregated once for all rules.
+
+        Records without an id break the contract of every rule: ``bad_ids`` counts them, and there
+        are no results then.
+        """
         sums = [F.sum(flag).alias(f"_f{i}") for i, flag in enumerate(self.flags)]
         once = self.frame.agg(
             F.count(F.lit(1)).alias("_n"), F.count_if(contract.bad_id(column(self.key))).alias("_bad"), *sums
@@ -55,24 +59,30 @@ class FusedSuite:
             )
             for i, check in enumerate(self.checks)
         ]
+        sound = F.col("_bad") == 0
         return once.select("_n", "_bad", F.inline(F.array(*lines))).select(
             "rule_id", "rule_version", "description", "field_name",
-            (F.col("_n") - F.col("failed")).alias("passed"), "failed",
+            F.when(sound, F.col("_n") - F.col("failed")).alias("passed"), F.when(sound, F.col("failed")).alias("failed"),
             F.col("_bad").alias("bad_ids"),
-            kpi(F.col("_n") - F.col("failed"), F.col("failed")).alias("kpi"),
+            F.when(sound, kpi(F.col("_n") - F.col("failed"), F.col("failed"))).alias("kpi"),
         )
 
     def evidence(self, failures_only: bool = True) -> DataFrame:
-        """Evidence of every rule from the same scan; passing records only if asked for."""
+        """Evidence of every rule from the same scan; passing records only if asked for.
+
+        A record without an id fails the whole evaluation, as the contract asks.
+        """
         # The flags are columns of their own first, so that compiled code evaluates each once.
         flagged = self.frame.select("*", *[flag.alias(f"_flag{i}") for i, flag in enumerate(self.flags)])
         lines = []
+        known_id = F.when(contract.bad_id(column(self.key)), F.raise_error(F.lit("A record has no id."))).otherwise(
+            column(self.key).cast("string"))
         for i, check in enumerate(self.checks):
             flag = F.col(f"_flag{i}")
             line = F.struct(
                 F.lit(check.rule_id).alias("rule_id"),
                 F.lit(check.version).alias("rule_version"),
-                column(self.key).cast("string").alias("record_id"),
+                known_id.alias("record_id"),
                 F.lit(check.field).alias("field_name"),
                 column(check.field).cast("string").alias("field_value"),
                 flag.alias("test_result"),
@@ -96,6 +106,6 @@ def fuse(frame: DataFrame, checks: Sequence[Check], key: str = "id") -> FusedSui
         fact = f"_fact{position}"
         facts.append(fact)
         if check.prepare is not None:
-            prepared = check.prepare(prepared, fact, frame)
+            prepared = check.prepare(prepared, fact, frame, key)
     flags = [failed(check, prepared, fact) for check, fact in zip(checks, facts)]
     return FusedSuite(prepared, checks, key, flags)

@@ -167,7 +167,7 @@ def mark_late(arrivals: DataFrame, arrival: list[str], bucket: Column) -> DataFr
 
 
 def ticket_outcomes(marked: DataFrame) -> DataFrame:
-    """The runs that may move tickets, newest per rule: completed and not late."""
+    """The runs that may move tickets: completed and not late. Several of one rule go to ``tickets.apply_runs``."""
     return marked.where("status = 'completed' AND NOT late")
 
 

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayline.functions.text import column
 from assayline.operators.reports import FAILURE_ROWS
 from assayline.operators.skew import attach, running
+from assayline.session import cut_lineage
 
 # Days until a ticket is due, by severity.
 DUE_DAYS = {"low": 7, "medium": 3, "high": 1}
@@ -42,7 +43,8 @@ def apply_run(tickets: DataFrame, outcome: DataFrame, loads: DataFrame) -> DataF
     ``outcome`` has one row per rule and table: rule_id, table_name, rule_version, title,
     severity, run_id, actor, failed, checked, occurred_at. ``loads`` is the newest load per table.
     Rules that could not be executed have no row and leave their ticket alone. New tickets
-    get no number here; see ``number_new``.
+    get no number here; see ``number_new``. Two outcomes of one rule and table are an error; for
+    several runs see ``apply_runs``.
     """
     keys = ["rule_id", "table_name"]
     names = [n for n in tickets.columns if n not in keys]
@@ -52,9 +54,12 @@ def apply_run(tickets: DataFrame, outcome: DataFrame, loads: DataFrame) -> DataF
     present = tickets.select(*keys, slot.alias("_slot"), F.struct(*map(column, names)).alias("_t"), is_open(F.col("status")).alias("_open"))
     # Hashes depend on the type: the outcome's keys take the types of the tickets'.
     outcome = outcome.withColumns({key: column(key).cast(tickets.schema[key].dataType) for key in keys})
+    outcome = outcome.withColumn("_times", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    single = F.when(F.col("_times") > 1, F.raise_error(F.lit("Several outcomes of one rule: use apply_runs.")).cast("boolean")).otherwise(True)
+    outcome = outcome.withColumn("_single", single)
     fresh = outcome.select(
-        *keys, F.xxhash64(*keys).alias("_slot"), F.lit(True).alias("_open"),
-        F.struct(*[column(n) for n in outcome.columns if n not in keys]).alias("_o"),
+        *keys, F.xxhash64(*keys).alias("_slot"), F.col("_single").alias("_open"),
+        F.struct(*[column(n) for n in outcome.columns if n not in (*keys, "_times", "_single")]).alias("_o"),
     )
     joined = present.join(fresh, [*keys, "_slot", "_open"], "full_outer")
     tables = tickets.select("table_name").unionAll(outcome.select("table_name"))
@@ -104,6 +109,22 @@ def apply_run(tickets: DataFrame, outcome: DataFrame, loads: DataFrame) -> DataF
     )
 
 
+def apply_runs(tickets: DataFrame, outcomes: DataFrame, loads: DataFrame) -> DataFrame:
+    """All tickets after a batch of runs, taken in their order; ``action`` is the last one of a ticket.
+
+    Each rule's outcomes are applied oldest first (occurred_at, then run_id): one pass for every
+    outcome that the busiest rule of the batch has. For a whole history ``replay`` takes one pass.
+    """
+    keys = ["rule_id", "table_name"]
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy("occurred_at", "run_id"))
+    ordered = cut_lineage(outcomes.withColumn("_turn", turn))
+    names, applied = tickets.columns, tickets.withColumn("_before", F.lit(None).cast("string"))
+    for number in range(1, (ordered.agg(F.max("_turn")).first()[0] or 0) + 1):
+        once = apply_run(applied, ordered.where(F.col("_turn") == number).drop("_turn"), loads)
+        applied = cut_lineage(once.select(*map(column, names), F.coalesce("action", "_before").alias("_before")))
+    return applied.withColumnRenamed("_before", "action")
+
+
 def number_new(applied: DataFrame) -> DataFrame:
     """Give new tickets numbers above the highest one."""
     from assayline.operators.loading import with_ids

@@ -107,7 +107,7 @@ def chk_unique_text(t: Tables) -> DataFrame:
   CASE WHEN count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1 THEN 0 ELSE 1 END AS dq_check FROM lineitem""")
 def chk_unique_composite(t: Tables) -> DataFrame:
     check = checks.unique("l_orderkey", "l_linenumber")
-    prepared = check.prepare(t.lineitem, "_fact", t.lineitem)
+    prepared = check.prepare(t.lineitem, "_fact", t.lineitem, "l_orderkey")
     return prepared.select(
         F.col("l_orderkey").alias("id"), "l_linenumber", "l_partkey", checks.failed(check, prepared, "_fact").alias("dq_check")
     )

@@ -40,17 +40,17 @@ def check_definition(table: str, columns: Iterable[ColumnSpec]) -> list[ColumnSp
     if not re.fullmatch(IDENTIFIER, table):
         raise SchemaRefused(f"Not a valid table name: {table}")
     if is_reserved(table):
-        raise SchemaRefused("This table name is reserved.")
+        raise SchemaRefused("The engine uses this table name itself.")
     if not columns:
-        raise SchemaRefused("At least one column is required.")
+        raise SchemaRefused("A dataset needs columns.")
     if len({c.name.lower() for c in columns}) != len(columns):
-        raise SchemaRefused("Column names must be unique.")
+        raise SchemaRefused("Two columns share a name.")
     for spec in columns:
         if not re.fullmatch(IDENTIFIER, spec.name):
             raise SchemaRefused(f"Not a valid column name: {spec.name}")
         spark_type(spec.kind)
         if spec.name.lower() == "id" and (spec.name != "id" or spec.kind not in ("INTEGER", "TEXT")):
-            raise SchemaRefused("The id column must be INTEGER or TEXT.")
+            raise SchemaRefused("An id is either INTEGER or TEXT.")
     if not any(spec.name == "id" for spec in columns):
         columns.insert(0, ColumnSpec("id", "INTEGER", pk=True))
     return [
@@ -120,7 +120,7 @@ class Datasets:
 
     def add(self, name: str, frame: DataFrame | None = None) -> None:
         if is_reserved(name):
-            raise SchemaRefused("This table name is reserved.")
+            raise SchemaRefused("The engine uses this table name itself.")
         self._frames[name] = self.spark.table(name) if frame is None else frame
 
     @classmethod

@@ -16,7 +16,7 @@ from assayline.sources.tables import IDENTIFIER, TableStore
 def snapshot_columns(schema: T.StructType, *, preserve_names: bool = False) -> list[ColumnSpec]:
     """Local column names and kinds for a source schema; complex types are refused."""
     if not schema.fields:
-        raise SchemaRefused("The source has no columns.")
+        raise SchemaRefused("Nothing to copy: no columns.")
     taken: set[str] = set() if preserve_names else {"id"}
     specs = []
     for field in schema:

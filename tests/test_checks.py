@@ -10,68 +10,68 @@ from assayline.operators import checks, suite
 from assayline.operators.crossref import CrossReference
 from assayline.operators.evaluate import evaluate
 
-PAIRS = (("country_code", "country_code"), ("currency", "currency_code"))
+PAIRS = (("zone", "zone"), ("unit", "tariff_unit"))
 
 
 def fails(frame, check):
     return sorted(r["id"] for r in checks.rows(frame, check).where("dq_check = 1").collect())
 
 
-def customer_checks():
+def meter_checks():
     return [
-        checks.required("name").named(1, "name required", "Name is empty"),
-        checks.like("email", "%_@_%._%").named(2, "email format", "Email is malformed"),
-        checks.between("age", 18, 120).named(3, "age range", "Age is out of range"),
-        checks.unique("email").named(4, "email unique", "Email is repeated"),
+        checks.required("label").named(1, "label given", "No label"),
+        checks.like("serial", "__-%").named(2, "serial form", "Serial is not of the usual form"),
+        checks.between("load", 0, 250).named(3, "load range", "Load is beyond the meter"),
+        checks.unique("serial").named(4, "serial unique", "Serial occurs twice"),
     ]
 
 
-def product_checks():
+def parcel_checks():
     return [
-        checks.unique("sku").named(5, "sku unique"),
-        checks.required("name").named(6, "name required"),
-        checks.positive("price").named(7, "price positive"),
-        checks.date_text("launch_date").named(8, "launch date"),
+        checks.unique("code").named(5, "code unique"),
+        checks.required("note").named(6, "note given"),
+        checks.positive("weight").named(7, "weight positive"),
+        checks.date_text("sent").named(8, "sent on a day"),
     ]
 
 
-def test_planted_failures_are_found(customers, products):
-    assert [fails(customers, c) for c in customer_checks()] == [[6], [2, 12], [4, 10], [1, 8, 12]]
-    assert [fails(products, c) for c in product_checks()] == [[1, 2], [6], [4, 10], [8, 12]]
+def test_planted_failures_are_found(meters, parcels):
+    assert [fails(meters, c) for c in meter_checks()] == [[202, 204], [203, 206], [203, 204, 205], [201, 205, 206, 207, 208]]
+    assert [fails(parcels, c) for c in parcel_checks()] == [[302, 303], [303], [302, 303, 304], [302, 303, 304]]
 
 
-def test_fused_suite_equals_single_checks(customers):
-    fused = suite.fuse(customers, customer_checks())
+def test_fused_suite_equals_single_checks(meters):
+    fused = suite.fuse(meters, meter_checks())
     counts = {r["rule_id"]: (r["passed"], r["failed"]) for r in fused.counts().collect()}
-    assert counts == {1: (11, 1), 2: (10, 2), 3: (10, 2), 4: (9, 3)}
+    assert counts == {1: (6, 2), 2: (6, 2), 3: (5, 3), 4: (3, 5)}
     evidence = Counter(r["rule_id"] for r in fused.evidence().collect())
-    assert evidence == {1: 1, 2: 2, 3: 2, 4: 3}
+    assert evidence == {1: 2, 2: 2, 3: 3, 4: 5}
     everything = fused.evidence(failures_only=False)
-    assert everything.count() == 48
+    assert everything.count() == 32
     assert everything.where("test_result = 0 AND error_message <> ''").count() == 0
-    assert everything.where("rule_id = 1 AND test_result = 1").first()["error_message"] == "Name is empty"
+    assert everything.where("rule_id = 1 AND test_result = 1").first()["error_message"] == "No label"
 
 
 @pytest.mark.parametrize(
     "options, passed",
-    [({}, 2), ({"normalize": True}, 3), ({"nulls": "skip"}, 3), ({"mode": "missing"}, 4)],
+    [({}, 1), ({"normalize": True}, 3), ({"nulls": "skip"}, 2), ({"mode": "missing"}, 4)],
 )
-def test_cross_table_truth_table(spark, priced, countries, options, passed):
-    spec = CrossReference("countries", PAIRS, active_column="active_flag", **options)
-    check = checks.cross_reference(spec, countries)
-    assert 7 - len(fails(priced, check)) == passed
-    text = evaluate(spark, spec.sql(), {"source": priced, "countries": countries})
-    assert text.field == "country_code"
+def test_cross_table_truth_table(spark, shipments, tariffs, options, passed):
+    spec = CrossReference("tariffs", PAIRS, active_column="in_force", **options)
+    check = checks.cross_reference(spec, tariffs)
+    assert 6 - len(fails(shipments, check)) == passed
+    text = evaluate(spark, spec.sql(), {"source": shipments, "tariffs": tariffs})
+    assert text.field == "zone"
     assert text.frame.where("dq_check = 0").count() == passed
-    assert text.frame.count() == 7
+    assert text.frame.count() == 6
     assert CrossReference.from_dict(spec.to_dict()) == spec
 
 
 @pytest.mark.usefixtures("no_broadcast")
-@pytest.mark.parametrize("options, passed", [({}, 2), ({"nulls": "skip"}, 3), ({"mode": "missing"}, 4)])
-def test_cross_table_on_the_shuffled_route(priced, countries, options, passed):
-    spec = CrossReference("countries", PAIRS, active_column="active_flag", **options)
-    assert 7 - len(fails(priced, checks.cross_reference(spec, countries))) == passed
+@pytest.mark.parametrize("options, passed", [({}, 1), ({"nulls": "skip"}, 2), ({"mode": "missing"}, 4)])
+def test_cross_table_on_the_shuffled_route(shipments, tariffs, options, passed):
+    spec = CrossReference("tariffs", PAIRS, active_column="in_force", **options)
+    assert 6 - len(fails(shipments, checks.cross_reference(spec, tariffs))) == passed
 
 
 @pytest.mark.parametrize(
@@ -81,7 +81,7 @@ def test_cross_table_on_the_shuffled_route(priced, countries, options, passed):
 )
 def test_bad_cross_table_specs_are_refused(change):
     with pytest.raises(DataQualityError):
-        CrossReference(**{"reference": "countries", "pairs": PAIRS, **change})
+        CrossReference(**{"reference": "tariffs", "pairs": PAIRS, **change})
 
 
 @pytest.mark.usefixtures("no_broadcast")

@@ -14,10 +14,10 @@ def write(tmp_path, name, text, encoding="utf-8"):
 
 
 def test_delimited_text_is_read_verbatim(spark, tmp_path):
-    path = write(tmp_path, "a.csv", '﻿Code; Full name ;Comment\n001;"semi;colon";NA\n\n2;;"say ""hi"""\n')
+    path = write(tmp_path, "a.csv", '﻿Ref; Place of use ;Note\n001;"left;right";NA\n\n2;;"say ""hi"""\n')
     frame = delimited.check_lines(delimited.read_delimited(spark, path))
-    assert frame.columns == ["Code", "Full name", "Comment", "_row", "_file"]
-    assert [tuple(r[:3]) for r in frame.orderBy("_row").collect()] == [("001", "semi;colon", "NA"), ("2", None, 'say "hi"')]
+    assert frame.columns == ["Ref", "Place of use", "Note", "_row", "_file"]
+    assert [tuple(r[:3]) for r in frame.orderBy("_row").collect()] == [("001", "left;right", "NA"), ("2", None, 'say "hi"')]
     assert frame.first()["_file"] == "a.csv"
 
 
@@ -231,3 +231,40 @@ def test_alignment_keeps_every_value(spark):
     assert tuple(kept.first()) == (1, "'-99.99", "2")
     with pytest.raises(SchemaRefused):
         columns.align_types(odd, {"price": "TEXT"})
+
+
+def cells(frame, n):
+    return sorted(tuple(r[:n]) for r in frame.collect())
+
+
+def test_quoted_line_breaks_stay_one_record(spark, tmp_path):
+    path = write(tmp_path, "breaks.csv", 'k;v\n1;"two\n9;lines"\n2;plain\n')
+    assert cells(delimited.check_lines(delimited.read_delimited(spark, path)), 2) == [("1", "two\n9;lines"), ("2", "plain")]
+
+
+def test_long_headers_are_read_whole(spark, tmp_path):
+    names = [f"column_number_{i:06d}_of_many" for i in range(3000)]
+    path = write(tmp_path, "wide.csv", ";".join(names) + "\n" + ";".join("x" for _ in names) + "\n")
+    frame = delimited.read_delimited(spark, path)
+    assert frame.columns[:3000] == names
+
+
+def test_every_file_must_have_the_same_header(spark, tmp_path):
+    write(tmp_path, "a.csv", "k;v;w\n1;a;x\n")
+    write(tmp_path, "b.csv", "w;k;v\ny;2;b\n")
+    with pytest.raises(ImportRejected, match="b.csv"):
+        delimited.read_delimited(spark, str(tmp_path))
+
+
+def test_bad_lines_are_named_by_their_number(spark, tmp_path):
+    path = write(tmp_path, "bad.csv", "k;v\n1;a\n2;b\n3;c;too many\n")
+    with pytest.raises(ImportRejected, match="Record 4 of bad.csv"):
+        delimited.check_lines(delimited.read_delimited(spark, path))
+
+
+def test_exports_begin_with_the_mark_of_utf8(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "é")], "k int, v string")
+    delimited.write_delimited(frame, str(tmp_path / "out"))
+    files = [p for p in (tmp_path / "out").iterdir() if p.suffix == ".csv" and p.stat().st_size]
+    assert all(p.read_bytes().startswith(b"\xef\xbb\xbf") for p in files)
+    assert cells(delimited.check_lines(delimited.read_delimited(spark, str(tmp_path / "out"))), 2) == [("1", "é")]

@@ -142,9 +142,9 @@ def test_polarity(spark):
     assert registry.flip_rule(spark, "SELECT id FROM people", {"people": people}) == "SELECT id FROM people"
 
 
-def test_cross_rule_and_bindings(spark, priced, countries):
-    made = registry.cross_rule(CrossReference("countries", (("country_code", "country_code"),)), "priced", "known country")
-    assert evaluate(spark, made["sql_query"], {"source": priced, "countries": countries}).frame.count() == 7
+def test_cross_rule_and_bindings(spark, shipments, tariffs):
+    made = registry.cross_rule(CrossReference("tariffs", (("zone", "zone"),)), "shipments", "known zone")
+    assert evaluate(spark, made["sql_query"], {"source": shipments, "tariffs": tariffs}).frame.count() == 6
     links = spark.createDataFrame(
         [("a", "c", "s", "t"), ("a", "c", "s", "t"), ("b", "c", "s", "t1"), ("b", "c", "s", "t2")],
         "target_table string, source_catalog string, source_schema string, source_table string")

@@ -10,117 +10,117 @@ from assayline.operators.evaluate import (
 )
 from assayline.operators.job import RuleRunner, StoredRule
 
-AGE = "SELECT id, age, CASE WHEN age > 18 THEN 0 ELSE 1 END AS dq_check FROM customers"
+DEPTH = "SELECT id, depth, CASE WHEN depth < 50 THEN 0 ELSE 1 END AS dq_check FROM wells"
 
 
 @pytest.fixture
-def people(spark):
-    rows = [(1, "Anna", "a@test", 21), (2, "jan", "B@test", 16), (3, None, None, 34)]
-    return spark.createDataFrame(rows, "id int, name string, email string, age int")
+def holes(spark):
+    rows = [(4, "Oak", "o@w", 12), (5, "fen", "F@w", 73), (6, None, None, 49)]
+    return spark.createDataFrame(rows, "id int, name string, email string, depth int")
 
 
-def test_counts_and_evidence(spark, people):
-    output = evaluate(spark, AGE, {"customers": people})
-    assert output.field == "age" and output.facts.datasets == {"customers"}
+def test_counts_and_evidence(spark, holes):
+    output = evaluate(spark, DEPTH, {"wells": holes})
+    assert output.field == "depth" and output.facts.datasets == {"wells"}
     assert tuple(counts(output.frame).first()) == (2, 1)
-    lines = [tuple(r) for r in evidence(output.frame, "age", '"Too young"').orderBy("record_id").collect()]
-    assert lines == [("1", "age", "21", 0, ""), ("2", "age", "16", 1, "Too young"), ("3", "age", "34", 0, "")]
+    lines = [tuple(r) for r in evidence(output.frame, "depth", '"Too deep"').orderBy("record_id").collect()]
+    assert lines == [("4", "depth", "12", 0, ""), ("5", "depth", "73", 1, "Too deep"), ("6", "depth", "49", 0, "")]
 
 
 @pytest.mark.parametrize(
     "sql",
     [
-        "SELECT id, age FROM customers",
-        "SELECT age, id, 0 AS dq_check FROM customers",
-        "SELECT id, 0 AS dq_check, age FROM customers",
-        "SELECT id, age, 0 AS passed FROM customers",
-        "SELECT id, id, 0 AS dq_check FROM customers",
-        "SELECT id, age, age, 0 AS dq_check FROM customers",
-        "SELECT id, age, '0' AS dq_check FROM customers",
-        "SELECT id, age, 0.0D AS dq_check FROM customers",
-        "SELECT id, age, NULL AS dq_check FROM customers",
+        "SELECT id, depth FROM wells",
+        "SELECT depth, id, 0 AS dq_check FROM wells",
+        "SELECT id, 0 AS dq_check, depth FROM wells",
+        "SELECT id, depth, 0 AS passed FROM wells",
+        "SELECT id, id, 0 AS dq_check FROM wells",
+        "SELECT id, depth, depth, 0 AS dq_check FROM wells",
+        "SELECT id, depth, '0' AS dq_check FROM wells",
+        "SELECT id, depth, 0.0D AS dq_check FROM wells",
+        "SELECT id, depth, NULL AS dq_check FROM wells",
     ],
 )
-def test_wrong_output_columns_are_refused(spark, people, sql):
+def test_wrong_output_columns_are_refused(spark, holes, sql):
     with pytest.raises(ContractError):
-        validate(spark, sql, {"customers": people})
+        validate(spark, sql, {"wells": holes})
 
 
 @pytest.mark.parametrize(
     "sql",
     [
-        "SELECT id, age, 2 AS dq_check FROM customers",
-        "SELECT id, age, CAST(NULL AS INT) AS dq_check FROM customers",
-        "SELECT '' AS id, age, 0 AS dq_check FROM customers",
-        "SELECT name AS id, age, 0 AS dq_check FROM customers",
+        "SELECT id, depth, 2 AS dq_check FROM wells",
+        "SELECT id, depth, CAST(NULL AS INT) AS dq_check FROM wells",
+        "SELECT '' AS id, depth, 0 AS dq_check FROM wells",
+        "SELECT name AS id, depth, 0 AS dq_check FROM wells",
     ],
 )
-def test_wrong_output_values_are_refused(spark, people, sql):
-    assert validate(spark, sql, {"customers": people}) == "age"
+def test_wrong_output_values_are_refused(spark, holes, sql):
+    assert validate(spark, sql, {"wells": holes}) == "depth"
     with pytest.raises(ContractError):
-        validate(spark, sql, {"customers": people}, full=True)
+        validate(spark, sql, {"wells": holes}, full=True)
     with pytest.raises(ContractError):
-        preview_rule(spark, sql, {"customers": people})
+        preview_rule(spark, sql, {"wells": holes})
 
 
-def test_lenient_flags_must_still_equal_zero_or_one(spark, people):
-    views = {"customers": people}
-    assert validate(spark, "SELECT id, age, age < 18 AS dq_check FROM customers", views, strict=False, full=True) == "age"
-    assert validate(spark, "SELECT id, age, 1.0D AS dq_check FROM customers", views, strict=False, full=True) == "age"
+def test_lenient_flags_must_still_equal_zero_or_one(spark, holes):
+    views = {"wells": holes}
+    assert validate(spark, "SELECT id, depth, depth < 18 AS dq_check FROM wells", views, strict=False, full=True) == "depth"
+    assert validate(spark, "SELECT id, depth, 1.0D AS dq_check FROM wells", views, strict=False, full=True) == "depth"
     with pytest.raises(ContractError):
-        validate(spark, "SELECT id, age, 0.5D AS dq_check FROM customers", views, strict=False, full=True)
+        validate(spark, "SELECT id, depth, 0.5D AS dq_check FROM wells", views, strict=False, full=True)
     with pytest.raises(ContractError):
-        validate(spark, AGE.replace("age,", "age, name,", 1), views, exact=True)
+        validate(spark, DEPTH.replace("depth,", "depth, name,", 1), views, exact=True)
 
 
 @pytest.mark.parametrize(
     "sql",
     [
-        "", ";", "DELETE FROM customers", "INSERT INTO customers SELECT * FROM customers", "DROP TABLE customers",
-        "SELECT 1; SELECT 2", "SELECT id FROM nowhere", "SELECT id FROM customers) q; DROP VIEW customers; SELECT (1",
-        "SELECT id, reflect('java.lang.System', 'getProperty', 'user.home') AS v, 0 AS dq_check FROM customers",
+        "", ";", "DELETE FROM wells", "INSERT INTO wells SELECT * FROM wells", "DROP TABLE wells",
+        "SELECT 1; SELECT 2", "SELECT id FROM nowhere", "SELECT id FROM wells) q; DROP VIEW wells; SELECT (1",
+        "SELECT id, reflect('java.lang.System', 'getProperty', 'user.home') AS v, 0 AS dq_check FROM wells",
         "SELECT id, 1 AS v, 0 AS dq_check FROM range(5)", "SELECT id FROM secret", "SHOW TABLES",
-        "SELECT id, 1 AS v, 0 AS dq_check FROM customers WHERE id IN (SELECT id FROM secret)",
-        "SELECT id, java_method('java.lang.Math', 'abs', 1) AS v, (SELECT max(id) FROM range(3)) AS dq_check FROM customers",
+        "SELECT id, 1 AS v, 0 AS dq_check FROM wells WHERE id IN (SELECT id FROM secret)",
+        "SELECT id, java_method('java.lang.Math', 'abs', 1) AS v, (SELECT max(id) FROM range(3)) AS dq_check FROM wells",
     ],
 )
-def test_only_queries_over_declared_datasets_run(spark, people, sql):
-    people.createOrReplaceTempView("secret")
+def test_only_queries_over_declared_datasets_run(spark, holes, sql):
+    holes.createOrReplaceTempView("secret")
     with pytest.raises(AccessError):
-        evaluate(spark, sql, {"customers": people})
+        evaluate(spark, sql, {"wells": holes})
 
 
-def test_files_cannot_be_read_by_path(spark, people, tmp_path):
-    people.write.parquet(str(tmp_path / "p"))
+def test_files_cannot_be_read_by_path(spark, holes, tmp_path):
+    holes.write.parquet(str(tmp_path / "p"))
     with pytest.raises(AccessError):
-        evaluate(spark, f"SELECT id, age, 0 AS dq_check FROM parquet.`{tmp_path}/p`", {"customers": people})
+        evaluate(spark, f"SELECT id, depth, 0 AS dq_check FROM parquet.`{tmp_path}/p`", {"wells": holes})
     assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
 
 
-def test_every_declared_dataset_must_be_read(spark, people):
+def test_every_declared_dataset_must_be_read(spark, holes):
     with pytest.raises(AccessError):
-        evaluate(spark, AGE, {"customers": people, "other": people}, declared_only=True)
-    text = AGE + " WHERE EXISTS (SELECT 1 FROM other o WHERE o.id = customers.id)"
-    assert evaluate(spark, text, {"customers": people, "other": people}, declared_only=True).field == "age"
-
-
-def test_views_of_the_caller_are_left_as_they_were(spark, people):
-    people.limit(1).createOrReplaceTempView("customers")
-    evaluate(spark, AGE, {"customers": people})
-    assert spark.table("customers").count() == 1
-    spark.catalog.dropTempView("customers")
-    evaluate(spark, AGE, {"customers": people})
-    assert not spark.catalog.tableExists("customers")
-
-
-def test_columns_read_resolves_stars_aliases_and_subqueries(spark, people):
-    other = people.select("id", F.col("email").alias("mail"))
-    views = {"customers": people, "other": other}
-    assert columns_read(spark, AGE, views) == {"customers": {"id", "age"}}
-    assert columns_read(spark, "SELECT c.*, 0 AS dq_check FROM customers c", views)["customers"] == set(people.columns)
-    nested = "SELECT id, name, CASE WHEN EXISTS (SELECT 1 FROM other o WHERE o.mail = c.email) THEN 0 ELSE 1 END AS dq_check FROM customers c"
-    assert columns_read(spark, nested, views) == {"customers": {"id", "name", "email"}, "other": {"mail"}}
-    joined = "SELECT id, age, 0 AS dq_check FROM customers NATURAL JOIN (SELECT id FROM other) o"
+        evaluate(spark, DEPTH, {"wells": holes, "other": holes}, declared_only=True)
+    text = DEPTH + " WHERE EXISTS (SELECT 1 FROM other o WHERE o.id = wells.id)"
+    assert evaluate(spark, text, {"wells": holes, "other": holes}, declared_only=True).field == "depth"
+
+
+def test_views_of_the_caller_are_left_as_they_were(spark, holes):
+    holes.limit(1).createOrReplaceTempView("wells")
+    evaluate(spark, DEPTH, {"wells": holes})
+    assert spark.table("wells").count() == 1
+    spark.catalog.dropTempView("wells")
+    evaluate(spark, DEPTH, {"wells": holes})
+    assert not spark.catalog.tableExists("wells")
+
+
+def test_columns_read_resolves_stars_aliases_and_subqueries(spark, holes):
+    other = holes.select("id", F.col("email").alias("mail"))
+    views = {"wells": holes, "other": other}
+    assert columns_read(spark, DEPTH, views) == {"wells": {"id", "depth"}}
+    assert columns_read(spark, "SELECT c.*, 0 AS dq_check FROM wells c", views)["wells"] == set(holes.columns)
+    nested = "SELECT id, name, CASE WHEN EXISTS (SELECT 1 FROM other o WHERE o.mail = c.email) THEN 0 ELSE 1 END AS dq_check FROM wells c"
+    assert columns_read(spark, nested, views) == {"wells": {"id", "name", "email"}, "other": {"mail"}}
+    joined = "SELECT id, depth, 0 AS dq_check FROM wells NATURAL JOIN (SELECT id FROM other) o"
     assert columns_read(spark, joined, views)["other"] == {"id"}
 
 
@@ -152,79 +152,79 @@ def test_messages(spark):
 
 def rules():
     return [
-        StoredRule("adult", AGE, "customers", "1.2", "age above 18", "Too young"),
-        StoredRule("broken", "SELECT id, nothing, 0 AS dq_check FROM customers", "customers", description="broken"),
-        StoredRule("off", AGE, "customers", active=False),
+        StoredRule("shallow", DEPTH, "wells", "1.2", "depth below 50", "Too deep"),
+        StoredRule("broken", "SELECT id, nothing, 0 AS dq_check FROM wells", "wells", description="broken"),
+        StoredRule("off", DEPTH, "wells", active=False),
     ]
 
 
-def test_partial_run_keeps_good_rules_and_reports_bad_ones(store, people):
-    store.save("customers", people)
+def test_partial_run_keeps_good_rules_and_reports_bad_ones(store, holes):
+    store.save("wells", holes)
     runner = RuleRunner(store)
-    report = runner.run_table("customers", "ann", rules())
+    report = runner.run_table("wells", "ann", rules())
     assert (report.status, report.requested, report.completed) == ("partial", 2, 1)
     assert report.errors[0]["rule_id"] == "broken"
     run = job.runs(store).collect()
     assert len(run) == 1 and run[0]["status"] == "partial" and run[0]["execution_errors"][0]["rule_id"] == "broken"
     assert [(r["passed"], r["failed"]) for r in job.results(store).collect()] == [(2, 1)]
     saved = job.stored_evidence(store)
-    assert saved.count() == 3 and saved.where("test_result = 1").first()["error_message"] == "Too young"
-    assert run[0]["source_versions"] == {"customers": 1}
+    assert saved.count() == 3 and saved.where("test_result = 1").first()["error_message"] == "Too deep"
+    assert run[0]["source_versions"] == {"wells": 1}
 
 
-def test_a_run_opens_and_closes_its_ticket(spark, store, people):
-    store.save("customers", people)
+def test_a_run_opens_and_closes_its_ticket(spark, store, holes):
+    store.save("wells", holes)
     runner = RuleRunner(store)
     loads = spark.createDataFrame([], "table_name string, file_name string, loaded_by string")
     state = spark.createDataFrame([], tickets.TICKET.replace("rule_id bigint", "rule_id string"))
-    for ages, status in ((people, "new"), (people.where("age > 18"), "closed")):
-        store.save("customers", ages)
-        report = runner.run_table("customers", "ann", rules())
-        said = job.ticket_outcomes(spark, report, "customers", "ann")
+    for ages, status in ((holes, "new"), (holes.where("depth < 50"), "closed")):
+        store.save("wells", ages)
+        report = runner.run_table("wells", "ann", rules())
+        said = job.ticket_outcomes(spark, report, "wells", "ann")
         rows = tickets.number_new(tickets.apply_run(state, said, loads)).drop("action").collect()
-        assert [(r["rule_id"], r["status"], r["latest_run_id"]) for r in rows] == [("adult", status, report.run_id)]
+        assert [(r["rule_id"], r["status"], r["latest_run_id"]) for r in rows] == [("shallow", status, report.run_id)]
         state = spark.createDataFrame(rows, state.schema)
 
 
-def test_empty_and_missing_rules(store, people):
-    store.save("customers", people.limit(0))
+def test_empty_and_missing_rules(store, holes):
+    store.save("wells", holes.limit(0))
     runner = RuleRunner(store)
-    assert runner.run_table("customers", "ann", []).status == "no_rules"
-    report = runner.run_table("customers", "ann", rules()[:1])
+    assert runner.run_table("wells", "ann", []).status == "no_rules"
+    report = runner.run_table("wells", "ann", rules()[:1])
     assert report.status == "completed" and (report.counts[0]["passed"], report.counts[0]["failed"]) == (0, 0)
-    assert runner.run_table("customers", "ann", rules()[1:2]).status == "failed"
-    assert runner.run_table("customers", "ann", rules(), "adult").requested == 1
+    assert runner.run_table("wells", "ann", rules()[1:2]).status == "failed"
+    assert runner.run_table("wells", "ann", rules(), "shallow").requested == 1
     with pytest.raises(DataQualityError):
         runner.run_table("nowhere", "ann", rules())
 
 
-def test_run_reads_pinned_versions(store, people):
-    store.save("customers", people)
-    store.save("customers", people.where("id = 1"))
-    report = RuleRunner(store).run_table("customers", "ann", rules()[:1])
+def test_run_reads_pinned_versions(store, holes):
+    store.save("wells", holes)
+    store.save("wells", holes.where("id = 4"))
+    report = RuleRunner(store).run_table("wells", "ann", rules()[:1])
     assert report.counts[0]["passed"] == 1
-    assert store.read("customers", 1).count() == 3
+    assert store.read("wells", 1).count() == 3
 
 
-def test_runtime_errors_and_missing_references_are_execution_errors(store, people):
-    store.save("customers", people)
-    cast = StoredRule("cast", "SELECT id, name, CASE WHEN CAST(name AS INT) > 1 THEN 0 ELSE 1 END AS dq_check FROM source", "customers")
-    lost = StoredRule("lost", AGE, "customers", references={"countries": "countries"})
-    report = RuleRunner(store).run_table("customers", "ann", [cast, lost])
+def test_runtime_errors_and_missing_references_are_execution_errors(store, holes):
+    store.save("wells", holes)
+    cast = StoredRule("cast", "SELECT id, name, CASE WHEN CAST(name AS INT) > 1 THEN 0 ELSE 1 END AS dq_check FROM source", "wells")
+    lost = StoredRule("lost", DEPTH, "wells", references={"countries": "countries"})
+    report = RuleRunner(store).run_table("wells", "ann", [cast, lost])
     assert report.status == "failed" and {e["rule_id"] for e in report.errors} == {"cast", "lost"}
     assert "Missing reference" in next(e["message"] for e in report.errors if e["rule_id"] == "lost")
     assert job.stored_evidence(store).count() == 0
 
 
-def test_scheduled_job(store, people):
-    store.save("customers", people)
-    payload = {"rule_key": "adult"}
-    good = StoredRule("adult", AGE, "customers", payload=fingerprint.canonical(payload), revision=fingerprint.revision(payload))
+def test_scheduled_job(store, holes):
+    store.save("wells", holes)
+    payload = {"rule_key": "shallow"}
+    good = StoredRule("shallow", DEPTH, "wells", payload=fingerprint.canonical(payload), revision=fingerprint.revision(payload))
     runner = RuleRunner(store)
     assert len(runner.run_job([good])) == 1
     assert job.stored_evidence(store).count() == 1  # failing rows only
     with pytest.raises(JobFailed, match="checksum"):
-        runner.run_job([StoredRule("adult", AGE, "customers", payload="{}", revision="x")])
+        runner.run_job([StoredRule("shallow", DEPTH, "wells", payload="{}", revision="x")])
     with pytest.raises(JobFailed, match="broken"):
         runner.run_job([good, rules()[1]])
     with pytest.raises(JobFailed, match="No active"):
@@ -243,3 +243,46 @@ def test_payload_contract():
     for change in ({"contract": 4}, {"severity": "x"}, {"active": 1}, {"source": ["a"]}, {"rule_key": "A"}, {"more": 1}, {"sql": None}):
         with pytest.raises(DataQualityError):
             fingerprint.check_payload({**payload, **change})
+
+
+def test_stored_views_and_python_table_functions_are_refused(spark, holes, tmp_path):
+    from pyspark.sql.functions import udtf
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS elsewhere")
+    try:
+        spark.sql("CREATE OR REPLACE VIEW elsewhere.wells AS SELECT 9 AS id, 1 AS depth")
+        with pytest.raises(AccessError):
+            evaluate(spark, "SELECT id, depth, 0 AS dq_check FROM elsewhere.wells", {"wells": holes})
+    finally:
+        spark.sql("DROP DATABASE elsewhere CASCADE")
+
+    @udtf(returnType="n int")
+    class Numbers:
+        def eval(self):
+            yield (1,)
+
+    spark.udtf.register("numbers_of_mine", Numbers)
+    with pytest.raises(AccessError):
+        evaluate(spark, "SELECT w.id, w.depth, 0 AS dq_check FROM wells w, numbers_of_mine()", {"wells": holes})
+
+
+@pytest.mark.usefixtures("no_broadcast")
+def test_uniqueness_reads_only_the_columns_it_needs(spark, tmp_path):
+    from assayline.operators import checks
+
+    frame = spark.range(50).selectExpr("id", "id % 7 AS k", "map('a', id) AS m", "cast(id AS string) AS wide")
+    frame.write.parquet(str(tmp_path / "t"))
+    rows = checks.rows(spark.read.parquet(str(tmp_path / "t")), checks.unique("k"))
+    assert rows.where("dq_check = 1").count() == 50
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "wide" not in plan and "m#" not in plan
+
+
+def test_a_missing_id_leaves_a_fused_suite_without_results(spark):
+    from assayline.operators import checks, suite
+
+    frame = spark.createDataFrame([("1", 5), (None, 6)], "id string, v int")
+    fused = suite.fuse(frame, [checks.positive("v").named(1, "positive")])
+    assert [(r.passed, r.failed, r.bad_ids) for r in fused.counts().collect()] == [(None, None, 1)]
+    with pytest.raises(Exception, match="no id"):
+        fused.evidence(failures_only=False).collect()

@@ -296,3 +296,27 @@ def test_runs_are_imported_as_files_arrive(spark, tmp_path):
     run()
     assert sorted(r["run_id"] for r in spark.read.parquet(f"{out}/runs").collect()) == ["e/r1", "e/r2"]
     assert spark.read.parquet(f"{out}/evidence").count() == 2
+
+
+def test_a_batch_of_runs_moves_tickets_in_order(spark):
+    from assayline.operators import tickets as t
+
+    kind = ("rule_id bigint, table_name string, rule_version string, title string, severity string, run_id string, actor string, "
+            "failed bigint, checked bigint, occurred_at timestamp")
+    def run(rule, n, failed):
+        return (rule, "t", "1.0", "title", "low", f"r{n}", "ann", failed, 10, DAY + timedelta(hours=n))
+    outcomes = spark.createDataFrame([run(1, 3, 2), run(1, 1, 4), run(1, 2, 0), run(2, 1, 1), run(2, 2, 0)], kind)
+    empty = spark.createDataFrame([], t.TICKET)
+    loads = spark.createDataFrame([("t", "bob", "f.csv")], "table_name string, loaded_by string, file_name string")
+    after = sorted((r.rule_id, r.status, r.failed_count, r.latest_run_id, r.action) for r in t.apply_runs(empty, outcomes, loads).collect())
+    assert after == [(1, "closed", 0, "r2", "verified"), (1, "new", 2, "r3", "created"), (2, "closed", 0, "r2", "verified")]
+    with pytest.raises(Exception, match="apply_runs"):
+        t.apply_run(empty, outcomes, loads).collect()
+
+
+def test_running_values_keep_one_history_for_null_keys(spark):
+    from assayline.operators.skew import running
+
+    rows = spark.createDataFrame([(None, 1), (None, 2), (None, 3)], "k string, n int")
+    got = running(rows, ["k"], ["n"], F.col("n"), F.lit(1), "sum", "before").collect()
+    assert sorted((r.n, r.before) for r in got) == [(1, 0), (2, 1), (3, 2)]
