@@ -75,7 +75,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     low = F.element_at(F.array(*map(F.lit, bounds)), at + 1)
     high = F.element_at(F.array(*map(F.lit, [*bounds[1:], bounds[-1] + 1])), at + 1)
     # In doubles, so that ids far apart do not overflow; rising with doc_id, which is all that matters.
-    inside = F.floor((F.col("doc_id").cast("double") - low.cast("double")) / (high.cast("double") - low.cast("double")) * cuts)
+    wide = F.greatest(high.cast("double") - low.cast("double"), F.lit(1.0))
+    inside = F.floor((F.col("doc_id").cast("double") - low.cast("double")) / wide * cuts)
     bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at * cuts + F.least(F.greatest(inside, F.lit(0)), F.lit(cuts - 1)))
     bucketed = docs.withColumn("bucket", bucket.cast("long"))
 
