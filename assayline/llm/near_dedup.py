@@ -4,9 +4,10 @@ Every document becomes the set of its distinct word shingles. Equal sets form a
 class gets one sketch of ``bands * rows`` bins from a single hash of its shingles; an empty
 bin borrows the value of the first filled bin in a random order of its own (optimal
 densification). Classes that agree on all rows of a band share a bucket. Within a bucket
-only edges to a few leaders are tried (stars), exactly checked on the full sets, and joined
-into components; buckets whose members are still in several components get more leaders,
-four times as many each round, until every bucket is settled. No bucket is capped.
+only edges to one leader are tried (a star), exactly checked on the full sets, and joined into
+components. Members of buckets that are still in several components are compared across
+components by an exact prefix filter, so no link is lost where a star's centre is unlike two
+members that are alike. No bucket is capped.
 
 Defined results: a null or word-less text has an empty set and is linked with nothing. A null
 doc_id counts as no id: the component's smallest id ignores it, and it is never ``kept``
@@ -21,12 +22,11 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from assayline.llm.common import MASK, Memo, hash64, lists, mixed, signed, text_key, texts, word_hashes, written
+from assayline.llm.common import Memo, hash64, lists, mixed, signed, text_key, texts, word_hashes, written
 
 FIRST_BANDS = 4  # the first round looks at so many bands only, which joins most copies cheaply
-FAN = 4  # growth of the number of leaders per bucket and round
 
 
 def shingle_set(text: bytes | None, width: int, memo: Memo) -> np.ndarray:
@@ -116,7 +116,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id of its group), kept.
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id of its group), kept, text_key.
 
     Linked are documents with ``100 * |A & B| >= percent * |A | B|``. At 80 percent and 32 bands
     of 5 rows a linked pair shares no bucket with probability (1 - 0.8**5)**32 = 3e-6.
@@ -139,12 +139,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     owner = classes.select("node", "c1", "c2", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = owner.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     group = owner.join(smallest, "label").select("c1", "c2", "component_id")
-    named = signed_docs.select("doc_id", "n", "c1", "c2")
-    full = named.where("n > 0").join(group, ["c1", "c2"], "left").select("doc_id", "n", "component_id")
-    empty = named.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    named = signed_docs.select("doc_id", "tk", "n", "c1", "c2")
+    full = named.where("n > 0").join(group, ["c1", "c2"], "left").select("doc_id", "tk", "n", "component_id")
+    empty = named.where("n = 0").select("doc_id", "tk", "n", F.col("doc_id").alias("component_id"))
     return full.union(empty).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id",
-        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("tk").alias("text_key"),
     )
 
 
@@ -154,46 +154,74 @@ def _linked(docs: DataFrame, classes: DataFrame, members: DataFrame, labels: Dat
     wanted = classes.join(labels, "node", "left_semi").select("node", *place)
     sets = written(_sets(docs.select(*place, "text").join(wanted, ["place", "tk"]).dropDuplicates(["node"]).select("node", "text"), words), "sets")
     tried = None
-    round_number = 0
-    while True:
-        seen = (members if round_number else members.where(F.col("band") < FIRST_BANDS)).join(labels, "node")
-        open_buckets = (
-            seen.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("least"))
-            .where("low < high").select("bucket", "least")
-        )
-        # A member's draw is fixed per bucket; beyond round one those with a draw under quota / size lead as well.
-        quota = 0 if round_number < 2 else FAN ** (round_number - 1)
-        draw = F.pmod(F.xxhash64("bucket", "node"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        active = written(
-            seen.join(open_buckets, "bucket").withColumn("leads", (F.col("node") == F.col("least")) | (draw * F.col("size") < quota)),
-            "active",
-        )
-        leaders = active.where("leads").select(
+    for bands in (FIRST_BANDS, None):  # stars: every member of a bucket with the bucket's smallest node
+        seen = (members.where(F.col("band") < bands) if bands else members).join(labels, "node")
+        stars = _open(seen).select("bucket", F.col("least").alias("node"))
+        leaders = stars.join(labels.join(classes.select("node", "n"), "node"), "node").select(
             "bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
         pairs = (
-            active.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+            seen.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
             .join(leaders, "bucket").where("label_a != label_b")
             .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         )
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        edges = written(_confirmed(pairs, sets, percent), "links")
-        if not edges.isEmpty():
-            named = labels.withColumnRenamed("node", "a").withColumnRenamed("label", "la")
-            other = labels.withColumnRenamed("node", "b").withColumnRenamed("label", "lb")
-            merged = components(edges.join(named, "a").join(other, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a != b"))
-            labels = written(
-                labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
-                .select("node", F.coalesce("root", "label").alias("label")), "labels")
-        if round_number:
-            # Settled: no bucket over several components, or all members of such buckets have led.
-            largest = active.agg(F.max("size")).first()[0]
-            if largest is None or quota >= largest:
-                return labels
-        round_number += 1
+        labels, tried = _merge(labels, pairs, tried, sets, percent)
+    seen = members.join(labels, "node")
+    rest = seen.join(_open(seen), "bucket", "left_semi").select("node", "label").distinct()
+    return _merge(labels, _rest_pairs(rest, sets, percent), tried, sets, percent)[0]
+
+
+def _open(seen: DataFrame) -> DataFrame:
+    """(bucket, least): buckets whose members are in more than one component, and their smallest node."""
+    return (
+        seen.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("least"))
+        .where("low < high").select("bucket", "least")
+    )
+
+
+def _merge(labels: DataFrame, pairs: DataFrame, tried: DataFrame | None, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Labels after the links among the new pairs, and all pairs tried so far."""
+    if tried is not None:
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    pairs = written(pairs, "pairs")
+    links = written(_confirmed(pairs, sets, percent), "links")
+    if not links.isEmpty():
+        own = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+        other = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        merged = components(links.join(own, "a").join(other, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a != b"))
+        labels = written(
+            labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
+            .select("node", F.coalesce("root", "label").alias("label")), "labels")
+    return labels, pairs if tried is None else tried.union(pairs)
+
+
+def _rest_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different components that can still be linked, by an exact prefix filter.
+
+    In an order common to all sets, rare shingles first, two linked sets share one of the first
+    n - ceil(percent * n / 100) + 1 shingles of either, and the first they share leaves room for
+    the overlap they need. A shingle's largest component does not ask; the others ask it and each other.
+    """
+    shingles = sets.join(rest, "node").select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    owners = shingles.groupBy("shingle").agg(F.count("*").alias("owners"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("owners", "shingle"))
+    prefix = written(
+        shingles.join(owners, "shingle").withColumn("place", rank)
+        .where((F.col("owners") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
+        .select("shingle", "node", "label", "n", "place"), "prefixes")
+    largest = (
+        prefix.groupBy("shingle", "label").agg(F.count("*").alias("size"))
+        .groupBy("shingle").agg(F.max_by("label", F.col("size")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    )
+    open_prefix = prefix.join(largest, "shingle")
+    asking = open_prefix.where("label != main").select(
+        "shingle", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"), F.col("label").alias("label_a"))
+    room = 1 + F.least(F.col("n_a") - F.col("place_a"), F.col("n") - F.col("place"))
+    return (
+        open_prefix.join(asking, "shingle").where("label != label_a")
+        .where((100 + percent) * room >= percent * (F.col("n_a") + F.col("n")))
+        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    )
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
