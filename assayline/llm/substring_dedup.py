@@ -4,7 +4,7 @@
 a shift d < PERIOD with (i + d) and (j + d) both in the cover. Two equal windows of ``window``
 words therefore share an anchor - ``window - PERIOD + 1`` words starting at a cover position
 of both. Only anchors are hashed and compared over the corpus; windows around a repeated
-anchor are extended to the full ``window`` words and compared by a 128-bit hash.
+anchor are extended to the full ``window`` words and compared by a 96-bit hash.
 
 Comparison happens in one shuffle per step. A hash that occurs more than once within an Arrow
 batch is known to be repeated on the spot: its places leave under a spread-out key, and one
@@ -55,7 +55,7 @@ def _anchors(docs: DataFrame, width: int) -> DataFrame:
                 words = (text or b"").split()
                 if len(words) < width + PERIOD - 1:
                     continue
-                hashes = rolling(word_hashes(words, memo), width, BASE)
+                hashes = rolling(word_hashes(words, memo), width, BASE) >> np.uint64(16)  # 48 bits: chance hits only add candidates
                 places.append(np.flatnonzero(np.resize(cover, len(hashes))))
                 found.append(hashes[places[-1]])
                 rows.append(np.full(len(places[-1]), row))
@@ -78,9 +78,9 @@ def _anchors(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, window: int, width: int) -> DataFrame:
-    """Windows around repeated anchors: (h1, h2, salt, doc_id, tk, start, run).
+    """Windows around repeated anchors: (h1, h2, salt, doc_id, tk, pos, run).
 
-    salt 0: one window to compare, or a mark (null start). salt > 0: a run of windows known to be repeated.
+    salt 0: one window to compare, or a mark (null pos). salt > 0: a run of windows known to be repeated.
     """
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, unpack = Memo(hash64), zstandard.ZstdDecompressor()
@@ -89,14 +89,16 @@ def _windows(docs: DataFrame, window: int, width: int) -> DataFrame:
             anchored = batch.column("anchors")
             offsets, flat = anchored.offsets.to_numpy(), anchored.values.to_numpy()
             for row, packed in enumerate(batch.column("packed").to_pylist()):
+                at = flat[offsets[row]: offsets[row + 1]]
+                if not len(at):
+                    continue
                 ids = word_hashes(unpack.decompress(packed).split(), memo)
                 near = np.zeros(len(ids) - window + 2, np.int32)
-                at = flat[offsets[row]: offsets[row + 1]]
                 np.add.at(near, np.maximum(at + width - window, 0), 1)
                 np.add.at(near, np.minimum(at, len(near) - 2) + 1, -1)
                 start = np.flatnonzero(np.cumsum(near[:-1]) > 0)
                 one.append(rolling(ids, window, BASE)[start])
-                two.append(rolling(ids * np.uint64(OTHER), window, OTHER)[start])
+                two.append(rolling(ids * np.uint64(OTHER), window, OTHER)[start] >> np.uint64(32))
                 starts.append(start)
                 rows.append(np.full(len(start), row))
             if not one:
@@ -117,14 +119,14 @@ def _windows(docs: DataFrame, window: int, width: int) -> DataFrame:
             length = np.concatenate([np.ones(len(single) + len(mark), np.int64), run_length])
             owner = pa.array(row[take], pa.int64(), mask=kind == 1)
             yield pa.RecordBatch.from_arrays(
-                [signed(np.where(kind == 2, zero, h1[take])), signed(np.where(kind == 2, zero, h2[take])),
+                [signed(np.where(kind == 2, zero, h1[take])), pa.array(np.where(kind == 2, zero, h2[take]).astype(np.uint32).view(np.int32)),
                  pa.array(np.where(kind == 2, 1 + (start[take] + row[take]) % SPREAD, 0), pa.int32()),
                  batch.column("doc_id").take(owner), batch.column("tk").take(owner),
                  _nullable(start[take].astype(np.int32), kind == 1, pa.int32()), pa.array(length, pa.int32())],
-                ["h1", "h2", "salt", "doc_id", "tk", "start", "run"],
+                ["h1", "h2", "salt", "doc_id", "tk", "pos", "run"],
             )
 
-    return docs.mapInArrow(emit, "h1 long, h2 long, salt int, doc_id long, tk long, start int, run int")
+    return docs.mapInArrow(emit, "h1 long, h2 int, salt int, doc_id long, tk long, pos int, run int")
 
 
 def _cut(docs: DataFrame, window: int) -> DataFrame:
@@ -183,21 +185,19 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     if width < 5:
         raise ValueError(f"a window needs at least {PERIOD + 4} words")
     docs = docs.select("doc_id", "text").withColumn("tk", text_key(F.col("text")))
-    anchors = _anchors(docs, width).withColumn("times", F.count("*").over(Window.partitionBy("anchor", "salt")))
-    repeated = (
-        anchors.where("pos IS NOT NULL AND (salt > 0 OR times > 1)")
-        .groupBy("doc_id", "tk").agg(F.collect_set("pos").alias("anchors"))
-    )
-    packed = _packed(docs)
-
-    def keyed(frame: DataFrame) -> DataFrame:  # a null id meets a null id
+    keys = ["id_key", "no_id", "tk"]  # a null id meets a null id
+
+    def keyed(frame: DataFrame) -> DataFrame:
         return frame.withColumn("id_key", F.coalesce("doc_id", F.lit(0))).withColumn("no_id", F.col("doc_id").isNull())
 
-    keys = ["id_key", "no_id", "tk"]
-    around = keyed(packed).join(keyed(repeated).drop("doc_id"), keys).select("doc_id", "tk", "packed", "anchors")
-    compared = _windows(around, window, width).withColumn("times", F.count("*").over(Window.partitionBy("h1", "h2", "salt")))
-    runs = (
-        compared.where("start IS NOT NULL AND (salt > 0 OR times > 1)")
-        .groupBy("doc_id", "tk").agg(F.collect_set(F.struct("start", "run")).alias("runs"))
-    )
-    return _cut(keyed(packed).join(keyed(runs).drop("doc_id"), keys, "left").select("doc_id", "packed", "runs"), window)
+    def known(frame: DataFrame, *group: str) -> DataFrame:
+        """The places of values that occur more than once, by document."""
+        times = F.count("*").over(Window.partitionBy(*group, "salt"))
+        return keyed(frame.withColumn("times", times).where("pos IS NOT NULL AND (salt > 0 OR times > 1)")).groupBy(*keys)
+
+    repeated = known(_anchors(docs, width), "anchor").agg(F.collect_set("pos").alias("anchors"))
+    # Both joins keep every document, so that they share one shuffle of the texts.
+    packed = keyed(_packed(docs))
+    around = packed.join(repeated, keys, "left").select("doc_id", "tk", "packed", "anchors")
+    runs = known(_windows(around, window, width), "h1", "h2").agg(F.collect_set(F.struct(F.col("pos").alias("start"), "run")).alias("runs"))
+    return _cut(packed.join(runs, keys, "left").select("doc_id", "packed", "runs"), window)
