@@ -21,7 +21,6 @@ lines stay unchanged, with all other columns. No rows in, no rows out.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from assayline.llm.common import Memo, hash64, lists, mixed, signed, text_key, texts, word_hashes, written
 
 STEPS = (2, 8)  # parts per line in the coarse steps
+WORDS_AT_ONCE = 300_000  # words hashed together
 ODD, OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -67,31 +67,61 @@ def coarse_keys(hashes: LineHashes, length: int, parts: int) -> tuple[np.ndarray
     return np.concatenate(keys), np.concatenate(starts), np.concatenate(ends)
 
 
+def first_keys(ids: np.ndarray, size: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h1, h2, keys) of many lines at once: a 128-bit hash, and the coarse keys of both grids.
+
+    ``ids`` holds the words of all lines in a row. Beginnings and ends of a line are differences
+    of running sums of word * ODD ** place.
+    """
+    end = np.cumsum(size)
+    start = end - size
+    place = np.arange(len(ids)) - np.repeat(start, size)
+    powers = np.full(int(size.max(initial=0)) + 1, ODD, np.uint64)
+    powers[:1] = 1
+    powers = np.cumprod(powers, dtype=np.uint64)
+    zero = np.zeros(1, np.uint64)
+    before = np.concatenate([zero, np.cumsum(ids * powers[place], dtype=np.uint64)])
+    after = np.concatenate([zero, np.cumsum(ids * powers[np.repeat(size, size) - 1 - place], dtype=np.uint64)])
+    other = np.concatenate([zero, np.cumsum(mixed(ids ^ np.uint64(OTHER)) * powers[place], dtype=np.uint64)])
+    h1 = mixed(before[end] - before[start] + size.astype(np.uint64))
+    h2 = mixed(other[end] - other[start] ^ np.uint64(OTHER))
+    keys = []
+    for grid in (size, size - 1):
+        for part in range(parts):
+            first, rest = part * grid // parts, grid - (part + 1) * grid // parts
+            left = mixed(before[start + first] - before[start] + first.astype(np.uint64) * np.uint64(OTHER))
+            right = mixed(after[end] - after[end - rest] + rest.astype(np.uint64))
+            keys.append(mixed(left * np.uint64(ODD) + right + grid.astype(np.uint64) * np.uint64(OTHER)))
+    return h1, h2, np.stack(keys, axis=1)
+
+
 def _lines(docs: DataFrame, least_words: int, near_words: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, none = Memo(hash64), np.zeros(0, np.uint64)
+
+        def made(batch, row, number, size, words) -> pa.RecordBatch:
+            sizes, owner = np.array(size, np.int64), pa.array(row, pa.int64())
+            h1, h2, keys = first_keys(word_hashes(words, memo), sizes, STEPS[0])
+            return pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(owner), batch.column("tk").take(owner), pa.array(number, pa.int32()), signed(h1), signed(h2),
+                 pa.array(size, pa.int32()), lists([k if n >= near_words else none for k, n in zip(keys, size)], pa.int64())],
+                ["doc_id", "tk", "line", "h1", "h2", "words", "keys"])
+
         for batch in batches:
-            row, number, h1, h2, size, keys = [], [], [], [], [], []
+            row, number, size, pending = [], [], [], []
             for at, text in enumerate(texts(batch)):
-                memo.trim()
                 for line_number, line in enumerate((text or b"").split(b"\n")):
                     words = line.lower().split()
-                    if len(words) < least_words:
-                        continue
-                    digest = blake2b(b" ".join(words), digest_size=16).digest()
-                    row.append(at)
-                    number.append(line_number)
-                    h1.append(int.from_bytes(digest[:8], "little", signed=True))
-                    h2.append(int.from_bytes(digest[8:], "little", signed=True))
-                    size.append(len(words))
-                    near = len(words) >= near_words
-                    ids = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)) if near else none
-                    keys.append(np.unique(coarse_keys(LineHashes(ids, ODD), len(words), STEPS[0])[0]) if near else none)
-            owner = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(owner), batch.column("tk").take(owner), pa.array(number, pa.int32()),
-                 pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(size, pa.int32()), lists(keys, pa.int64())],
-                ["doc_id", "tk", "line", "h1", "h2", "words", "keys"])
+                    if len(words) >= least_words:
+                        row.append(at)
+                        number.append(line_number)
+                        size.append(len(words))
+                        pending += words
+                if len(pending) > WORDS_AT_ONCE:
+                    yield made(batch, row, number, size, pending)
+                    row, number, size, pending = [], [], [], []
+            if row:
+                yield made(batch, row, number, size, pending)
 
     return docs.mapInArrow(emit, "doc_id long, tk long, line int, h1 long, h2 long, words int, keys array<long>")
 
