@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -64,19 +65,22 @@ def fit(sample: list[tuple[str, int]], steps: int = 150, rate: float = 0.05, dec
         share = min(max(positive, 1e-6), 1 - 1e-6)
         return ToxicityModel(np.zeros(BINS, np.float32), float(np.log(share / (1 - share))))
     number: dict[str, int] = {}
-    tokens: list[int] = []
-    sizes, owner = [], []
+    tokens, sizes, owner = array("i"), array("i"), array("i")  # compact: the driver's memory is small
     for row, (text, _) in enumerate(sample):
         for _, _, words in spans(text):
             tokens.extend(number.setdefault(word, len(number)) for word in words)
             sizes.append(len(words))
             owner.append(row)
-    token, size, owner_of = np.array(tokens, np.int64), np.array(sizes, np.int64), np.array(owner, np.int64)
+    token, size, owner_of = (np.frombuffer(x, np.int32) if x else np.zeros(0, np.int32) for x in (tokens, sizes, owner))
     if not len(size):
         return ToxicityModel(np.zeros(BINS, np.float32), float(np.log(positive / (1 - positive))))
-    features = [word_features(word) for word in number]
-    per_word = np.array([len(f) for f in features])
-    feature = np.concatenate(features)
+    flat, lengths = array("i"), array("i")
+    for word in number:
+        found = word_features(word)
+        flat.frombytes(found.tobytes())
+        lengths.append(len(found))
+    words, feature, per_word = len(number), np.frombuffer(flat, np.int32), np.frombuffer(lengths, np.int32)
+    number.clear()
     word_at = np.concatenate([[0], np.cumsum(per_word)[:-1]])
     sentence_at = np.concatenate([[0], np.cumsum(size)[:-1]])
     known = _documents_per_feature(token, np.repeat(owner_of, size), feature, word_at, per_word) >= LEAST_DOCS
@@ -88,7 +92,7 @@ def fit(sample: list[tuple[str, int]], steps: int = 150, rate: float = 0.05, dec
         q = np.maximum(np.bincount(owner_of, np.logaddexp(0, z), len(labels)), 1e-9)  # -log(1 - score)
         slope = np.where(labels > 0, -1 / np.expm1(np.minimum(q, 50)), 1.0) / len(labels)
         by_sentence = slope[owner_of] / (1 + np.exp(-z))
-        by_word = np.bincount(token, np.repeat(by_sentence, size), len(number))
+        by_word = np.bincount(token, np.repeat(by_sentence, size), words)
         gradient = np.bincount(feature, np.repeat(by_word, per_word), BINS) * known + decay * theta
         bias_gradient = by_sentence.sum()
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient ** 2
@@ -100,8 +104,9 @@ def fit(sample: list[tuple[str, int]], steps: int = 150, rate: float = 0.05, dec
 
 def _documents_per_feature(token, owner, feature, word_at, per_word) -> np.ndarray:
     """In how many documents each feature occurs."""
-    pair = np.unique(owner * (token.max() + 1) + token)  # one (document, word) each
-    document, word = pair // (token.max() + 1), pair % (token.max() + 1)
+    base = np.int64(token.max()) + 1
+    pair = np.unique(owner * base + token)  # one (document, word) each
+    document, word = pair // base, pair % base
     counts = np.zeros(BINS, np.int64)
     for at in range(0, len(pair), 1_000_000):  # in parts, to keep memory small
         d, w = document[at: at + 1_000_000], word[at: at + 1_000_000]
