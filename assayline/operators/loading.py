@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from assayline.errors import ImportRejected
 from assayline.functions import datatypes
@@ -111,7 +111,12 @@ def upsert(target: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
         F.struct(*[column(n) for n in batch.columns if n != key] or [F.lit(1).alias("_none")]).alias("_new"),
         F.lit(True).alias("_present"),
     )
-    joined = target.join(arriving, column(key) == F.col("_key"), "full_outer")
+    # Neither side needs the other whole: with a small batch, which Spark broadcasts, the target stays where it is.
+    updated = target.join(arriving, column(key) == F.col("_key"), "left")
+    matched = target.select(column(key).alias("_key")).join(arriving.select("_key"), "_key", "left_semi")
+    inserted = arriving.join(matched, "_key", "left_anti")
+    empty = [F.lit(None).cast(field.dataType).alias(field.name) for field in target.schema]
+    joined = updated.unionByName(inserted.select(*empty, "_key", "_new", "_present"))
     changed = set(batch.columns) - {key}
     output = []
     for field in target.schema:
@@ -133,15 +138,10 @@ def number_rows(frame: DataFrame, name: str, last: int) -> DataFrame:
     """
     placed = cut_lineage(frame.withColumn("_at", F.monotonically_increasing_id()))
     partition, position = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = placed.groupBy(partition.alias("_part")).count().orderBy("_part").collect()
-    offsets, total = [], last
-    for row in sizes:  # one row per partition
-        offsets.append((row["_part"], total))
-        total += row["count"]
-    if not offsets:
-        return placed.select(F.lit(0).cast("bigint").alias(name), *map(column, frame.columns))
-    starts = frame.sparkSession.createDataFrame(offsets, "_part bigint, _start bigint")
-    numbered = placed.withColumn("_part", partition).join(F.broadcast(starts), "_part")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(partition.alias("_part")).count().select(
+        "_part", (F.coalesce(F.sum("count").over(before), F.lit(0)) + F.lit(last)).alias("_start"))
+    numbered = placed.withColumn("_part", partition).join(starts, "_part")
     rest = [column(n) for n in frame.columns if n != name]
     return numbered.select((F.col("_start") + position + 1).alias(name), *rest)
 

@@ -9,7 +9,7 @@ from assayline.operators import checks
 from assayline.operators.crossref import CrossReference
 from assayline.operators.evaluate import counts, evaluate, evidence, failures, first_rows
 from assayline.operators.suite import FusedSuite, fuse, run_status
-from assayline.plans.registry import Tables, query
+from assayline.plans.registry import SQL, Tables, query
 
 # Single checks. The conditions are written so that the tables hold some failing rows.
 
@@ -432,3 +432,30 @@ def run_status_plan(t: Tables) -> DataFrame:
         high(250).alias("requested"), high(280).alias("completed"), (high(250) - high(280)).alias("errors")
     )
     return hourly.withColumn("status", run_status(F.col("requested"), F.col("completed"), F.col("errors")))
+
+
+# The same checks on the route that lookups take once they outgrow a broadcast.
+
+def _shuffled(t: Tables, build) -> DataFrame:
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = t.spark.conf.get(key)
+    t.spark.conf.set(key, "-1")
+    try:
+        return build(t)
+    finally:
+        t.spark.conf.set(key, before)
+
+
+@query("chk_unique_shuffled", SQL["chk_unique"])
+def chk_unique_shuffled(t: Tables) -> DataFrame:
+    return _shuffled(t, chk_unique)
+
+
+@query("xref_exists_shuffled", SQL["xref_exists"])
+def xref_exists_shuffled(t: Tables) -> DataFrame:
+    return _shuffled(t, xref_exists)
+
+
+@query("run_suite_shuffled", SQL["run_suite"])
+def run_suite_shuffled(t: Tables) -> DataFrame:
+    return _shuffled(t, run_suite)

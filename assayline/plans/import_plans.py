@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from assayline.functions.fingerprint import canonical_column, revision_column
-from assayline.operators import audits, loading
+from assayline.operators import audits, columns, loading
 from assayline.plans.registry import Tables, query
 from assayline.plans.stores import cte, frame, moment
+from assayline.session import checkpoint_dir
+from assayline.sources import delimited
 from assayline.sources.datasets import ColumnSpec
 from assayline.sources.delimited import safe_columns
 
@@ -239,3 +243,32 @@ def payload_revision(t: Tables) -> DataFrame:
         sql=F.concat(F.lit("SELECT "), F.col("p_type")),
     )
     return t.part.select("p_partkey", payload.alias("payload")).withColumn("revision", revision_column(F.col("payload")))
+
+
+NOTE = """concat(c_name, {newline}, '"', c_mktsegment, '"; x')"""
+
+
+@query("csv_roundtrip", f"SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, {NOTE.format(newline='chr(10)')} AS note FROM customer")
+def csv_roundtrip(t: Tables) -> DataFrame:
+    """Customers written as delimited files with quotes and line breaks inside cells, and read again."""
+    folder = f"{checkpoint_dir(t.spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    delimited.write_delimited(t.customer.select("c_custkey", "c_name", F.expr(NOTE.format(newline="char(10)")).alias("note")), folder)
+    return delimited.check_lines(delimited.read_delimited(t.spark, folder)).drop("_row", "_file")
+
+
+@query("generated_ids", """SELECT count(*) AS records, count(*) AS different, max(c_custkey) FILTER (c_custkey % 3 <> 0) + 1 AS first_new,
+  max(c_custkey) FILTER (c_custkey % 3 <> 0) + count(*) FILTER (c_custkey % 3 = 0) AS last_new FROM customer""")
+def generated_ids(t: Tables) -> DataFrame:
+    """Every third customer loses its id and gets one above the highest."""
+    named = F.col("c_custkey") % 3 != 0
+    gaps = t.customer.select(F.when(named, F.col("c_custkey").cast("bigint")).alias("id"), named.alias("named"))
+    return loading.with_ids(gaps, 10).agg(
+        F.count("id").alias("records"), F.count_distinct("id").alias("different"),
+        F.min(F.when(~F.col("named"), F.col("id"))).alias("first_new"), F.max("id").alias("last_new"))
+
+
+@query("column_edits", "SELECT CAST(c_custkey AS BIGINT) AS id, c_name AS full_name, CAST(NULL AS VARCHAR) AS note FROM customer")
+def column_edits(t: Tables) -> DataFrame:
+    frame = t.customer.select(F.col("c_custkey").cast("bigint").alias("id"), "c_name", "c_mktsegment")
+    renamed = columns.modify_column(columns.add_column(frame, "note"), "c_name", new_name="full_name")
+    return columns.drop_column(renamed, "c_mktsegment")
