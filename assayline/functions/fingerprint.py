@@ -37,8 +37,14 @@ def canonical_column(**fields: Column) -> Column:
     return F.to_json(F.struct(*members), {"ignoreNullFields": "false"})
 
 
+def compact_column(payload: Column) -> Column:
+    """JSON text without the white space between its parts; strings stay as they are."""
+    return F.regexp_replace(payload, r'("(?:[^"\\]|\\.)*")|\s+', "$1")
+
+
 def revision_column(payload: Column) -> Column:
-    return F.sha2(payload, 256)
+    """Revision of a payload with sorted keys, whatever its spacing."""
+    return F.sha2(compact_column(payload), 256)
 
 
 def _dataset(parts: object) -> bool:

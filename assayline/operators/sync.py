@@ -2,8 +2,9 @@
 
 A bundle is four tables: ``runs`` (endpoint, run_id, rule_key, revision, payload, started_at,
 completed_at, status, source_version, execution_error, reference_versions - times as ISO
-text), ``results`` (run_id, passed, failed, field_name) and ``errors`` (run_id, record_id,
-field_name, field_value, error_message). ``links`` binds (endpoint, rule_key) to a local rule:
+text), ``results`` (endpoint, run_id, passed, failed, field_name) and ``errors`` (endpoint, run_id,
+record_id, field_name, field_value, error_message). Results and errors of a bundle with one endpoint
+may leave the endpoint out; with several it keeps equal run ids apart. ``links`` binds (endpoint, rule_key) to a local rule:
 rule_id, target_table, source_catalog, source_schema, source_table; ``versions`` lists the
 known (rule_key, revision, local_version).
 """
@@ -15,7 +16,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayline.functions.text import column
-from assayline.functions.fingerprint import revision_column
+from assayline.functions.fingerprint import compact_column, revision_column
 from assayline.operators.registry import archive_entry, next_version
 from assayline.operators.skew import attach, running
 from assayline.session import cut_lineage
@@ -24,6 +25,11 @@ ZONED = r"(Z|[+-]\d{2}:?\d{2})$"
 VERSION_MAP = r'^\{("[^"]+":\d+(,"[^"]+":\d+)*)?\}$'
 
 
+def run_keys(frame: DataFrame) -> list[str]:
+    """What identifies a run in a table of the bundle."""
+    return ["endpoint", "run_id"] if "endpoint" in frame.columns else ["run_id"]
+
+
 def _zoned(text: Column) -> Column:
     return F.when(text.rlike(ZONED), text.try_cast("timestamp"))
 
@@ -33,11 +39,11 @@ def audit_bundles(runs: DataFrame, results: DataFrame, errors: DataFrame, links:
 
     Errors and results are reduced to one row per run before they meet the runs.
     """
-    summary = results.groupBy("run_id").agg(
+    summary = results.groupBy(*run_keys(results)).agg(
         F.count(F.lit(1)).alias("_summaries"), F.min("passed").alias("passed"), F.min("failed").alias("failed"),
         F.min("field_name").alias("field_name"),
     )
-    details = errors.groupBy("run_id").agg(
+    details = errors.groupBy(*run_keys(errors)).agg(
         F.count(F.lit(1)).alias("_errors"), F.min("field_name").alias("_low"), F.max("field_name").alias("_high"),
         F.count_if(F.col("field_name").isNull() | F.col("record_id").isNull() | (F.col("record_id") == "")).alias("_bad"),
     )
@@ -58,7 +64,7 @@ def audit_bundles(runs: DataFrame, results: DataFrame, errors: DataFrame, links:
         (revision_column(F.col("payload")) == F.col("revision")).alias("_intact"),
     )
     joined = attach(
-        attach(read.join(summary, "run_id", "left").join(details, "run_id", "left"), bound, ["endpoint", "rule_key"], runs),
+        attach(read.join(summary, run_keys(results), "left").join(details, run_keys(errors), "left"), bound, ["endpoint", "rule_key"], runs),
         known, ["rule_key", "revision"], runs,
     )
     done = F.col("status") == "completed"
@@ -82,7 +88,7 @@ def audit_bundles(runs: DataFrame, results: DataFrame, errors: DataFrame, links:
             done & (count > 0) & ((F.col("_bad") > 0) | (F.col("_low") != F.col("field_name")) | (F.col("_high") != F.col("field_name"))),
             "invalid error details",
         ),
-        (F.col("local_version").isNull() | (F.col("_payload") != F.col("payload")), "unrecognised revision"),
+        (F.col("local_version").isNull() | (compact_column(F.col("_payload")) != compact_column(F.col("payload"))), "unrecognised revision"),
     ]
     (first, text), *others = tests
     reason = F.when(first, F.lit(text))
@@ -142,8 +148,8 @@ def imported_rows(fresh: DataFrame, errors: DataFrame, actor: str) -> dict[str,
         F.col("local_run_id").alias("run_id"), "rule_id", F.col("local_version").alias("rule_version"),
         "field_name", "passed", "failed", F.col("ended").alias("executed_at"),
     )
-    owner = done.select("run_id", "local_run_id", "rule_id", "local_version", "target_table", "ended")
-    known = attach(errors, owner, ["run_id"]).where("local_run_id IS NOT NULL")
+    owner = done.select(*run_keys(errors), "local_run_id", "rule_id", "local_version", "target_table", "ended")
+    known = attach(errors, owner, run_keys(errors)).where("local_run_id IS NOT NULL")
     evidence = known.select(
         F.col("local_run_id").alias("run_id"), "rule_id", F.col("local_version").alias("rule_version"), "record_id",
         "field_name", "field_value", F.lit(1).alias("test_result"), "error_message", F.col("ended").alias("executed_at"),

@@ -320,3 +320,22 @@ def test_running_values_keep_one_history_for_null_keys(spark):
     rows = spark.createDataFrame([(None, 1), (None, 2), (None, 3)], "k string, n int")
     got = running(rows, ["k"], ["n"], F.col("n"), F.lit(1), "sum", "before").collect()
     assert sorted((r.n, r.before) for r in got) == [(1, 0), (2, 1), (3, 2)]
+
+
+def test_equal_run_ids_of_two_endpoints_stay_apart(spark):
+    tables = bundle(spark, [{}, {"endpoint": "f"}], errors=[], results=[])
+    tables["results"] = spark.createDataFrame(
+        [("e", "r1", 2, 1, "name"), ("f", "r1", 5, 0, "name")], "endpoint string, run_id string, passed bigint, failed bigint, field_name string")
+    tables["errors"] = spark.createDataFrame(
+        [("e", "r1", "source-42", "name", None, "bad")],
+        "endpoint string, run_id string, record_id string, field_name string, field_value string, error_message string")
+    tables["links"] = tables["links"].unionAll(tables["links"].withColumn("endpoint", F.lit("f")))
+    audited = sync.audit_bundles(*[tables[n] for n in ("runs", "results", "errors", "links", "versions")])
+    assert {r.endpoint: (r.reason, r.passed) for r in audited.collect()} == {"e": (None, 2), "f": (None, 5)}
+    rows = sync.imported_rows(audited, tables["errors"], "ann")
+    assert [r.run_id for r in rows["evidence"].collect()] == ["e/r1"]
+
+
+def test_spacing_of_a_payload_does_not_matter(spark):
+    spaced = payload().replace(",", " ,\n ").replace('":', '" : ')
+    assert reasons(bundle(spark, [{"payload": spaced}])) == {"r1": None}
