@@ -118,26 +118,42 @@ def _documents_per_feature(token, owner, feature, word_at, per_word) -> np.ndarr
     return counts
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, max_docs: int, max_bytes: int) -> list[tuple[str, int]]:
-    """At most ``max_docs`` labelled texts: the ids with the smallest hashes, found without moving texts."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, max_docs: int, max_bytes: int) -> DataFrame:
+    """(doc_id, text, toxic): at most ``max_docs`` labelled texts, the ids with the smallest hashes, found without moving other texts."""
     chosen = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & usable)
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     )
     # The limit bounds the broadcast: max_docs rows of two numbers.
-    rows = (
+    return (
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
         .where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
         .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     )
-    return [(row["text"], int(row["toxic"] > 0)) for row in rows.orderBy("doc_id").collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None,
           max_docs: int = 10_000, max_bytes: int = 20_000) -> ToxicityModel:
-    """Fit on the labelled documents for which ``usable`` (over ``doc_id``) holds."""
-    return fit(labelled_sample(docs, labels, F.lit(True) if usable is None else usable, max_docs, max_bytes))
+    """Fit on the labelled documents for which ``usable`` (over ``doc_id``) holds.
+
+    The bounded sample meets in one task, so the driver receives the weights only.
+    """
+    sample = labelled_sample(docs, labels, F.lit(True) if usable is None else usable, max_docs, max_bytes)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [
+            (text.decode("utf-8", "replace"), int(toxic > 0))
+            for batch in batches for text, toxic in zip(texts(batch), batch.column("toxic").to_pylist())
+        ]
+        model = fit(rows)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["weights", "bias"])
+
+    learned = sample.repartition(1).sortWithinPartitions("doc_id").select("text", "toxic").mapInArrow(learn, "weights binary, bias double").collect()
+    if not learned:  # no partition at all
+        return fit([])
+    return ToxicityModel(np.frombuffer(learned[0]["weights"], np.float32), learned[0]["bias"])
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
