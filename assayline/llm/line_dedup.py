@@ -21,6 +21,7 @@ lines stay unchanged, with all other columns. No rows in, no rows out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from assayline.llm.common import Memo, hash64, lists, mixed, signed, text_key, texts, word_hashes, written
 
 STEPS = (2, 8)  # parts per line in the coarse steps
-WORDS_AT_ONCE = 300_000  # words hashed together
+WORDS_AT_ONCE, LINES_AT_ONCE = 300_000, 5000  # hashed together
 ODD, OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -51,27 +52,23 @@ class LineHashes:
         return mixed((self.before[start] ^ mixed(place)) * np.uint64(ODD) + self.after[rest])
 
 
-def coarse_keys(hashes: LineHashes, length: int, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, start, end of the gap) for each part left out.
+@dataclass
+class Coarse:
+    """Of many lines: a 128-bit hash each, and per left-out part a key and the gap [start, end)."""
 
-    The cuts depend on a length only. A line uses those for its own length and, as the longer
-    of two that differ by one word, those for one word less.
-    """
-    keys, starts, ends = [], [], []
-    for grid in (length, length - 1):
-        cut = np.arange(parts + 1) * grid // parts
-        start, rest = cut[:-1], grid - cut[1:]
-        keys.append(hashes.keys(start, rest, parts) ^ np.uint64(grid))
-        starts.append(start)
-        ends.append(length - rest)
-    return np.concatenate(keys), np.concatenate(starts), np.concatenate(ends)
+    h1: np.ndarray
+    h2: np.ndarray
+    keys: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
 
 
-def first_keys(ids: np.ndarray, size: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(h1, h2, keys) of many lines at once: a 128-bit hash, and the coarse keys of both grids.
+def coarse(ids: np.ndarray, size: np.ndarray, parts: int) -> Coarse:
+    """Hashes and coarse keys of many lines at once; ``ids`` holds the words of all lines in a row.
 
-    ``ids`` holds the words of all lines in a row. Beginnings and ends of a line are differences
-    of running sums of word * ODD ** place.
+    The cuts between parts depend on a length only. A line uses those for its own length and, as the
+    longer of two that differ by one word, those for one word less. Beginnings and ends of a line are
+    differences of running sums of word * ODD ** place.
     """
     end = np.cumsum(size)
     start = end - size
@@ -85,26 +82,28 @@ def first_keys(ids: np.ndarray, size: np.ndarray, parts: int) -> tuple[np.ndarra
     other = np.concatenate([zero, np.cumsum(mixed(ids ^ np.uint64(OTHER)) * powers[place], dtype=np.uint64)])
     h1 = mixed(before[end] - before[start] + size.astype(np.uint64))
     h2 = mixed(other[end] - other[start] ^ np.uint64(OTHER))
-    keys = []
+    keys, starts, ends = [], [], []
     for grid in (size, size - 1):
         for part in range(parts):
             first, rest = part * grid // parts, grid - (part + 1) * grid // parts
             left = mixed(before[start + first] - before[start] + first.astype(np.uint64) * np.uint64(OTHER))
             right = mixed(after[end] - after[end - rest] + rest.astype(np.uint64))
-            keys.append(mixed(left * np.uint64(ODD) + right + grid.astype(np.uint64) * np.uint64(OTHER)))
-    return h1, h2, np.stack(keys, axis=1)
+            keys.append(mixed(left * np.uint64(ODD) + right + (grid * 64 + parts).astype(np.uint64) * np.uint64(OTHER)))
+            starts.append(first)
+            ends.append(size - rest)
+    return Coarse(h1, h2, *(np.stack(x, axis=1) for x in (keys, starts, ends)))
 
 
 def _lines(docs: DataFrame, least_words: int, near_words: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, none = Memo(hash64), np.zeros(0, np.uint64)
 
-        def made(batch, row, number, size, words) -> pa.RecordBatch:
+        def hashed(batch, row, number, size, words) -> pa.RecordBatch:
             sizes, owner = np.array(size, np.int64), pa.array(row, pa.int64())
-            h1, h2, keys = first_keys(word_hashes(words, memo), sizes, STEPS[0])
+            made = coarse(word_hashes(words, memo), sizes, STEPS[0])
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(owner), batch.column("tk").take(owner), pa.array(number, pa.int32()), signed(h1), signed(h2),
-                 pa.array(size, pa.int32()), lists([k if n >= near_words else none for k, n in zip(keys, size)], pa.int64())],
+                [batch.column("doc_id").take(owner), batch.column("tk").take(owner), pa.array(number, pa.int32()), signed(made.h1), signed(made.h2),
+                 pa.array(size, pa.int32()), lists([k if n >= near_words else none for k, n in zip(made.keys, size)], pa.int64())],
                 ["doc_id", "tk", "line", "h1", "h2", "words", "keys"])
 
         for batch in batches:
@@ -118,45 +117,54 @@ def _lines(docs: DataFrame, least_words: int, near_words: int) -> DataFrame:
                         size.append(len(words))
                         pending += words
                 if len(pending) > WORDS_AT_ONCE:
-                    yield made(batch, row, number, size, pending)
+                    yield hashed(batch, row, number, size, pending)
                     row, number, size, pending = [], [], [], []
             if row:
-                yield made(batch, row, number, size, pending)
+                yield hashed(batch, row, number, size, pending)
 
     return docs.mapInArrow(emit, "doc_id long, tk long, line int, h1 long, h2 long, words int, keys array<long>")
 
 
-def _variants(lines: DataFrame, parts: int | None) -> DataFrame:
-    """(k1, k2, node, start, end) per left-out part (``parts``), or per variant of the parts given (None)."""
+def _parts(lines: DataFrame, parts: int) -> DataFrame:
+    """(key, node, start, end) per left-out part of each line."""
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(hash64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, LINES_AT_ONCE):
+                some = batch.slice(at, LINES_AT_ONCE)
+                words = [line.lower().split() for line in texts(some, "line")]
+                size = np.array([len(w) for w in words], np.int64)
+                made = coarse(word_hashes([w for line in words for w in line], memo), size, parts)
+                owner = np.repeat(np.arange(len(size)), 2 * parts)
+                yield pa.RecordBatch.from_arrays(
+                    [signed(made.keys.ravel()), some.column("node").take(pa.array(owner)), pa.array(made.starts.ravel(), pa.int32()),
+                     pa.array(made.ends.ravel(), pa.int32())], ["key", "node", "start", "end"])
+
+    return lines.mapInArrow(emit, "key long, node long, start int, end int")
+
+
+def _variants(lines: DataFrame) -> DataFrame:
+    """(k1, k2, node) for every variant of the parts (``gaps``) of each line."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(hash64)
         for batch in batches:
-            owners, ones, twos, starts, ends = [], [], [], [], []
-            gaps = batch.column("gaps").to_pylist() if parts is None else None
+            owners, ones, twos = [], [], []
+            gaps = batch.column("gaps").to_pylist()
             for row, line in enumerate(texts(batch, "line")):
                 ids = word_hashes(line.lower().split(), memo)
                 one, two, length = LineHashes(ids, ODD), LineHashes(ids * np.uint64(OTHER), OTHER), len(ids)
-                if parts is None:
-                    at = np.unique(np.concatenate([np.arange(g["start"], g["end"] + 1) for g in gaps[row]]))
-                    gap = at[at < length]
-                    start = np.concatenate([gap, at])
-                    rest = np.concatenate([length - 1 - gap, length - at])
-                    k1, k2, end = one.keys(start, rest, 1), two.keys(start, rest, 1), length - rest
-                else:
-                    k1, start, end = coarse_keys(one, length, parts)
-                    k2 = coarse_keys(two, length, parts)[0]
-                owners.append(np.full(len(k1), row))
-                ones.append(k1)
-                twos.append(k2)
-                starts.append(start)
-                ends.append(end)
+                at = np.unique(np.concatenate([np.arange(g["start"], g["end"] + 1) for g in gaps[row]]))
+                gap = at[at < length]
+                start, rest = np.concatenate([gap, at]), np.concatenate([length - 1 - gap, length - at])
+                owners.append(np.full(len(start), row))
+                ones.append(one.keys(start, rest, 1))
+                twos.append(two.keys(start, rest, 1))
             if owners:
                 yield pa.RecordBatch.from_arrays(
-                    [signed(np.concatenate(ones)), signed(np.concatenate(twos)), batch.column("node").take(pa.array(np.concatenate(owners))),
-                     pa.array(np.concatenate(starts), pa.int32()), pa.array(np.concatenate(ends), pa.int32())],
-                    ["k1", "k2", "node", "start", "end"])
+                    [signed(np.concatenate(ones)), signed(np.concatenate(twos)), batch.column("node").take(pa.array(np.concatenate(owners)))],
+                    ["k1", "k2", "node"])
 
-    return lines.mapInArrow(emit, "k1 long, k2 long, node long, start int, end int")
+    return lines.mapInArrow(emit, "k1 long, k2 long, node long")
 
 
 def within_one_edit(one: list, other: list) -> bool:
@@ -234,12 +242,11 @@ def repeated_lines(docs: DataFrame, least_words: int = 3, near_words: int = 8) -
     wanted = classes.join(hopeful, "node", "left_semi").select("node", "first.doc_id", "first.tk", "first.line")
     texts_of = written(_pick_lines(packed(docs.where(F.col("text").isNotNull())), wanted), "line-texts")
 
-    for parts in STEPS[1:]:
-        variants = _variants(texts_of, parts)
-        again = variants.groupBy("k1", "k2").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("k1", "k2")
-        gaps = variants.join(again, ["k1", "k2"], "left_semi").groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("gaps"))
+    parts = _parts(texts_of, STEPS[1])
+    again = parts.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    gaps = parts.join(again, "key", "left_semi").groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("gaps"))
     # Every variant of the parts left; the earliest line of a key is the witness for the others.
-    variants = written(_variants(texts_of.join(gaps, "node"), None).select("k1", "k2", "node").distinct()
+    variants = written(_variants(texts_of.join(gaps, "node")).distinct()
                        .join(classes.select("node", "first"), "node"), "variants")
     earliest = variants.groupBy("k1", "k2").agg(F.min(F.struct("first", "node")).alias("least"), F.count("*").alias("holders")).where("holders > 1")
     pairs = (
