@@ -22,7 +22,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayline.llm.common import Memo, hash64, lists, mixed, signed, text_key, texts, word_hashes, written
 
@@ -153,29 +153,37 @@ def _linked(docs: DataFrame, classes: DataFrame, members: DataFrame, labels: Dat
     place = [F.coalesce("doc_id", F.lit(-(1 << 63))).alias("place"), "tk"]
     wanted = classes.join(labels, "node", "left_semi").select("node", *place)
     sets = written(_sets(docs.select(*place, "text").join(wanted, ["place", "tk"]).dropDuplicates(["node"]).select("node", "text"), words), "sets")
-    tried = None
-    for bands in (FIRST_BANDS, None):  # stars: every member of a bucket with the bucket's smallest node
+    tried, least = None, F.min("node")
+    for bands in (FIRST_BANDS, None):  # stars around the bucket's smallest node
         seen = (members.where(F.col("band") < bands) if bands else members).join(labels, "node")
-        stars = _open(seen).select("bucket", F.col("least").alias("node"))
-        leaders = stars.join(labels.join(classes.select("node", "n"), "node"), "node").select(
-            "bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-        pairs = (
-            seen.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-            .join(leaders, "bucket").where("label_a != label_b")
-            .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        )
-        labels, tried = _merge(labels, pairs, tried, sets, percent)
+        labels, tried = _merge(labels, _star_pairs(seen, least, percent), tried, sets, percent)
     seen = members.join(labels, "node")
-    rest = seen.join(_open(seen), "bucket", "left_semi").select("node", "label").distinct()
-    return _merge(labels, _rest_pairs(rest, sets, percent), tried, sets, percent)[0]
+    rest = seen.join(_open(seen, least), "bucket", "left_semi").select("node").distinct()
+    prefixes = _prefixes(rest, sets, percent)
+    # One more star around the most typical member, whose shingles most others have: it settles what can be
+    # settled by a single comparison each.
+    typical = prefixes.groupBy("node").agg(F.first("typical").alias("typical"))
+    seen = members.join(labels, "node").join(typical, "node")
+    labels, tried = _merge(labels, _star_pairs(seen, F.max_by("node", F.struct("typical", "node")), percent), tried, sets, percent)
+    return _merge(labels, _rest_pairs(prefixes.join(labels, "node"), percent), tried, sets, percent)[0]
+
+
+def _open(seen: DataFrame, centre: Column) -> DataFrame:
+    """(bucket, node): buckets whose members are in more than one component, and their centre."""
+    return (
+        seen.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), centre.alias("node"))
+        .where("low < high").select("bucket", "node")
+    )
 
 
-def _open(seen: DataFrame) -> DataFrame:
-    """(bucket, least): buckets whose members are in more than one component, and their smallest node."""
+def _star_pairs(seen: DataFrame, centre: Column, percent: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's centre and its members in other components, if their sizes allow a link."""
+    centres = seen.join(_open(seen, centre), ["bucket", "node"]).select(
+        "bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
     return (
-        seen.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("least"))
-        .where("low < high").select("bucket", "least")
+        seen.join(centres, "bucket").where("label_a != label")
+        .where(100 * F.least("n_a", "n") >= percent * F.greatest("n_a", "n"))
+        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
     )
 
 
@@ -195,20 +203,28 @@ def _merge(labels: DataFrame, pairs: DataFrame, tried: DataFrame | None, sets: D
     return labels, pairs if tried is None else tried.union(pairs)
 
 
-def _rest_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of different components that can still be linked, by an exact prefix filter.
+def _prefixes(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(shingle, node, n, place, typical): the first shingles of each set in an order common to all, rare ones first.
 
-    In an order common to all sets, rare shingles first, two linked sets share one of the first
-    n - ceil(percent * n / 100) + 1 shingles of either, and the first they share leaves room for
-    the overlap they need. A shingle's largest component does not ask; the others ask it and each other.
+    Two linked sets share one of the first n - ceil(percent * n / 100) + 1 shingles of either. typical:
+    how many sets have a shingle of this one, on average.
     """
-    shingles = sets.join(rest, "node").select("node", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    shingles = sets.join(rest, "node").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     owners = shingles.groupBy("shingle").agg(F.count("*").alias("owners"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("owners", "shingle"))
-    prefix = written(
-        shingles.join(owners, "shingle").withColumn("place", rank)
+    own = Window.partitionBy("node")
+    return written(
+        shingles.join(owners, "shingle")
+        .withColumn("place", F.row_number().over(own.orderBy("owners", "shingle"))).withColumn("typical", F.avg("owners").over(own))
         .where((F.col("owners") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1))
-        .select("shingle", "node", "label", "n", "place"), "prefixes")
+        .select("shingle", "node", "n", "place", "typical"), "prefixes")
+
+
+def _rest_pairs(prefix: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different components that can still be linked, by an exact prefix filter.
+
+    The first shingle that two sets share must leave room for the overlap they need. A shingle's
+    largest component does not ask; the others ask it and each other.
+    """
     largest = (
         prefix.groupBy("shingle", "label").agg(F.count("*").alias("size"))
         .groupBy("shingle").agg(F.max_by("label", F.col("size")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
