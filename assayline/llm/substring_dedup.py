@@ -78,9 +78,10 @@ def _anchors(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, window: int, width: int) -> DataFrame:
-    """Windows around repeated anchors: (h1, h2, salt, doc_id, tk, pos, run).
+    """Windows around repeated anchors: (h1, h2, salt, doc_id, tk, pos).
 
-    salt 0: one window to compare, or a mark (null pos). salt > 0: a run of windows known to be repeated.
+    pos holds the first window and, in its lower half, the number of windows: one long is half the shuffle of
+    two columns. salt 0: one window to compare, or a mark (null pos). salt > 0: a run of windows known to be repeated.
     """
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, unpack = Memo(hash64), zstandard.ZstdDecompressor()
@@ -122,11 +123,11 @@ def _windows(docs: DataFrame, window: int, width: int) -> DataFrame:
                 [signed(np.where(kind == 2, zero, h1[take])), pa.array(np.where(kind == 2, zero, h2[take]).astype(np.uint32).view(np.int32)),
                  pa.array(np.where(kind == 2, 1 + (start[take] + row[take]) % SPREAD, 0), pa.int32()),
                  batch.column("doc_id").take(owner), batch.column("tk").take(owner),
-                 _nullable(start[take].astype(np.int32), kind == 1, pa.int32()), pa.array(length, pa.int32())],
-                ["h1", "h2", "salt", "doc_id", "tk", "pos", "run"],
+                 _nullable(start[take].astype(np.int64) << 32 | length, kind == 1, pa.int64())],
+                ["h1", "h2", "salt", "doc_id", "tk", "pos"],
             )
 
-    return docs.mapInArrow(emit, "h1 long, h2 int, salt int, doc_id long, tk long, pos int, run int")
+    return docs.mapInArrow(emit, "h1 long, h2 int, salt int, doc_id long, tk long, pos long")
 
 
 def _cut(docs: DataFrame, window: int) -> DataFrame:
@@ -139,7 +140,7 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
                 words = unpack.decompress(packed).split()
                 sizes.append(len(words))
                 merged: list[list[int]] = []
-                for first, length in sorted((r["start"], r["run"]) for r in own or ()):
+                for first, length in ((run >> 32, run & 0xFFFFFFFF) for run in sorted(own or ())):
                     end = first + length - 1 + window
                     if merged and first <= merged[-1][1]:
                         merged[-1][1] = max(end, merged[-1][1])
@@ -199,5 +200,5 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     # Both joins keep every document, so that they share one shuffle of the texts.
     packed = keyed(_packed(docs))
     around = packed.join(repeated, keys, "left").select("doc_id", "tk", "packed", "anchors")
-    runs = known(_windows(around, window, width), "h1", "h2").agg(F.collect_set(F.struct(F.col("pos").alias("start"), "run")).alias("runs"))
+    runs = known(_windows(around, window, width), "h1", "h2").agg(F.collect_set("pos").alias("runs"))
     return _cut(packed.join(runs, keys, "left").select("doc_id", "packed", "runs"), window)
