@@ -29,6 +29,8 @@ from assayline.llm.common import Memo, text_key, texts, written
 
 RANK_GROUP = 50_000  # pieces of one length ranked together in a task
 RANK_BITS = 48
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII marks but the apostrophe
+SPLITS_PER_TASK = 4  # input splits read by one task, so that fewer tasks meet the same rare words; never fewer tasks than cores
 WORDS_KEPT = 1_000_000  # encoded chunks a task remembers, about 130 bytes each
 
 
@@ -45,8 +47,12 @@ def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int)
 
         def chunk_ids(chunk: bytes) -> bytes:
             word = chunk.decode("utf-8", "replace")
-            if word[-1] in ".," and word[-2:-1].isalpha():  # the tokenizer splits there as well
-                return memo[chunk[:-1]] + memo[chunk[-1:]]
+            inner = word.strip(MARKS)
+            if inner and inner != word and "<|" not in word and inner[0].isalnum() and inner[-1].isalnum():
+                # The tokenizer splits between letters or digits and marks as well.
+                at = word.index(inner)
+                parts = (word[:at], inner, word[at + len(inner):])
+                return b"".join(memo[part.encode()] for part in parts if part)
             return np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
         memo, end, step = Memo(chunk_ids, WORDS_KEPT), np.array([end_id], "<u4").tobytes(), 4 * capacity
@@ -154,7 +160,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
 
     Only documents longer than ``capacity`` tokens are cut, at every ``capacity`` tokens.
     """
-    docs = docs.select("doc_id", "text").withColumn("tk", text_key(F.col("text")))
+    splits = docs.rdd.getNumPartitions()
+    tasks = max(-(-splits // SPLITS_PER_TASK), min(splits, docs.sparkSession.sparkContext.defaultParallelism))
+    docs = docs.select("doc_id", "text").withColumn("tk", text_key(F.col("text"))).coalesce(max(tasks, 1))
     pieces = written(tokenised(docs, tokenizer_path, capacity, end_id), "pieces")
     histogram = pieces.groupBy("length").count()
     counts = {row["length"]: row["count"] for row in histogram.collect()}  # at most ``capacity`` rows
