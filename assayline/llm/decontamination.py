@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,12 +42,13 @@ LEAKS = "leaks array<struct<item_id: bigint, edits: int, first_word: int, words:
 
 
 def words_of(text: bytes | None, memo: Memo) -> np.ndarray:
-    found = WORD.findall((text or b"").decode("utf-8", "replace").lower())
-    return np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
+    found = list(chain.from_iterable(map(memo.__getitem__, (text or b"").split())))
+    return np.fromiter(found, np.uint64, len(found))
 
 
 def word_memo() -> Memo:
-    return Memo(lambda word: hash64(word.encode()))
+    """Hashes of the words in a chunk between white space: most chunks occur again and again."""
+    return Memo(lambda chunk: tuple(hash64(w.encode()) for w in WORD.findall(chunk.decode("utf-8", "replace").lower())))
 
 
 def edit_bound(words: int, rate: float) -> int:
