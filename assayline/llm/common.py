@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assayline.session import checkpoint_dir
 
-MASK = (1 << 64) - 1
-
 
 def written(frame: DataFrame, name: str) -> DataFrame:
     """The frame written once as Parquet in the shared checkpoint folder, and read back.

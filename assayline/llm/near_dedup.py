@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assayline.llm.common import Memo, hash64, lists, mixed, signed, text_key, texts, word_hashes, written
+from assayline.llm.common import Memo, hash64, lists, mixed, text_key, texts, word_hashes, written
 
 FIRST_BANDS = 4  # the first round looks at so many bands only, which joins most copies cheaply
 

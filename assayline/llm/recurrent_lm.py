@@ -246,7 +246,6 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     words, number = [w for _, w in found], np.array([-n for n, _ in found], np.int64)
     end = counts.where(F.col("word") == F.lit(b"")).first()
     named = min(len(words), SYMBOLS - BUCKETS - 1)
-    numbering = Words(words)
     bucket = np.array([zlib.crc32(w[-2:]) % BUCKETS for w in words] + list(range(BUCKETS)), np.int64)
     symbol = bucket.copy()
     symbol[:named] = BUCKETS + 1 + np.arange(named)
