@@ -1,13 +1,15 @@
 """Toxicity by multiple-instance learning: sentences are the instances, documents carry the labels.
 
 A sentence's score is a logistic model over hashed features of its words: the word itself and
-its beginnings. A document's score is the noisy-or of its sentences,
-1 - prod(1 - p), and only document labels are needed to train it. The same sentence scores
-then point at the offending sentences. Weights have a fixed size whatever the corpus.
+its beginnings. A passage is ``PASSAGE`` sentences in a row, or a whole text of fewer; its score is
+the noisy-or of its sentences, 1 - prod(1 - p). A document scores as its worst passage, so that
+the base rate does not add up over a long text. Only document labels are needed to train it: a
+clean label holds for every sentence, a toxic one for at least one passage. The same sentence
+scores then point at the offending sentences. Weights have a fixed size whatever the corpus.
 
-Training uses at most ``max_docs`` labelled documents of at most ``max_bytes`` bytes each, the
-ones with the smallest hashes; scoring covers every whole text. Sentences over ``SPAN`` words
-are scored in spans of that length, so that length alone never makes a sentence toxic.
+Training uses at most ``max_docs`` labelled documents of any length, the ones with the smallest
+hashes; scoring covers every whole text. Sentences over ``SPAN`` words are scored in spans of that
+length, so that length alone never makes a sentence toxic.
 
 Defined results: a null or empty text is one empty sentence and scores the model's base rate.
 Labels that are null, or of a null doc_id, teach nothing; of several labels for one id the
@@ -21,7 +23,7 @@ import math
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +35,7 @@ from assayline.llm.common import Memo, texts
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 SPAN = 40
+PASSAGE = 64
 BINS = 1 << 18
 LEAST_DOCS = 8  # features of fewer training documents carry no weight
 
@@ -57,20 +60,30 @@ def spans(text: str) -> Iterator[tuple[int, int, list[str]]]:
             yield found.start(), found.end(), words[at: at + SPAN]
 
 
-def fit(sample: list[tuple[str, int]], steps: int = 150, rate: float = 0.05, decay: float = 1e-4) -> ToxicityModel:
+def worst_passage(q: np.ndarray) -> int:
+    """Where the PASSAGE sentences with the largest sum of -log(1 - p) begin (0 in a shorter text)."""
+    if len(q) <= PASSAGE:
+        return 0
+    total = np.concatenate([[0.0], np.cumsum(q)])
+    return int(np.argmax(total[PASSAGE:] - total[:-PASSAGE]))
+
+
+def fit(sample: Iterable[tuple[str, int]], steps: int = 150, rate: float = 0.05, decay: float = 1e-4) -> ToxicityModel:
     """Maximum likelihood of document labels under the noisy-or, by full-batch Adam."""
-    labels = np.array([label for _, label in sample], float)
-    positive = float(labels.mean()) if len(labels) else 0.0
-    if positive in (0.0, 1.0):
-        share = min(max(positive, 1e-6), 1 - 1e-6)
-        return ToxicityModel(np.zeros(BINS, np.float32), float(np.log(share / (1 - share))))
     number: dict[str, int] = {}
-    tokens, sizes, owner = array("i"), array("i"), array("i")  # compact: the driver's memory is small
-    for row, (text, _) in enumerate(sample):
+    known_labels: list[int] = []
+    tokens, sizes, owner = array("i"), array("i"), array("i")  # compact: no text is kept
+    for row, (text, label) in enumerate(sample):
+        known_labels.append(label)
         for _, _, words in spans(text):
             tokens.extend(number.setdefault(word, len(number)) for word in words)
             sizes.append(len(words))
             owner.append(row)
+    labels = np.array(known_labels, float)
+    positive = float(labels.mean()) if len(labels) else 0.0
+    if positive in (0.0, 1.0):
+        share = min(max(positive, 1e-6), 1 - 1e-6)
+        return ToxicityModel(np.zeros(BINS, np.float32), float(np.log(share / (1 - share))))
     token, size, owner_of = (np.frombuffer(x, np.int32) if x else np.zeros(0, np.int32) for x in (tokens, sizes, owner))
     if not len(size):
         return ToxicityModel(np.zeros(BINS, np.float32), float(np.log(positive / (1 - positive))))
@@ -84,14 +97,20 @@ def fit(sample: list[tuple[str, int]], steps: int = 150, rate: float = 0.05, dec
     word_at = np.concatenate([[0], np.cumsum(per_word)[:-1]])
     sentence_at = np.concatenate([[0], np.cumsum(size)[:-1]])
     known = _documents_per_feature(token, np.repeat(owner_of, size), feature, word_at, per_word) >= LEAST_DOCS
+    ends = np.cumsum(np.bincount(owner_of, minlength=len(labels)))
+    toxic_long = [(ends[row - 1] if row else 0, ends[row]) for row in np.flatnonzero(labels > 0) if ends[row] - (ends[row - 1] if row else 0) > PASSAGE]
     theta, bias = np.zeros(BINS), -6.0
     m, v, mb, vb = np.zeros(BINS), np.zeros(BINS), 0.0, 0.0
     for step in range(1, steps + 1):
         word_weight = np.add.reduceat(theta[feature], word_at)
         z = np.clip(np.add.reduceat(word_weight[token], sentence_at) + bias, -30, 30)
-        q = np.maximum(np.bincount(owner_of, np.logaddexp(0, z), len(labels)), 1e-9)  # -log(1 - score)
+        part, inside = np.logaddexp(0, z), np.ones(len(z))
+        for start, end in toxic_long:  # only the worst passage has to be toxic
+            at = start + worst_passage(part[start:end])
+            inside[start:at] = inside[at + PASSAGE: end] = 0
+        q = np.maximum(np.bincount(owner_of, part * inside, len(labels)), 1e-9)  # -log(1 - score)
         slope = np.where(labels > 0, -1 / np.expm1(np.minimum(q, 50)), 1.0) / len(labels)
-        by_sentence = slope[owner_of] / (1 + np.exp(-z))
+        by_sentence = inside * slope[owner_of] / (1 + np.exp(-z))
         by_word = np.bincount(token, np.repeat(by_sentence, size), words)
         gradient = np.bincount(feature, np.repeat(by_word, per_word), BINS) * known + decay * theta
         bias_gradient = by_sentence.sum()
@@ -118,7 +137,7 @@ def _documents_per_feature(token, owner, feature, word_at, per_word) -> np.ndarr
     return counts
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, max_docs: int, max_bytes: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, max_docs: int) -> DataFrame:
     """(doc_id, text, toxic): at most ``max_docs`` labelled texts, the ids with the smallest hashes, found without moving other texts."""
     chosen = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & usable)
@@ -128,24 +147,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, max_docs
     # The limit bounds the broadcast: max_docs rows of two numbers.
     return (
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        .where(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
+        .where(F.col("text").isNotNull())
         .groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     )
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None,
-          max_docs: int = 10_000, max_bytes: int = 20_000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_docs: int = 10_000) -> ToxicityModel:
     """Fit on the labelled documents for which ``usable`` (over ``doc_id``) holds.
 
     The bounded sample meets in one task, so the driver receives the weights only.
     """
-    sample = labelled_sample(docs, labels, F.lit(True) if usable is None else usable, max_docs, max_bytes)
+    sample = labelled_sample(docs, labels, F.lit(True) if usable is None else usable, max_docs)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [
+        rows = (
             (text.decode("utf-8", "replace"), int(toxic > 0))
             for batch in batches for text, toxic in zip(texts(batch), batch.column("toxic").to_pylist())
-        ]
+        )
         model = fit(rows)
         yield pa.RecordBatch.from_arrays(
             [pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["weights", "bias"])
@@ -175,20 +193,21 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> Data
             scores, flags, places = [], [], []
             for data in texts(batch, place):
                 memo.trim()
-                q, worst, hits = 0.0, None, []
+                begins, ends, parts, hits = array("i"), array("i"), array("d"), []
                 for start, end, words in spans((data or b"").decode("utf-8", "replace")):
                     z = bias + sum(map(memo.__getitem__, words))
                     part = math.log1p(math.exp(z)) if z < 30 else z
-                    q += part
-                    if worst is None or z > worst[0]:
-                        worst = (z, start, end)
+                    begins.append(start)
+                    ends.append(end)
+                    parts.append(part)
                     if part >= least:
                         hits.append((start, end, part))
-                if worst is None:
-                    q = np.log1p(np.exp(bias))
-                value = float(-np.expm1(-q))
-                if value >= threshold and not hits and worst is not None:
-                    hits = [(worst[1], worst[2], np.log1p(np.exp(worst[0])))]
+                first = worst_passage(np.frombuffer(parts)) if len(parts) > PASSAGE else 0
+                passage = parts[first: first + PASSAGE]
+                value = -math.expm1(-(sum(passage) if passage else math.log1p(math.exp(bias))))
+                if value >= threshold and not hits and passage:
+                    worst = first + max(range(len(passage)), key=passage.__getitem__)
+                    hits = [(begins[worst], ends[worst], parts[worst])]
                 by_place: dict[tuple[int, int], float] = {}
                 for start, end, part in hits:
                     by_place[start, end] = by_place.get((start, end), 0.0) + part

@@ -271,6 +271,30 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(docs, toxicity.train(docs, none)).first().toxic == 0
 
 
+def test_toxicity_holds_at_any_length(spark):
+    draw = random.Random(8)
+    words = [f"{a}{b}en" for a in "bcdfgklm" for b in "aeiou"]
+    sentence = lambda: " ".join(draw.choices(words, k=8)) + ". "
+    texts = ["".join(sentence() for _ in range(20)) + ("vilefoo vilebar here. " if i % 5 == 0 else "") for i in range(400)]
+    # Only long labelled texts hold these words.
+    texts += ["".join(sentence() for _ in range(700)) + ("grimfoo grimbar here." if i % 2 else "mild end.") for i in range(40)]
+    docs, table = frame(spark, texts), spark.createDataFrame([(i, int("vile" in t or "grim" in t)) for i, t in enumerate(texts)], "doc_id long, toxic int")
+    model = toxicity.train(docs, table)
+    weight = lambda word: model.weights[toxicity.word_features(word)].sum()
+    assert weight("grimfoo") > 1 > weight("mild")
+    long, places = [], []
+    for size in (300_000, 1_000_000, 5_000_000):
+        clean = "".join(sentence() for _ in range(size // 40))
+        at = clean.index(". ", len(clean) // 2) + 2
+        long += [clean, clean[:at] + "vilefoo vilebar here. " + clean[at:]]
+        places += [None, at]
+        assert len(clean) > size
+    rows = sorted(toxicity.score(frame(spark, long), model).collect(), key=lambda r: r.doc_id)
+    assert [r.toxic for r in rows] == [0, 1] * 3
+    for r, at in zip(rows, places):
+        assert ["vile" in r.text[p.start: p.end] for p in r.offending] == [True] * (at is not None)
+
+
 def test_toxicity_gradient_pulls_towards_labels():
     sample = [("good words here", 0), ("bad thing", 1)] * 40
     model = toxicity.fit(sample)
