@@ -9,8 +9,8 @@ a symbol of the group.
 
 Counts cover all training texts. The network learns by truncated backpropagation in numpy: each
 task trains on its share of the documents, its lanes carrying their state from window to window,
-and the weights are averaged by token counts, ``rounds`` times. Training uses a fixed share of
-the training texts, so it grows with them. Scoring reads every text whole; a document's state is
+and the weights are averaged by token counts, ``rounds`` times. Every training text gives gradient
+steps in every round. Scoring reads every text whole; a document's state is
 carried from its first word to its end, whatever its length.
 
 Bounded broadcasts: the words with at least 1/``FREQUENT`` of all tokens, which are at most
@@ -284,8 +284,8 @@ def _averaged(models: DataFrame) -> DataFrame:
     return models.mapInArrow(add, "weights binary, tokens long")
 
 
-def train(docs: DataFrame, vocab: Vocabulary, one_in: int = 8, rounds: int = 2, rate: float = 0.01) -> np.ndarray:
-    """Weights learned from one in ``one_in`` of the documents, chosen by a hash of id and text."""
+def train(docs: DataFrame, vocab: Vocabulary, one_in: int = 1, rounds: int = 1, rate: float = 0.01) -> np.ndarray:
+    """Weights learned from all documents; with ``one_in`` over 1 from that share of them, chosen by a hash of id and text."""
     context = docs.sparkSession.sparkContext
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(one_in)) == 0).select("text")
     weights = initial(vocab.counts)
@@ -318,7 +318,7 @@ def train(docs: DataFrame, vocab: Vocabulary, one_in: int = 8, rounds: int = 2,
     return weights
 
 
-def score(docs: DataFrame, usable: Column, one_in: int = 8, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, usable: Column, one_in: int = 1, rounds: int = 1) -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     Counts and network learn from the rows where ``usable`` (over doc_id and text) holds. base_score

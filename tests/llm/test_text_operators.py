@@ -524,6 +524,15 @@ def test_lm_counts_equal_brute_force_and_the_network_does_better(spark, monkeypa
     assert held[1] > 0.9 * held[0]
 
 
+def test_network_learns_from_every_text(spark):
+    # One text at a time, whatever its hash: each alone must move the weights.
+    docs = frame(spark, [" ".join(["a", "b", str(i)] * 100) for i in range(4)]).select("doc_id", "text")
+    vocab = recurrent_lm.vocabulary(recurrent_lm.word_counts(docs))
+    start = recurrent_lm.initial(vocab.counts)
+    for i in range(4):
+        assert not np.array_equal(recurrent_lm.train(docs.where(F.col("doc_id") == i), vocab), start)
+
+
 def test_lm_without_training_texts(spark):
     rows = recurrent_lm.score(frame(spark, ["a", None]), usable=F.lit(False)).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in rows) == [(1, 0, 0, 0.0), (2, 0, 0, 0.0)]
