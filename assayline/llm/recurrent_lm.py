@@ -127,8 +127,12 @@ def log_probabilities(hidden: np.ndarray, target: np.ndarray, p: dict[str, np.nd
     return result
 
 
-def gradients(p: dict[str, np.ndarray], h: np.ndarray, source: np.ndarray, target: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(flat gradient of the mean loss, last state) of one window; all of shape (steps, lanes). fresh: a text starts here."""
+def gradients(p: dict[str, np.ndarray], h: np.ndarray, source: np.ndarray, target: np.ndarray, fresh: np.ndarray,
+              real: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(flat gradient of the mean loss, last state) of one window; all of shape (steps, lanes).
+
+    fresh: a text starts here. real: 1 for a token that counts, 0 for padding at a lane's end.
+    """
     steps, lanes = source.shape
     before, gates, candidates, states = [], [], [], []
     for t in range(steps):
@@ -141,6 +145,8 @@ def gradients(p: dict[str, np.ndarray], h: np.ndarray, source: np.ndarray, targe
     hidden, flat_target = np.concatenate(states), target.ravel()
     flat = np.zeros(sum(int(np.prod(s)) for s in shapes().values()), np.float32)
     d, scale, group = unpacked(flat), np.float32(1.0 / len(flat_target)), flat_target // PER_CLASS
+    if real is not None:
+        scale = (real.ravel() / real.sum()).astype(np.float32)[:, None]
     dz = np.exp(_log_softmax(hidden @ p["group"] + p["group_bias"]))
     dz[np.arange(len(group)), group] -= 1
     dz *= scale
@@ -153,7 +159,7 @@ def gradients(p: dict[str, np.ndarray], h: np.ndarray, source: np.ndarray, targe
         if len(rows):
             dm = np.exp(_log_softmax(hidden[rows] @ p["member"][c] + p["member_bias"][c]))
             dm[np.arange(len(rows)), flat_target[rows] % PER_CLASS] -= 1
-            dm *= scale
+            dm *= scale if real is None else scale[rows]
             d["member"][c], d["member_bias"][c] = hidden[rows].T @ dm, dm.sum(axis=0)
             d_hidden[rows] += dm @ p["member"][c].T
     d_hidden = d_hidden.reshape(steps, lanes, HIDDEN)
@@ -174,17 +180,20 @@ def gradients(p: dict[str, np.ndarray], h: np.ndarray, source: np.ndarray, targe
 
 
 def trained(flat: np.ndarray, stream: np.ndarray, rate: float) -> np.ndarray:
-    """Weights after one pass over a stream of symbols (texts closed by END), in LANES parallel parts."""
+    """Weights after one pass over all of a stream of symbols (texts closed by END), in LANES parallel parts.
+
+    A lane that starts within a text knows the word before, with an empty state. The last lanes are padded.
+    """
     flat = flat.copy()
-    p, length = unpacked(flat), len(stream) // LANES
-    if length < 2:
-        return flat
-    target = stream[: length * LANES].reshape(LANES, length).T
-    source = np.concatenate([np.full((1, LANES), END, target.dtype), target[:-1]])
+    p, length = unpacked(flat), -(-len(stream) // LANES)
+    padding = np.full(length * LANES - len(stream), END, stream.dtype)
+    target = np.concatenate([stream, padding]).reshape(LANES, length).T
+    source = np.concatenate([np.array([END], stream.dtype), stream, padding])[:-1].reshape(LANES, length).T
+    real = (np.arange(length * LANES) < len(stream)).reshape(LANES, length).T
     fresh = source == END
     m, v, h = np.zeros_like(flat), np.zeros_like(flat), np.zeros((LANES, HIDDEN), np.float32)
     for count, at in enumerate(range(0, length, WINDOW), 1):
-        g, h = gradients(p, h, source[at: at + WINDOW], target[at: at + WINDOW], fresh[at: at + WINDOW])
+        g, h = gradients(p, h, source[at: at + WINDOW], target[at: at + WINDOW], fresh[at: at + WINDOW], real[at: at + WINDOW])
         g *= min(1.0, 1.0 / max(float(np.sqrt(g @ g)), 1e-12))
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
@@ -294,16 +303,18 @@ def train(docs: DataFrame, vocab: Vocabulary, one_in: int = 1, rounds: int = 1,
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             start, words, symbol, step_size = shared.value
-            numbering, current, tokens = Words(words), start, 0
+            numbering, current, tokens, parts, size = Words(words), start, 0, [], 0
             for batch in batches:
-                parts = []
                 for text in texts(batch):
                     found = tokens_of(text)
                     parts.append(symbol[np.fromiter(map(numbering.__getitem__, found), np.int64, len(found))])
                     parts.append(np.array([END]))
-                if parts:
-                    stream = np.concatenate(parts)
-                    current, tokens = trained(current, stream, step_size), tokens + len(stream)
+                    size += len(found) + 1
+                if size >= LANES * WINDOW:  # a short batch waits for the next
+                    current, tokens = trained(current, np.concatenate(parts), step_size), tokens + size
+                    parts, size = [], 0
+            if parts:
+                current, tokens = trained(current, np.concatenate(parts), step_size), tokens + size
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([current.tobytes()], pa.binary()), pa.array([tokens], pa.int64())], ["weights", "tokens"])
 

@@ -533,6 +533,25 @@ def test_network_learns_from_every_text(spark):
         assert not np.array_equal(recurrent_lm.train(docs.where(F.col("doc_id") == i), vocab), start)
 
 
+def test_training_uses_the_whole_stream():
+    flat = recurrent_lm.initial(np.ones(recurrent_lm.SYMBOLS))
+    lanes = recurrent_lm.LANES
+    for size in (1, lanes - 1, 2 * lanes - 1, 3 * lanes + 1):
+        stream = np.full(size, 70)
+        stream[-1] = 900  # its bias rises only if the last token teaches
+        p, q = recurrent_lm.unpacked(flat), recurrent_lm.unpacked(recurrent_lm.trained(flat, stream, 0.01))
+        assert q["member_bias"][900 // 32, 900 % 32] > p["member_bias"][900 // 32, 900 % 32]
+    # Padding teaches nothing: the gradient is that of the real tokens alone.
+    draw = np.random.default_rng(3)
+    source, target = draw.integers(0, recurrent_lm.SYMBOLS, (2, 6, 2))
+    fresh, h = source == recurrent_lm.END, np.zeros((2, recurrent_lm.HIDDEN), np.float32)
+    p, real = recurrent_lm.unpacked(flat), np.array([[True, True]] * 4 + [[True, False]] * 2)
+    one, _ = recurrent_lm.gradients(p, h[:1], source[:, :1], target[:, :1], fresh[:, :1])
+    two, _ = recurrent_lm.gradients(p, h[:1], source[:4, 1:], target[:4, 1:], fresh[:4, 1:])
+    both, _ = recurrent_lm.gradients(p, h, source, target, fresh, real)
+    assert np.allclose(both, (6 * one + 4 * two) / 10, atol=1e-6)
+
+
 def test_lm_without_training_texts(spark):
     rows = recurrent_lm.score(frame(spark, ["a", None]), usable=F.lit(False)).collect()
     assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in rows) == [(1, 0, 0, 0.0), (2, 0, 0, 0.0)]
