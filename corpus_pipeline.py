@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat an earlier line, up to one word."""
-    cleaned = line_dedup.deduplicate_lines(docs).select(*_columns(docs))
+    """Documents without the lines that repeat an earlier line: any line but a blank one if equal, one of eight words and more up to one word."""
+    cleaned = line_dedup.deduplicate_lines(docs, least_words=1).select(*_columns(docs))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned

@@ -96,3 +96,11 @@ def test_stages_take_odd_rows(spark, odd):
     assert (4, "") in texts and (3, "same words here again and again for everyone") in texts
     packed = written(corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER), "test-odd").toPandas()
     assert packed.length.sum() == sum(len(t.split()) + 1 for _, t in texts)
+
+
+def test_line_stage_takes_out_short_repeats(spark):
+    unspaced = "\u8fd9\u4e00\u884c\u6ca1\u6709\u7a7a\u683c" * 5
+    rows = [(1, f"Read more\n\n{unspaced}\nok\n \nfirst"), (2, f"read  MORE\n\n{unspaced}\nsecond\nok\n "), (3, "ok\nthird line")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cleaned = dict(corpus_pipeline.drop_repeated_lines(spark, docs, FOLDER).collect())
+    assert cleaned == {1: rows[0][1], 2: "\nsecond\n ", 3: "third line"}
