@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -25,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
-from assayline.llm import decontamination, fingerprints, line_dedup, near_dedup, packing, recurrent_lm, sharding, substring_dedup, toxicity, url_filter  # noqa: E402
+from assayline.llm import decontamination, filter_audit, fingerprints, line_dedup, near_dedup, packing, recurrent_lm, sharding, substring_dedup, toxicity, url_filter  # noqa: E402
 from assayline.llm.common import remainder  # noqa: E402
 
 NEAR_SQL = """WITH RECURSIVE words AS (
@@ -246,3 +247,38 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     scored = recurrent_lm.score(table(spark, folder, "documents"), usable=remainder(F.col("doc_id"), 7) != 2)
     return scored.select("doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), *scored.columns[1:])
+
+
+AUDIT_SQL = f"""WITH rows AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first FROM rows GROUP BY text),
+known AS (SELECT doc_id, CAST(max(CAST(quality = 1 AS INTEGER)) AS INTEGER) AS good, CAST(max(CAST(toxic = 1 AS INTEGER)) AS INTEGER) AS toxic FROM labels GROUP BY doc_id),
+facts AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN first < doc_id THEN 16 ELSE 0 END AS mask
+  FROM rows JOIN firsts USING (text) LEFT JOIN known USING (doc_id)),
+counts AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM facts GROUP BY part, mask),
+orders(o) AS (VALUES {", ".join(f"('{''.join(p)}')" for p in permutations('ABCDE'))}),
+steps AS (
+  SELECT o, i AS step, 1 << (position(substr(o, i, 1) IN 'ABCDE') - 1) AS own,
+    coalesce(list_sum(list_transform(generate_series(1, i - 1), lambda j: 1 << (position(substr(o, j, 1) IN 'ABCDE') - 1))), 0) AS ahead
+  FROM orders, generate_series(1, 5) AS g(i)),
+done AS (
+  SELECT part, o, step, own, sum(CASE WHEN mask & (ahead + own) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & ahead = 0 AND mask & own > 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & ahead > 0 AND mask & own > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & ahead = 0 AND mask & own > 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & ahead = 0 AND mask & own > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM counts, steps GROUP BY part, o, step, own)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM done"""
+
+
+@query("op11_filter_audit", AUDIT_SQL)
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
