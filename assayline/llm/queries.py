@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
-from assayline.llm import decontamination, filter_audit, fingerprints, line_dedup, near_dedup, packing, recurrent_lm, sharding, substring_dedup, toxicity, url_filter  # noqa: E402
+from assayline.llm import decontamination, filter_audit, fingerprints, line_dedup, merkle_manifest, near_dedup, packing, recurrent_lm, sharding, substring_dedup, toxicity, url_filter  # noqa: E402
 from assayline.llm.common import remainder  # noqa: E402
 
 NEAR_SQL = """WITH RECURSIVE words AS (
@@ -282,3 +282,66 @@ SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGI
 @query("op11_filter_audit", AUDIT_SQL)
 def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+#: Levels in the SQL: enough for 8 ** 7 documents of a language and as many languages.
+MANIFEST_LEVELS = 7
+
+
+def _climb_sql(name: str, start: str) -> str:
+    """CTEs ``name``_0 .. from nodes (tree, place, digest): a level's nodes, each run's members as a list, and its tree's width."""
+    parts = [f"{name}_0 AS ({start})"]
+    for i in range(MANIFEST_LEVELS):
+        parts.append(f"""{name}_w{i} AS (SELECT tree, count(*) AS width FROM {name}_{i} GROUP BY tree),
+{name}_r{i} AS MATERIALIZED (SELECT n.tree, n.place // 8 AS run, any_value(w.width) AS width, list(n.digest ORDER BY n.place) AS members
+  FROM {name}_{i} n JOIN {name}_w{i} w USING (tree) GROUP BY n.tree, n.place // 8),
+{name}_{i + 1} AS (SELECT tree, run AS place, CASE WHEN width = 1 THEN members[1] ELSE sha256(array_to_string(members, '')) END AS digest FROM {name}_r{i})""")
+    return ",\n".join(parts)
+
+
+def _fold_sql(name: str, start: str, prefix: str) -> str:
+    """CTEs that carry each row (tree, place) of ``start`` up: folded digest and siblings so far."""
+    parts = []
+    for i in range(MANIFEST_LEVELS):
+        at, before = f"s.place // CAST({8 ** i} AS BIGINT)", start if i == 0 else f"{prefix}_{i}"
+        parts.append(f"""{prefix}_{i + 1} AS MATERIALIZED (SELECT s.* EXCLUDE (fold, proof),
+  CASE WHEN r.width = 1 THEN s.fold ELSE sha256(array_to_string(r.members[:({at}) % 8], '') || s.fold || array_to_string(r.members[({at}) % 8 + 2:], '')) END AS fold,
+  CASE WHEN r.width = 1 THEN s.proof ELSE s.proof || array_to_string(r.members[:({at}) % 8], '') || array_to_string(r.members[({at}) % 8 + 2:], '') END AS proof
+  FROM {before} s JOIN {name}_r{i} r ON r.tree = s.tree AND r.run = s.place // CAST({8 ** (i + 1)} AS BIGINT))""")
+    return ",\n".join(parts)
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || {value}, '-')"
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+MANIFEST_SQL = f"""WITH tab AS MATERIALIZED (SELECT CAST({crc32_entries()} AS BIGINT[]) AS e),
+crc AS (
+  SELECT doc_id, xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda a, b: xor(a >> 8, e[1 + (xor(a, b) & 255)]), 4294967295)) AS crc FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL), tab),
+hashed AS (
+  SELECT d.doc_id, coalesce('=' || lang, '') AS tree, sha256({' || '.join(map(_field_sql, ('d.doc_id', 'source', 'lang', 'n_chars', 'text')))}) AS leaf,
+    CASE WHEN crc % 3 = 0 THEN sha256({' || '.join(map(_field_sql, ('d.doc_id', 'source', 'lang', 'n_chars', _LOWER)))}) END AS changed
+  FROM documents d LEFT JOIN crc USING (doc_id)),
+placed AS MATERIALIZED (
+  SELECT *, CAST(row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS BIGINT) AS place FROM hashed),
+{_climb_sql('low', 'SELECT tree, place, leaf AS digest FROM placed')},
+subs AS MATERIALIZED (SELECT tree AS name, '' AS tree, CAST(row_number() OVER (ORDER BY tree) - 1 AS BIGINT) AS place, digest FROM low_{MANIFEST_LEVELS}),
+{_climb_sql('top', 'SELECT tree, place, digest FROM subs')},
+begun AS (SELECT *, coalesce(changed, leaf) AS fold, '' AS proof FROM placed),
+{_fold_sql('low', 'begun', 'own')},
+handed AS (
+  SELECT o.doc_id, o.leaf, s.digest AS subroot, s.tree, s.place, o.fold, o.proof FROM own_{MANIFEST_LEVELS} o JOIN subs s ON s.name = o.tree),
+{_fold_sql('top', 'handed', 'all')}
+SELECT a.doc_id, a.leaf, a.subroot, t.digest AS root, sha256(a.proof) AS proof_sha256, a.fold AS folded_root, a.fold = t.digest AS verified
+FROM all_{MANIFEST_LEVELS} a JOIN top_{MANIFEST_LEVELS} t ON true"""
+
+
+@query("op13_merkle_manifest", MANIFEST_SQL)
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.col("text")
+    third = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 0
+    return merkle_manifest.manifest(
+        table(spark, folder, "documents"), tampered={"text": merkle_manifest.lower_capitals(text)}, where=third)
