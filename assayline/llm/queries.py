@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
-from assayline.llm import decontamination, filter_audit, fingerprints, line_dedup, merkle_manifest, near_dedup, packing, recurrent_lm, sharding, substring_dedup, toxicity, url_filter  # noqa: E402
+from assayline.llm import decontamination, filter_audit, fingerprints, line_dedup, merkle_manifest, near_dedup, packing, recurrent_lm, sharding, substring_dedup, token_fertility, toxicity, url_filter  # noqa: E402
 from assayline.llm.common import remainder  # noqa: E402
 
 NEAR_SQL = """WITH RECURSIVE words AS (
@@ -345,3 +345,14 @@ def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     third = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 0
     return merkle_manifest.manifest(
         table(spark, folder, "documents"), tampered={"text": merkle_manifest.lower_capitals(text)}, where=third)
+
+
+@query("op12_token_fertility")
+def op12_token_fertility(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    judged = token_fertility.judge(
+        table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_tokens", "chars_per_token", "chars_per_token_2", "fallback_share", "entropy", F.array_join("rejected_by", " ").alias("rejected_by"))
