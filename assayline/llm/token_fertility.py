@@ -74,6 +74,8 @@ class Words:
         with open(ranks_file, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.ranks = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.spaced = np.zeros(max(ranks.values()) + 1, bool)
+        self.spaced[[rank for token, rank in ranks.items() if token.startswith(b" ")]] = True
         self.fallback = np.array([self.pieces.is_byte(i) for i in range(self.pieces.vocab_size())])
         self.forget()
 
@@ -93,8 +95,10 @@ class Words:
             sizes = np.fromiter(map(len, made), np.int64, len(made))
             self.tokens = np.concatenate([self.tokens, np.fromiter((t for ids in made for t in ids), np.int32, int(sizes.sum()))])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            second = self.ranks.encode_ordinary_batch([" " + word for word in new], num_threads=1)
-            self.second = np.concatenate([self.second, np.fromiter(map(len, second), np.int64, len(second))])
+            # One call for all words: a token that begins with a space begins a word, and no token spans two.
+            second = np.array(self.ranks.encode_ordinary(" " + " ".join(new)), np.int64)
+            begins = np.flatnonzero(self.spaced[second])
+            self.second = np.concatenate([self.second, np.diff(begins, append=len(second))])
             self.held += sum(map(len, new)) + 120 * len(new) + 4 * int(sizes.sum())
         return np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
 
