@@ -23,30 +23,41 @@ DEFAULT_MESSAGE = "The record did not pass this check"
 
 
 @contextmanager
-def named_views(spark: SparkSession, views: Mapping[str, DataFrame]) -> Iterator[None]:
-    """Bind datasets to view names for one analysis, restoring views that were there."""
-    earlier = {}
-    files = spark.conf.get("spark.sql.runSQLOnFiles", "true")
-    for name, frame in views.items():
-        if spark.catalog.tableExists(name) and spark.catalog.getTable(name).isTemporary:
-            earlier[name] = spark.table(name)
-        frame.createOrReplaceTempView(name)
-    spark.conf.set("spark.sql.runSQLOnFiles", "false")
+def private_views(spark: SparkSession, views: Mapping[str, DataFrame]) -> Iterator[dict[str, str]]:
+    """The declared name behind each view that this analysis alone can see.
+
+    A query gets its datasets as named subqueries over these, so neither the caller's views nor those of a query
+    analysed at the same time are touched, and a plan tells a declared dataset from anything of the same name.
+    """
+    declared = {}
     try:
-        yield
+        for name, frame in views.items():
+            private = f"_dq_{uuid.uuid4().hex}"
+            frame.createOrReplaceTempView(private)
+            declared[private] = name
+        yield declared
     finally:
-        spark.conf.set("spark.sql.runSQLOnFiles", files)
-        for name in views:
-            if name in earlier:
-                earlier[name].createOrReplaceTempView(name)
-            else:
-                spark.catalog.dropTempView(name)
+        for private in declared:
+            spark.catalog.dropTempView(private)
+
+
+def bound_text(text: str, declared: Mapping[str, str], alias: str = "checked_rows") -> str:
+    """The query in subquery position, where Spark accepts queries only, with its datasets by name."""
+    names = ", ".join(f"{quoted(name)} AS (TABLE {private})" for private, name in declared.items())
+    text = text.strip()
+    text = text[:-1] if text.endswith(";") else text
+    prefix = f"WITH {names} " if names else ""
+    return f"{prefix}SELECT * FROM (\n{text}\n) AS {alias}"
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def select(spark: SparkSession, sql: str, views: Mapping[str, DataFrame]) -> DataFrame:
     """A query the caller wrote itself, over named frames; rule texts go through ``analyse``."""
-    with named_views(spark, views):
-        return spark.sql(sql)
+    with private_views(spark, views) as declared:
+        return spark.sql(bound_text(sql, declared))
 
 
 def analyse(
@@ -54,29 +65,27 @@ def analyse(
 ) -> tuple[DataFrame, PlanFacts]:
     """The query as a DataFrame, refused unless it only reads the given datasets.
 
-    The text is always placed in subquery position, where Spark accepts queries only.
     With ``declared_only`` every given dataset must also be read.
     """
-    text = sql.strip()
-    text = text[:-1] if text.endswith(";") else text
-    if not text.strip():
+    if not sql.strip().rstrip(";").strip():
         raise AccessError("The rule has no text.")
-    with named_views(spark, views):
+    with private_views(spark, views) as declared:
         try:
-            frame = spark.sql(f"SELECT * FROM (\n{text}\n) AS checked_rows")
+            frame = spark.sql(bound_text(sql, declared))
         except ParseException as error:
             raise AccessError(f"Use one SELECT query: {_first_line(error)}") from error
         except AnalysisException as error:
             raise AccessError(_first_line(error)) from error
         facts = read_plan(frame)
-    allowed = {name.lower() for name in views}
-    read = {name.lower() for name in facts.datasets}
-    if facts.foreign or not read <= allowed:
-        raise AccessError(f"Only the declared datasets may be read: {facts.foreign or sorted(read - allowed)}")
+    other = sorted(facts.datasets - set(declared))
+    if facts.foreign or other:
+        raise AccessError(f"Only the declared datasets may be read: {facts.foreign or other}")
     if facts.refused:
         raise AccessError(f"Function not allowed in a rule: {facts.refused[0]}")
-    if declared_only and read != allowed:
-        raise AccessError(f"Declared but not read: {sorted(allowed - read)}")
+    facts.datasets = {declared[name] for name in facts.datasets}
+    facts.columns = {declared[name]: columns for name, columns in facts.columns.items()}
+    if declared_only and facts.datasets != set(views):
+        raise AccessError(f"Declared but not read: {sorted(set(views) - facts.datasets)}")
     return frame, facts
 
 

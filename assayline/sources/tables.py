@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +18,11 @@ from assayline.errors import DataQualityError, SchemaRefused
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
 
 
+def partition_text(value: str) -> str:
+    """A partition value as Spark itself writes it into a path: characters with a meaning there as a percent code."""
+    return re.sub(r"[\x00-\x1f\x7f\"#%'*/:=?\\{\[\]^]", lambda found: f"%{ord(found[0]):02X}", str(value)) or "__HIVE_DEFAULT_PARTITION__"
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -108,7 +113,11 @@ class TableStore:
 
     def stage(self, frame: DataFrame) -> str:
         path = f"{self.root}/stages/{uuid.uuid4().hex}"
-        frame.write.mode("errorifexists").parquet(path)
+        try:
+            frame.write.mode("errorifexists").parquet(path)
+        except Exception:
+            self.drop_stage(path)
+            raise
         return path
 
     def read_stage(self, path: str) -> DataFrame:
@@ -121,9 +130,16 @@ class TableStore:
 
     # History: appended partitions, never rewritten.
 
+    def append_by(self, name: str, frame: DataFrame, by: Sequence[str]) -> None:
+        """Add rows under the partitions that columns of their own name; small ones share as few files as their size needs.
+
+        The partitions must be new ones, as those of a fresh run id are.
+        """
+        frame.hint("rebalance", *by).write.mode("append").partitionBy(*by).parquet(f"{self.root}/history/{name}")
+
     def append(self, name: str, frame: DataFrame, **partition: str) -> DataFrame:
         """Add one immutable partition; writing the same partition twice is refused."""
-        where = "/".join(f"{key}={value}" for key, value in partition.items())
+        where = "/".join(f"{key}={partition_text(value)}" for key, value in partition.items())
         path = f"{self.root}/history/{name}/{where}"
         kept = [column for column in frame.columns if column not in partition]
         frame.select(*kept).write.mode("errorifexists").parquet(path)

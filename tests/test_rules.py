@@ -286,3 +286,98 @@ def test_a_missing_id_leaves_a_fused_suite_without_results(spark):
     assert [(r.passed, r.failed, r.bad_ids) for r in fused.counts().collect()] == [(None, None, 1)]
     with pytest.raises(Exception, match="no id"):
         fused.evidence(failures_only=False).collect()
+
+
+def _scans(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+
+
+def test_many_rule_texts_share_one_scan(spark, store, holes):
+    from assayline.operators.rule_fusion import FusedRules, RuleText, fusable
+
+    store.save("wells", holes)
+    wells = store.read("wells")
+    texts = {
+        "shallow": DEPTH,
+        "named": "WITH a AS (SELECT id, upper(name) AS n FROM source) SELECT id, n, CASE WHEN n IS NULL THEN 1 ELSE 0 END AS dq_check FROM a;",
+        "star": "SELECT *, 0 AS dq_check FROM source",
+    }
+    outputs = {k: evaluate(spark, text, {"wells": wells, "source": wells}) for k, text in texts.items()}
+    assert all(fusable(o, ("source", "wells")) for o in outputs.values())
+    fused = FusedRules(spark, wells, ("source", "wells"), [RuleText(k, "1.0", t, outputs[k].field, "bad") for k, t in texts.items()])
+    assert _scans(fused.counts()) == _scans(fused.evidence()) == 1
+    assert {r.rule_id: (r.passed, r.failed, r.bad_flags, r.bad_ids) for r in fused.counts().collect()} == {
+        "shallow": (2, 1, 0, 0), "named": (2, 1, 0, 0), "star": (3, 0, 0, 0)}
+    assert sorted(tuple(r) for r in fused.evidence().collect()) == [
+        ("named", "1.0", "6", "n", None, 1, "bad"), ("shallow", "1.0", "5", "depth", "73", 1, "bad")]
+    assert fused.evidence(failures_only=False).count() == 9
+    for text in ("SELECT id, count(*) AS n, 0 AS dq_check FROM wells GROUP BY id", DEPTH + " WHERE id > 4",
+                 "SELECT id, depth, CASE WHEN depth > (SELECT avg(depth) FROM wells) THEN 1 ELSE 0 END AS dq_check FROM wells",
+                 "SELECT id, rand() AS r, 0 AS dq_check FROM wells", "SELECT a.id, a.depth, 0 AS dq_check FROM wells a JOIN wells b ON a.id = b.id",
+                 "SELECT id, row_number() OVER (ORDER BY id) AS n, 0 AS dq_check FROM wells", "SELECT id, explode(array(1, 2)) AS n, 0 AS dq_check FROM wells"):
+        assert not fusable(evaluate(spark, text, {"wells": wells}), ("source", "wells"))
+
+
+def test_one_failing_rule_leaves_the_others_of_its_scan_alone(store, holes):
+    store.save("wells", holes)
+    good = [StoredRule(f"r{i}", f"SELECT id, depth, CASE WHEN depth < {i * 10} THEN 0 ELSE 1 END AS dq_check FROM source", "wells") for i in range(9)]
+    cast = StoredRule("cast", "SELECT id, name, CASE WHEN CAST(name AS INT) > 1 THEN 0 ELSE 1 END AS dq_check FROM source", "wells")
+    odd = StoredRule("odd", "SELECT id, depth, depth % 5 AS dq_check FROM source", "wells")
+    blank = StoredRule("blank", "SELECT name AS id, depth, 0 AS dq_check FROM source", "wells")
+    report = RuleRunner(store).run_table("wells", "ann", [*good[:4], cast, *good[4:], odd, blank])
+    assert (report.requested, report.completed) == (12, 9) and {e["rule_id"] for e in report.errors} == {"cast", "odd", "blank"}
+    assert {c["rule_id"]: c["failed"] for c in report.counts} == {f"r{i}": sum(d >= i * 10 for d in (12, 73, 49)) for i in range(9)}
+    saved = job.stored_evidence(store)
+    assert saved.count() == 27 and saved.where("rule_id NOT LIKE 'r%'").count() == 0
+    assert store._folders(f"{store.root}/stages") == []
+
+
+def test_a_job_keeps_a_run_for_each_rule_of_a_shared_scan(store, holes):
+    store.save("wells", holes)
+    seen = []
+    reports = RuleRunner(store).run_job(
+        [StoredRule(f"r/{i}", DEPTH, "wells") for i in range(3)], on_run=lambda report: seen.append(report.run_id))
+    assert len({r.run_id for r in reports}) == 3 and seen == [r.run_id for r in reports]
+    assert sorted((r.rule_id, r.run_id) for r in job.stored_evidence(store).collect()) == [(f"r/{i}", reports[i].run_id) for i in range(3)]
+    assert job.runs(store).where("status = 'completed'").count() == job.results(store).count() == 3
+
+
+def test_a_global_view_of_a_declared_name_is_refused(spark, holes):
+    spark.range(1).selectExpr("7 AS id", "1 AS depth").createOrReplaceGlobalTempView("wells")
+    spark.range(1).selectExpr("8 AS id", "1 AS depth").createOrReplaceTempView("wells")
+    try:
+        with pytest.raises(AccessError, match="declared"):
+            evaluate(spark, "SELECT id, depth, 0 AS dq_check FROM global_temp.wells", {"wells": holes})
+        with pytest.raises(AccessError, match="declared"):
+            evaluate(spark, "SELECT id, depth, 0 AS dq_check FROM wells", {"holes": holes})
+        assert evaluate(spark, "SELECT id, depth, 0 AS dq_check FROM wells", {"wells": holes}).frame.count() == 3
+        assert spark.table("wells").first()["id"] == 8  # the caller's view is as it was
+    finally:
+        spark.catalog.dropGlobalTempView("wells")
+        spark.catalog.dropTempView("wells")
+    assert not [v.name for v in spark.catalog.listTables() if v.name.startswith("_dq_")]
+
+
+def test_rules_of_two_threads_do_not_see_each_others_datasets(spark, holes):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(n):
+        return evaluate(spark, DEPTH, {"wells": holes.where(f"id = {4 + n % 3}")}).frame.collect()[0]["id"]
+
+    with ThreadPoolExecutor(6) as pool:
+        assert list(pool.map(one, range(18))) == [4 + n % 3 for n in range(18)]
+
+
+def test_dependencies_reach_through_views(spark, holes):
+    from assayline.operators.dependencies import dependencies, impact
+
+    views = {"deep": "SELECT id, depth FROM wells WHERE name <> 'x'", "deeper": "SELECT d.id, d.depth FROM deep d WHERE d.depth > 1"}
+    rules = {"a": "SELECT id, depth, 0 AS dq_check FROM deeper", "b": "SELECT id, email, 0 AS dq_check FROM wells"}
+    found = {tuple(r) for r in dependencies(spark, rules, {"wells": holes}, views).collect()}
+    assert found == {("a", "wells", c, "deeper") for c in ("id", "depth", "name")} | {("b", "wells", c, "") for c in ("id", "email")}
+    counted = {(r.rule_id, r.column_name): (r.records, r.missing) for r in impact(spark, rules, {"wells": holes}, views).collect()}
+    assert counted["a", "name"] == counted["b", "email"] == (3, 1) and counted["a", "depth"] == (3, 0)
+    with pytest.raises(DataQualityError, match="ring"):
+        dependencies(spark, rules, {"wells": holes}, {"x": "SELECT * FROM y", "y": "SELECT * FROM x"})
+    assert columns_read(spark, "WITH a AS (SELECT * FROM wells), b AS (SELECT id, depth AS d FROM a) SELECT id, d, 0 AS dq_check FROM b",
+                        {"wells": holes})["wells"] >= {"id", "depth"}
