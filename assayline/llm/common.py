@@ -7,7 +7,8 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from assayline.session import checkpoint_dir
 
@@ -26,6 +27,18 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(folder)
 
 
+def shared(spark: SparkSession, value):
+    """A broadcast of any value, classes of this folder among them; ``shared_value`` reads it in a task.
+
+    Broadcasts are pickled by reference, so they travel as bytes that hold their classes too.
+    """
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared_value(broadcast):
+    return cloudpickle.loads(broadcast.value)
+
+
 def text_key(text: Column) -> Column:
     """CRC32 of a text's UTF-8 bytes; tells rows apart that share an id but not a text (null: -1)."""
     return F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(-1))

@@ -7,15 +7,16 @@ document leaks an item if some stretch of it turns into the item by at most
 1. So many edits leave some run of three words untouched (an item's bound is lowered until that
    holds), so every leak shares a word triple with its item. Each shared triple proposes one window
    of the document, as long as the item and aligned with it at the triple.
-2. The CGK random walk embeds window and item: at each of 3 * m steps a walk copies the word under
+2. The CGK random walk embeds window and item: at each step a walk copies the word under
    its pointer and moves on or stays by a coin tossed for (step, word). Where two sequences differ
    by few edits, walks with equal coins meet again, so edit distance becomes Hamming distance.
-   ``WALKS`` walks, each sampled ``SAMPLES`` times at ``BITS`` steps, give the LSH keys; a window
-   that has any key in common with its item goes on.
+   ``WALKS`` walks, each sampled ``SAMPLES`` times at ``BITS`` of the first ``REACH`` * m steps, give the LSH keys; a window
+   that has any key in common with its item goes on. A walk is through its words after about 2 * m steps; a
+   key that meets the end of a walk matches nothing.
 3. The window, widened by the bound on both sides, is compared with the item exactly.
 
 The benchmark is used in blocks of at most ``block_bytes``, each broadcast for one pass over the
-documents, so nothing broadcast grows with the data.
+documents, which are written between two passes, so nothing broadcast or held in a task grows with the data.
 
 Defined results: null and empty texts leak nothing; null items and items below ``least_words``
 words are not looked for. Every row is judged on its own, so repeated rows leak alike. Items equal
@@ -25,30 +26,66 @@ in text are all reported. No rows or no items: nothing leaks.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from xxhash import xxh3_64_intdigest
 
-from assayline.llm.common import Memo, hash64, mixed, rolling, texts
+from assayline.llm.common import mixed, rolling, shared, shared_value, texts, written
 
 WORD = re.compile(r"\w+")
 GRAM, BASE = 3, 0x9E3779B97F4A7C15
-WALKS, SAMPLES, BITS = 8, 6, 3
-CHUNK = 2000  # windows embedded together
+WALKS, SAMPLES, BITS, REACH = 10, 16, 3, 1.6
+SYMBOLS = 4_000_000  # of walks held at once, 32 MB
+SLICE = 4 << 20  # bytes of text handled at once
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 LEAKS = "leaks array<struct<item_id: bigint, edits: int, first_word: int, words: int>>"
 
 
-def words_of(text: bytes | None, memo: Memo) -> np.ndarray:
-    found = list(chain.from_iterable(map(memo.__getitem__, (text or b"").split())))
-    return np.fromiter(found, np.uint64, len(found))
+class Chunks(dict):
+    """Word hashes of the chunks between white space, remembered up to ``limit`` bytes: most chunks occur again and again."""
 
+    def __init__(self, limit: int = 32 << 20):
+        super().__init__()
+        self.limit = limit
+        self.forget()
 
-def word_memo() -> Memo:
-    """Hashes of the words in a chunk between white space: most chunks occur again and again."""
-    return Memo(lambda chunk: tuple(hash64(w.encode()) for w in WORD.findall(chunk.decode("utf-8", "replace").lower())))
+    def forget(self) -> None:
+        self.clear()
+        self.hashes, self.starts, self.held = array("Q"), array("q", [0]), 0
+
+    def __missing__(self, chunk: bytes) -> int:
+        code = self[chunk] = len(self)
+        inner = chunk.strip(MARKS)
+        if inner.isalnum():  # ASCII letters and digits between marks
+            self.hashes.append(xxh3_64_intdigest(inner.lower()))
+        else:
+            self.hashes.extend(xxh3_64_intdigest(w.encode()) for w in WORD.findall(chunk.decode("utf-8", "replace").lower()))
+        self.starts.append(len(self.hashes))
+        self.held += len(chunk) + 150
+        return code
+
+    def words(self, batch: list[bytes | None]) -> list[np.ndarray]:
+        """The word hashes of each text."""
+        if self.held > self.limit:
+            self.forget()
+        split = [(text or b"").split() for text in batch]
+        codes = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        starts, hashes = np.frombuffer(self.starts, np.int64), np.frombuffer(self.hashes, np.uint64) if self.hashes else np.zeros(0, np.uint64)
+        lengths = starts[codes + 1] - starts[codes]
+        ends = np.cumsum(lengths)
+        flat = hashes[np.repeat(starts[codes] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))]
+        ends = np.concatenate([[0], ends])[np.cumsum([len(chunks) for chunks in split])]
+        del starts, hashes  # the arrays may grow again
+        return np.split(flat, ends[:-1]) if split else []
+
+
+def words_of(text: bytes | None, chunks: Chunks) -> np.ndarray:
+    return chunks.words([text])[0]
 
 
 def edit_bound(words: int, rate: float) -> int:
@@ -63,15 +100,15 @@ class Items:
     """The items of one block: word triples, bounds, and CGK keys."""
 
     def __init__(self, rows: list[tuple[int, str]], rate: float, least_words: int, seed: int = 7):
-        memo = word_memo()
-        found = [(item_id, words_of(text.encode(), memo)) for item_id, text in rows]
+        chunks = Chunks()
+        found = [(item_id, words_of(text.encode(), chunks)) for item_id, text in rows]
         found = [(item_id, ids) for item_id, ids in found if len(ids) >= max(least_words, GRAM)]
         self.item_ids = [item_id for item_id, _ in found]
         self.words = [ids for _, ids in found]
         self.lengths = np.array([len(ids) for ids in self.words], np.int64)
         self.bounds = np.array([edit_bound(len(ids), rate) for ids in self.words], np.int64)
         draw = np.random.default_rng(seed)
-        self.coins = mixed(draw.integers(0, 1 << 63, (3 * int(self.lengths.max(initial=1)), WALKS), dtype=np.uint64))
+        self.coins = mixed(draw.integers(0, 1 << 63, (int(REACH * self.lengths.max(initial=1)) + 1, WALKS), dtype=np.uint64))
         self.sampled = draw.random((WALKS, SAMPLES, BITS))
         grams = [rolling(ids, GRAM, BASE) for ids in self.words]
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
@@ -80,18 +117,31 @@ class Items:
         order = np.argsort(flat, kind="stable")
         self.grams, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
         self.gram_item, self.gram_at = item[order], at[order]
-        if found:
-            longest = int(self.lengths.max())
-            padded = np.zeros((len(found), longest), np.uint64)
-            for row, ids in enumerate(self.words):
-                padded[row, : len(ids)] = ids
-            self.keys = self.embed(padded, self.lengths, np.arange(len(found)))
-
-    def embed(self, windows: np.ndarray, sizes: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """LSH keys (window, walk, sample) of the windows, taken at the steps their items use."""
+        self.keys = np.zeros((len(found), WALKS, SAMPLES), np.uint64)
+        for rows_ in self.portions(np.arange(len(found))):
+            padded = np.zeros((len(rows_), int(self.lengths[rows_].max())), np.uint64)
+            for row, item_ in enumerate(rows_):
+                padded[row, : self.lengths[item_]] = self.words[item_]
+            self.keys[rows_] = self.embed(padded, self.lengths[rows_], rows_, np.uint64(0))
+
+    def portions(self, item: np.ndarray) -> Iterator[np.ndarray]:
+        """Positions in ``item``, the short items' first, in portions whose walks fit into memory."""
+        order = np.argsort(self.lengths[item], kind="stable")
+        symbols = WALKS * ((REACH * self.lengths[item[order]]).astype(np.int64) + 1)
+        at = 0
+        while at < len(order):
+            # Every window of a portion takes the room of its longest, the last one.
+            room = symbols[at:] * np.arange(1, len(order) - at + 1)
+            n = max(1, int(np.searchsorted(room, SYMBOLS, "right")))
+            yield order[at: at + n]
+            at += n
+
+    def embed(self, windows: np.ndarray, sizes: np.ndarray, item: np.ndarray, ended: np.uint64) -> np.ndarray:
+        """LSH keys (window, walk, sample) of the windows, taken at the steps their items use; ``ended`` where a walk was over."""
         rows = np.arange(len(windows))[:, None]
         pointer = np.zeros((len(windows), WALKS), np.int64)
-        steps = 3 * int(self.lengths[item].max())
+        reach = (REACH * self.lengths[item]).astype(np.int64) + 1
+        steps = int(reach.max())
         walked = np.zeros((len(windows), WALKS, steps), np.uint64)
         padded = np.concatenate([windows, np.zeros((len(windows), 1), np.uint64)], axis=1)
         size = np.minimum(sizes, windows.shape[1])[:, None]
@@ -99,11 +149,14 @@ class Items:
             symbol = np.where(pointer < size, padded[rows, np.minimum(pointer, size)], np.uint64(0))
             walked[:, :, step] = symbol
             pointer += (mixed(symbol ^ self.coins[step]) & np.uint64(1)).astype(np.int64)
-        place = (self.sampled[None] * (3 * self.lengths[item])[:, None, None, None]).astype(np.int64)
+        place = (self.sampled[None] * reach[:, None, None, None]).astype(np.int64)
         keys = np.zeros(place.shape[:3], np.uint64)
+        over = np.zeros(keys.shape, bool)
         for bit in range(BITS):
-            keys = mixed(keys * np.uint64(BASE) + np.take_along_axis(walked, place[..., bit], axis=2) + np.uint64(1))
-        return keys
+            symbol = np.take_along_axis(walked, place[..., bit], axis=2)
+            over |= symbol == 0
+            keys = mixed(keys * np.uint64(BASE) + symbol + np.uint64(1))
+        return np.where(over, ended, keys)
 
     def proposals(self, ids: np.ndarray, doc_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, start) of all windows proposed by a shared triple. ids: all documents' words in a row."""
@@ -123,6 +176,20 @@ class Items:
         return found[0], found[1], found[2]
 
 
+    def near(self, flat: np.ndarray, doc_at: np.ndarray, doc: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Which of the proposed windows share a key with their item."""
+        found = np.zeros(len(doc), bool)
+        for some in self.portions(item):
+            d, i, s = doc[some], item[some], start[some]
+            size = self.lengths[i]
+            low, high = np.maximum(s, 0), np.minimum(s + size, doc_at[d + 1] - doc_at[d])
+            column = np.arange(size.max())
+            index = np.minimum(doc_at[d][:, None] + low[:, None] + column, len(flat) - 1)
+            windows = np.where(column < (high - low)[:, None], flat[index], np.uint64(0))
+            found[some] = (self.embed(windows, high - low, i, np.uint64(1)) == self.keys[i]).any(axis=(1, 2))
+        return found
+
+
 def closest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """(edits, start, end) of the stretch of ``text`` that is nearest to ``item``; the earliest end of the best."""
     def last_row(pattern: np.ndarray, other: np.ndarray, free_start: bool) -> np.ndarray:
@@ -151,16 +218,19 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.2, least_w
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
     blocks = max(1, -(-size * 2 // block_bytes))  # hashed into blocks of half the bound on average
+    searched = False
     result = docs.withColumn("leaks", F.array().cast(LEAKS.split(" ", 1)[1]))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         prepared = Items(sorted((-1 if r["item_id"] is None else r["item_id"], r["text"]) for r in rows), rate, least_words)
         if prepared.item_ids:
-            result = _search(result, docs.sparkSession.sparkContext.broadcast(prepared))
+            if searched:  # one block at a time in a task
+                result = written(result, "leaks")
+            result, searched = _search(result, shared(docs.sparkSession, prepared)), True
     return result
 
 
-def _search(docs: DataFrame, shared) -> DataFrame:
+def _search(docs: DataFrame, sent) -> DataFrame:
     place = docs.columns.index("text")
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("first_word", pa.int32()), ("words", pa.int32())]))
 
@@ -169,33 +239,28 @@ def _search(docs: DataFrame, shared) -> DataFrame:
         flat = np.concatenate([*ids, np.zeros(0, np.uint64)])
         doc, item, start = items.proposals(flat, doc_at)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for at in range(0, len(doc), CHUNK):
-            d, i, s = doc[at: at + CHUNK], item[at: at + CHUNK], start[at: at + CHUNK]
-            size = items.lengths[i]
-            low, high = np.maximum(s, 0), np.minimum(s + size, doc_at[d + 1] - doc_at[d])
-            column = np.arange(size.max())
-            index = np.minimum(doc_at[d][:, None] + low[:, None] + column, len(flat) - 1)
-            windows = np.where(column < (high - low)[:, None], flat[index], np.uint64(0))
-            near = (items.embed(windows, high - low, i) == items.keys[i]).any(axis=(1, 2))
-            for row in np.flatnonzero(near):
-                bound = int(items.bounds[i[row]])
-                begin, end = max(0, int(s[row]) - bound), int(s[row] + size[row]) + bound
-                edits, first, last = closest(items.words[i[row]], ids[d[row]][begin:end])
-                if edits <= bound:
-                    key = int(d[row]), int(i[row])
-                    best[key] = min(best.get(key, (edits, begin + first, last - first)), (edits, begin + first, last - first))
+        near = np.flatnonzero(items.near(flat, doc_at, doc, item, start))
+        for d, i, s in zip(doc[near].tolist(), item[near].tolist(), start[near].tolist()):
+            bound = int(items.bounds[i])
+            begin, end = max(0, s - bound), s + int(items.lengths[i]) + bound
+            edits, first, last = closest(items.words[i], ids[d][begin:end])
+            if edits <= bound:
+                best[d, i] = min(best.get((d, i), (edits, begin + first, last - first)), (edits, begin + first, last - first))
         found: list[list[dict]] = [[] for _ in ids]
         for (d, i), (edits, first, words) in sorted(best.items()):
             found[d].append({"item_id": items.item_ids[i], "edits": edits, "first_word": first, "words": words})
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, memo = shared.value, word_memo()
+        items, chunks = shared_value(sent), Chunks()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            memo.trim()
-            found = leaks_of(items, [words_of(text, memo) for text in texts(batch, place)])
+            data, found, at = texts(batch, place), [], 0
+            while at < len(data):
+                stop, size = at + 1, len(data[at] or b"")
+                while stop < len(data) and size + len(data[stop] or b"") <= SLICE:
+                    size, stop = size + len(data[stop] or b""), stop + 1
+                found += leaks_of(items, chunks.words(data[at:stop]))
+                at = stop
             before = batch.column("leaks").to_pylist()
             column = pa.array([[*old, *new] for old, new in zip(before, found)], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], batch.schema.names)

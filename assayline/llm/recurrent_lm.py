@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assayline.llm.common import text_key, texts, written
+from assayline.llm.common import shared, shared_value, text_key, texts, written
 
 FREQUENT = 1_000_000
 CLASSES, PER_CLASS = 32, 32
@@ -299,10 +299,10 @@ def train(docs: DataFrame, vocab: Vocabulary, one_in: int = 1, rounds: int = 1,
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(one_in)) == 0).select("text")
     weights = initial(vocab.counts)
     for turn in range(rounds):
-        shared = context.broadcast((weights, vocab.words, vocab.symbol, rate / (1 + turn)))
+        sent = context.broadcast((weights, vocab.words, vocab.symbol, rate / (1 + turn)))
 
-        def learn(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            start, words, symbol, step_size = shared.value
+        def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            start, words, symbol, step_size = sent.value
             numbering, current, tokens, parts, size = Words(words), start, 0, [], 0
             for batch in batches:
                 for text in texts(batch):
@@ -340,10 +340,10 @@ def score(docs: DataFrame, usable: Column, one_in: int = 1, rounds: int = 1) ->
     counts = written(word_counts(taught), "word-counts")
     vocab = vocabulary(counts)
     weights = train(taught, vocab, one_in, rounds)
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, weights))
+    sent = shared(docs.sparkSession, (vocab, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, weights = shared.value
+        vocab, weights = shared_value(sent)
         numbering, frequent = Words(vocab.words), len(vocab.words)
         for batch in batches:
             sequences, size, known, counted, share = [], [], [], [], []
@@ -364,7 +364,7 @@ def score(docs: DataFrame, usable: Column, one_in: int = 1, rounds: int = 1) ->
                 ["doc_id", "tk", "n_tokens", "known", "counted", "network"])
 
     def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = set(shared.value[0].words)
+        frequent = set(shared_value(sent)[0].words)
         for batch in batches:
             row, word, times = [], [], []
             for at, text in enumerate(texts(batch)):

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from assayline.llm.common import Memo, texts
+from assayline.llm.common import Memo, shared, shared_value, texts
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -181,13 +181,14 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> Data
     score of the sentences that reach the threshold themselves, or of the worst one where only
     their combination does. Positions count characters.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared(docs.sparkSession, model)
     extra = {"toxicity": "double", "toxic": "int", "offending": "array<struct<start: int, end: int, score: double>>"}
     docs = docs.drop(*extra)
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias, least = shared.value.weights, shared.value.bias, -math.log1p(-threshold)
+        known = shared_value(sent)
+        weights, bias, least = known.weights, known.bias, -math.log1p(-threshold)
         memo = Memo(lambda word: float(weights[word_features(word)].sum()))
         for batch in batches:
             scores, flags, places = [], [], []

@@ -430,18 +430,50 @@ def test_closest_is_the_edit_distance():
         assert edits == best == distance(item, text[first:end])
 
 
-def test_lsh_recall_at_the_bound():
-    draw = random.Random(9)
-    texts = [" ".join(draw.choices([f"r{i}" for i in range(400)], k=n)) for n in range(8, 66)]
-    items, hit = decontamination.Items(list(enumerate(texts)), 0.2, 5), 0
-    for trial in range(300):
-        i = trial % len(texts)
-        words = list(items.words[i])
-        for at in draw.sample(range(len(words)), int(items.bounds[i])):
-            words[at] = np.uint64(draw.getrandbits(63))
-        window = np.array(words, np.uint64)[None]
-        hit += bool((items.embed(window, np.array([len(words)]), np.array([i])) == items.keys[i]).any())
-    assert hit >= 297
+@pytest.mark.parametrize(("length", "most"), [(15, 0.85), (20, 0.75), (40, 0.45), (59, 0.25), (100, 0.1), (300, 0.1)])
+def test_lsh_recall_and_pass_rate_at_the_bound(length, most):
+    """Items with as many edits of all three kinds as allowed are found by a key; windows that share nothing but a triple mostly are not.
+
+    ``most`` is the share of these that may pass: a triple is a fifth of a short item.
+    """
+    draw = np.random.default_rng(length)
+    share = 1 / np.arange(1, 3001)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    text = lambda n: list(draw.choice(vocabulary, n, p=share / share.sum()))
+    items = [text(length) for _ in range(60)]
+    known = decontamination.Items([(i, " ".join(words)) for i, words in enumerate(items)], 0.2, 5)
+
+    def found(docs):
+        ids = decontamination.Chunks().words([" ".join(words).encode() for words in docs])
+        doc_at = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+        flat = np.concatenate(ids)
+        doc, item, start = known.proposals(flat, doc_at)
+        own = doc == item
+        near = known.near(flat, doc_at, doc, item, start)
+        return len(set(doc[own & near])), near[own].mean()
+
+    edited = []
+    for words in items:
+        words = list(words)
+        for _ in range(int(known.bounds[0])):
+            how, at = draw.integers(3), int(draw.integers(len(words)))
+            words[at: at + (how > 0)] = text(1) if how < 2 else []
+        edited.append(text(20) + words + text(20))
+    assert found(edited)[0] >= 57
+    places = draw.integers(0, length - 3, len(items)).tolist()
+    strangers = [text(30 + at) + words[at: at + 3] + text(length + 30) for at, words in zip(places, items)]
+    assert found(strangers)[1] <= most
+
+
+def test_a_chunk_gives_its_words_however_it_is_written():
+    import re
+
+    texts = ["Don't stop-me_now, (it's) 3.14\u2019s _x_ \u00c9t\u00e9! \u4f60\u597d ...", "", "plain words", None, "A--b"]
+    chunks = decontamination.Chunks(limit=1)
+    for _ in range(2):
+        got = chunks.words([None if t is None else t.encode() for t in texts])
+        want = [[chunks.words([w.encode()])[0][0] for w in re.findall(r"\w+", (t or "").lower())] for t in texts]
+        assert [list(x) for x in got] == want
 
 
 def test_edit_bound_leaves_a_triple():
