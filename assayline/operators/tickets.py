@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from assayline.functions.text import column
 from assayline.operators.reports import FAILURE_ROWS
 from assayline.operators.skew import attach, running
-from assayline.session import cut_lineage
 
 # Days until a ticket is due, by severity.
 DUE_DAYS = {"low": 7, "medium": 3, "high": 1}
@@ -109,20 +108,82 @@ def apply_run(tickets: DataFrame, outcome: DataFrame, loads: DataFrame) -> DataF
     )
 
 
-def apply_runs(tickets: DataFrame, outcomes: DataFrame, loads: DataFrame) -> DataFrame:
+def _segments(outcomes: DataFrame, bucket: Column | None) -> DataFrame:
+    """What each stretch of outcomes between two closing ones says: rule_id, table_name, ordinal and the outcomes that matter.
+
+    A clean outcome with rows closes whatever ticket is open, so the closing outcomes before an outcome say which ticket it
+    belongs to. Of a stretch only its first and last failure, its closing outcome, and its last word are needed.
+    """
+    keys = ["rule_id", "table_name"]
+    closing = (F.col("failed") <= 0) & (F.col("checked") > 0)
+    marked = running(
+        outcomes.withColumn("_closing", F.coalesce(closing, F.lit(False)).cast("int")), keys, ["occurred_at", "run_id"],
+        F.date_trunc("day", "occurred_at") if bucket is None else bucket, F.col("_closing"), "sum", "ordinal",
+    )
+    fails, closes = F.coalesce(F.col("failed") > 0, F.lit(False)), F.col("_closing") == 1
+    order = F.struct("occurred_at", "run_id")
+    line = F.struct("occurred_at", "run_id", "rule_version", "title", "severity", "actor", "failed")
+    return marked.groupBy(*keys, "ordinal").agg(
+        F.min_by(F.when(fails, line), F.when(fails, order)).alias("_first"), F.max_by(F.when(fails, line), F.when(fails, order)).alias("_last"),
+        F.max(F.when(closes, order)).alias("_closed"), F.max(order).alias("_word"),
+        F.max(F.when(fails, order)).alias("_last_fail"), F.count_if(fails).alias("_fails"),
+    )
+
+
+def apply_runs(tickets: DataFrame, outcomes: DataFrame, loads: DataFrame, bucket: Column | None = None) -> DataFrame:
     """All tickets after a batch of runs, taken in their order; ``action`` is the last one of a ticket.
 
-    Each rule's outcomes are applied oldest first (occurred_at, then run_id): one pass for every
-    outcome that the busiest rule of the batch has. For a whole history ``replay`` takes one pass.
+    Each rule's outcomes count oldest first (occurred_at, then run_id). The plan is the same for any batch: outcomes are folded into
+    one row per ticket they concern, the first of which meets the ticket that is open. ``bucket`` rises with the time and splits the
+    running count of closing outcomes (default: the day), so a rule may own most of the batch. Settled tickets are passed on as they are.
     """
     keys = ["rule_id", "table_name"]
-    turn = F.row_number().over(Window.partitionBy(*keys).orderBy("occurred_at", "run_id"))
-    ordered = cut_lineage(outcomes.withColumn("_turn", turn))
-    names, applied = tickets.columns, tickets.withColumn("_before", F.lit(None).cast("string"))
-    for number in range(1, (ordered.agg(F.max("_turn")).first()[0] or 0) + 1):
-        once = apply_run(applied, ordered.where(F.col("_turn") == number).drop("_turn"), loads)
-        applied = cut_lineage(once.select(*map(column, names), F.coalesce("action", "_before").alias("_before")))
-    return applied.withColumnRenamed("_before", "action")
+    outcomes = outcomes.withColumns({key: column(key).cast(tickets.schema[key].dataType) for key in keys})
+    opened = F.coalesce(is_open(F.col("status")), F.lit(False))
+    settled = tickets.where(~opened).withColumn("action", F.lit(None).cast("string"))
+    rest = [n for n in tickets.columns if n not in keys]
+    present = tickets.where(opened).select(*keys, F.lit(0).cast("bigint").alias("ordinal"), F.struct(*map(column, rest)).alias("_t"))
+    segments = _segments(outcomes, bucket).withColumn("ordinal", F.col("ordinal").cast("bigint"))
+    joined = present.join(segments, [*keys, "ordinal"], "full_outer")
+    newest = loads.select("table_name", F.struct("loaded_by", "file_name").alias("_load"))
+    joined = attach(joined, newest, ["table_name"])
+
+    old, first, last = F.col("_t"), F.col("_first"), F.col("_last")
+    known, failed = old.isNotNull(), first.isNotNull()
+    # A closing outcome ends its stretch, so it finds the ticket that was open or that a failure before it opened.
+    closed = F.col("_closed").isNotNull()
+    judged = joined.where(known | failed)
+    action = (
+        F.when(closed, F.lit("verified"))
+        .when(failed & (F.col("_word") == F.col("_last_fail")), F.when(~known & (F.col("_fails") == 1), F.lit("created")).otherwise(F.lit("failed")))
+        .when(F.col("_word").isNotNull(), F.lit("empty"))
+    )
+    title = F.coalesce(F.when(first["title"] != "", first["title"]), F.concat(F.lit("Rule #"), F.col("rule_id").cast("string")))
+    resumed = F.when(failed & (old["status"] == "to_verify"), F.lit("in_progress")).otherwise(old["status"])
+
+    def begun(kept: str, made: Column) -> Column:
+        return F.when(known, old[kept]).otherwise(made)
+
+    def latest(kept: str, said: Column) -> Column:
+        return F.when(failed, said).otherwise(old[kept])
+
+    values = {
+        "rule_version": latest("rule_version", last["rule_version"]),
+        "title": begun("title", title), "severity": begun("severity", first["severity"]),
+        "status": F.when(closed, F.lit("closed")).when(known, resumed).otherwise(F.lit("new")),
+        "reporter": begun("reporter", first["actor"]), "assignee": begun("assignee", first["actor"]),
+        "imported_by": begun("imported_by", F.col("_load.loaded_by")), "source_file": begun("source_file", F.col("_load.file_name")),
+        "created_at": begun("created_at", first["occurred_at"]), "last_seen": latest("last_seen", last["occurred_at"]),
+        "due_at": begun("due_at", due_at(first["occurred_at"], first["severity"])),
+        "closed_at": F.when(closed, F.col("_closed.occurred_at")).otherwise(old["closed_at"]),
+        "failed_count": F.when(closed, F.lit(0)).otherwise(latest("failed_count", last["failed"])),
+        "latest_run_id": F.when(closed, F.col("_closed.run_id")).otherwise(latest("latest_run_id", last["run_id"])),
+        "failure_run_id": latest("failure_run_id", last["run_id"]),
+    }
+    moved = judged.select(
+        *[(column(n) if n in keys else values[n] if n in values else old[n]).cast(tickets.schema[n].dataType).alias(n) for n in tickets.columns],
+        action.alias("action"))
+    return moved.unionByName(settled)
 
 
 def number_new(applied: DataFrame) -> DataFrame:

@@ -211,6 +211,23 @@ def tickets_apply(t: Tables) -> DataFrame:
     )
 
 
+@query("tickets_apply_many", f"""WITH {cte("daily")}, {REPLAY.format(daily="daily")}
+  SELECT rule_id, table_name, severity, status, {moment("created_at")} AS created, {moment("last_seen")} AS seen, {moment("due_at")} AS due,
+    {moment("closed_at")} AS closed, rule_version, failed_count, CAST(failure_run_id AS VARCHAR) AS failure_run_id,
+    CASE WHEN closed_at IS NOT NULL THEN 'verified' WHEN last_word > last_seen THEN 'empty' WHEN failures = 1 THEN 'created' ELSE 'failed' END AS action
+  FROM (SELECT r.*, (SELECT max(occurred_at) FROM ordered o WHERE o.rule_id = r.rule_id AND o.table_name = r.table_name
+    AND o.ordinal = r.ordinal) AS last_word FROM replayed r)""")
+def tickets_apply_many(t: Tables) -> DataFrame:
+    """The whole history as one batch of runs, applied to no tickets."""
+    history = frame(t, "daily").selectExpr(
+        "rule_id", "table_name", "rule_version", f"{TITLE} AS title", "severity", "string(run_id) AS run_id", "'job' AS actor", "failed", "checked", "occurred_at")
+    none = t.spark.createDataFrame([], tickets.TICKET)
+    applied = tickets.apply_runs(none, history, latest_loads(frame(t, "load_log")))
+    return applied.select(
+        "rule_id", "table_name", "severity", "status", _moment("created_at").alias("created"), _moment("last_seen").alias("seen"),
+        _moment("due_at").alias("due"), _moment("closed_at").alias("closed"), "rule_version", "failed_count", "failure_run_id", "action")
+
+
 NOW = "TIMESTAMP '2024-01-25 12:00:00'"
 
 

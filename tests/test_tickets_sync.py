@@ -339,3 +339,59 @@ def test_equal_run_ids_of_two_endpoints_stay_apart(spark):
 def test_spacing_of_a_payload_does_not_matter(spark):
     spaced = payload().replace(",", " ,\n ").replace('":', '" : ')
     assert reasons(bundle(spark, [{"payload": spaced}])) == {"r1": None}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_a_batch_equals_its_runs_one_by_one(spark, loads, seed):
+    pick = random.Random(seed)
+    kinds = ["new", "in_progress", "to_verify", "closed", "cancelled"]
+
+    def ticket(n, rule, status):
+        values = {"ticket_id": n, "rule_id": rule, "rule_version": "0.9", "table_name": "people", "title": f"old {n}", "severity": "medium",
+                  "status": status, "reporter": "rep", "assignee": "eve", "created_at": DAY, "last_seen": DAY, "due_at": DAY, "failed_count": 3,
+                  "latest_run_id": "old", "failure_run_id": "old"}
+        return tuple(values.get(c.split()[0]) for c in tickets.TICKET.split(", "))
+
+    state = [ticket(n, n % 8, pick.choice(kinds[:3]) if n < 8 and n % 2 else pick.choice(kinds[3:])) for n in range(20)]
+    start = spark.createDataFrame(state, tickets.TICKET)
+    lines = []
+    for n in range(60):
+        rule = 1 if pick.random() < 0.4 else pick.randrange(9)
+        checked = pick.choice([0, 4, 4])
+        lines.append((rule, "people", f"1.{n}", pick.choice(["", f"t{n}"]), pick.choice(["low", "high"]), f"r{n:03d}", pick.choice(["ann", "bob"]),
+                      pick.choice([0, 2]) if checked else 0, checked, DAY + timedelta(hours=5 * pick.randrange(60))))
+    pick.shuffle(lines)
+    batch = spark.createDataFrame(lines, OUTCOME)
+    got = sorted((str(tuple(r)) for r in tickets.apply_runs(start, batch, loads).collect()))
+
+    names = [c.split()[0] for c in tickets.TICKET.split(", ")]
+    now = [dict(zip(names, row), action=None) for row in state]
+    fields = [c.split()[0] for c in OUTCOME.split(", ")]
+    for o in (dict(zip(fields, line)) for line in sorted(lines, key=lambda x: (x[9], x[5]))):
+        mine = [t for t in now if (t["rule_id"], t["table_name"]) == (o["rule_id"], o["table_name"]) and t["status"] not in tickets.TERMINAL]
+        if o["failed"] > 0:
+            if not mine:
+                mine = [dict.fromkeys(names)]
+                mine[0].update(rule_id=o["rule_id"], table_name="people", title=o["title"] or f"Rule #{o['rule_id']}", severity=o["severity"],
+                               status="new", reporter=o["actor"], assignee=o["actor"], imported_by="bob", source_file="people.csv",
+                               created_at=o["occurred_at"], due_at=o["occurred_at"] + timedelta(days=tickets.DUE_DAYS[o["severity"]]), action="created")
+                now += mine
+            else:
+                mine[0]["action"] = "failed"
+                mine[0]["status"] = "in_progress" if mine[0]["status"] == "to_verify" else mine[0]["status"]
+            mine[0].update(rule_version=o["rule_version"], last_seen=o["occurred_at"], failed_count=o["failed"], latest_run_id=o["run_id"], failure_run_id=o["run_id"])
+        elif mine and o["checked"] > 0:
+            mine[0].update(status="closed", failed_count=0, closed_at=o["occurred_at"], latest_run_id=o["run_id"], action="verified")
+        elif mine:
+            mine[0]["action"] = "empty"
+    assert got == sorted(str(tuple(t[n] for n in [*names, "action"])) for t in now)
+
+
+def test_the_plan_of_a_batch_does_not_grow_with_it(spark, loads):
+    none = spark.createDataFrame([], tickets.TICKET)
+    sizes = []
+    for n in (1, 50):
+        runs = [(1, "people", "1", "t", "low", f"r{i}", "ann", i % 2, 3, DAY + timedelta(hours=i)) for i in range(n)]
+        frame = tickets.apply_runs(none, spark.createDataFrame(runs, OUTCOME), loads)
+        sizes.append(frame._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+    assert sizes[0] == sizes[1]
