@@ -37,14 +37,19 @@ def canonical_column(**fields: Column) -> Column:
     return F.to_json(F.struct(*members), {"ignoreNullFields": "false"})
 
 
-def compact_column(payload: Column) -> Column:
-    """JSON text without the white space between its parts; strings stay as they are."""
-    return F.regexp_replace(payload, r'("(?:[^"\\]|\\.)*")|\s+', "$1")
+def parsed_column(payload: Column) -> Column:
+    """JSON text as a value; NULL where it is no JSON or names a key twice."""
+    return F.try_parse_json(payload)
+
+
+def normal_column(value: Column) -> Column:
+    """The canonical text of a parsed payload: compact, keys sorted, letters unescaped - however it was written."""
+    return F.to_json(value)
 
 
 def revision_column(payload: Column) -> Column:
-    """Revision of a payload with sorted keys, whatever its spacing."""
-    return F.sha2(compact_column(payload), 256)
+    """Revision of a payload, whatever its spacing, order of keys and escapes."""
+    return F.sha2(normal_column(parsed_column(payload)), 256)
 
 
 def _dataset(parts: object) -> bool:

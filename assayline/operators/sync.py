@@ -16,7 +16,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayline.functions.text import column
-from assayline.functions.fingerprint import compact_column, revision_column
+from assayline.functions.fingerprint import normal_column, parsed_column
 from assayline.operators.registry import archive_entry, next_version
 from assayline.operators.skew import attach, running
 from assayline.session import cut_lineage
@@ -53,16 +53,18 @@ def audit_bundles(runs: DataFrame, results: DataFrame, errors: DataFrame, links:
     )
     known = versions.select("rule_key", "revision", "local_version", F.col("payload").alias("_payload"))
     references = F.coalesce("reference_versions", F.lit("{}"))
-    names = F.json_object_keys(F.get_json_object("payload", "$.references"))
-    read = runs.select(
-        "*",
+    value = F.col("_value")
+    names = F.json_object_keys(F.to_json(F.try_variant_get(value, "$.references", "variant")))
+    # The payload is parsed once; everything else is read from its value.
+    parsed = runs.withColumn("_value", parsed_column(F.col("payload")))
+    read = parsed.select(
+        *map(column, runs.columns), normal_column(value).alias("_normal"),
         _zoned(F.col("started_at")).alias("started"), _zoned(F.col("completed_at")).alias("ended"),
-        F.get_json_object("payload", "$.rule_key").alias("_key"), F.get_json_object("payload", "$.source").alias("_from"),
+        F.try_variant_get(value, "$.rule_key", "string").alias("_key"), F.to_json(F.try_variant_get(value, "$.source", "variant")).alias("_from"),
         F.coalesce(F.sort_array(names), F.array().cast("array<string>")).alias("_declared"),
         F.coalesce(F.sort_array(F.json_object_keys(references)), F.array().cast("array<string>")).alias("_pinned"),
         references.rlike(VERSION_MAP).alias("_numbered"),
-        (revision_column(F.col("payload")) == F.col("revision")).alias("_intact"),
-    )
+    ).withColumn("_intact", F.sha2("_normal", 256) == F.col("revision"))
     joined = attach(
         attach(read.join(summary, run_keys(results), "left").join(details, run_keys(errors), "left"), bound, ["endpoint", "rule_key"], runs),
         known, ["rule_key", "revision"], runs,
@@ -88,7 +90,7 @@ def audit_bundles(runs: DataFrame, results: DataFrame, errors: DataFrame, links:
             done & (count > 0) & ((F.col("_bad") > 0) | (F.col("_low") != F.col("field_name")) | (F.col("_high") != F.col("field_name"))),
             "invalid error details",
         ),
-        (F.col("local_version").isNull() | (compact_column(F.col("_payload")) != compact_column(F.col("payload"))), "unrecognised revision"),
+        (F.col("local_version").isNull() | _differs(F.col("payload"), F.col("_payload")), "unrecognised revision"),
     ]
     (first, text), *others = tests
     reason = F.when(first, F.lit(text))
@@ -100,10 +102,23 @@ def audit_bundles(runs: DataFrame, results: DataFrame, errors: DataFrame, links:
     )
 
 
+def _differs(one: Column, other: Column) -> Column:
+    """Whether two payloads differ in more than their writing; equal texts are not parsed."""
+    same = normal_column(parsed_column(one)).eqNullSafe(normal_column(parsed_column(other)))
+    return F.when(one == other, F.lit(False)).otherwise(~same)
+
+
 def orphan_evidence(runs: DataFrame, results: DataFrame, errors: DataFrame) -> DataFrame:
-    """Run ids of results or errors that belong to no run of the bundle."""
-    ids = results.select("run_id").union(errors.select("run_id")).distinct()
-    return ids.join(runs.select("run_id").distinct(), "run_id", "left_anti")
+    """Keys of results or errors that belong to no run of the bundle: run ids, with their endpoint where evidence names it."""
+    keys = run_keys(results) if run_keys(results) == run_keys(errors) else ["run_id"]
+    ids = results.select(*keys).union(errors.select(*keys)).distinct()
+    return ids.join(runs.select(*keys).distinct(), keys, "left_anti")
+
+
+def unseen(runs: DataFrame, receipts: DataFrame) -> DataFrame:
+    """Runs without a receipt. Taken before the audit, so that only new runs are audited."""
+    return runs.join(receipts.select("endpoint", F.col("remote_run_id").alias("run_id")), ["endpoint", "run_id"], "left_anti").select(
+        *map(column, runs.columns))
 
 
 def new_runs(audited: DataFrame, receipts: DataFrame) -> DataFrame:
@@ -120,8 +135,11 @@ def new_runs(audited: DataFrame, receipts: DataFrame) -> DataFrame:
 
 
 def local_run_id(endpoint: Column, run_id: Column) -> Column:
-    """A local id that follows from the remote one, so importing again finds the same run."""
-    return F.concat_ws("/", endpoint, run_id)
+    """A local id that follows from the remote one, so importing again finds the same run.
+
+    The first slash ends the endpoint; one inside the endpoint is written as a percent code.
+    """
+    return F.concat_ws("/", F.replace(F.replace(endpoint, F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F")), run_id)
 
 
 def imported_rows(fresh: DataFrame, errors: DataFrame, actor: str) -> dict[str, DataFrame]:
@@ -157,7 +175,7 @@ def imported_rows(fresh: DataFrame, errors: DataFrame, actor: str) -> dict[str,
     )
     receipts = named.select(
         "endpoint", F.col("run_id").alias("remote_run_id"), "local_run_id", "source_version", "rule_key", "revision",
-        F.coalesce("reference_versions", F.lit("{}")).alias("reference_versions"),
+        F.coalesce("reference_versions", F.lit("{}")).alias("reference_versions"), F.col("started").alias("started_at"),
     )
     return {"runs": runs, "results": results, "evidence": evidence, "receipts": receipts}
 
@@ -177,6 +195,30 @@ def ticket_outcomes(marked: DataFrame) -> DataFrame:
     return marked.where("status = 'completed' AND NOT late")
 
 
+# Reasons that more evidence, a link or a definition may still remove.
+WAITS = (
+    "rule is not linked", "source does not match the mapping", "run summary is incomplete", "error rows do not match the summary",
+    "unrecognised revision",
+)
+
+
+def ticket_moves(fresh: DataFrame, receipts: DataFrame, actor: str) -> DataFrame:
+    """What newly imported runs say to the tickets, see ``tickets.apply_runs``: completed runs that are not late.
+
+    Runs of one import count in the order of their start. A run is late if an earlier import had a run of the same rule that
+    started after it. ``receipts`` are those of the earlier imports.
+    """
+    before = receipts.groupBy("endpoint", "rule_key").agg(F.max("started_at").alias("_latest"))
+    known = attach(fresh.where("status = 'completed'"), before, ["endpoint", "rule_key"])
+    value = parsed_column(F.col("payload"))
+    return known.where(F.col("_latest").isNull() | (F.col("started") >= F.col("_latest"))).select(
+        "rule_id", F.col("target_table").alias("table_name"), F.col("local_version").alias("rule_version"),
+        F.coalesce(F.try_variant_get(value, "$.description", "string"), F.lit("")).alias("title"),
+        F.coalesce(F.try_variant_get(value, "$.severity", "string"), F.lit("medium")).alias("severity"),
+        local_run_id(F.col("endpoint"), F.col("run_id")).alias("run_id"), F.lit(actor).alias("actor"), "failed",
+        (F.col("passed") + F.col("failed")).alias("checked"), F.col("started").alias("occurred_at"))
+
+
 def sync_summary(audited: DataFrame, receipts: DataFrame) -> DataFrame:
     """Counts of one synchronisation: available, existing, imported, failed runs, refused, latest.
 

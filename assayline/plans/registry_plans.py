@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from assayline.operators import registry, sync, tickets
 from assayline.operators.evaluate import select
 from assayline.operators.loading import latest_loads
-from assayline.plans.registry import Tables, query
+from assayline.plans.registry import SQL, Tables, query
+from assayline.plans.stored_plans import scratch_store
 from assayline.plans.stores import cte, frame, moment
+from assayline.streaming.run_feed import LANDING, RunFeed
 
 
 def _moment(name: str):
@@ -339,9 +341,10 @@ AUDITED = f"""summary AS (SELECT run_id, count(*) AS summaries, min(passed) AS p
 ALL_SQL = f"WITH {_bundle_cte('remote_runs', 'remote_results', 'remote_errors', 'bound', 'known', 'seen')}, {AUDITED}"
 
 
-def _audited(t: Tables) -> DataFrame:
+def _audited(t: Tables, seen: DataFrame | None = None) -> DataFrame:
+    runs = _bundle(t, "remote_runs")
     return sync.audit_bundles(
-        _bundle(t, "remote_runs"), _bundle(t, "remote_results"), _bundle(t, "remote_errors"), _bundle(t, "bound"), _bundle(t, "known")
+        runs if seen is None else sync.unseen(runs, seen), _bundle(t, "remote_results"), _bundle(t, "remote_errors"), _bundle(t, "bound"), _bundle(t, "known")
     )
 
 
@@ -350,6 +353,46 @@ def run_bundle_audit(t: Tables) -> DataFrame:
     return _audited(t).select("endpoint", "run_id", "status", "passed", "failed", "rule_id", "local_version", "reason")
 
 
+@query("run_bundle_audit_rewritten", SQL["run_bundle_audit"])
+def run_bundle_audit_rewritten(t: Tables) -> DataFrame:
+    """Runs and known versions whose payloads were written another way: order of keys, spaces, escapes."""
+    def rewritten(frame: DataFrame) -> DataFrame:
+        key = F.substring_index(F.get_json_object("payload", "$.rule_key"), "-", -1)
+        other = F.concat(
+            F.lit('{ "source" : '), F.get_json_object("payload", "$.source"), F.lit(', "rule_key":"\\u0063ust-'), key, F.lit('",\n "references": '),
+            F.get_json_object("payload", "$.references"), F.lit(',"description":"Orders of '), key, F.lit('", "active":true }'))
+        return frame.withColumn("payload", other)
+
+    audited = sync.audit_bundles(
+        rewritten(_bundle(t, "remote_runs")), _bundle(t, "remote_results"), _bundle(t, "remote_errors"), _bundle(t, "bound"), rewritten(_bundle(t, "known")))
+    return audited.select("endpoint", "run_id", "status", "passed", "failed", "rule_id", "local_version", "reason")
+
+
+@query("import_in_waves", f"""{ALL_SQL} SELECT endpoint, run_id, CASE WHEN reason IS NULL THEN 'imported'
+    WHEN reason IN ({", ".join(f"'{w}'" for w in sync.WAITS)}) THEN 'waiting' ELSE 'refused' END AS state, reason,
+  CASE WHEN reason IS NULL AND {DONE} THEN failed END AS failed FROM audited""")
+def import_in_waves(t: Tables) -> DataFrame:
+    """Runs land first, their results later, their errors last; the feed imports each once it is complete."""
+    runs = _bundle(t, "remote_runs")
+    owner = runs.select("endpoint", "run_id")
+    folder = scratch_store(t).root
+    feed = RunFeed(
+        t.spark, f"{folder}/landing", f"{folder}/state", lambda: _bundle(t, "bound"), lambda: _bundle(t, "known"),
+        lambda: latest_loads(frame(t, "load_log")))
+    waves = {"runs": runs, "results": _bundle(t, "remote_results").join(owner, "run_id"), "errors": _bundle(t, "remote_errors").join(owner, "run_id")}
+    for name, rows in waves.items():
+        schema = t.spark.createDataFrame([], LANDING[name]).schema
+        rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(f"{folder}/landing/{name}/wave")
+        feed.advance()
+    counted = feed.table("results").select(F.col("run_id").alias("local_run_id"), "failed")
+    done = feed.table("receipts").join(counted, "local_run_id", "left").select(
+        "endpoint", F.col("remote_run_id").alias("run_id"), F.lit("imported").alias("state"), F.lit(None).cast("string").alias("reason"), "failed")
+    rest = [
+        feed.table(name).select("endpoint", "run_id", F.lit(name).alias("state"), "reason", F.lit(None).cast("bigint").alias("failed"))
+        for name in ("waiting", "refused")]
+    return done.unionByName(rest[0]).unionByName(rest[1])
+
+
 FRESH = "fresh AS (SELECT * FROM audited a WHERE reason IS NULL AND NOT EXISTS (SELECT 1 FROM seen s WHERE s.endpoint = a.endpoint AND s.remote_run_id = a.run_id))"
 
 
@@ -358,7 +401,8 @@ FRESH = "fresh AS (SELECT * FROM audited a WHERE reason IS NULL AND NOT EXISTS (
   CASE WHEN {DONE} THEN passed END AS passed, CASE WHEN {DONE} THEN failed END AS failed,
   CASE WHEN status = 'failed' THEN execution_error END AS execution_error FROM fresh""")
 def import_new_runs(t: Tables) -> DataFrame:
-    fresh = sync.new_runs(_audited(t), _bundle(t, "seen"))
+    seen = _bundle(t, "seen")
+    fresh = sync.new_runs(_audited(t, seen), seen)
     rows = sync.imported_rows(fresh, _bundle(t, "remote_errors"), "sync")
     results = rows["results"].select("run_id", "passed", "failed")
     rule = rows["receipts"].select(F.col("local_run_id").alias("run_id"), "rule_key")
@@ -372,7 +416,8 @@ def import_new_runs(t: Tables) -> DataFrame:
 @query("import_evidence", f"""{ALL_SQL}, {FRESH} SELECT concat(f.endpoint, '/', f.run_id) AS run_id, rule_id, local_version AS rule_version,
   record_id, field_name, field_value, error_message FROM fresh f JOIN remote_errors e ON e.run_id = f.run_id WHERE f.status = 'completed'""")
 def import_evidence(t: Tables) -> DataFrame:
-    fresh = sync.new_runs(_audited(t), _bundle(t, "seen"))
+    seen = _bundle(t, "seen")
+    fresh = sync.new_runs(_audited(t, seen), seen)
     return sync.imported_rows(fresh, _bundle(t, "remote_errors"), "sync")["evidence"].select(
         "run_id", "rule_id", "rule_version", "record_id", "field_name", "field_value", "error_message"
     )

@@ -1,16 +1,153 @@
-"""Incremental form of the run import: bundles are imported as they arrive, each run once.
+"""Incremental form of the run import: runs are imported as they and their evidence arrive, each once.
 
-The receipts decide what is new, so replaying a batch after a failure adds nothing.
+Runs, results and errors land as Parquet files in any order. A run whose evidence, link or definition is not there yet waits and is
+looked at again with every later arrival; one that can never pass is kept with the reason. Imported runs move tickets in
+the order of their start.
+
+Every batch reads the state of the batches before it and writes its own part under its number, so a batch that is repeated
+after a failure writes the same rows again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from assayline.operators import sync
+from assayline.errors import DataQualityError
+from assayline.operators import sync, tickets
+from assayline.operators.skew import only
+from assayline.session import cut_lineage
+
+RUN = (
+    "endpoint string, run_id string, rule_key string, revision string, payload string, started_at string, completed_at string, "
+    "status string, source_version bigint, execution_error string, reference_versions string"
+)
+RESULT = "endpoint string, run_id string, passed bigint, failed bigint, field_name string"
+ERROR = "endpoint string, run_id string, record_id string, field_name string, field_value string, error_message string"
+LANDING = {"runs": RUN, "results": RESULT, "errors": ERROR}
+ISSUES = "array<struct<rule_id:string,description:string,version:string,message:string>>"
+STATE = {
+    "runs": "run_id string, table_name string, username string, mode string, status string, started_at timestamp, completed_at timestamp, "
+            f"rules_requested int, rules_completed int, execution_errors {ISSUES}",
+    "results": "run_id string, rule_id bigint, rule_version string, field_name string, passed bigint, failed bigint, executed_at timestamp",
+    "evidence": "run_id string, rule_id bigint, rule_version string, record_id string, field_name string, field_value string, "
+                "test_result int, error_message string, executed_at timestamp, target_table string",
+    "receipts": "endpoint string, remote_run_id string, local_run_id string, source_version bigint, rule_key string, revision string, "
+                "reference_versions string, started_at timestamp",
+    "refused": f"{RUN}, reason string",
+    "waiting": f"{RUN}, reason string",
+    "tickets": tickets.TICKET,
+}
+# Added to by every batch; the others are replaced by it.
+GROWING = ("runs", "results", "evidence", "receipts", "refused")
+
+
+class RunFeed:
+    """Imports what lands under ``landing`` (folders runs, results, errors) into tables under ``state``.
+
+    ``links`` and ``versions`` give the present bindings and definitions (see ``sync``), ``loads`` the newest load per table.
+    """
+
+    def __init__(
+        self, spark: SparkSession, landing: str, state: str, links: Callable[[], DataFrame], versions: Callable[[], DataFrame],
+        loads: Callable[[], DataFrame], actor: str = "sync",
+    ):
+        self.spark, self.landing, self.state = spark, landing.rstrip("/"), state.rstrip("/")
+        self.links, self.versions, self.loads, self.actor = links, versions, loads, actor
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.state).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def start(self) -> StreamingQuery:
+        """Take in everything that has landed since, and stop."""
+        for name in LANDING:
+            self._files.mkdirs(self._path(f"{self.landing}/{name}"))
+        arriving = None
+        for name, schema in LANDING.items():
+            rows = self.spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.landing}/{name}")
+            # Of results and errors only the arrival matters here: they are read with the runs they belong to.
+            run = F.struct(*rows.columns) if name == "runs" else F.lit(None).cast(f"struct<{self._fields(RUN)}>")
+            part = rows.select(run.alias("run"))
+            arriving = part if arriving is None else arriving.unionByName(part)
+        return (
+            arriving.writeStream.foreachBatch(self._import).option("checkpointLocation", f"{self.state}/progress")
+            .trigger(availableNow=True).start()
+        )
+
+    def advance(self, seconds: float | None = None) -> None:
+        """``start`` and wait for the end."""
+        query = self.start()
+        if seconds is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(seconds):
+            query.stop()
+            raise DataQualityError(f"The import took more than {seconds} seconds.")
+
+    def retry(self) -> None:
+        """Look at the waiting runs again although nothing has landed, for instance after a link was made."""
+        self._import(self.spark.createDataFrame([], f"run struct<{self._fields(RUN)}>"), self._last() + 1, manual=True)
+
+    def table(self, name: str) -> DataFrame:
+        """A table as the last finished batch left it."""
+        return self._before(name, self._last() + 1)
+
+    def _landed(self, name: str) -> DataFrame:
+        return self.spark.read.schema(LANDING[name]).option("recursiveFileLookup", "true").parquet(f"{self.landing}/{name}")
+
+    @staticmethod
+    def _fields(schema: str) -> str:
+        return ", ".join(f"{name}: {kind}" for name, kind in (part.split() for part in schema.split(", ")))
+
+    def _batches(self) -> list[int]:
+        """Finished batches: their last table is written last."""
+        place = self._path(f"{self.state}/tickets")
+        if not self._files.exists(place):
+            return []
+        names = [s.getPath().getName() for s in self._files.listStatus(place)]
+        return sorted(int(n[6:]) for n in names if n.startswith("batch=") and self._files.exists(self._path(f"{self.state}/tickets/{n}/_SUCCESS")))
+
+    def _last(self) -> int:
+        return max(self._batches(), default=-1)
+
+    def _before(self, name: str, number: int) -> DataFrame:
+        earlier = [n for n in self._batches() if n < number]
+        wanted = earlier if name in GROWING else earlier[-1:]
+        if not wanted:
+            return self.spark.createDataFrame([], STATE[name])
+        return self.spark.read.schema(STATE[name]).parquet(*[f"{self.state}/{name}/batch={n}" for n in wanted])
+
+    def _import(self, batch: DataFrame, stream_number: int, manual: bool = False) -> None:
+        number = stream_number if manual else self._number(stream_number)
+        receipts, waiting = self._before("receipts", number), self._before("waiting", number)
+        arrived = batch.where("run IS NOT NULL").select("run.*")
+        names = arrived.columns
+        candidates = sync.unseen(arrived.unionByName(waiting.select(*names)), receipts)
+        # The same run may arrive again and again while it waits.
+        candidates = cut_lineage(candidates.distinct())
+        keys = candidates.select("endpoint", "run_id")
+        evidence = {name: only(self._landed(name), keys, ["endpoint", "run_id"])
+                    for name in ("results", "errors")}
+        audited = cut_lineage(sync.audit_bundles(candidates, evidence["results"], evidence["errors"], self.links(), self.versions()))
+        fresh = cut_lineage(sync.new_runs(audited, receipts))
+        rows = sync.imported_rows(fresh, evidence["errors"], self.actor)
+        refused = sync.unseen(audited.where("reason IS NOT NULL"), rows["receipts"]).select(*names, "reason")
+        later = F.col("reason").isin(*sync.WAITS)
+        moved = tickets.apply_runs(self._before("tickets", number), sync.ticket_moves(fresh, receipts, self.actor), self.loads())
+        rows |= {"waiting": refused.where(later), "refused": refused.where(~later)}
+        rows["tickets"] = tickets.number_new(moved.drop("action"))
+        for name, frame in rows.items():
+            kept = self.spark.createDataFrame([], STATE[name]).schema
+            frame.select(*[F.col(f.name).cast(f.dataType) for f in kept]).write.mode("overwrite").parquet(f"{self.state}/{name}/batch={number}")
+
+    def _number(self, stream_number: int) -> int:
+        """The batch's place in the state: the stream's own numbers leave room for retries by hand."""
+        place = self._path(f"{self.state}/numbers/stream={stream_number}")
+        if self._files.exists(place):
+            return int(self._files.listStatus(place)[0].getPath().getName()[6:])
+        number = self._last() + 1
+        self._files.mkdirs(self._path(f"{self.state}/numbers/stream={stream_number}/batch={number}"))
+        return number
 
 
 def follow_runs(
@@ -22,20 +159,22 @@ def follow_runs(
     checkpoint: str,
     actor: str,
 ) -> StreamingQuery:
-    """Import every run file that appears under ``runs_path`` and stop when all are done.
+    """Import every run file that appears under ``runs_path`` and stop when all are done, where runs arrive after their evidence.
 
     ``bundle`` gives the present results, errors, links and versions, ``receipts`` what was
     imported so far, ``save`` appends the new rows (under the batch number, so that a
-    repeated batch can be recognised).
+    repeated batch can be recognised). A run that cannot be imported yet is among the rows to save as ``waiting``; see ``RunFeed``
+    for a feed that comes back to it.
     """
     schema = spark.read.parquet(runs_path).schema
     arriving = spark.readStream.schema(schema).parquet(runs_path)
 
     def import_batch(batch: DataFrame, number: int) -> None:
-        tables = bundle()
-        audited = sync.audit_bundles(batch, tables["results"], tables["errors"], tables["links"], tables["versions"])
-        fresh = sync.new_runs(audited, receipts())
-        save(sync.imported_rows(fresh, tables["errors"], actor), number)
+        tables, seen = bundle(), receipts()
+        audited = sync.audit_bundles(sync.unseen(batch, seen), tables["results"], tables["errors"], tables["links"], tables["versions"])
+        audited = cut_lineage(audited)
+        rows = sync.imported_rows(sync.new_runs(audited, seen), tables["errors"], actor)
+        save(rows | {"waiting": audited.where(F.col("reason").isin(*sync.WAITS)).select(*batch.columns, "reason")}, number)
 
     return (
         arriving.writeStream.foreachBatch(import_batch)

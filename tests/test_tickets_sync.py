@@ -395,3 +395,102 @@ def test_the_plan_of_a_batch_does_not_grow_with_it(spark, loads):
         frame = tickets.apply_runs(none, spark.createDataFrame(runs, OUTCOME), loads)
         sizes.append(frame._jdf.queryExecution().optimizedPlan().toString().count("\n"))
     assert sizes[0] == sizes[1]
+
+
+def _feed(spark, tmp_path, tables):
+    from assayline.streaming.run_feed import LANDING, RunFeed
+
+    loads = spark.createDataFrame([("people", "people.csv", "bob")], "table_name string, file_name string, loaded_by string")
+    feed = RunFeed(spark, str(tmp_path / "landing"), str(tmp_path / "state"), lambda: tables["links"], lambda: tables["versions"], lambda: loads)
+
+    def land(name, frame):
+        frame = frame if "endpoint" in frame.columns else frame.withColumn("endpoint", F.lit("e"))
+        schema = spark.createDataFrame([], LANDING[name]).schema
+        frame.select(*[f.name for f in schema]).write.mode("append").parquet(str(tmp_path / "landing" / name))
+        feed.advance(120)
+
+    return feed, land
+
+
+def _state(feed):
+    return (sorted(r.remote_run_id for r in feed.table("receipts").collect()), {r.run_id: r.reason for r in feed.table("waiting").collect()},
+            {r.run_id: r.reason for r in feed.table("refused").collect()})
+
+
+def test_a_run_waits_for_its_evidence(spark, tmp_path):
+    days = {f"r{d}": {"run_id": f"r{d}", "started_at": f"2026-09-0{d}T08:00:00+00:00", "completed_at": f"2026-09-0{d}T09:00:00+00:00"} for d in (1, 2, 3)}
+    tables = bundle(spark, [*days.values(), {"run_id": "bad", "revision": "x"}])
+    feed, land = _feed(spark, tmp_path, tables)
+    feed.advance(120)  # nothing has landed
+    assert _state(feed) == ([], {}, {})
+    runs = tables["runs"]
+    land("runs", runs.where("run_id IN ('r1', 'r3', 'bad')"))
+    assert _state(feed) == ([], dict.fromkeys(("r1", "r3"), "run summary is incomplete"), {"bad": "checksum mismatch"})
+    land("results", tables["results"].where("run_id <> 'r2'"))
+    assert _state(feed)[1] == dict.fromkeys(("r1", "r3"), "error rows do not match the summary")
+    land("errors", tables["errors"].where("run_id = 'r3'"))
+    assert _state(feed)[:2] == (["r3"], {"r1": "error rows do not match the summary"})
+    (ticket,) = feed.table("tickets").collect()
+    assert (ticket.ticket_id, ticket.status, ticket.latest_run_id, ticket.severity, ticket.imported_by) == (1, "new", "e/r3", "medium", "bob")
+    land("errors", tables["errors"].where("run_id <> 'r3'"))  # r1 is complete now, but late for the ticket
+    assert _state(feed)[:2] == (["r1", "r3"], {})
+    assert [r.latest_run_id for r in feed.table("tickets").collect()] == ["e/r3"]
+    land("runs", runs.where("run_id IN ('r1', 'r2')"))  # r1 again: it has its receipt
+    assert _state(feed)[:2] == (["r1", "r3"], {"r2": "run summary is incomplete"})
+    land("results", tables["results"].where("run_id = 'r2'"))
+    assert _state(feed)[:2] == (["r1", "r2", "r3"], {})
+    assert feed.table("runs").count() == feed.table("results").count() == feed.table("evidence").count() == 3
+
+
+def test_a_repeated_batch_writes_the_same_again(spark, tmp_path):
+    tables = bundle(spark, [{"run_id": "r1"}, {"run_id": "r2", "status": "failed", "execution_error": "boom"}])
+    feed, land = _feed(spark, tmp_path, tables)
+    land("results", tables["results"])
+    land("errors", tables["errors"])
+    land("runs", tables["runs"])
+    number = feed._last()
+    stream = next(n for n in range(20) if feed._number(n) == number)
+    rows = tables["runs"].select(F.struct(*tables["runs"].columns).alias("run"))
+    for _ in range(2):
+        feed._import(rows, stream)
+    assert feed._last() == number and _state(feed) == (["r1", "r2"], {}, {})
+    assert feed.table("evidence").count() == 1 and feed.table("tickets").count() == 1
+
+
+def test_a_link_made_later_frees_waiting_runs(spark, tmp_path):
+    tables = bundle(spark, [{}])
+    links, tables["links"] = tables["links"], tables["links"].limit(0)
+    feed, land = _feed(spark, tmp_path, tables)
+    for name in ("results", "errors", "runs"):
+        land(name, tables[name])
+    assert _state(feed)[1] == {"r1": "rule is not linked"}
+    tables["links"] = links
+    feed.retry()
+    assert _state(feed) == (["r1"], {}, {}) and feed.table("tickets").count() == 1
+    land("runs", tables["runs"])  # the stream goes on after a retry by hand
+    assert _state(feed) == (["r1"], {}, {}) and feed.table("runs").count() == 1
+
+
+def test_order_of_keys_and_escapes_of_a_payload_do_not_matter(spark):
+    import json
+
+    body = json.loads(payload(description="Größe \u0001 \"x\" / \\\\"))
+    known = fingerprint.canonical(body)
+    turned = json.dumps(dict(reversed(body.items())), ensure_ascii=True, indent=1)
+    tables = bundle(spark, [{"run_id": "a", "payload": known}, {"run_id": "b", "payload": turned}, {"run_id": "c", "payload": known[:-1] + ',"active":true}'}])
+    tables["versions"] = spark.createDataFrame([("name-check", fingerprint.revision(body), "1.0", turned)], tables["versions"].schema)
+    assert reasons(tables) == {"a": None, "b": None, "c": "checksum mismatch"}
+
+
+def test_local_ids_of_different_runs_differ(spark):
+    pairs = [("a/b", "c"), ("a", "b/c"), ("a%2Fb", "c"), ("e", "r1")]
+    frame = spark.createDataFrame(pairs, "endpoint string, run_id string").select(sync.local_run_id(F.col("endpoint"), F.col("run_id")).alias("id"))
+    ids = [r["id"] for r in frame.collect()]
+    assert len(set(ids)) == 4 and ids[3] == "e/r1"
+
+
+def test_foreign_evidence_of_another_endpoint_is_found(spark):
+    tables = bundle(spark, [{}])
+    named = {n: tables[n].withColumn("endpoint", F.lit("f")) for n in ("results", "errors")}
+    found = sync.orphan_evidence(tables["runs"], named["results"], named["errors"]).collect()
+    assert [(r.endpoint, r.run_id) for r in found] == [("f", "r1")]
