@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from xxhash import xxh3_64_intdigest
 
-from assayline.llm.common import mixed, rolling, shared, shared_value, texts, written
+from assayline.llm.common import lean, mixed, rolling, shared, shared_value, texts, written
 
 WORD = re.compile(r"\w+")
 GRAM, BASE = 3, 0x9E3779B97F4A7C15
@@ -265,4 +265,4 @@ def _search(docs: DataFrame, sent) -> DataFrame:
             column = pa.array([[*old, *new] for old, new in zip(before, found)], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], batch.schema.names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], *T.StructType.fromDDL(LEAKS).fields]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields[:-1], *T.StructType.fromDDL(LEAKS).fields]))

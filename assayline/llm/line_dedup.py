@@ -28,7 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from assayline.llm.common import Memo, hash64, lists, mixed, signed, text_key, texts, word_hashes, written
+from assayline.llm.common import Memo, hash64, lean, lists, mixed, signed, text_key, texts, word_hashes, written
 
 STEPS = (2, 8)  # parts per line in the coarse steps
 WORDS_AT_ONCE, LINES_AT_ONCE = 300_000, 5000  # hashed together
@@ -122,7 +122,7 @@ def _lines(docs: DataFrame, least_words: int, near_words: int) -> DataFrame:
             if row:
                 yield hashed(batch, row, number, size, pending)
 
-    return docs.mapInArrow(emit, "doc_id long, tk long, line int, h1 long, h2 long, words int, keys array<long>")
+    return docs.mapInArrow(lean(emit), "doc_id long, tk long, line int, h1 long, h2 long, words int, keys array<long>")
 
 
 def _parts(lines: DataFrame, parts: int) -> DataFrame:
@@ -140,7 +140,7 @@ def _parts(lines: DataFrame, parts: int) -> DataFrame:
                     [signed(made.keys.ravel()), some.column("node").take(pa.array(owner)), pa.array(made.starts.ravel(), pa.int32()),
                      pa.array(made.ends.ravel(), pa.int32())], ["key", "node", "start", "end"])
 
-    return lines.mapInArrow(emit, "key long, node long, start int, end int")
+    return lines.mapInArrow(lean(emit), "key long, node long, start int, end int")
 
 
 def _variants(lines: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def _variants(lines: DataFrame) -> DataFrame:
                     [signed(np.concatenate(ones)), signed(np.concatenate(twos)), batch.column("node").take(pa.array(np.concatenate(owners)))],
                     ["k1", "k2", "node"])
 
-    return lines.mapInArrow(emit, "k1 long, k2 long, node long")
+    return lines.mapInArrow(lean(emit), "k1 long, k2 long, node long")
 
 
 def within_one_edit(one: list, other: list) -> bool:
@@ -183,7 +183,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
             good = [within_one_edit(a.lower().split(), b.lower().split()) for a, b in zip(texts(batch, "line"), texts(batch, "earlier"))]
             yield batch.select(["node"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.mapInArrow(check, "node long")
+    return pairs.mapInArrow(lean(check), "node long")
 
 
 def _order(doc_id: str = "doc_id") -> Column:
@@ -226,7 +226,7 @@ def packed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(f.name) for f in fields), pa.array(values, pa.binary())], [*(f.name for f in fields), "packed"])
 
-    return docs.mapInArrow(pack, T.StructType([*fields, T.StructField("packed", T.BinaryType())]))
+    return docs.mapInArrow(lean(pack), T.StructType([*fields, T.StructField("packed", T.BinaryType())]))
 
 
 def repeated_lines(docs: DataFrame, least_words: int = 3, near_words: int = 8) -> DataFrame:
@@ -294,5 +294,5 @@ def deduplicate_lines(docs: DataFrame, least_words: int = 3, near_words: int = 8
                 ["row", "text", "n_lines", "n_removed"])
 
     kind = T.StructType([marked.schema["row"], *T.StructType.fromDDL("text string, n_lines long, n_removed long").fields])
-    return marked.mapInArrow(cut, kind).select(
+    return marked.mapInArrow(lean(cut), kind).select(
         *[F.col("text") if n == "text" else F.col("row")[n].alias(n) for n in names], "n_lines", "n_removed")

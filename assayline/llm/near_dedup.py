@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from assayline.llm.common import Memo, hash64, lists, mixed, text_key, texts, word_hashes, written
+from assayline.llm.common import Memo, hash64, lean, lists, mixed, text_key, texts, word_hashes, written
 
 FIRST_BANDS = 4  # the first round looks at so many bands only, which joins most copies cheaply
 
@@ -82,7 +82,7 @@ def _signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame
                 ["doc_id", "tk", "n", "c1", "c2", "keys"],
             )
 
-    return docs.mapInArrow(sign, "doc_id long, tk long, n long, c1 long, c2 long, keys array<long>")
+    return docs.mapInArrow(lean(sign), "doc_id long, tk long, n long, c1 long, c2 long, keys array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -92,7 +92,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             found = [shingle_set(text, width, memo) for text in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), lists(found, pa.int64())], ["node", "shingles"])
 
-    return docs.mapInArrow(build, "node long, shingles array<long>")
+    return docs.mapInArrow(lean(build), "node long, shingles array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from assayline.llm.common import Memo, text_key, texts, written
+from assayline.llm.common import Memo, lean, text_key, texts, written
 
 RANK_GROUP = 50_000  # pieces of one length ranked together in a task
 RANK_BITS = 48
@@ -78,7 +78,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int)
                 ["doc_id", "tk", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.mapInArrow(encode, "doc_id long, tk long, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInArrow(lean(encode), "doc_id long, tk long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from assayline.llm.common import Memo, shared, shared_value, texts
+from assayline.llm.common import Memo, lean, shared, shared_value, texts
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, max_
         yield pa.RecordBatch.from_arrays(
             [pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["weights", "bias"])
 
-    learned = sample.repartition(1).sortWithinPartitions("doc_id").select("text", "toxic").mapInArrow(learn, "weights binary, bias double").collect()
+    learned = sample.repartition(1).sortWithinPartitions("doc_id").select("text", "toxic").mapInArrow(lean(learn), "weights binary, bias double").collect()
     if not learned:  # no partition at all
         return fit([])
     return ToxicityModel(np.frombuffer(learned[0]["weights"], np.float32), learned[0]["bias"])
@@ -221,4 +221,4 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> Data
                 [*batch.schema.names, *extra])
 
     added = T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in extra.items()))
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *added.fields]))
