@@ -105,21 +105,46 @@ def differences(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+# Buckets of the two levels of a comparison. Their product bounds the list of differing buckets that is broadcast: a million pairs of numbers.
+BUCKETS, FINER = 4096, 256
+
+
 def tables_equal(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row: rows on each side, rows only on one side, and the verdict."""
+    """One row: rows on each side, rows only on one side, and the verdict.
+
+    Rows fall into buckets by a hash, and a bucket is its number of rows and the exact sums of two 64-bit row hashes, combined
+    before the shuffle. Only in buckets that differ are rows told apart by a second hash, and only in the differing ones of these
+    are whole rows compared. Equal tables are read and digested; none of their rows moves.
+    """
     if [(f.name, f.dataType) for f in before.schema] != [(f.name, f.dataType) for f in after.schema]:
         raise SchemaRefused("The tables have different columns.")
     names = before.columns
-    counted = before.select(*names, F.lit(1).alias("_b"), F.lit(0).alias("_a")).unionAll(
-        after.select(*names, F.lit(0).alias("_b"), F.lit(1).alias("_a"))
-    )
-    per_row = counted.groupBy(*map(column, names)).agg(F.sum("_b").alias("b"), F.sum("_a").alias("a"))
-    summed = per_row.agg(
-        F.coalesce(F.sum("b"), F.lit(0)).alias("rows_before"),
-        F.coalesce(F.sum("a"), F.lit(0)).alias("rows_after"),
-        F.coalesce(F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))), F.lit(0)).alias("only_before"),
-        F.coalesce(F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))), F.lit(0)).alias("only_after"),
-    )
+    row = [column(name) for name in names]
+    both = before.select(*row, F.lit(1).alias("_b"), F.lit(0).alias("_a")).unionAll(after.select(*row, F.lit(0).alias("_b"), F.lit(1).alias("_a")))
+    hashed = both.select(
+        "*", F.xxhash64(*row).alias("_x"), F.xxhash64(F.lit(1), *row).alias("_y")
+    ).withColumns({"_bucket": F.pmod("_x", F.lit(BUCKETS)), "_finer": F.pmod("_y", F.lit(FINER))})
+
+    def digests(rows: DataFrame, *by: str) -> DataFrame:
+        sign = F.col("_b") - F.col("_a")
+        return rows.groupBy(*by).agg(
+            F.sum("_b").alias("b"), F.sum("_a").alias("a"), *[F.sum(F.col(h).cast("decimal(38,0)") * sign).alias(h) for h in ("_x", "_y")])
+
+    apart = (F.col("b") != F.col("a")) | (F.col("_x") != 0) | (F.col("_y") != 0)
+    coarse = digests(hashed, "_bucket")
+    suspects = hashed.join(F.broadcast(coarse.where(apart).select("_bucket")), "_bucket", "left_semi")
+    finer = digests(suspects, "_bucket", "_finer").where(apart).select("_bucket", "_finer")
+    moved = suspects.join(F.broadcast(finer), ["_bucket", "_finer"], "left_semi").groupBy(*row).agg(F.sum("_b").alias("b"), F.sum("_a").alias("a"))
+
+    def total(value: Column, name: str) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0)).cast("bigint").alias(name)
+
+    zero = F.lit(0).cast("bigint")
+    sizes = coarse.select("b", "a", zero.alias("only_b"), zero.alias("only_a"))
+    rest = moved.select(
+        zero.alias("b"), zero.alias("a"), F.greatest(F.col("b") - F.col("a"), zero).alias("only_b"), F.greatest(F.col("a") - F.col("b"), zero).alias("only_a"))
+    summed = sizes.unionAll(rest).agg(
+        total(F.col("b"), "rows_before"), total(F.col("a"), "rows_after"), total(F.col("only_b"), "only_before"), total(F.col("only_a"), "only_after"))
     return summed.withColumn("equal", (F.col("only_before") == 0) & (F.col("only_after") == 0))
 
 

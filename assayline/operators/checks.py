@@ -34,6 +34,8 @@ class Check:
     severity: str = "medium"
     rule_type: str = ""
     requires: tuple[str, ...] = dataclass_field(default=())
+    # Where the number of failing records follows from counts per key: table -> one row with ``failed``, without looking records up.
+    tally: Callable[[DataFrame], DataFrame] | None = None
 
     def named(self, rule_id, description, message="", **more) -> Check:
         return replace(self, rule_id=rule_id, description=description, message=message, **more)
@@ -157,7 +159,17 @@ def unique(*fields: str, ignore_case: bool = True, **named) -> Check:
     def passes(frame: DataFrame, fact: str) -> Column:
         return present(frame) & column(fact).isNull()
 
-    return Check(fields[0], passes, prepare, rule_type="uniqueness", requires=tuple(fields), **named)
+    def tally(table: DataFrame) -> DataFrame:
+        # Long texts travel as their SHA-256; records without a key are one group of their own.
+        made = []
+        for i, name in enumerate(fields):
+            value = comparable(table, name)
+            text = isinstance(table.schema[name].dataType, T.StringType)
+            made.append(F.when(present(table), F.when(F.octet_length(value) > 64, F.sha2(value, 256)).otherwise(value) if text else value).alias(f"_k{i}"))
+        per_key = table.select(*made).groupBy(*[f"_k{i}" for i in range(len(fields))]).agg(F.count(F.lit(1)).alias("_n"))
+        return per_key.agg(F.coalesce(F.sum(F.when(F.col("_k0").isNull() | (F.col("_n") > 1), F.col("_n"))), F.lit(0)).alias("failed"))
+
+    return Check(fields[0], passes, prepare, rule_type="uniqueness", requires=tuple(fields), tally=tally, **named)
 
 
 def cross_reference(spec: CrossReference, reference: DataFrame, **named) -> Check:

@@ -6,7 +6,7 @@ the caller's new table version. Requests arrive in batches, at most one per rule
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -18,6 +18,7 @@ from assayline.operators.evaluate import analyse, message_column
 from assayline.operators.loading import number_rows
 from assayline.operators.skew import attach, without
 from assayline.operators.suite import COMPLETED, FAILED, PARTIAL, RUNNING
+from assayline.session import cut_lineage
 
 RULE_FIELDS = ("description", "rule_type", "target_table", "error_message", "sql_query", "severity")
 
@@ -46,11 +47,23 @@ def _invalid_request() -> list[tuple[Column, str]]:
     ]
 
 
-def create_rules(rules: DataFrame, requests: DataFrame, at: datetime) -> tuple[DataFrame, DataFrame]:
+# Gives the highest number that was ever used and sets ``count`` numbers above it aside; see ``TableStore.reserve``.
+Reserve = Callable[[int, int], int]
+
+
+def _numbered(rules: DataFrame, fresh: DataFrame, reserve: Reserve | None) -> DataFrame:
+    """New rules with numbers. With ``reserve`` a number is never used again, not even after its rule was deleted."""
+    top = rules.agg(F.max("rule_id")).first()[0] or 0
+    if reserve is not None:
+        fresh = cut_lineage(fresh)  # so that as many rows are numbered as numbers are set aside
+        top = reserve(fresh.count(), top)
+    return number_rows(fresh, "rule_id", top)
+
+
+def create_rules(rules: DataFrame, requests: DataFrame, at: datetime, reserve: Reserve | None = None) -> tuple[DataFrame, DataFrame]:
     """(registry with the accepted requests at version 1.0, refused requests with reasons)."""
     judged = requests.withColumn("refused", _refusal(*_invalid_request()))
-    top = rules.agg(F.max("rule_id")).first()[0] or 0
-    accepted = number_rows(judged.where("refused IS NULL").drop("refused"), "rule_id", top)
+    accepted = _numbered(rules, judged.where("refused IS NULL").drop("refused"), reserve)
     fresh = accepted.withColumns(
         {"version": F.lit("1.0"), "status": F.lit("ACTIVE"), "created_at": F.lit(at)}
     )
@@ -172,7 +185,7 @@ def registry_diff(rules: DataFrame, definitions: DataFrame) -> DataFrame:
 
 
 def import_rules(
-    rules: DataFrame, definitions: DataFrame, actor: str, at: datetime
+    rules: DataFrame, definitions: DataFrame, actor: str, at: datetime, reserve: Reserve | None = None
 ) -> tuple[DataFrame, DataFrame, dict[str, int]]:
     """(registry, new history rows, counts). One refused definition refuses the whole batch."""
     check_definitions(definitions)
@@ -189,8 +202,7 @@ def import_rules(
     values["activated_at"] = F.when(hit & (F.col("_new.status") == "ACTIVE"), F.lit(at)).otherwise(F.col("activated_at"))
     after = kept.withColumns(values).select(*rules.columns)
     fresh = diff.where("action = 'created'").select("rule_key", "_new.*").drop("rule_id")
-    top = rules.agg(F.max("rule_id")).first()[0] or 0
-    created = number_rows(fresh, "rule_id", top).withColumns({"version": F.lit("1.0"), "created_at": F.lit(at)})
+    created = _numbered(rules, fresh, reserve).withColumns({"version": F.lit("1.0"), "created_at": F.lit(at)})
     summary = {name: counts.get(name, 0) for name in ("created", "updated", "unchanged")}
     return after.unionByName(created, allowMissingColumns=True), history, summary
 

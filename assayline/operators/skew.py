@@ -6,7 +6,9 @@ keep the per-key work on pre-aggregated data and spread the rows themselves.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -33,6 +35,19 @@ def heavy_hashes(rows: DataFrame, keys: Sequence[Column]) -> list[int]:
     return [item["item"] for item in top.first()["top"] or []]
 
 
+_shuffled: ContextVar[bool] = ContextVar("shuffled", default=False)
+
+
+@contextmanager
+def shuffled_route() -> Iterator[None]:
+    """Frames built inside look keys up by shuffled sort-merge joins, whatever Spark estimates or finds at run time."""
+    token = _shuffled.set(True)
+    try:
+        yield
+    finally:
+        _shuffled.reset(token)
+
+
 def plain_columns(frame: DataFrame) -> list[str]:
     """Columns of atomic types: what a row can be told apart by with a hash."""
     nested = (T.MapType, T.ArrayType, T.StructType, T.VariantType)
@@ -60,8 +75,9 @@ def attach(
     """
     on = list(on)
     values = [name for name in keyed.columns if name not in on]
+    forced = _shuffled.get()
     size = planned_bytes(keyed)
-    if size is not None and 0 <= size <= broadcast_limit(rows.sparkSession):
+    if not forced and size is not None and 0 <= size <= broadcast_limit(rows.sparkSession):
         return rows.join(keyed, on, "left").select(*map(column, rows.columns), *map(column, values))
 
     # Hashes depend on the type, so both sides take the type Spark would compare them in.
@@ -92,7 +108,8 @@ def attach(
         F.when(is_heavy | absent, F.xxhash64(*map(column, apart)))
         .otherwise(F.xxhash64(*typed)).alias("_route"),
     )
-    joined = routed.join(F.broadcast(few), join_keys, "left").join(many, [*join_keys, "_route"], "left")
+    joined = routed.join(F.broadcast(few), join_keys, "left").join(
+        many.hint("shuffle_merge") if forced else many, [*join_keys, "_route"], "left")
     return joined.select(
         *map(column, rows.columns),
         *[

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -32,35 +33,48 @@ def kpi(passed: Column, failed_count: Column) -> Column:
 
 @dataclass
 class FusedSuite:
-    """All checks of one table over one prepared frame."""
+    """All checks of one table over one prepared frame.
+
+    ``plain`` is the frame without the facts of checks whose failures are tallied per key; their flags are NULL there.
+    """
 
     frame: DataFrame
     checks: Sequence[Check]
     key: str
     flags: list[Column] = field(default_factory=list)
+    table: DataFrame | None = None
+    plain: DataFrame | None = None
 
     def counts(self) -> DataFrame:
-        """One row per rule. The table is scanned and aggregated once for all rules.
+        """One row per rule. The table is scanned and aggregated once for all rules that look at records.
 
-        Records without an id break the contract of every rule: ``bad_ids`` counts them, and there
-        are no results then.
+        Uniqueness is counted from its keys alone: an aggregate of key counts, no record is joined with its key again. Records
+        without an id break the contract of every rule: ``bad_ids`` counts them, and there are no results then.
         """
-        sums = [F.sum(flag).alias(f"_f{i}") for i, flag in enumerate(self.flags)]
-        once = self.frame.agg(
+        tallied = [i for i, check in enumerate(self.checks) if check.tally is not None and self.plain is not None]
+        frame = self.frame if self.plain is None else self.plain
+        sums = [F.sum(flag).alias(f"_f{i}") for i, flag in enumerate(self.flags) if i not in tallied]
+        once = frame.agg(
             F.count(F.lit(1)).alias("_n"), F.count_if(contract.bad_id(column(self.key))).alias("_bad"), *sums
         )
         lines = [
             F.struct(
+                F.lit(i).alias("_place"),
                 F.lit(check.rule_id).alias("rule_id"),
                 F.lit(check.version).alias("rule_version"),
                 F.lit(check.description).alias("description"),
                 F.lit(check.field).alias("field_name"),
-                F.coalesce(F.col(f"_f{i}"), F.lit(0)).cast("bigint").alias("failed"),
+                (F.lit(None) if i in tallied else F.coalesce(F.col(f"_f{i}"), F.lit(0))).cast("bigint").alias("failed"),
             )
             for i, check in enumerate(self.checks)
         ]
+        rows = once.select("_n", "_bad", F.inline(F.array(*lines)))
+        if tallied:
+            found = [self.checks[i].tally(self.table).select(F.lit(i).alias("_place"), F.col("failed").alias("_tally")) for i in tallied]
+            # One row per rule on either side.
+            rows = rows.join(F.broadcast(reduce(DataFrame.unionAll, found)), "_place", "left").withColumn("failed", F.coalesce("failed", "_tally"))
         sound = F.col("_bad") == 0
-        return once.select("_n", "_bad", F.inline(F.array(*lines))).select(
+        return rows.select(
             "rule_id", "rule_version", "description", "field_name",
             F.when(sound, F.col("_n") - F.col("failed")).alias("passed"), F.when(sound, F.col("failed")).alias("failed"),
             F.col("_bad").alias("bad_ids"),
@@ -100,12 +114,14 @@ def fuse(frame: DataFrame, checks: Sequence[Check], key: str = "id") -> FusedSui
     """Attach each check's per-key fact once, then evaluate all conditions side by side."""
     if not checks:
         raise ValueError("A suite needs at least one check.")
-    prepared = frame
+    prepared = plain = frame
     facts = []
     for position, check in enumerate(checks):
         fact = f"_fact{position}"
         facts.append(fact)
         if check.prepare is not None:
             prepared = check.prepare(prepared, fact, frame, key)
+            if check.tally is None:
+                plain = check.prepare(plain, fact, frame, key)
     flags = [failed(check, prepared, fact) for check, fact in zip(checks, facts)]
-    return FusedSuite(prepared, checks, key, flags)
+    return FusedSuite(prepared, checks, key, flags, frame, plain)

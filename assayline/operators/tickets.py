@@ -5,6 +5,7 @@ There is at most one open ticket per rule and table. Times are timestamps in UTC
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from assayline.functions.text import column
 from assayline.operators.reports import FAILURE_ROWS
 from assayline.operators.skew import attach, running
+from assayline.session import cut_lineage
 
 # Days until a ticket is due, by severity.
 DUE_DAYS = {"low": 7, "medium": 3, "high": 1}
@@ -186,11 +188,19 @@ def apply_runs(tickets: DataFrame, outcomes: DataFrame, loads: DataFrame, bucket
     return moved.unionByName(settled)
 
 
-def number_new(applied: DataFrame) -> DataFrame:
-    """Give new tickets numbers above the highest one."""
-    from assayline.operators.loading import with_ids
+def number_new(applied: DataFrame, reserve: Callable[[int, int], int] | None = None) -> DataFrame:
+    """Give new tickets numbers above the highest one.
 
-    return with_ids(applied, 0, "ticket_id")
+    ``reserve`` (see ``TableStore.reserve``) sets numbers aside, so that none is used again after its ticket is gone.
+    """
+    from assayline.operators.loading import number_rows, with_ids
+
+    if reserve is None:
+        return with_ids(applied, 0, "ticket_id")
+    named = applied.where("ticket_id IS NOT NULL")
+    fresh = cut_lineage(applied.where("ticket_id IS NULL").drop("ticket_id"))
+    last = reserve(fresh.count(), named.agg(F.max("ticket_id")).first()[0] or 0)
+    return named.unionByName(number_rows(fresh, "ticket_id", last).select(*map(column, applied.columns)))
 
 
 def events(applied: DataFrame, outcome: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from assayline.functions.text import text_equal
 from assayline.operators import checks
 from assayline.operators.crossref import CrossReference
 from assayline.operators.evaluate import counts, evaluate, evidence, failures, first_rows
+from assayline.operators.skew import shuffled_route
 from assayline.operators.suite import FusedSuite, fuse, run_status
 from assayline.plans.registry import SQL, Tables, query
 
@@ -437,13 +438,8 @@ def run_status_plan(t: Tables) -> DataFrame:
 # The same checks on the route that lookups take once they outgrow a broadcast.
 
 def _shuffled(t: Tables, build) -> DataFrame:
-    key = "spark.sql.autoBroadcastJoinThreshold"
-    before = t.spark.conf.get(key)
-    t.spark.conf.set(key, "-1")
-    try:
+    with shuffled_route():
         return build(t)
-    finally:
-        t.spark.conf.set(key, before)
 
 
 @query("chk_unique_shuffled", SQL["chk_unique"])
@@ -459,3 +455,8 @@ def xref_exists_shuffled(t: Tables) -> DataFrame:
 @query("run_suite_shuffled", SQL["run_suite"])
 def run_suite_shuffled(t: Tables) -> DataFrame:
     return _shuffled(t, run_suite)
+
+
+@query("run_suite_evidence_shuffled", SQL["run_suite_evidence"])
+def run_suite_evidence_shuffled(t: Tables) -> DataFrame:
+    return _shuffled(t, run_suite_evidence)

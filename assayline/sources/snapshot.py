@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from itertools import chain, count
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -13,38 +15,41 @@ from assayline.sources.datasets import ColumnSpec, check_definition, describe, k
 from assayline.sources.tables import IDENTIFIER, TableStore
 
 
+# Prefix of a name that would begin with a digit or be empty, the name of a source's own id, and what counts as a whole number.
+NUMBERED, FOREIGN_ID, WHOLE = "col_", "source_id", ("BIGINT", "INT", "SMALLINT", "TINYINT")
+
+
 def snapshot_columns(schema: T.StructType, *, preserve_names: bool = False) -> list[ColumnSpec]:
     """Local column names and kinds for a source schema; complex types are refused."""
     if not schema.fields:
-        raise SchemaRefused("Nothing to copy: no columns.")
-    taken: set[str] = set() if preserve_names else {"id"}
-    specs = []
-    for field in schema:
-        kind = "TEXT" if isinstance(field.dataType, (T.NullType, T.CharType, T.VarcharType)) else kind_of(field)
-        if preserve_names:
-            name = field.name
-            if not re.fullmatch(IDENTIFIER, name) or name.lower() in taken:
-                raise SchemaRefused("Source column names must be unique simple identifiers.")
-            if name.lower() == "id" and kind in ("BIGINT", "INT", "SMALLINT", "TINYINT"):
-                kind = "INTEGER"
-        else:
-            name = _free_name(field.name, taken)
-        taken.add(name.lower())
-        specs.append(ColumnSpec(name, kind, source=field.name))
-    return specs
-
-
-def _free_name(original: str, taken: set[str]) -> str:
-    base = re.sub(r"[^A-Za-z0-9_]", "_", original)
-    if not base or base[0].isdigit():
-        base = f"col_{base}"
-    if base.lower() == "id":
-        base = "source_id"
-    name, number = base, 1
-    while name.lower() in taken:
-        number += 1
-        name = f"{base}_{number}"
-    return name
+        raise SchemaRefused("The source has no columns to copy.")
+    untyped = (T.NullType, T.CharType, T.VarcharType)
+    kinds = ["TEXT" if isinstance(field.dataType, untyped) else kind_of(field) for field in schema]
+    originals = [field.name for field in schema]
+    if not preserve_names:
+        return [ColumnSpec(name, kind, source=source) for name, kind, source in zip(local_names(originals), kinds, originals)]
+    folded = [name.lower() for name in originals]
+    odd = sorted({name for name in originals if not re.fullmatch(IDENTIFIER, name) or folded.count(name.lower()) > 1})
+    if odd:
+        raise SchemaRefused(f"Rename these source columns to keep their names (letters, digits, _; each once): {odd}")
+    return [
+        ColumnSpec(name, "INTEGER" if name.lower() == "id" and kind in WHOLE else kind, source=name) for name, kind in zip(originals, kinds)]
+
+
+def local_names(originals: Sequence[str]) -> list[str]:
+    """A plain, unused name for each source column, in order; ``id`` is the local row number's.
+
+    A name made of letters, digits and underscores is kept; a clash takes the lowest free number from 2 on.
+    """
+    used = {"id"}
+    chosen = []
+    for original in originals:
+        plain = "".join(c if c.isascii() and c.isalnum() else "_" for c in original)
+        plain = FOREIGN_ID if plain.lower() == "id" else NUMBERED + plain if plain[:1].isdigit() or not plain else plain
+        candidates = chain([plain], (f"{plain}_{n}" for n in count(2)))
+        chosen.append(next(name for name in candidates if name.lower() not in used))
+        used.add(chosen[-1].lower())
+    return chosen
 
 
 def _renamed(frame: DataFrame, specs: list[ColumnSpec]) -> DataFrame:
@@ -82,11 +87,11 @@ def save_snapshot(
             log = store.history("load_log", LOAD_LOG).where(F.col("table_name") == table)
             last = log.agg(F.max_by("file_name", F.struct("loaded_at", "load_id"))).first()[0]
             if last != reference:
-                raise SchemaRefused("A refresh needs an earlier import from this exact source.")
+                raise SchemaRefused(f"{table} was loaded from another source than {reference}; import it as a new table.")
         if [(c.name, c.kind) for c in describe(current)] != [(c.name, c.kind) for c in describe(saved)]:
             raise SchemaRefused("Local and source columns differ; the table was not changed.")
     version = store.save(table, saved, create=not replace)
-    rows = store.read(table, version).count()
+    rows = store.manifest(table, version)["rows"]
     store.append("load_log", load_entry(store.spark, table, reference, rows, username), load=f"{table}-{version}")
     return rows
 

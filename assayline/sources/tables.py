@@ -1,17 +1,22 @@
 """Immutable table versions and append-only history under one folder.
 
-A thin naming convention over plain parquet writes: every save goes to a new folder, and a
-version counts once Spark has committed it (its ``_SUCCESS`` marker exists). The folder is
-addressed through Hadoop's file system, so it may live on any storage the cluster can use.
+A thin naming convention over plain parquet writes. Data is written once, to a folder no one else knows; it becomes a version by
+the creation of a small manifest under the next free number, which only one writer can create. A manifest names the data, its
+rows, its schema and the time it was published, so a reader can pin all its inputs to one moment. The
+folder is addressed through Hadoop's file system, so it may live on any storage the cluster can use; two writers exclude each other
+as far as that storage creates a file exclusively.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Callable, Sequence
+from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from assayline.errors import DataQualityError, SchemaRefused
 
@@ -40,17 +45,52 @@ class TableStore:
     def _exists(self, path: str) -> bool:
         return self._files.exists(self._path(path))
 
+    # Numbered entries: created once, never changed.
+
+    def _entries(self, place: str) -> list[int]:
+        """Numbers taken in a folder of entries."""
+        folder = self._path(f"{self.root}/{place}")
+        if not self._files.exists(folder):
+            return []
+        names = [status.getPath().getName() for status in self._files.listStatus(folder)]
+        return sorted(int(name[:-5]) for name in names if re.fullmatch(r"\d+\.json", name))
+
+    def _entry(self, place: str, number: int) -> dict:
+        stream = self._files.open(self._path(f"{self.root}/{place}/{number:08d}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode("utf-8"))
+        finally:
+            stream.close()
+
+    def _enter(self, place: str, content: Callable[[int], dict]) -> int:
+        """Create the next entry of a folder; if another writer takes the number, try the one after."""
+        mark = uuid.uuid4().hex
+        while True:
+            number = 1 + max(self._entries(place), default=0)
+            body = json.dumps({**content(number), "writer": mark}, sort_keys=True).encode("utf-8")
+            try:
+                stream = self._files.create(self._path(f"{self.root}/{place}/{number:08d}.json"), False)
+                try:
+                    stream.write(bytearray(body))
+                finally:
+                    stream.close()
+            except Py4JJavaError as error:
+                if "Exist" not in error.java_exception.getClass().getName():
+                    raise
+                continue
+            try:
+                if self._entry(place, number)["writer"] == mark:
+                    return number
+            except ValueError:
+                continue  # another writer is at it
+
     # Datasets: numbered versions.
 
     def dataset_names(self) -> list[str]:
         return [name for name in self._folders(f"{self.root}/datasets") if self.versions(name)]
 
     def versions(self, name: str) -> list[int]:
-        base = f"{self.root}/datasets/{name}"
-        return [
-            int(folder[2:]) for folder in self._folders(base)
-            if re.fullmatch(r"v=\d+", folder) and self._exists(f"{base}/{folder}/_SUCCESS")
-        ]
+        return self._entries(f"datasets/{name}/versions")
 
     def version(self, name: str) -> int:
         found = self.versions(name)
@@ -58,39 +98,93 @@ class TableStore:
             raise DataQualityError(f"Table does not exist: {name}")
         return max(found)
 
-    def read(self, name: str, version: int | None = None) -> DataFrame:
+    def manifest(self, name: str, version: int | None = None) -> dict:
+        """Rows, schema, data folder and publication time of a version."""
         number = self.version(name) if version is None else version
-        return self.spark.read.parquet(f"{self.root}/datasets/{name}/v={number:08d}")
+        if number not in self.versions(name):
+            raise DataQualityError(f"Table {name} has no version {number}")
+        return self._entry(f"datasets/{name}/versions", number)
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        found = self.manifest(name, version)
+        schema = T.StructType.fromJson(found["schema"])
+        return self.spark.read.schema(schema).parquet(f"{self.root}/datasets/{name}/data/{found['data']}")
+
+    def as_of(self, moment: datetime, names: Sequence[str] | None = None) -> dict[str, int]:
+        """The version of each dataset that was current at a moment (UTC); datasets that did not exist yet are left out."""
+        at = moment.replace(tzinfo=timezone.utc) if moment.tzinfo is None else moment
+        pinned = {}
+        for name in self.dataset_names() if names is None else names:
+            for number in reversed(self.versions(name)):
+                if datetime.fromisoformat(self.manifest(name, number)["published_at"]) <= at:
+                    pinned[name] = number
+                    break
+        return pinned
 
     def save(self, name: str, frame: DataFrame, *, create: bool = False) -> int:
-        """Write a new version; it becomes current when the write has committed."""
-        if not re.fullmatch(IDENTIFIER, name):
-            raise SchemaRefused(f"Not a valid table name: {name}")
-        existing = self._folders(f"{self.root}/datasets/{name}")
-        if create and self.versions(name):
-            raise SchemaRefused(f"Table already exists: {name}")
-        number = 1 + max((int(folder[2:]) for folder in existing), default=0)
-        frame.write.mode("errorifexists").parquet(f"{self.root}/datasets/{name}/v={number:08d}")
-        return number
+        """Write a new version; it becomes current when its manifest exists."""
+        return self._commit(name, frame, create=create)
 
     def publish(
         self, name: str, frame: DataFrame, expected_rows: int, *, replace: bool = False,
         cancelled: Callable[[], bool] | None = None,
     ) -> int:
-        """Stage, verify the row count, then make it the table; never replace silently."""
+        """Write once, verify what was written, then make exactly that the table; never replace silently."""
         if self.versions(name) and not replace:
-            raise SchemaRefused(f"Table already exists: {name}; ask for replacement explicitly.")
-        stage = self.stage(frame)
-        staged = self.read_stage(stage)
+            raise SchemaRefused(f"Table {name} is there already; pass replace=True to replace it.")
+        return self._commit(name, frame, create=not replace, expected=expected_rows, cancelled=cancelled)
+
+    def _commit(
+        self, name: str, frame: DataFrame, *, create: bool, expected: int | None = None, cancelled: Callable[[], bool] | None = None
+    ) -> int:
+        if not re.fullmatch(IDENTIFIER, name):
+            raise SchemaRefused(f"Not a valid table name: {name}")
+        if create and self.versions(name):
+            raise SchemaRefused(f"Table {name} is there already.")
+        folder = uuid.uuid4().hex
+        path = f"{self.root}/datasets/{name}/data/{folder}"
         try:
-            actual = staged.count()
-            if actual != expected_rows:
-                raise DataQualityError(f"Staged {actual} rows instead of {expected_rows}; nothing was published.")
+            frame.write.mode("errorifexists").parquet(path)
+            written = self.spark.read.schema(frame.schema).parquet(path)
+            rows = written.count()  # from the files' footers
+            if expected is not None and rows != expected:
+                raise DataQualityError(f"{rows} rows were written and {expected} announced; the table stays as it was.")
             if cancelled is not None and cancelled():
-                raise DataQualityError("Cancelled; nothing was published.")
-            return self.save(name, staged)
-        finally:
-            self.drop_stage(stage)
+                raise DataQualityError("Stopped on request; the table stays as it was.")
+
+            def content(number: int) -> dict:
+                if create and number > 1:
+                    raise SchemaRefused(f"Table {name} is there already.")
+                return {
+                    "data": folder, "rows": rows, "schema": json.loads(written.schema.json()),
+                    "published_at": datetime.now(timezone.utc).isoformat(),
+                }
+
+            return self._enter(f"datasets/{name}/versions", content)
+        except Exception:
+            self._files.delete(self._path(path), True)
+            raise
+
+    # Registers: numbers given out once.
+
+    def reserve(self, register: str, count: int, at_least: int = 0) -> int:
+        """The highest number given out before; the ``count`` numbers above it now belong to the caller.
+
+        ``at_least`` is a number known to be in use, such as the highest id of a table that is older than its register.
+        """
+        before = {}
+
+        def content(number: int) -> dict:
+            taken = self._entry(f"registers/{register}", number - 1)["highest"] if number > 1 else 0
+            before["highest"] = max(taken, at_least)
+            return {"highest": before["highest"] + count}
+
+        self._enter(f"registers/{register}", content)
+        return before["highest"]
+
+    def highest(self, register: str) -> int:
+        taken = self._entries(f"registers/{register}")
+        return self._entry(f"registers/{register}", taken[-1])["highest"] if taken else 0
 
     def high_water(self, name: str, key: str = "id") -> int:
         """Highest whole-number key any version ever had, so that keys are never used twice.

@@ -127,3 +127,34 @@ def test_accent_insensitive_equality(spark):
     got = [r[0] for r in frame.select(text_equal(F.col("a"), F.col("b"))).collect()]
     assert got == [same for _, _, same in pairs]
     assert frame.groupBy(accent_key(F.col("b"))).count().count() == len(pairs)
+
+
+def _plan(frame):
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_shuffled_route_merges_whatever_the_sizes(spark):
+    from assayline.operators.skew import shuffled_route
+
+    frame = spark.range(9000).selectExpr("id", "id % 3000 AS k", "cast(id % 6000 AS string) AS word")
+    reference = spark.range(0, 3000, 2).selectExpr("id AS k")  # more keys than are looked up on their own
+    suite_ = [checks.unique("k", "word").named(1, "u"), checks.cross_reference(CrossReference("known", (("k", "k"),)), reference).named(2, "x")]
+    plain = suite.fuse(frame, suite_)
+    with shuffled_route():
+        forced = suite.fuse(frame, suite_)
+    for one, other in ((plain.counts(), forced.counts()), (plain.evidence(), forced.evidence())):
+        assert sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+        assert "SortMergeJoin" in _plan(other).split("Initial Plan")[0]
+    assert _plan(forced.evidence()).split("Initial Plan")[0].count("SortMergeJoin") == 2
+
+
+def test_uniqueness_is_counted_without_a_join(spark):
+    rows = [(i, None if i % 11 == 0 else " " if i % 7 == 0 else ("Long " * 40 if i % 5 == 0 else "long " * 40) + str(i % 30), i % 4) for i in range(200)]
+    frame = spark.createDataFrame(rows, "id int, word string, n int")
+    fused = suite.fuse(frame, [checks.unique("word").named(1, "a"), checks.unique("word", "n").named(2, "b"), checks.unique("id").named(3, "c")])
+    counted = {r.rule_id: r.failed for r in fused.counts().collect()}
+    assert counted == {1: fused.evidence().where("rule_id = 1").count(), 2: fused.evidence().where("rule_id = 2").count(), 3: 0}
+    plan = fused.counts()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # of one row per rule with one row per tally
+    assert suite.fuse(frame.limit(0), [checks.unique("word").named(1, "a")]).counts().first()["failed"] == 0

@@ -143,7 +143,7 @@ def test_snapshot_is_saved_and_refreshed_only_from_its_source(spark, store):
     rows = sorted(tuple(r) for r in store.read("people").fillna("<null>").fillna(-1).collect())
     assert [r[0] for r in rows] == [1, 2, 3] and sorted(r[1:] for r in rows) == [(-1, "<null>"), (7, ""), (7, "Ada")]
     assert snapshot.save_snapshot(store, source.limit(1), "people", "ref-1", "ann", replace=True) == 1
-    with pytest.raises(SchemaRefused, match="exact source"):
+    with pytest.raises(SchemaRefused, match="another source"):
         snapshot.save_snapshot(store, source, "people", "ref-2", "ann", replace=True)
     with pytest.raises(SchemaRefused, match="differ"):
         snapshot.save_snapshot(store, source.withColumn("x", F.lit(1)), "people", "ref-1", "ann", replace=True)
@@ -165,7 +165,7 @@ def test_publish_verifies_rows_and_never_replaces_silently(spark, store):
     store.publish("t", frame, 5)
     with pytest.raises(SchemaRefused):
         store.publish("t", frame, 5)
-    with pytest.raises(Exception, match="Staged 5"):
+    with pytest.raises(Exception, match="5 rows were written"):
         store.publish("t", frame, 6, replace=True)
     with pytest.raises(Exception, match="Cancelled"):
         store.publish("t", frame, 5, replace=True, cancelled=lambda: True)
