@@ -128,23 +128,23 @@ def tables_equal(before: DataFrame, after: DataFrame) -> DataFrame:
     def digests(rows: DataFrame, *by: str) -> DataFrame:
         sign = F.col("_b") - F.col("_a")
         return rows.groupBy(*by).agg(
-            F.sum("_b").alias("b"), F.sum("_a").alias("a"), *[F.sum(F.col(h).cast("decimal(38,0)") * sign).alias(h) for h in ("_x", "_y")])
+            F.sum("_b").alias("_nb"), F.sum("_a").alias("_na"), *[F.sum(F.col(h).cast("decimal(38,0)") * sign).alias(h) for h in ("_x", "_y")])
 
-    apart = (F.col("b") != F.col("a")) | (F.col("_x") != 0) | (F.col("_y") != 0)
+    apart = (F.col("_nb") != F.col("_na")) | (F.col("_x") != 0) | (F.col("_y") != 0)
     coarse = digests(hashed, "_bucket")
     suspects = hashed.join(F.broadcast(coarse.where(apart).select("_bucket")), "_bucket", "left_semi")
     finer = digests(suspects, "_bucket", "_finer").where(apart).select("_bucket", "_finer")
-    moved = suspects.join(F.broadcast(finer), ["_bucket", "_finer"], "left_semi").groupBy(*row).agg(F.sum("_b").alias("b"), F.sum("_a").alias("a"))
+    moved = suspects.join(F.broadcast(finer), ["_bucket", "_finer"], "left_semi").groupBy(*row).agg(F.sum("_b").alias("_nb"), F.sum("_a").alias("_na"))
 
     def total(value: Column, name: str) -> Column:
         return F.coalesce(F.sum(value), F.lit(0)).cast("bigint").alias(name)
 
     zero = F.lit(0).cast("bigint")
-    sizes = coarse.select("b", "a", zero.alias("only_b"), zero.alias("only_a"))
+    sizes = coarse.select("_nb", "_na", zero.alias("only_b"), zero.alias("only_a"))
     rest = moved.select(
-        zero.alias("b"), zero.alias("a"), F.greatest(F.col("b") - F.col("a"), zero).alias("only_b"), F.greatest(F.col("a") - F.col("b"), zero).alias("only_a"))
+        zero.alias("_nb"), zero.alias("_na"), F.greatest(F.col("_nb") - F.col("_na"), zero).alias("only_b"), F.greatest(F.col("_na") - F.col("_nb"), zero).alias("only_a"))
     summed = sizes.unionAll(rest).agg(
-        total(F.col("b"), "rows_before"), total(F.col("a"), "rows_after"), total(F.col("only_b"), "only_before"), total(F.col("only_a"), "only_after"))
+        total(F.col("_nb"), "rows_before"), total(F.col("_na"), "rows_after"), total(F.col("only_b"), "only_before"), total(F.col("only_a"), "only_after"))
     return summed.withColumn("equal", (F.col("only_before") == 0) & (F.col("only_after") == 0))
 
 

@@ -282,3 +282,31 @@ def definition_changes(t: Tables) -> DataFrame:
         "history_id", "rule_id", "version", "changed", F.array_join("added", ";").alias("added"),
         F.array_join("removed", ";").alias("removed"),
     )
+
+
+# Older texts: some had a join more, some lacked their first line, some said the condition twice.
+OLDER = """CASE WHEN history_id % 4 = 0 THEN replace({text}, '|WHERE', '|JOIN u|WHERE') WHEN history_id % 4 = 1 THEN substr({text}, 10)
+  WHEN history_id % 4 = 2 THEN concat({text}, '|', {text}) ELSE {text} END"""
+
+
+@query("definition_diff", f"""WITH {cte("rules", "history")},
+  old AS (SELECT history_id, rule_id, json_extract_string(TRY_CAST(rule_params AS JSON), '$.sql_query') AS text FROM history),
+  sides AS (SELECT old.history_id, old.rule_id, string_split(text, '|') AS o, string_split(sql_query, '|') AS n
+    FROM old JOIN rules ON rules.rule_id = old.rule_id WHERE text IS NOT NULL),
+  parts AS (SELECT *, history_id % 4 AS form, o[3] = n[3] AS same, '-' || o[1] || ';-' || o[2] || ';-' || o[3] AS again FROM sides)
+  SELECT history_id, rule_id, CASE form
+    WHEN 0 THEN ' ' || o[1] || '; ' || o[2] || ';-JOIN u;' || CASE WHEN same THEN ' ' || o[3] ELSE '-' || o[3] || ';+' || n[3] END
+    WHEN 1 THEN '+' || n[1] || '; ' || o[2] || ';' || CASE WHEN same THEN ' ' || o[3] ELSE '-' || o[3] || ';+' || n[3] END
+    WHEN 2 THEN ' ' || o[1] || '; ' || o[2] || ';' || CASE WHEN same THEN ' ' || o[3] || ';' || again
+      ELSE '-' || o[3] || ';' || again || ';+' || n[3] END
+    ELSE ' ' || o[1] || '; ' || o[2] || ';' || CASE WHEN same THEN ' ' || o[3] ELSE '-' || o[3] || ';+' || n[3] END END AS changes,
+    CAST(CASE WHEN same THEN 0 ELSE 1 END + CASE form WHEN 1 THEN 1 ELSE 0 END AS INTEGER) AS added,
+    CAST(CASE WHEN same THEN 0 ELSE 1 END + CASE form WHEN 0 THEN 1 WHEN 2 THEN 3 ELSE 0 END AS INTEGER) AS removed FROM parts""")
+def definition_diff(t: Tables) -> DataFrame:
+    text = library.archived_params(F.col("rule_params"))["sql_query"]
+    old = frame(t, "history").select("history_id", "rule_id", text.alias("sql_query")).where("sql_query IS NOT NULL")
+    old = old.withColumn("sql_query", F.replace(F.expr(OLDER.format(text="sql_query")), F.lit("|"), F.lit("\n")))
+    rules = frame(t, "rules").withColumn("sql_query", F.replace("sql_query", F.lit("|"), F.lit("\n")))
+    sign = F.create_map(*[F.lit(x) for pair in (("kept", " "), ("added", "+"), ("removed", "-")) for x in pair])
+    lines = F.transform("changes", lambda change: F.concat(sign[change["kind"]], change["line"]))
+    return library.definition_diff(rules, old).select("history_id", "rule_id", F.array_join(lines, ";").alias("changes"), "added", "removed")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+import time
 import uuid
 from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 
 from assayline.errors import DataQualityError, SchemaRefused
 
+ENTRY_TRIES = 200  # of 0.05 seconds
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
 
 
@@ -47,26 +49,33 @@ class TableStore:
 
     # Numbered entries: created once, never changed.
 
-    def _entries(self, place: str) -> list[int]:
-        """Numbers taken in a folder of entries."""
+    def _entries(self, place: str, *, finished: bool = True) -> list[int]:
+        """Numbers in a folder of entries; one whose writer is still at it is taken, but not there yet."""
         folder = self._path(f"{self.root}/{place}")
         if not self._files.exists(folder):
             return []
-        names = [status.getPath().getName() for status in self._files.listStatus(folder)]
-        return sorted(int(name[:-5]) for name in names if re.fullmatch(r"\d+\.json", name))
+        found = [(status.getPath().getName(), status.getLen()) for status in self._files.listStatus(folder)]
+        return sorted(int(name[:-5]) for name, size in found if re.fullmatch(r"\d+\.json", name) and (size or not finished))
 
     def _entry(self, place: str, number: int) -> dict:
-        stream = self._files.open(self._path(f"{self.root}/{place}/{number:08d}.json"))
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode("utf-8"))
-        finally:
-            stream.close()
+        """An entry's content, once its writer has finished."""
+        path = self._path(f"{self.root}/{place}/{number:08d}.json")
+        for _ in range(ENTRY_TRIES):
+            stream = self._files.open(path)
+            try:
+                text = bytes(stream.readAllBytes()).decode("utf-8")
+            finally:
+                stream.close()
+            if text:
+                return json.loads(text)
+            time.sleep(0.05)
+        raise DataQualityError(f"Entry {number} of {place} was never finished; remove {path} if no writer is at it.")
 
     def _enter(self, place: str, content: Callable[[int], dict]) -> int:
         """Create the next entry of a folder; if another writer takes the number, try the one after."""
         mark = uuid.uuid4().hex
         while True:
-            number = 1 + max(self._entries(place), default=0)
+            number = 1 + max(self._entries(place, finished=False), default=0)
             body = json.dumps({**content(number), "writer": mark}, sort_keys=True).encode("utf-8")
             try:
                 stream = self._files.create(self._path(f"{self.root}/{place}/{number:08d}.json"), False)
@@ -78,11 +87,8 @@ class TableStore:
                 if "Exist" not in error.java_exception.getClass().getName():
                     raise
                 continue
-            try:
-                if self._entry(place, number)["writer"] == mark:
-                    return number
-            except ValueError:
-                continue  # another writer is at it
+            if self._entry(place, number)["writer"] == mark:
+                return number
 
     # Datasets: numbered versions.
 

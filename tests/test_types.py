@@ -137,3 +137,40 @@ def test_conversion_of_cells_reports_all_issues(spark):
     assert [(r[0], r[1]) for r in loading.cell_issues(converted, "_row").orderBy("_row", "column_name").collect()] == [
         (3, "num"), (3, "txt"), (4, "num")
     ]
+
+
+def test_equal_tables_move_no_rows(spark):
+    frame = spark.range(5000).selectExpr("id % 700 AS a", "concat('x', id % 13) AS b", "cast(id % 3 AS double) AS c")
+    found = audits.tables_equal(frame, frame)
+    assert tuple(found.first()) == (5000, 5000, 0, 0, True)
+    plan = found._jdf.queryExecution().executedPlan()
+    found.collect()
+    final = plan.toString().split("Initial Plan")[0]
+    assert "hashpartitioning(a" not in final  # whole rows are a key of no exchange that ran
+    other = frame.withColumn("c", F.when(F.col("a") == 5, F.lit(9.0)).otherwise(F.col("c")))
+    moved = frame.where("a = 5 AND c <> 9").count()
+    assert tuple(audits.tables_equal(frame, other).first()) == (5000, 5000, moved, moved, False)
+    assert tuple(audits.tables_equal(frame.limit(0), other).first()) == (0, 5000, 0, 5000, False)
+    assert tuple(audits.tables_equal(frame.limit(0), frame.limit(0)).first()) == (0, 0, 0, 0, True)
+
+
+def test_line_diff_is_a_longest_common_subsequence(spark):
+    import random
+
+    from assayline.operators.library import line_diff
+
+    pick = random.Random(4)
+    pairs = [(None, "a"), ("a", None), ("", ""), ("a", "a"), ("a\nb", "b"), ("a", "a\na"), (None, None), ("x\ny\nz", "p\nq")]
+    for _ in range(120):
+        old = [pick.choice("abcde") for _ in range(pick.randrange(9))]
+        new = [pick.choice("abcde") for _ in range(pick.randrange(9))] if pick.random() < 0.4 else [c for c in old if pick.random() < 0.8] + ["e"] * pick.randrange(2)
+        pairs.append(("\n".join(old), "\n".join(new)))
+    frame = spark.createDataFrame(list(enumerate(pairs)), "n int, p struct<o: string, n: string>").repartition(4)
+    for row in frame.select("p", line_diff(F.col("p.o"), F.col("p.n")).alias("d")).collect():
+        a, b = ([] if text is None else text.split("\n") for text in (row.p.o, row.p.n))
+        assert [c.line for c in row.d if c.kind != "added"] == a and [c.line for c in row.d if c.kind != "removed"] == b
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in reversed(range(len(a))):
+            for j in reversed(range(len(b))):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        assert sum(c.kind == "kept" for c in row.d) == best[0][0]
