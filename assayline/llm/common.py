@@ -9,6 +9,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -59,7 +60,13 @@ def lean(function):
 
 
 def text_key(text: Column) -> Column:
-    """CRC32 of a text's UTF-8 bytes; tells rows apart that share an id but not a text (null: -1)."""
+    """64-bit hash of a text; tells rows apart that share an id, or have none, but not a text (null: -1)."""
+    return F.when(text.isNull(), F.lit(-1)).otherwise(F.xxhash64(text))
+
+
+def short_text_key(text: Column) -> Column:
+    """``text_key`` in 32 bits (CRC32), where it travels with every anchor: two different texts of one id, or without an id, are taken
+    for one with a chance of 2**-32 a pair."""
     return F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(-1))
 
 
@@ -134,6 +141,19 @@ def texts(batch: pa.RecordBatch, name: str | int = "text") -> list[bytes | None]
     return batch.column(name).cast(pa.binary()).to_pylist()
 
 
+def portions(batches, name: str | int = "text", limit: int = 4 << 20):
+    """The batches in slices of at most ``limit`` bytes of a string column each (or one longer row)."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(sizes, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = int(upto[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(upto, before + limit, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     """A list column from one array per row."""
     offsets = np.zeros(len(values) + 1, np.int32)

@@ -23,8 +23,9 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from xxhash import xxh3_64_intdigest
 
-from assayline.llm.common import Memo, hash64, lean, lists, mixed, text_key, texts, word_hashes, written
+from assayline.llm.common import Memo, lean, lists, mixed, portions, text_key, texts, word_hashes, written
 
 FIRST_BANDS = 4  # the first round looks at so many bands only, which joins most copies cheaply
 
@@ -66,8 +67,8 @@ class Sketch:
 
 def _signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, sketch, none = Memo(hash64), Sketch(bands, rows), np.zeros(0, np.uint64)
-        for batch in batches:
+        memo, sketch, none = Memo(xxh3_64_intdigest), Sketch(bands, rows), np.zeros(0, np.uint64)
+        for batch in portions(batches):
             sizes, first, second, keys = [], [], [], []
             for text in texts(batch):
                 found = shingle_set(text, width, memo)
@@ -87,8 +88,8 @@ def _signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(hash64)
-        for batch in batches:
+        memo = Memo(xxh3_64_intdigest)
+        for batch in portions(batches):
             found = [shingle_set(text, width, memo) for text in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), lists(found, pa.int64())], ["node", "shingles"])
 

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from assayline.llm.common import Memo, lean, text_key, texts, written
+from assayline.llm.common import Memo, lean, portions, text_key, texts, written
 
 RANK_GROUP = 50_000  # pieces of one length ranked together in a task
 RANK_BITS = 48
@@ -56,7 +56,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int)
             return np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
         memo, end, step = Memo(chunk_ids, WORDS_KEPT), np.array([end_id], "<u4").tobytes(), 4 * capacity
-        for batch in batches:
+        for batch in portions(batches):
             rows, piece, length, crc = [], [], [], []
             for row, text in enumerate(texts(batch)):
                 memo.trim()

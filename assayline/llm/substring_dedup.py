@@ -24,7 +24,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from assayline.llm.common import Memo, hash64, rolling, signed, text_key, texts, word_hashes
+from assayline.llm.common import Memo, hash64, rolling, short_text_key, signed, texts, word_hashes
 
 # {0, 1, 4, 14, 16} is a perfect difference set: its 20 differences are all residues of 21 but 0.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -185,7 +185,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     width = window - PERIOD + 1
     if width < 5:
         raise ValueError(f"a window needs at least {PERIOD + 4} words")
-    docs = docs.select("doc_id", "text").withColumn("tk", text_key(F.col("text")))
+    docs = docs.select("doc_id", "text").withColumn("tk", short_text_key(F.col("text")))
     keys = ["id_key", "no_id", "tk"]  # a null id meets a null id
 
     def keyed(frame: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from assayline.llm.common import Memo, lean, shared, shared_value, texts
+from assayline.llm.common import Memo, lean, portions, shared, shared_value, texts
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -38,6 +38,7 @@ SPAN = 40
 PASSAGE = 64
 BINS = 1 << 18
 LEAST_DOCS = 8  # features of fewer training documents carry no weight
+PAIRS = 100_000  # pairs of document and word whose features are counted at once
 
 
 @dataclass(frozen=True)
@@ -127,11 +128,14 @@ def _documents_per_feature(token, owner, feature, word_at, per_word) -> np.ndarr
     pair = np.unique(owner * base + token)  # one (document, word) each
     document, word = pair // base, pair % base
     counts = np.zeros(BINS, np.int64)
-    for at in range(0, len(pair), 1_000_000):  # in parts, to keep memory small
-        d, w = document[at: at + 1_000_000], word[at: at + 1_000_000]
+    begins = np.flatnonzero(np.diff(document, prepend=-1))
+    # In parts of whole documents, to keep memory small: each begins with the first document past PAIRS pairs.
+    cuts = np.unique(np.searchsorted(begins, np.arange(0, len(pair), PAIRS)))
+    edges = [*begins[cuts[cuts < len(begins)]].tolist(), len(pair)]
+    for at, end in zip(edges, edges[1:]):
+        d, w = document[at:end], word[at:end]
         inside = np.arange(per_word[w].sum()) - np.repeat(np.cumsum(per_word[w]) - per_word[w], per_word[w])
         features = feature[np.repeat(word_at[w], per_word[w]) + inside]
-        # A document split between two parts counts twice at most once per part; the threshold is coarse.
         seen = np.unique(np.repeat(d, per_word[w]) * BINS + features)
         counts += np.bincount(seen % BINS, minlength=BINS)
     return counts
@@ -190,7 +194,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> Data
         known = shared_value(sent)
         weights, bias, least = known.weights, known.bias, -math.log1p(-threshold)
         memo = Memo(lambda word: float(weights[word_features(word)].sum()))
-        for batch in batches:
+        for batch in portions(batches, place):
             scores, flags, places = [], [], []
             for data in texts(batch, place):
                 memo.trim()
