@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from xxhash import xxh3_64_intdigest
 
-from assayline.llm.common import Memo, hash64, lean, lists, mixed, signed, text_key, texts, word_hashes, written
+from assayline.llm.common import Memo, lean, lists, mixed, portions, signed, text_key, texts, word_hashes, written
 
 STEPS = (2, 8)  # parts per line in the coarse steps
 WORDS_AT_ONCE, LINES_AT_ONCE = 300_000, 5000  # hashed together
@@ -96,7 +97,7 @@ def coarse(ids: np.ndarray, size: np.ndarray, parts: int) -> Coarse:
 
 def _lines(docs: DataFrame, least_words: int, near_words: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, none = Memo(hash64), np.zeros(0, np.uint64)
+        memo, none = Memo(xxh3_64_intdigest), np.zeros(0, np.uint64)
 
         def hashed(batch, row, number, size, words) -> pa.RecordBatch:
             sizes, owner = np.array(size, np.int64), pa.array(row, pa.int64())
@@ -106,7 +107,7 @@ def _lines(docs: DataFrame, least_words: int, near_words: int) -> DataFrame:
                  pa.array(size, pa.int32()), lists([k if n >= near_words else none for k, n in zip(made.keys, size)], pa.int64())],
                 ["doc_id", "tk", "line", "h1", "h2", "words", "keys"])
 
-        for batch in batches:
+        for batch in portions(batches):
             row, number, size, pending = [], [], [], []
             for at, text in enumerate(texts(batch)):
                 for line_number, line in enumerate((text or b"").split(b"\n")):
@@ -128,7 +129,7 @@ def _lines(docs: DataFrame, least_words: int, near_words: int) -> DataFrame:
 def _parts(lines: DataFrame, parts: int) -> DataFrame:
     """(key, node, start, end) per left-out part of each line."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(hash64)
+        memo = Memo(xxh3_64_intdigest)
         for batch in batches:
             for at in range(0, batch.num_rows, LINES_AT_ONCE):
                 some = batch.slice(at, LINES_AT_ONCE)
@@ -146,7 +147,7 @@ def _parts(lines: DataFrame, parts: int) -> DataFrame:
 def _variants(lines: DataFrame) -> DataFrame:
     """(k1, k2, node) for every variant of the parts (``gaps``) of each line."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(hash64)
+        memo = Memo(xxh3_64_intdigest)
         for batch in batches:
             owners, ones, twos = [], [], []
             gaps = batch.column("gaps").to_pylist()
@@ -221,7 +222,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in portions(batches):
             values = [None if text is None else small.compress(text) for text in texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(f.name) for f in fields), pa.array(values, pa.binary())], [*(f.name for f in fields), "packed"])

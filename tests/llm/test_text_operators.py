@@ -482,6 +482,25 @@ def test_edit_bound_leaves_a_triple():
         assert edits <= 0.2 * words and -(-(words - edits) // (edits + 1)) >= 3
 
 
+# rows without an id of their own
+
+ALIKE = ("fgdef feeac ecdcc fdagc bgggf fbchf gdaed hggch", "ggefe aebge bedad adhdh hheeg bdaad bbghe efabd")  # equal CRC32
+
+
+def test_texts_of_equal_crc_without_ids_stay_apart(spark):
+    import zlib
+
+    assert zlib.crc32(ALIKE[0].encode()) == zlib.crc32(ALIKE[1].encode())
+    texts = [ALIKE[0] + "\n" + ALIKE[0], ALIKE[1], *ALIKE]
+    docs = frame(spark, texts, [None] * 4)
+    lines = {(r.n_lines, r.n_removed) for r in line_dedup.deduplicate_lines(docs.where(F.col("text").isin(*ALIKE))).collect()}
+    assert lines == {(1, 0)}
+    groups = near_dedup.near_duplicates(docs, words=2).collect()
+    assert len({r.text_key for r in groups}) == 3 and len(groups) == 4
+    counted = recurrent_lm.score(docs, usable=F.lit(True)).collect()
+    assert sorted(r.n_tokens for r in counted) == [9, 9, 9, 17]
+
+
 # language model
 
 

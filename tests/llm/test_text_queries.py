@@ -75,20 +75,22 @@ ODD = [
     (2, "", "en", None, 0), (3, "same words here again and again for everyone", "en", "s", 44), (3, "same words here again and again for everyone", "en", "s", 44),
     (4, "same words here again and again for everyone", "en", "s", 44), (5, " \n\t ", "en", "s", 4), (6, "w " * 40_000, "en", "s", 80_000),
 ]
-FIELDS = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int, leaks int, row string, packed string"
+FIELDS = "doc_id long, text string, lang string, source string, n_chars long, score double, shard int, leaks int, row string, packed string, n_lines long, toxic string, carried int, lines string"
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, empty and long texts, repeated rows, and extra columns whose names operators use themselves."""
-    return written(spark.createDataFrame([(*row, 0.5, 9, 9, "r", "p") for row in ODD], FIELDS), "odd")
+    return written(spark.createDataFrame([(*row, 0.5, 9, 7, "r", "p", 8, "mine", 6, "l") for row in ODD], FIELDS), "odd")
 
 
 def test_stages_take_odd_rows(spark, odd):
     docs, counts = odd, []
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = written(stage(spark, docs, FOLDER), "test-odd")
-        assert docs.columns == odd.columns
+        assert docs.columns == odd.columns and docs.dtypes == odd.dtypes
+        own = docs.select("score", "shard", "leaks", "row", "packed", "n_lines", "toxic", "carried", "lines").distinct().collect()
+        assert [tuple(r) for r in own] == [(0.5, 9, 7, "r", "p", 8, "mine", 6, "l")]
         counts.append(docs.count())
     # The copies lose their line; row 3 stays twice through line dedup and once after near-duplicates.
     assert counts[0] == counts[1] == len(ODD) and counts[2] == len(ODD) - 1
