@@ -18,12 +18,12 @@ from assayline.llm.queries import table, tokenizer_file
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below 0.5; the model learns from the labels outside the held-out fifth."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), usable=remainder(F.col("doc_id"), 5) != 0)
-    return toxicity.score(docs, model).where("toxic = 0").select(*_columns(docs))
+    return _returned(toxicity.score(_carried(docs), model).where("toxic = 0"), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat an earlier line: any line but a blank one if equal, one of eight words and more up to one word."""
-    cleaned = line_dedup.deduplicate_lines(docs, least_words=1).select(*_columns(docs))
+    cleaned = _returned(line_dedup.deduplicate_lines(_carried(docs), least_words=1), docs)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned
@@ -47,8 +47,8 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
-    marked = decontamination.mark_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return marked.where(F.size("leaks") == 0).select(*_columns(docs))
+    marked = decontamination.mark_leaks(_carried(docs), table(spark, sf_dir, "benchmark"))
+    return _returned(marked.where(F.size("leaks") == 0), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +60,20 @@ def _columns(docs: DataFrame) -> list:
     return [F.col(f"`{name}`") for name in docs.columns]
 
 
+OWN = ("doc_id", "text")
+
+
+def _carried(docs: DataFrame) -> DataFrame:
+    """Id and text for an operator, all other columns in one, so that none meets a column the operator adds."""
+    rest = [F.col(f"`{name}`") for name in docs.columns if name not in OWN]
+    return docs.select(*OWN, F.struct(*rest, F.lit(True).alias("_")).alias("carried"))
+
+
+def _returned(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` as they were, with the text as it is in ``rows``."""
+    return rows.select(*[F.col(name) if name in OWN else F.col("carried")[name].alias(name) for name in docs.columns])
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("line dedup", drop_repeated_lines),
