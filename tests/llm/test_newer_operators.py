@@ -125,7 +125,7 @@ def fertility_rows():
     made = [(1, None, "en", "s", 0), (2, "", None, "s", 0), (3, " \n\t", "", "s", 0), (None, "a few words but no id at all in this one here", None, "s", 1),
             (4, "line one here\nline two here\nline one here\n\n\nline one here\n line one here", "en", "s", 1), (5, "x" * 200_000, "en", "s", 1),
             (6, "same five words again now " * 40, "en", "s", 1), (6, "same five words again now " * 40, "en", "s", 1),
-            (7, "日本語 の 文 です。 " * 3 + "漢字 かな 交じり の 例 文 を ここ に 置く", None, "s", 1), (8, "Это простой русский текст из десяти слов для проверки письма", None, "s", 1)]
+            (7, "日本語 の 文 です。 漢字 かな 交じり の 例 文 を ここ に 置く", None, "s", 1), (8, "Это простой русский текст из десяти слов для проверки письма", None, "s", 1)]
     made += [(100 + i, prose(pick, pick.randrange(60, 300)), pick.choice(["en", "en", None]), "s", 1) for i in range(60)]
     made += [(300 + i, " ".join("#$%&*"[pick.randrange(5)] * 3 + w.upper() for w in prose(pick, 150).split()), "en", "s", 1) for i in range(5)]
     return made
