@@ -61,3 +61,16 @@ def check_totals(row) -> tuple[int, int]:
     if row["bad_ids"]:
         raise ContractError(f"{row['bad_ids']} rows have an empty id")
     return row["checked"] - row["failed"], row["failed"]
+
+
+def violations(output: DataFrame) -> DataFrame:
+    """The rows of a rule output that break the contract, with ``reason``: what to look for when ``check_totals`` refuses a rule.
+
+    A row with an empty id and a wrong flag is listed for its id. One pass, no shuffle.
+    """
+    reason = F.when(bad_id(column("id")), F.lit("empty id")).when(
+        bad_flag(column(FLAG)), F.concat(F.lit("dq_check is "), F.coalesce(column(FLAG).cast("string"), F.lit("missing"))))
+    field = output_field(output.schema, strict=False)
+    return output.select(
+        column("id").cast("string").alias("record_id"), column(field).cast("string").alias("field_value"), reason.alias("reason")
+    ).where("reason IS NOT NULL")

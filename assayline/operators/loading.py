@@ -104,9 +104,10 @@ def duplicate_ids(frame: DataFrame, key: str = "id") -> DataFrame:
 def upsert(target: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
     """Target rows with the batch applied: matching ids take the batch's columns, others append.
 
-    Columns the batch does not have keep their value. Both sides are unique by key.
+    Columns the batch does not have keep their value. Both sides are unique by key. The batch is written once, so that
+    each of its uses sees the same rows, whatever it takes to compute them.
     """
-    arriving = batch.select(
+    arriving = cut_lineage(batch).select(
         column(key).alias("_key"),
         F.struct(*[column(n) for n in batch.columns if n != key] or [F.lit(1).alias("_none")]).alias("_new"),
         F.lit(True).alias("_present"),

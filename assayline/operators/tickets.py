@@ -289,5 +289,16 @@ def ticket_failures(tickets: DataFrame, evidence: DataFrame, ticket_id, limit: i
     return failed.select("record_id", "field_name", "field_value", "error_message").orderBy("record_id").limit(limit)
 
 
+def open_failures(tickets: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Failing records of the run that last failed each open ticket: what is left to repair, over all tickets.
+
+    Evidence is the large side and may hold one rule's records for the most part; the tickets' keys are attached to it.
+    """
+    wanted = tickets.where(is_open(F.col("status"))).groupBy(F.col("failure_run_id").alias("run_id"), "rule_id").agg(F.max("ticket_id").alias("ticket_id"))
+    failed = evidence.where("test_result = 1").withColumns({key: column(key).cast(wanted.schema[key].dataType) for key in ("run_id", "rule_id")})
+    found = attach(failed, wanted, ["run_id", "rule_id"], row_id=["record_id", "field_name"])
+    return found.where("ticket_id IS NOT NULL").select("ticket_id", "rule_id", "record_id", "field_name", "field_value", "error_message")
+
+
 def ticket_history(log: DataFrame, ticket_id) -> DataFrame:
     return log.where(F.col("ticket_id") == ticket_id).orderBy("created_at")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("check_plans", "report_plans", "import_plans", "registry_plans", "stored_plans")
+MODULES = ("check_plans", "report_plans", "import_plans", "registry_plans", "stored_plans", "change_plans")
 
 
 def _load() -> None:
