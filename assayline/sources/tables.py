@@ -10,6 +10,7 @@ as far as that storage creates a file exclusively.
 from __future__ import annotations
 
 import json
+import os
 import re
 import time
 import uuid
@@ -71,21 +72,43 @@ class TableStore:
             time.sleep(0.05)
         raise DataQualityError(f"Entry {number} of {place} was never finished; remove {path} if no writer is at it.")
 
+    def _create_once(self, path: str, body: bytes) -> bool:
+        """Create a file that must not be there yet; False where another writer was faster.
+
+        A distributed file system creates files exclusively itself. Hadoop's local one does not, but a hard link does.
+        """
+        if self._files.getScheme() == "file":
+            target = self._path(path).toUri().getPath()
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            draft = os.path.join(os.path.dirname(target), f".{uuid.uuid4().hex}")
+            with open(draft, "xb") as file:
+                file.write(body)
+            try:
+                os.link(draft, target)
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(draft)
+        try:
+            stream = self._files.create(self._path(path), False)
+            try:
+                stream.write(bytearray(body))
+            finally:
+                stream.close()
+            return True
+        except Py4JJavaError as error:
+            if "Exist" not in error.java_exception.getClass().getName():
+                raise
+            return False
+
     def _enter(self, place: str, content: Callable[[int], dict]) -> int:
         """Create the next entry of a folder; if another writer takes the number, try the one after."""
         mark = uuid.uuid4().hex
         while True:
             number = 1 + max(self._entries(place, finished=False), default=0)
             body = json.dumps({**content(number), "writer": mark}, sort_keys=True).encode("utf-8")
-            try:
-                stream = self._files.create(self._path(f"{self.root}/{place}/{number:08d}.json"), False)
-                try:
-                    stream.write(bytearray(body))
-                finally:
-                    stream.close()
-            except Py4JJavaError as error:
-                if "Exist" not in error.java_exception.getClass().getName():
-                    raise
+            if not self._create_once(f"{self.root}/{place}/{number:08d}.json", body):
                 continue
             if self._entry(place, number)["writer"] == mark:
                 return number
