@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from xxhash import xxh3_64_intdigest
 
-from assayline.llm.common import Memo, lean, lists, mixed, portions, signed, text_key, texts, word_hashes, written
+from assayline.llm.common import Memo, lean, mixed, portions, signed, text_key, texts, word_hashes, written
 
 STEPS = (2, 8)  # parts per line in the coarse steps
 WORDS_AT_ONCE, LINES_AT_ONCE = 300_000, 5000  # hashed together
@@ -97,14 +97,16 @@ def coarse(ids: np.ndarray, size: np.ndarray, parts: int) -> Coarse:
 
 def _lines(docs: DataFrame, least_words: int, near_words: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, none = Memo(xxh3_64_intdigest), np.zeros(0, np.uint64)
+        memo = Memo(xxh3_64_intdigest)
 
         def hashed(batch, row, number, size, words) -> pa.RecordBatch:
             sizes, owner = np.array(size, np.int64), pa.array(row, pa.int64())
             made = coarse(word_hashes(words, memo), sizes, STEPS[0])
+            long_enough = sizes >= near_words
+            offsets = np.concatenate([[0], np.cumsum(long_enough * made.keys.shape[1])]).astype(np.int32)
             return pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(owner), batch.column("tk").take(owner), pa.array(number, pa.int32()), signed(made.h1), signed(made.h2),
-                 pa.array(size, pa.int32()), lists([k if n >= near_words else none for k, n in zip(made.keys, size)], pa.int64())],
+                 pa.array(size, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), signed(made.keys[long_enough].ravel()))],
                 ["doc_id", "tk", "line", "h1", "h2", "words", "keys"])
 
         for batch in portions(batches):
@@ -191,8 +193,8 @@ def _order(doc_id: str = "doc_id") -> Column:
     return F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("doc_id"), F.col("tk"), F.col("line"))
 
 
-def _pick_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, words, line): the text of wanted lines (node, doc_id, tk, line)."""
+def _pick_lines(store: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, line): the text of wanted lines (node, doc_id, tk, line) out of packed texts."""
     kind = pa.list_(pa.struct([("line", pa.int32()), ("node", pa.int64())]))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +210,7 @@ def _pick_lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     by_doc = wanted.groupBy(F.coalesce("doc_id", F.lit(0)).alias("id_key"), F.col("doc_id").isNull().alias("no_id"), "tk").agg(
         F.collect_set(F.struct("line", "node")).alias("picks"))
-    return _keyed(docs).join(by_doc, ["id_key", "no_id", "tk"]).select("packed", "picks").mapInArrow(
+    return store.join(by_doc, ["id_key", "no_id", "tk"]).select("packed", "picks").mapInArrow(
         pick, "node long, line string").dropDuplicates(["node"])
 
 
@@ -230,8 +232,11 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(lean(pack), T.StructType([*fields, T.StructField("packed", T.BinaryType())]))
 
 
-def repeated_lines(docs: DataFrame, least_words: int = 3, near_words: int = 8) -> DataFrame:
-    """(doc_id, tk, lines): numbers (from 0) of the lines that repeat an earlier line; documents without any are absent."""
+def repeated_lines(docs: DataFrame, store: DataFrame, least_words: int = 3, near_words: int = 8) -> DataFrame:
+    """(doc_id, tk, lines): numbers (from 0) of the lines that repeat an earlier line; documents without any are absent.
+
+    ``store`` holds the same texts packed, see ``deduplicate_lines``.
+    """
     docs = docs.select("doc_id", "text").withColumn("tk", text_key(F.col("text")))
     lines = written(_lines(docs, least_words, near_words), "lines")
     classes = written(
@@ -241,7 +246,7 @@ def repeated_lines(docs: DataFrame, least_words: int = 3, near_words: int = 8) -
     shared = entries.groupBy("key").agg(F.count("*").alias("holders")).where("holders > 1").select("key")
     hopeful = entries.join(shared, "key", "left_semi").select("node").distinct()
     wanted = classes.join(hopeful, "node", "left_semi").select("node", "first.doc_id", "first.tk", "first.line")
-    texts_of = written(_pick_lines(packed(docs.where(F.col("text").isNotNull())), wanted), "line-texts")
+    texts_of = written(_pick_lines(store.where("packed IS NOT NULL"), wanted), "line-texts")
 
     parts = _parts(texts_of, STEPS[1])
     again = parts.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
@@ -270,10 +275,12 @@ def deduplicate_lines(docs: DataFrame, least_words: int = 3, near_words: int = 8
     Input columns of these names are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
-    gone = repeated_lines(docs, least_words, near_words)
     names = docs.columns
     keyed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names if n != "text"]).alias("row"), "text", F.col("doc_id"), text_key(F.col("text")).alias("tk"))
-    marked = _keyed(packed(keyed)).join(
+    # Packed once: the texts are looked at again for lines that may be alike, and for the result.
+    store = written(_keyed(packed(keyed)), "packed-texts")
+    gone = repeated_lines(docs, store, least_words, near_words)
+    marked = store.drop("doc_id").join(
         _keyed(gone).drop("doc_id"), ["id_key", "no_id", "tk"], "left").select("row", "packed", "lines")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
