@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from assayline.functions.text import column, percent_text
@@ -185,68 +187,82 @@ def definition_changes(rules: DataFrame, versions: DataFrame) -> DataFrame:
 LINE_CHANGE = "array<struct<kind: string, line: string>>"
 
 
-def line_diff(old: Column, new: Column) -> Column:
-    """The lines of two texts in order, each ``kept``, ``removed`` or ``added``: a longest common subsequence, removals first.
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used: it is bound to the variable of a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    ``LINE_CHANGE``. The table of common lengths is built row by row from the end, then followed from the
-    beginning. Equal lines at either end of the texts are set aside first, so that the table holds what was edited; its size is the product
-    of the edited lines. A null text has no lines.
-    """
-    def lines(text: Column) -> Column:
-        return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.split(text, "\n", -1))
 
-    def common(one: Column, other: Column) -> Column:
-        """How many lines at the beginning are equal."""
-        shorter = F.least(F.size(one), F.size(other))
-        unequal = F.filter(F.sequence(F.lit(1), shorter), lambda i: F.get(one, i - 1) != F.get(other, i - 1))
-        return F.when(shorter == 0, F.lit(0)).otherwise(F.coalesce(F.try_element_at(unequal, F.lit(1)) - 1, shorter))
+def _line(kind: str | Column, line: Column) -> Column:
+    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), line.alias("line"))
 
-    a, b = lines(old), lines(new)
-    head = common(a, b)
-    rest_a, rest_b = F.slice(a, head + 1, F.greatest(F.size(a) - head, F.lit(0))), F.slice(b, head + 1, F.greatest(F.size(b) - head, F.lit(0)))
-    tail = common(F.reverse(rest_a), F.reverse(rest_b))
-    mid_a, mid_b = F.slice(rest_a, F.lit(1), F.size(rest_a) - tail), F.slice(rest_b, F.lit(1), F.size(rest_b) - tail)
 
-    def kind(name: str, line: Column) -> Column:
-        return F.struct(F.lit(name).alias("kind"), line.alias("line"))
+def _every(kind: str, lines: Column) -> Column:
+    return F.transform(lines, lambda line: _line(kind, line)).cast(LINE_CHANGE)
 
-    def every(name: str, text: Column) -> Column:
-        return F.transform(text, lambda line: kind(name, line)).cast(LINE_CHANGE)
 
-    ahead = every("kept", F.slice(a, F.lit(1), head))
-    behind = every("kept", F.slice(rest_a, F.size(mid_a) + 1, tail))
-    middle = (
-        F.when(F.size(mid_a) == 0, every("added", mid_b)).when(F.size(mid_b) == 0, every("removed", mid_a)).otherwise(_followed(mid_a, mid_b, kind)))
-    return F.concat(ahead, middle, behind)
+def _equal_ahead(one: Column, other: Column) -> Column:
+    """How many lines at the beginning are equal."""
+    shorter = F.least(F.size(one), F.size(other))
+    unequal = F.filter(F.sequence(F.lit(1), shorter), lambda i: F.get(one, i - 1) != F.get(other, i - 1))
+    return F.when(shorter == 0, F.lit(0)).otherwise(F.coalesce(F.try_element_at(unequal, F.lit(1)) - 1, shorter))
 
 
-def _followed(a: Column, b: Column, kind) -> Column:
+def _edited(a: Column, b: Column) -> Column:
+    """The lines of two lists whose first and last lines differ, by a longest common subsequence."""
     n, m = F.size(a), F.size(b)
-    # Row i of the table: the common length of a from i on and b from each line on; built from the last row up.
-    empty = F.array_repeat(F.lit(0), m + 1)
 
     def row(i: Column, below: Column) -> Column:
+        # Common lengths of a from i on and b from each line on, from the last line back.
         return F.aggregate(
             F.sequence(m, F.lit(1)), F.array(F.lit(0)),
             lambda found, j: F.concat(F.array(
                 F.when(F.get(a, i - 1) == F.get(b, j - 1), F.get(below, j) + 1).otherwise(F.greatest(F.get(below, j - 1), F.get(found, F.lit(0))))), found))
 
-    table = F.aggregate(F.sequence(n, F.lit(1)), F.array(empty), lambda rows, i: F.concat(F.array(row(i, F.get(rows, F.lit(0)))), rows))
+    table = F.aggregate(
+        F.sequence(n, F.lit(1)), F.array(F.array_repeat(F.lit(0), m + 1)), lambda rows, i: F.concat(F.array(row(i, F.get(rows, F.lit(0)))), rows))
 
     def step(state: Column, rows: Column) -> Column:
-        i, j, out = state["i"], state["j"], state["out"]
-        same = (i < n) & (j < m) & (F.get(a, i) == F.get(b, j))
-        drops = (i < n) & ((j >= m) | (F.get(F.get(rows, i + 1), j) >= F.get(F.get(rows, i), j + 1)))
-        more = (i < n) | (j < m)
-        line = F.when(same, kind("kept", F.get(a, i))).when(drops, kind("removed", F.get(a, i))).otherwise(kind("added", F.get(b, j)))
-        return F.struct(
-            F.when(more & (same | drops), i + 1).otherwise(i).alias("i"), F.when(more & (same | ~drops), j + 1).otherwise(j).alias("j"),
-            F.when(more, F.concat(out, F.array(line).cast(LINE_CHANGE))).otherwise(out).alias("out"))
+        i, j = state["i"], state["j"]
+        # What happens to the next line: both texts have it, it is removed, it is added; or both are at their end.
+        move = (
+            F.when((i >= n) & (j >= m), F.lit("")).when((i < n) & (j < m) & (F.get(a, i) == F.get(b, j)), F.lit("kept"))
+            .when((i < n) & ((j >= m) | (F.get(F.get(rows, i + 1), j) >= F.get(F.get(rows, i), j + 1))), F.lit("removed")).otherwise(F.lit("added")))
+        return _bound(move, lambda kind: F.struct(
+            (i + kind.isin("kept", "removed").cast("int")).alias("i"), (j + kind.isin("kept", "added").cast("int")).alias("j"),
+            F.when(kind == "", state["out"]).otherwise(F.concat(state["out"], F.array(
+                _line(kind, F.when(kind == "added", F.get(b, j)).otherwise(F.get(a, i)))).cast(LINE_CHANGE))).alias("out")))
 
     start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.array().cast(LINE_CHANGE).alias("out"))
-    # The table is bound once, as the single element of an array.
-    return F.get(F.transform(F.array(table), lambda rows: F.aggregate(
-        F.sequence(F.lit(1), n + m), start, lambda state, _: step(state, rows), lambda state: state["out"])), F.lit(0))
+    return _bound(table, lambda rows: F.aggregate(F.sequence(F.lit(1), n + m), start, lambda state, _: step(state, rows), lambda state: state["out"]))
+
+
+def line_diff(old: Column, new: Column) -> Column:
+    """The lines of two texts in order, each ``kept``, ``removed`` or ``added``: a longest common subsequence, removals first.
+
+    ``LINE_CHANGE``. The table of common lengths is built row by row from the end, then followed from the
+    beginning. Equal lines at either end of the texts are set aside first, so that the table holds what was edited; its size is the product
+    of the edited lines. A null text has no lines.
+    """
+    def lines(text: Column) -> Column:
+        return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.split(text, "\n", -1))
+
+    def without_head(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        return _bound(_equal_ahead(a, b), lambda head: _bound(
+            F.struct(F.slice(a, head + 1, F.size(a) - head).alias("a"), F.slice(b, head + 1, F.size(b) - head).alias("b")),
+            lambda rest: F.concat(_every("kept", F.slice(a, F.lit(1), head)), without_tail(rest))))
+
+    def without_tail(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        return _bound(F.struct(F.reverse(a).alias("a"), F.reverse(b).alias("b")), lambda back: _bound(_equal_ahead(back["a"], back["b"]), lambda tail: _bound(
+            F.struct(F.slice(a, F.lit(1), F.size(a) - tail).alias("a"), F.slice(b, F.lit(1), F.size(b) - tail).alias("b")),
+            lambda middle: F.concat(between(middle), _every("kept", F.slice(a, F.size(a) - tail + 1, tail))))))
+
+    def between(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        return F.when(F.size(a) == 0, _every("added", b)).when(F.size(b) == 0, _every("removed", a)).otherwise(_edited(a, b))
+
+    return _bound(F.struct(lines(old).alias("a"), lines(new).alias("b")), without_head)
 
 
 def definition_diff(rules: DataFrame, versions: DataFrame) -> DataFrame:
