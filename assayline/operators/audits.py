@@ -112,7 +112,7 @@ BUCKETS, FINER = 4096, 256
 def tables_equal(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: rows on each side, rows only on one side, and the verdict.
 
-    Rows fall into buckets by a hash, and a bucket is its number of rows and the exact sums of two 64-bit row hashes, combined
+    Rows fall into buckets by a hash, and a bucket is its number of rows and the exact sums of the halves of two 64-bit row hashes, combined
     before the shuffle. Only in buckets that differ are rows told apart by a second hash, and only in the differing ones of these
     are whole rows compared. Equal tables are read and digested; none of their rows moves.
     """
@@ -126,11 +126,14 @@ def tables_equal(before: DataFrame, after: DataFrame) -> DataFrame:
     ).withColumns({"_bucket": F.pmod("_x", F.lit(BUCKETS)), "_finer": F.pmod("_y", F.lit(FINER))})
 
     def digests(rows: DataFrame, *by: str) -> DataFrame:
+        # Sums of half a hash each stay exact in 64 bits for two billion rows a bucket.
         sign = F.col("_b") - F.col("_a")
-        return rows.groupBy(*by).agg(
-            F.sum("_b").alias("_nb"), F.sum("_a").alias("_na"), *[F.sum(F.col(h).cast("decimal(38,0)") * sign).alias(h) for h in ("_x", "_y")])
+        halves = [half for h in ("_x", "_y") for half in (F.col(h).bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
+        return rows.groupBy(*by).agg(F.sum("_b").alias("_nb"), F.sum("_a").alias("_na"), *[F.sum(half * sign).alias(f"_s{i}") for i, half in enumerate(halves)])
 
-    apart = (F.col("_nb") != F.col("_na")) | (F.col("_x") != 0) | (F.col("_y") != 0)
+    apart = F.col("_nb") != F.col("_na")
+    for i in range(4):
+        apart = apart | (F.col(f"_s{i}") != 0)
     coarse = digests(hashed, "_bucket")
     suspects = hashed.join(F.broadcast(coarse.where(apart).select("_bucket")), "_bucket", "left_semi")
     finer = digests(suspects, "_bucket", "_finer").where(apart).select("_bucket", "_finer")
