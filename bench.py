@@ -29,7 +29,7 @@ HEADLINE = (
     "infer_types", "cell_type_issues", "lossless_audit", "upsert_by_id", "tables_equal", "registry_diff",
     "reconcile_runs_after_delete", "tickets_replay", "tickets_apply", "run_bundle_audit", "import_new_runs", "late_runs",
     "sync_summary", "chk_unique_shuffled", "xref_exists_shuffled", "run_suite_shuffled", "run_suite_evidence_shuffled",
-    "stored_run_counts", "rule_dependencies", "tickets_apply_many", "rule_counts_as_of", "snapshot_refresh", "definition_diff",
+    "stored_run_counts", "rule_dependencies", "tickets_apply_many", "rule_counts_as_of", "snapshot_refresh",
 )
 
 
