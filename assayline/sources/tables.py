@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from assayline.errors import DataQualityError, SchemaRefused
 
 ENTRY_TRIES = 200  # of 0.05 seconds
+OPEN_FILES = 16
+CONCURRENT_FILES = "spark.sql.maxConcurrentOutputFileWriters"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]*"
 
 
@@ -256,9 +258,15 @@ class TableStore:
     def append_by(self, name: str, frame: DataFrame, by: Sequence[str]) -> None:
         """Add rows under the partitions that columns of their own name; small ones share as few files as their size needs.
 
-        The partitions must be new ones, as those of a fresh run id are.
+        The partitions must be new ones, as those of a fresh run id are. A task keeps a file open for each of its first OPEN_FILES
+        partitions, so that its rows need not be sorted by partition in memory; only a task with more of them sorts the rest.
         """
-        frame.hint("rebalance", *by).write.mode("append").partitionBy(*by).parquet(f"{self.root}/history/{name}")
+        before = self.spark.conf.get(CONCURRENT_FILES)
+        self.spark.conf.set(CONCURRENT_FILES, str(max(int(before), OPEN_FILES)))
+        try:
+            frame.hint("rebalance", *by).write.mode("append").partitionBy(*by).parquet(f"{self.root}/history/{name}")
+        finally:
+            self.spark.conf.set(CONCURRENT_FILES, before)
 
     def append(self, name: str, frame: DataFrame, **partition: str) -> DataFrame:
         """Add one immutable partition; writing the same partition twice is refused."""

@@ -381,3 +381,18 @@ def test_dependencies_reach_through_views(spark, holes):
         dependencies(spark, rules, {"wells": holes}, {"x": "SELECT * FROM y", "y": "SELECT * FROM x"})
     assert columns_read(spark, "WITH a AS (SELECT * FROM wells), b AS (SELECT id, depth AS d FROM a) SELECT id, d, 0 AS dq_check FROM b",
                         {"wells": holes})["wells"] >= {"id", "depth"}
+
+
+def test_partitions_of_a_task_are_written_side_by_side(spark, store):
+    """Files are open for several partitions at once, so a task need not sort its rows; more partitions than files lose nothing."""
+    seen = []
+
+    class Recorded:
+        def hint(self, *_):
+            seen.append(int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")))
+            return spark.range(1000).selectExpr("string(id % 40) AS run_id", "id AS n")
+
+    store.append_by("many", Recorded(), ["run_id"])
+    assert seen[0] > 1 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    back = store.history("many", "run_id string, n bigint")
+    assert back.where("run_id = string(n % 40)").count() == back.select("n").distinct().count() == 1000
