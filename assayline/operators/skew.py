@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -88,28 +89,34 @@ def attach(
     absent = F.lit(False)
     for name in on:
         absent = absent | column(name).isNull()
+    # The keyed side has names of its own, so the rows keep their keys once.
     join_keys = [f"_key{position}" for position in range(len(on))]
+    hot_keys = [f"_hot{position}" for position in range(len(on))]
     sides = keyed.select(
         *[value.alias(key) for value, key in zip(typed, join_keys)],
         F.struct(*map(column, values)).alias("_row"),
         is_heavy.alias("_heavy"),
     )
-    few = sides.where("_heavy").select(*join_keys, F.col("_row").alias("_heavy_row"))
+    few = sides.where("_heavy").select(*[F.col(key).alias(hot) for key, hot in zip(join_keys, hot_keys)], F.col("_row").alias("_heavy_row"))
     # The route is a join key of its own, so it takes part in the partitioning. It is the hash
     # of the key, except that heavy and NULL keys are routed by the hash of the row's id.
     many = sides.where("NOT _heavy").select(
-        *join_keys, F.xxhash64(*join_keys).alias("_route"), F.col("_row").alias("_cold_row")
+        *join_keys, F.xxhash64(*join_keys).alias("_cold_route"), F.col("_row").alias("_cold_row")
     )
     apart = list(row_id or plain_columns(rows)) or on
     routed = rows.select(
         "*",
-        *[value.alias(key) for value, key in zip(typed, join_keys)],
         is_heavy.alias("_heavy"),
         F.when(is_heavy | absent, F.xxhash64(*map(column, apart)))
         .otherwise(F.xxhash64(*typed)).alias("_route"),
     )
-    joined = routed.join(F.broadcast(few), join_keys, "left").join(
-        many.hint("shuffle_merge") if forced else many, [*join_keys, "_route"], "left")
+
+    def equal(names: Sequence[str]) -> Column:
+        tests = [value == F.col(name) for value, name in zip(typed, names)]
+        return reduce(Column.__and__, tests)
+
+    joined = routed.join(F.broadcast(few), equal(hot_keys), "left").join(
+        many.hint("shuffle_merge") if forced else many, equal(join_keys) & (F.col("_route") == F.col("_cold_route")), "left")
     return joined.select(
         *map(column, rows.columns),
         *[

@@ -19,9 +19,11 @@ from assayline.functions.text import column
 from assayline.functions.fingerprint import normal_column, parsed_column
 from assayline.operators.registry import archive_entry, next_version
 from assayline.operators.skew import attach, running
-from assayline.session import cut_lineage
+from assayline.session import written
 
 ZONED = r"(Z|[+-]\d{2}:?\d{2})$"
+# What an import does not read again: its facts are columns of the audit.
+TEXTS = ("payload", "started_at", "completed_at", "reason")
 VERSION_MAP = r'^\{("[^"]+":\d+(,"[^"]+":\d+)*)?\}$'
 
 
@@ -34,10 +36,13 @@ def _zoned(text: Column) -> Column:
     return F.when(text.rlike(ZONED), text.try_cast("timestamp"))
 
 
-def audit_bundles(runs: DataFrame, results: DataFrame, errors: DataFrame, links: DataFrame, versions: DataFrame) -> DataFrame:
-    """Runs with local facts and ``reason``: why a run cannot be imported, NULL when it can.
+def audit_bundles(
+    runs: DataFrame, results: DataFrame, errors: DataFrame, links: DataFrame, versions: DataFrame, *, importable: bool = False
+) -> DataFrame:
+    """Runs with local facts, description and severity of their payload, and ``reason``: why a run cannot be imported, NULL when it can.
 
-    Errors and results are reduced to one row per run before they meet the runs.
+    Errors and results are reduced to one row per run before they meet the runs. With ``importable`` only the runs without a reason are
+    given, without the texts the audit has read: those refused for what they say themselves never meet the evidence.
     """
     summary = results.groupBy(*run_keys(results)).agg(
         F.count(F.lit(1)).alias("_summaries"), F.min("passed").alias("passed"), F.min("failed").alias("failed"),
@@ -51,35 +56,54 @@ def audit_bundles(runs: DataFrame, results: DataFrame, errors: DataFrame, links:
         "endpoint", "rule_key", "rule_id", "target_table",
         F.to_json(F.array("source_catalog", "source_schema", "source_table")).alias("_source"),
     )
-    known = versions.select("rule_key", "revision", "local_version", F.col("payload").alias("_payload"))
+    # A run gets here with a payload that hashes to its revision, so the known payload is the same if it does too.
+    same = F.sha2(normal_column(parsed_column(F.col("payload"))), 256) == F.col("revision")
+    known = versions.select("rule_key", "revision", "local_version", F.coalesce(same, F.lit(False)).alias("_same"))
     references = F.coalesce("reference_versions", F.lit("{}"))
     value = F.col("_value")
     names = F.json_object_keys(F.to_json(F.try_variant_get(value, "$.references", "variant")))
+    none = F.array().cast("array<string>")
     # The payload is parsed once; everything else is read from its value.
     parsed = runs.withColumn("_value", parsed_column(F.col("payload")))
     read = parsed.select(
-        *map(column, runs.columns), normal_column(value).alias("_normal"),
+        *map(column, runs.columns), (F.sha2(normal_column(value), 256) == F.col("revision")).alias("_intact"),
         _zoned(F.col("started_at")).alias("started"), _zoned(F.col("completed_at")).alias("ended"),
         F.try_variant_get(value, "$.rule_key", "string").alias("_key"), F.to_json(F.try_variant_get(value, "$.source", "variant")).alias("_from"),
-        F.coalesce(F.sort_array(names), F.array().cast("array<string>")).alias("_declared"),
-        F.coalesce(F.sort_array(F.json_object_keys(references)), F.array().cast("array<string>")).alias("_pinned"),
-        references.rlike(VERSION_MAP).alias("_numbered"),
-    ).withColumn("_intact", F.sha2("_normal", 256) == F.col("revision"))
-    joined = attach(
-        attach(read.join(summary, run_keys(results), "left").join(details, run_keys(errors), "left"), bound, ["endpoint", "rule_key"], runs),
-        known, ["rule_key", "revision"], runs,
+        (F.coalesce(F.sort_array(names), none) != F.coalesce(F.sort_array(F.json_object_keys(references)), none)).alias("_unpinned"),
+        F.try_variant_get(value, "$.description", "string").alias("description"),
+        F.try_variant_get(value, "$.severity", "string").alias("severity"),
     )
     done = F.col("status") == "completed"
     count = F.coalesce("_errors", F.lit(0))
-    tests = [
-        (~F.coalesce("_intact", F.lit(False)), "checksum mismatch"),
-        (~F.col("_key").eqNullSafe(F.col("rule_key")), "rule key mismatch"),
-        (F.col("rule_id").isNull(), "rule is not linked"),
-        (~F.col("_from").eqNullSafe(F.col("_source")), "source does not match the mapping"),
-        (F.col("started").isNull() | F.col("ended").isNull(), "timestamps must include their time zone"),
-        (F.col("ended") < F.col("started"), "run ends before it starts"),
-        (~F.col("status").isin("completed", "failed"), "run is not complete"),
-        (done & (~F.col("_numbered") | (F.col("_declared") != F.col("_pinned"))), "reference versions are missing or invalid"),
+    # What a run says itself is judged before it meets anything, so that its texts stay out of the joins.
+    alone = read.select(
+        *map(column, runs.columns), "started", "ended", "description", "severity", "_from",
+        _first([
+            (~F.coalesce("_intact", F.lit(False)), "checksum mismatch"),
+            (~F.col("_key").eqNullSafe(F.col("rule_key")), "rule key mismatch"),
+        ]).alias("_payload_fault"),
+        _first([
+            (F.col("started").isNull() | F.col("ended").isNull(), "timestamps must include their time zone"),
+            (F.col("ended") < F.col("started"), "run ends before it starts"),
+            (~F.col("status").isin("completed", "failed"), "run is not complete"),
+            (done & (~references.rlike(VERSION_MAP) | F.col("_unpinned")), "reference versions are missing or invalid"),
+        ]).alias("_run_fault"),
+    )
+    linked = attach(alone, bound, ["endpoint", "rule_key"], runs, ["endpoint", "run_id"]).withColumn(
+        "_link_fault",
+        _first([
+            (F.col("rule_id").isNull(), "rule is not linked"),
+            (~F.col("_from").eqNullSafe(F.col("_source")), "source does not match the mapping"),
+        ]),
+    ).drop("_from", "_source")
+    if importable:
+        # One test over both sides of the join: apart, they would be moved below it and the payload parsed for each.
+        linked = linked.where(F.coalesce("_payload_fault", "_link_fault", "_run_fault").isNull()).drop(*TEXTS)
+    versioned = attach(linked, known, ["rule_key", "revision"], runs, ["endpoint", "run_id"])
+    if importable:
+        versioned = versioned.where("local_version IS NOT NULL AND _same")
+    joined = versioned.join(summary, run_keys(results), "left").join(details, run_keys(errors), "left")
+    evidence_fault = _first([
         (done & (F.coalesce("_summaries", F.lit(0)) != 1), "run summary is incomplete"),
         (
             done & (F.col("passed").isNull() | F.col("failed").isNull() | (F.col("passed") < 0) | (F.col("failed") < 0)),
@@ -90,22 +114,24 @@ def audit_bundles(runs: DataFrame, results: DataFrame, errors: DataFrame, links:
             done & (count > 0) & ((F.col("_bad") > 0) | (F.col("_low") != F.col("field_name")) | (F.col("_high") != F.col("field_name"))),
             "invalid error details",
         ),
-        (F.col("local_version").isNull() | _differs(F.col("payload"), F.col("_payload")), "unrecognised revision"),
-    ]
-    (first, text), *others = tests
-    reason = F.when(first, F.lit(text))
-    for test, text in others:
-        reason = reason.when(test, F.lit(text))
+        (F.col("local_version").isNull() | ~F.col("_same"), "unrecognised revision"),
+    ])
+    if importable:
+        joined = joined.where(evidence_fault.isNull())
+        evidence_fault = F.lit(None).cast("string")
     return joined.select(
-        *map(column, runs.columns), "passed", "failed", "field_name", "rule_id", "target_table", "local_version",
-        "started", "ended", reason.alias("reason"),
+        *[column(n) for n in runs.columns if not importable or n not in TEXTS], "passed", "failed", "field_name", "rule_id", "target_table", "local_version",
+        "started", "ended", "description", "severity", F.coalesce("_payload_fault", "_link_fault", "_run_fault", evidence_fault).alias("reason"),
     )
 
 
-def _differs(one: Column, other: Column) -> Column:
-    """Whether two payloads differ in more than their writing; equal texts are not parsed."""
-    same = normal_column(parsed_column(one)).eqNullSafe(normal_column(parsed_column(other)))
-    return F.when(one == other, F.lit(False)).otherwise(~same)
+def _first(tests: list[tuple[Column, str]]) -> Column:
+    """The text of the first test that holds, else NULL."""
+    (test, text), *others = tests
+    found = F.when(test, F.lit(text))
+    for test, text in others:
+        found = found.when(test, F.lit(text))
+    return found
 
 
 def orphan_evidence(runs: DataFrame, results: DataFrame, errors: DataFrame) -> DataFrame:
@@ -122,14 +148,16 @@ def unseen(runs: DataFrame, receipts: DataFrame) -> DataFrame:
 
 
 def new_runs(audited: DataFrame, receipts: DataFrame) -> DataFrame:
-    """Importable runs that have no receipt yet, each remote run once.
+    """Importable runs that have no receipt yet, each remote run once, without the texts the audit has read.
 
     A run that arrives twice in one batch is kept once; both copies are equal in what
     matters, because its payload and counts passed the audit.
     """
-    fresh = audited.where("reason IS NULL").join(
-        receipts.select("endpoint", F.col("remote_run_id").alias("run_id")), ["endpoint", "run_id"], "left_anti"
-    )
+    fresh = audited.where("reason IS NULL").drop(*TEXTS)
+    return one_each(fresh.join(receipts.select("endpoint", F.col("remote_run_id").alias("run_id")), ["endpoint", "run_id"], "left_anti"))
+
+
+def one_each(fresh: DataFrame) -> DataFrame:
     rest = [n for n in fresh.columns if n not in ("endpoint", "run_id")]
     return fresh.groupBy("endpoint", "run_id").agg(F.min(F.struct(*rest)).alias("_r")).select("endpoint", "run_id", "_r.*")
 
@@ -142,16 +170,17 @@ def local_run_id(endpoint: Column, run_id: Column) -> Column:
     return F.concat_ws("/", F.replace(F.replace(endpoint, F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F")), run_id)
 
 
-def imported_rows(fresh: DataFrame, errors: DataFrame, actor: str) -> dict[str, DataFrame]:
+def imported_rows(fresh: DataFrame, errors: DataFrame, actor: str, *, settled: bool = False) -> dict[str, DataFrame]:
     """Rows to append for new runs: runs, results, evidence and receipts.
 
     Failed runs are kept without counts or evidence; their error becomes an execution error.
-    The new runs are written out once, so all four outputs speak of the same runs.
+    The new runs are written out once, so all four outputs speak of the same runs; ``settled`` says that they have been.
     """
-    named = cut_lineage(fresh).withColumn("local_run_id", local_run_id(F.col("endpoint"), F.col("run_id")))
+    kept = fresh if settled else written(fresh.drop(*TEXTS), "imported")
+    named = kept.withColumn("local_run_id", local_run_id(F.col("endpoint"), F.col("run_id")))
     good = F.col("status") == "completed"
     error = F.struct(
-        F.col("rule_id").cast("string").alias("rule_id"), F.get_json_object("payload", "$.description").alias("description"),
+        F.col("rule_id").cast("string").alias("rule_id"), "description",
         F.col("local_version").alias("version"), F.col("execution_error").alias("message"),
     )
     none = F.array().cast("array<struct<rule_id:string,description:string,version:string,message:string>>")
@@ -210,11 +239,10 @@ def ticket_moves(fresh: DataFrame, receipts: DataFrame, actor: str) -> DataFrame
     """
     before = receipts.groupBy("endpoint", "rule_key").agg(F.max("started_at").alias("_latest"))
     known = attach(fresh.where("status = 'completed'"), before, ["endpoint", "rule_key"])
-    value = parsed_column(F.col("payload"))
     return known.where(F.col("_latest").isNull() | (F.col("started") >= F.col("_latest"))).select(
         "rule_id", F.col("target_table").alias("table_name"), F.col("local_version").alias("rule_version"),
-        F.coalesce(F.try_variant_get(value, "$.description", "string"), F.lit("")).alias("title"),
-        F.coalesce(F.try_variant_get(value, "$.severity", "string"), F.lit("medium")).alias("severity"),
+        F.coalesce("description", F.lit("")).alias("title"),
+        F.coalesce("severity", F.lit("medium")).alias("severity"),
         local_run_id(F.col("endpoint"), F.col("run_id")).alias("run_id"), F.lit(actor).alias("actor"), "failed",
         (F.col("passed") + F.col("failed")).alias("checked"), F.col("started").alias("occurred_at"))
 

@@ -341,11 +341,8 @@ AUDITED = f"""summary AS (SELECT run_id, count(*) AS summaries, min(passed) AS p
 ALL_SQL = f"WITH {_bundle_cte('remote_runs', 'remote_results', 'remote_errors', 'bound', 'known', 'seen')}, {AUDITED}"
 
 
-def _audited(t: Tables, seen: DataFrame | None = None) -> DataFrame:
-    runs = _bundle(t, "remote_runs")
-    return sync.audit_bundles(
-        runs if seen is None else sync.unseen(runs, seen), _bundle(t, "remote_results"), _bundle(t, "remote_errors"), _bundle(t, "bound"), _bundle(t, "known")
-    )
+def _audited(t: Tables, **options) -> DataFrame:
+    return sync.audit_bundles(*[_bundle(t, name) for name in ("remote_runs", "remote_results", "remote_errors", "bound", "known")], **options)
 
 
 @query("run_bundle_audit", f"{ALL_SQL} SELECT endpoint, run_id, status, passed, failed, rule_id, local_version, reason FROM audited")
@@ -402,7 +399,7 @@ FRESH = "fresh AS (SELECT * FROM audited a WHERE reason IS NULL AND NOT EXISTS (
   CASE WHEN status = 'failed' THEN execution_error END AS execution_error FROM fresh""")
 def import_new_runs(t: Tables) -> DataFrame:
     seen = _bundle(t, "seen")
-    fresh = sync.new_runs(_audited(t, seen), seen)
+    fresh = sync.new_runs(_audited(t, importable=True), seen)
     rows = sync.imported_rows(fresh, _bundle(t, "remote_errors"), "sync")
     results = rows["results"].select("run_id", "passed", "failed")
     rule = rows["receipts"].select(F.col("local_run_id").alias("run_id"), "rule_key")
@@ -417,7 +414,7 @@ def import_new_runs(t: Tables) -> DataFrame:
   record_id, field_name, field_value, error_message FROM fresh f JOIN remote_errors e ON e.run_id = f.run_id WHERE f.status = 'completed'""")
 def import_evidence(t: Tables) -> DataFrame:
     seen = _bundle(t, "seen")
-    fresh = sync.new_runs(_audited(t, seen), seen)
+    fresh = sync.new_runs(_audited(t, importable=True), seen)
     return sync.imported_rows(fresh, _bundle(t, "remote_errors"), "sync")["evidence"].select(
         "run_id", "rule_id", "rule_version", "record_id", "field_name", "field_value", "error_message"
     )

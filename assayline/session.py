@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +51,19 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame written once as Parquet in the shared folder, and read back: smaller than a checkpoint, and of known size to the planner.
+
+    Lineage ends there. The folder is removed when the driver's JVM ends.
+    """
+    spark = frame.sparkSession
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/assayline-{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(frame.schema).parquet(folder)
+
+
 def planned_bytes(frame: DataFrame) -> int | None:
     """Catalyst's own size estimate of a frame, or None where the session hides it."""
     plan = getattr(frame, "_jdf", None)

@@ -1,3 +1,4 @@
+import glob
 import random
 from datetime import datetime, timedelta
 
@@ -494,3 +495,32 @@ def test_foreign_evidence_of_another_endpoint_is_found(spark):
     named = {n: tables[n].withColumn("endpoint", F.lit("f")) for n in ("results", "errors")}
     found = sync.orphan_evidence(tables["runs"], named["results"], named["errors"]).collect()
     assert [(r.endpoint, r.run_id) for r in found] == [("f", "r1")]
+
+
+def _nodes(plan):
+    yield plan
+    for i in range(plan.children().size()):
+        yield from _nodes(plan.children().apply(i))
+
+
+def test_texts_of_a_run_stay_out_of_the_audits_joins(spark, no_broadcast):
+    tables = bundle(spark, [{}, {"run_id": "r2", "revision": "stale"}, {"run_id": "r3", "payload": payload(severity="high")}])
+    audited = sync.audit_bundles(*[tables[n] for n in ("runs", "results", "errors", "links", "versions")])
+    plan = audited.select("endpoint", "run_id", "reason")._jdf.queryExecution().optimizedPlan()
+    joins = [node for node in _nodes(plan) if node.nodeName() == "Join"]
+    met = {node.output().apply(i).name() for node in joins for i in range(node.output().size())}
+    assert len(joins) >= 4 and not met & {"payload", "_payload", "_normal", "_value"}
+    fresh = sync.audit_bundles(*[tables[n] for n in ("runs", "results", "errors", "links", "versions")], importable=True)
+    known = {tuple(r) for r in audited.where("reason IS NULL").drop(*sync.TEXTS).collect()}
+    assert known == {tuple(r) for r in fresh.drop("reason").collect()} and len(known) == 1
+
+
+def test_waiting_runs_are_rewritten_only_when_runs_arrive(spark, tmp_path):
+    tables = bundle(spark, [{}])
+    feed, land = _feed(spark, tmp_path, tables)
+    kept = f"{spark.conf.get('spark.checkpoint.dir')}/assayline-candidates-*"
+    before = len(glob.glob(kept))
+    land("runs", tables["runs"])
+    land("results", tables["results"])
+    assert len(glob.glob(kept)) == before + 1
+    assert _state(feed) == ([], {"r1": "error rows do not match the summary"}, {})
