@@ -34,6 +34,53 @@ from assayline.llm.common import Memo, lean, mixed, portions, signed, text_key,
 STEPS = (2, 8)  # parts per line in the coarse steps
 WORDS_AT_ONCE, LINES_AT_ONCE = 300_000, 5000  # hashed together
 ODD, OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+BLOCK, LONG_WORD = 1 << 16, 128  # bytes hashed together; longer words are hashed one by one
+# A value per byte, the same for a letter A-Z and its small one; none for white space.
+BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(ODD))
+BYTES[ord("A"): ord("Z") + 1] = BYTES[ord("a"): ord("z") + 1]
+BYTES[list(b" \t\n\r\x0b\x0c")] = 0
+PLACES = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(LONG_WORD - 1, OTHER, np.uint64), dtype=np.uint64)])
+
+
+def white(data: np.ndarray) -> np.ndarray:
+    """Which bytes are ASCII white space."""
+    return (data == ord(" ")) | (data - np.uint8(9) < 5)
+
+
+def line_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a text that ends with a line break: 64-bit hashes of its words (A-Z lower-cased), words per line, and where the line breaks are.
+
+    A word's hash is the sum of its bytes' values times OTHER ** place, made for all words of a block at once.
+    """
+    data, at = np.frombuffer(text, np.uint8), 0
+    ids, ends, breaks = [], [], []
+    while at < len(data):
+        stop = min(at + BLOCK, len(data))
+        while stop < len(data):  # a block ends behind white space
+            gaps = np.flatnonzero(white(data[stop: stop + BLOCK]))
+            stop = stop + int(gaps[0]) + 1 if len(gaps) else min(stop + BLOCK, len(data))
+            if len(gaps):
+                break
+        part = data[at: stop]
+        edge = np.ones(len(part) + 2, bool)
+        edge[1:-1] = white(part)
+        change = np.flatnonzero(edge[1:] != edge[:-1])
+        first, last = change[::2], change[1::2]
+        if len(first):
+            place = np.arange(first[0], len(part)) - np.repeat(first, np.diff(first, append=len(part)))
+            sums = np.zeros(len(place) + 1, np.uint64)
+            np.cumsum(BYTES.take(part[first[0]:], mode="clip") * PLACES.take(place, mode="clip"), out=sums[1:])
+            made = mixed(sums[last - first[0]] - sums[first - first[0]] + (last - first).astype(np.uint64) * np.uint64(ODD))
+            for word in np.flatnonzero(last - first > LONG_WORD):
+                made[word] = xxh3_64_intdigest(text[at + first[word]: at + last[word]].lower())
+            ids.append(made)
+            ends.append(at + last)
+        breaks.append(at + np.flatnonzero(part == ord("\n")))
+        at = stop
+    none = np.zeros(0, np.int64)
+    breaks = np.concatenate([none, *breaks])
+    upto = np.searchsorted(np.concatenate([none, *ends]), breaks, "right")
+    return np.concatenate([none.astype(np.uint64), *ids]), np.diff(upto, prepend=0), breaks
 
 
 class LineHashes:
@@ -97,35 +144,32 @@ def coarse(ids: np.ndarray, size: np.ndarray, parts: int) -> Coarse:
 
 def _lines(docs: DataFrame, least_words: int, near_words: int) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(xxh3_64_intdigest)
-
-        def hashed(batch, row, number, size, words) -> pa.RecordBatch:
-            sizes, owner = np.array(size, np.int64), pa.array(row, pa.int64())
-            made = coarse(word_hashes(words, memo), sizes, STEPS[0])
-            long_enough = sizes >= near_words
-            offsets = np.concatenate([[0], np.cumsum(long_enough * made.keys.shape[1])]).astype(np.int32)
-            return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(owner), batch.column("tk").take(owner), pa.array(number, pa.int32()), signed(made.h1), signed(made.h2),
-                 pa.array(size, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), signed(made.keys[long_enough].ravel()))],
-                ["doc_id", "tk", "line", "h1", "h2", "words", "keys"])
-
-        for batch in portions(batches):
-            row, number, size, pending = [], [], [], []
-            for at, text in enumerate(texts(batch)):
-                for line_number, line in enumerate((text or b"").split(b"\n")):
-                    words = line.lower().split()
-                    if len(words) >= least_words:
-                        row.append(at)
-                        number.append(line_number)
-                        size.append(len(words))
-                        pending += words
-                if len(pending) > WORDS_AT_ONCE:
-                    yield hashed(batch, row, number, size, pending)
-                    row, number, size, pending = [], [], [], []
-            if row:
-                yield hashed(batch, row, number, size, pending)
-
-    return docs.mapInArrow(lean(emit), "doc_id long, tk long, line int, h1 long, h2 long, words int, keys array<long>")
+        for batch in portions(batches, limit=1 << 20):
+            values = [text or b"" for text in texts(batch)]
+            stops = np.cumsum(np.fromiter((len(v) + 1 for v in values), np.int64, len(values)))  # behind each text's last line break
+            ids, sizes, breaks = line_words(b"\n".join([*values, b""]))
+            row = np.searchsorted(stops, breaks, "right")
+            number = np.arange(len(breaks)) - np.searchsorted(breaks, stops - np.diff(stops, prepend=0))[row]
+            upto = np.cumsum(sizes)
+            at = 0
+            while at < len(sizes):
+                before = int(upto[at - 1]) if at else 0
+                stop = max(at + 1, int(np.searchsorted(upto, before + WORDS_AT_ONCE, "right")))
+                some = at + np.flatnonzero(sizes[at: stop] >= least_words)
+                if len(some):
+                    words = ids[before: int(upto[stop - 1])][np.repeat(sizes[at: stop] >= least_words, sizes[at: stop])]
+                    made = coarse(words, sizes[some], STEPS[0])
+                    long_enough = sizes[some] >= near_words
+                    offsets = np.concatenate([[0], np.cumsum(long_enough * made.keys.shape[1])]).astype(np.int32)
+                    owner = pa.array(row[some])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").take(owner), batch.column("tk").take(owner), pa.array(number[some], pa.int32()),
+                         signed(made.h1), signed(made.h2),
+                         pa.ListArray.from_arrays(pa.array(offsets), signed(made.keys[long_enough].ravel()))],
+                        ["doc_id", "tk", "line", "h1", "h2", "keys"])
+                at = stop
+
+    return docs.mapInArrow(lean(emit), "doc_id long, tk long, line int, h1 long, h2 long, keys array<long>")
 
 
 def _parts(lines: DataFrame, parts: int) -> DataFrame:
@@ -223,7 +267,7 @@ def packed(docs: DataFrame) -> DataFrame:
     fields = [field for field in docs.schema.fields if field.name != "text"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small = zstandard.ZstdCompressor(level=3)
+        small = zstandard.ZstdCompressor(level=5)
         for batch in portions(batches):
             values = [None if text is None else small.compress(text) for text in texts(batch)]
             yield pa.RecordBatch.from_arrays(
@@ -240,7 +284,7 @@ def repeated_lines(docs: DataFrame, store: DataFrame, least_words: int = 3, near
     docs = docs.select("doc_id", "text").withColumn("tk", text_key(F.col("text")))
     lines = written(_lines(docs, least_words, near_words), "lines")
     classes = written(
-        lines.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.count("*").alias("times"), F.first("words").alias("words"), F.first("keys").alias("keys"))
+        lines.groupBy("h1", "h2").agg(F.min(_order()).alias("first"), F.count("*").alias("times"), F.first("keys").alias("keys"))
         .select(F.monotonically_increasing_id().alias("node"), "*"), "line-classes")
     entries = classes.select("node", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("holders")).where("holders > 1").select("key")
@@ -251,8 +295,8 @@ def repeated_lines(docs: DataFrame, store: DataFrame, least_words: int = 3, near
     parts = _parts(texts_of, STEPS[1])
     again = parts.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     gaps = parts.join(again, "key", "left_semi").groupBy("node").agg(F.collect_set(F.struct("start", "end")).alias("gaps"))
-    # Every variant of the parts left; the earliest line of a key is the witness for the others.
-    variants = written(_variants(texts_of.join(gaps, "node")).distinct()
+    # Every variant of the parts left, each once as its place is part of its key; the earliest line of a key is the witness for the others.
+    variants = written(_variants(texts_of.join(gaps, "node"))
                        .join(classes.select("node", "first"), "node"), "variants")
     earliest = variants.groupBy("k1", "k2").agg(F.min(F.struct("first", "node")).alias("least"), F.count("*").alias("holders")).where("holders > 1")
     pairs = (

@@ -189,6 +189,21 @@ def test_within_one_edit_is_the_edit_distance():
         assert line_dedup.within_one_edit(a, b) == (distance(a, b) <= 1)
 
 
+def test_words_of_a_block_are_those_of_each_line(monkeypatch):
+    draw, seen = random.Random(4), {}
+    letters = [b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c", b"a", b"A", b"Z", b"z", b"\xc3\x84", b"\xc3\xa4", b"[", b"`", b"\x00", b"\x1c", b"\x85", b"\xa0"]
+    for block in (1, 7, 64, line_dedup.BLOCK):
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        for _ in range(200):
+            text = b"".join(draw.choices(letters, k=draw.randrange(60))) + b"Q" * draw.choice([0, 127, 128, 129, 300]) + b"\n"
+            ids, sizes, breaks = line_dedup.line_words(text)
+            lines = [line.lower().split() for line in text.split(b"\n")[:-1]]
+            assert sizes.tolist() == [len(line) for line in lines] and breaks.tolist() == [i for i, c in enumerate(text) if c == 10]
+            for word, number in zip((w for line in lines for w in line), ids.tolist()):
+                assert seen.setdefault(word, number) == number
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_lines_of_odd_rows(spark):
     line = "one two three four"
     rows = line_dedup.deduplicate_lines(frame(spark, [line, line, line, line + "\nx"], [None, 9, 9, 3])).collect()
