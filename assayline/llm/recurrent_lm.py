@@ -26,12 +26,13 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import filterfalse, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assayline.llm.common import shared, shared_value, text_key, texts, written
+from assayline.llm.common import Memo, keep_memory, lean, shared, shared_value, text_key, texts, written
 
 FREQUENT = 1_000_000
 CLASSES, PER_CLASS = 32, 32
@@ -49,9 +50,14 @@ class Words(dict):
     def __init__(self, words: list[bytes]):
         super().__init__((word, number) for number, word in enumerate(words))
         self.frequent = len(words)
+        self.tails = Memo(lambda tail: self.frequent + zlib.crc32(tail) % BUCKETS)
 
-    def __missing__(self, word: bytes) -> int:
-        return self.frequent + zlib.crc32(word[-2:]) % BUCKETS
+    def of(self, found: list[bytes]) -> np.ndarray:
+        """The number of each word."""
+        number = np.fromiter(map(self.get, found, repeat(-1)), np.int64, len(found))
+        rare = np.flatnonzero(number < 0)
+        number[rare] = [self.tails[found[i][-2:]] for i in rare.tolist()]
+        return number
 
 
 @dataclass
@@ -97,33 +103,67 @@ def initial(counts: np.ndarray, seed: int = 3) -> np.ndarray:
     return flat
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 def step(h: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One gated recurrent step: (new state, both gates, candidate)."""
-    gates = _sigmoid(x[:, : 2 * HIDDEN] + h @ state[:, : 2 * HIDDEN])
-    candidate = np.tanh(x[:, 2 * HIDDEN:] + (gates[:, HIDDEN:] * h) @ state[:, 2 * HIDDEN:])
-    return candidate + gates[:, :HIDDEN] * (h - candidate), gates, candidate
+    gates = h @ state[:, : 2 * HIDDEN]
+    gates += x[:, : 2 * HIDDEN]
+    gates *= 0.5  # the sigmoid, by way of the hyperbolic tangent
+    np.tanh(gates, out=gates)
+    gates *= 0.5
+    gates += 0.5
+    candidate = (gates[:, HIDDEN:] * h) @ state[:, 2 * HIDDEN:]
+    candidate += x[:, 2 * HIDDEN:]
+    np.tanh(candidate, out=candidate)
+    new = h - candidate
+    new *= gates[:, :HIDDEN]
+    new += candidate
+    return new, gates, candidate
+
+
+def _lowered(z: np.ndarray) -> np.ndarray:
+    """The columns less their maximum, in place."""
+    z -= z.max(axis=0)
+    return z
+
+
+def _shares(z: np.ndarray) -> np.ndarray:
+    """Probabilities from lowered scores, in place."""
+    np.exp(z, out=z)
+    z /= z.sum(axis=0)
+    return z
+
+
+def _by_group(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order of targets by their group, and (group, first, end) of the groups there are."""
+    group = (target // PER_CLASS).astype(np.uint8)
+    order = np.argsort(group, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(group, minlength=CLASSES))]).tolist()
+    return order, [(c, ends[c], ends[c + 1]) for c in range(CLASSES) if ends[c] < ends[c + 1]]
+
 
+def _group_scores(hidden: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
+    """Scores of the groups, less the highest; a column per state."""
+    z = p["group"].T @ hidden
+    z += p["group_bias"][:, None]
+    return _lowered(z)
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+def _member_scores(hidden: np.ndarray, runs: list[tuple[int, int, int]], p: dict[str, np.ndarray]) -> np.ndarray:
+    """Scores of the symbols of each column's group, less the highest; the columns are ordered by group."""
+    z = np.empty((PER_CLASS, hidden.shape[1]), hidden.dtype)
+    for c, first, end in runs:
+        z[:, first: end] = p["member"][c].T @ hidden[:, first: end]
+        z[:, first: end] += p["member_bias"][c][:, None]
+    return _lowered(z)
 
 
 def log_probabilities(hidden: np.ndarray, target: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
     """Natural log probability of each target symbol from its hidden state."""
-    group = target // PER_CLASS
-    result = _log_softmax(hidden @ p["group"] + p["group_bias"])[np.arange(len(target)), group]
-    order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        rows = order[ends[c]: ends[c + 1]]
-        if len(rows):
-            member = _log_softmax(hidden[rows] @ p["member"][c] + p["member_bias"][c])
-            result[rows] += member[np.arange(len(rows)), target[rows] % PER_CLASS]
+    at, (order, runs), hidden = np.arange(len(target)), _by_group(target), np.ascontiguousarray(hidden.T)
+    z = _group_scores(hidden, p)
+    result = z[target // PER_CLASS, at] - np.log(np.exp(z, out=z).sum(axis=0))
+    z = _member_scores(hidden[:, order], runs, p)
+    result[order] += z[target[order] % PER_CLASS, at] - np.log(np.exp(z, out=z).sum(axis=0))
     return result
 
 
@@ -133,50 +173,79 @@ def gradients(p: dict[str, np.ndarray], h: np.ndarray, source: np.ndarray, targe
 
     fresh: a text starts here. real: 1 for a token that counts, 0 for padding at a lane's end.
     """
-    steps, lanes = source.shape
-    before, gates, candidates, states = [], [], [], []
-    for t in range(steps):
-        h = np.where(fresh[t][:, None], np.float32(0), h)
-        before.append(h)
-        h, g, n = step(h, p["input"][source[t]], p["state"])
-        gates.append(g)
-        candidates.append(n)
-        states.append(h)
-    hidden, flat_target = np.concatenate(states), target.ravel()
+    (steps, lanes), kind, count = source.shape, h.dtype, source.size
+    # Inside, a lane is a column, so that gates and candidates are whole rows; the sigmoid is a hyperbolic tangent of half its argument.
+    gate_state, new_state = np.ascontiguousarray(p["state"][:, : 2 * HIDDEN]), np.ascontiguousarray(p["state"][:, 2 * HIDDEN:])
+    to_gates, to_new = np.ascontiguousarray(gate_state.T) * kind.type(0.5), np.ascontiguousarray(new_state.T)
+    taken = np.ascontiguousarray(p["input"][source].transpose(0, 2, 1))
+    taken[:, : 2 * HIDDEN] *= 0.5
+    kept = (~fresh)[:, None, :].astype(kind)
+    before, candidates, states = np.empty((3, steps, HIDDEN, lanes), kind)
+    gates, part, h = np.empty((steps, 2 * HIDDEN, lanes), kind), np.empty((HIDDEN, lanes), kind), np.ascontiguousarray(h.T)
+    for old, kept_now, g, new, now, x in zip(before, kept, gates, candidates, states, taken):
+        np.multiply(h, kept_now, out=old)
+        np.matmul(to_gates, old, out=g)
+        g += x[: 2 * HIDDEN]
+        np.tanh(g, out=g)
+        g *= 0.5
+        g += 0.5
+        np.multiply(g[HIDDEN:], old, out=part)
+        np.matmul(to_new, part, out=new)
+        new += x[2 * HIDDEN:]
+        np.tanh(new, out=new)
+        h = now
+        np.subtract(old, new, out=h)
+        h *= g[:HIDDEN]
+        h += new
+    hidden, flat_target = states.transpose(1, 0, 2).reshape(HIDDEN, count), target.ravel()
     flat = np.zeros(sum(int(np.prod(s)) for s in shapes().values()), np.float32)
-    d, scale, group = unpacked(flat), np.float32(1.0 / len(flat_target)), flat_target // PER_CLASS
+    d, scale, at = unpacked(flat), np.full(count, 1.0 / count, np.float32), np.arange(count)
     if real is not None:
-        scale = (real.ravel() / real.sum()).astype(np.float32)[:, None]
-    dz = np.exp(_log_softmax(hidden @ p["group"] + p["group_bias"]))
-    dz[np.arange(len(group)), group] -= 1
+        scale = (real.ravel() / real.sum()).astype(np.float32)
+    dz = _shares(_group_scores(hidden, p))
+    dz[flat_target // PER_CLASS, at] -= 1
     dz *= scale
-    d["group"][:], d["group_bias"][:] = hidden.T @ dz, dz.sum(axis=0)
-    d_hidden = dz @ p["group"].T
-    order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        rows = order[ends[c]: ends[c + 1]]
-        if len(rows):
-            dm = np.exp(_log_softmax(hidden[rows] @ p["member"][c] + p["member_bias"][c]))
-            dm[np.arange(len(rows)), flat_target[rows] % PER_CLASS] -= 1
-            dm *= scale if real is None else scale[rows]
-            d["member"][c], d["member_bias"][c] = hidden[rows].T @ dm, dm.sum(axis=0)
-            d_hidden[rows] += dm @ p["member"][c].T
-    d_hidden = d_hidden.reshape(steps, lanes, HIDDEN)
-    carry, d_inputs, gate_state, new_state = np.zeros((lanes, HIDDEN), np.float32), [], p["state"][:, : 2 * HIDDEN], p["state"][:, 2 * HIDDEN:]
+    d["group"][:], d["group_bias"][:] = hidden @ dz.T, dz.sum(axis=1)
+    d_hidden = p["group"] @ dz
+    order, runs = _by_group(flat_target)
+    ordered, d_ordered = hidden[:, order], np.empty_like(hidden)
+    dm = _shares(_member_scores(ordered, runs, p))
+    dm[flat_target[order] % PER_CLASS, at] -= 1
+    dm *= scale[order]
+    for c, first, end in runs:
+        own = dm[:, first: end]
+        d["member"][c] = ordered[:, first: end] @ own.T
+        d_ordered[:, first: end] = p["member"][c] @ own
+    d["member_bias"][[c for c, _, _ in runs]] = np.add.reduceat(dm, [first for _, first, _ in runs], axis=1).T
+    d_hidden[:, order] += d_ordered
+    d_hidden = np.ascontiguousarray(d_hidden.reshape(HIDDEN, steps, lanes).transpose(1, 0, 2))
+    # What does not depend on later steps is made for the whole window at once.
+    update, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
+    to_candidate = (1 - update) * (1 - candidates * candidates)
+    to_update, to_reset = (before - candidates) * update * (1 - update), before * reset * (1 - reset)
+    carry, d_inputs = np.zeros((HIDDEN, lanes), kind), np.empty((steps, 3 * HIDDEN, lanes), kind)
     for t in range(steps - 1, -1, -1):
-        dh = d_hidden[t] + carry
-        z, r, n, old = gates[t][:, :HIDDEN], gates[t][:, HIDDEN:], candidates[t], before[t]
-        da = dh * (1 - z) * (1 - n * n)
-        d_reset = da @ new_state.T
-        dg = np.concatenate([dh * (old - n) * z * (1 - z), d_reset * old * r * (1 - r)], axis=1)
-        d["state"][:, : 2 * HIDDEN] += old.T @ dg
-        d["state"][:, 2 * HIDDEN:] += (r * old).T @ da
-        carry = dh * z + d_reset * r + dg @ gate_state.T
-        carry = np.where(fresh[t][:, None], np.float32(0), carry)
-        d_inputs.append(np.concatenate([dg, da], axis=1))
-    np.add.at(d["input"], source[::-1].ravel(), np.concatenate(d_inputs))
-    return flat, h
+        dh, dt = d_hidden[t], d_inputs[t]
+        da = dt[2 * HIDDEN:]
+        dh += carry
+        np.multiply(dh, to_candidate[t], out=da)
+        d_reset = new_state @ da
+        np.multiply(dh, to_update[t], out=dt[:HIDDEN])
+        np.multiply(d_reset, to_reset[t], out=dt[HIDDEN: 2 * HIDDEN])
+        carry = gate_state @ dt[: 2 * HIDDEN]
+        d_reset *= reset[t]
+        carry += d_reset
+        dh *= update[t]
+        carry += dh
+        carry *= kept[t]
+    by_row = lambda x: x.transpose(1, 0, 2).reshape(-1, count)
+    flat_inputs = by_row(d_inputs)
+    d["state"][:, : 2 * HIDDEN] = by_row(before) @ flat_inputs[: 2 * HIDDEN].T
+    d["state"][:, 2 * HIDDEN:] = by_row(reset * before) @ flat_inputs[2 * HIDDEN:].T
+    symbols = source.ravel()
+    for row, own in zip(d["input"].T, flat_inputs):
+        row[:] = np.bincount(symbols, own, SYMBOLS)
+    return flat, h.T
 
 
 def trained(flat: np.ndarray, stream: np.ndarray, rate: float) -> np.ndarray:
@@ -195,9 +264,17 @@ def trained(flat: np.ndarray, stream: np.ndarray, rate: float) -> np.ndarray:
     for count, at in enumerate(range(0, length, WINDOW), 1):
         g, h = gradients(p, h, source[at: at + WINDOW], target[at: at + WINDOW], fresh[at: at + WINDOW], real[at: at + WINDOW])
         g *= min(1.0, 1.0 / max(float(np.sqrt(g @ g)), 1e-12))
-        m = 0.9 * m + 0.1 * g
-        v = 0.99 * v + 0.01 * g * g
-        flat -= np.float32(rate) * (m / (1 - 0.9 ** count)) / (np.sqrt(v / (1 - 0.99 ** count)) + np.float32(1e-4))
+        m *= 0.9
+        m += 0.1 * g
+        v *= 0.99
+        g *= g
+        g *= 0.01
+        v += g
+        size = np.sqrt(v / (1 - 0.99 ** count))
+        size += 1e-4
+        change = m * (rate / (1 - 0.9 ** count))
+        change /= size
+        flat -= change
     return flat
 
 
@@ -302,12 +379,13 @@ def train(docs: DataFrame, vocab: Vocabulary, one_in: int = 1, rounds: int = 1,
         sent = context.broadcast((weights, vocab.words, vocab.symbol, rate / (1 + turn)))
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            keep_memory()
             start, words, symbol, step_size = sent.value
             numbering, current, tokens, parts, size = Words(words), start, 0, [], 0
             for batch in batches:
                 for text in texts(batch):
                     found = tokens_of(text)
-                    parts.append(symbol[np.fromiter(map(numbering.__getitem__, found), np.int64, len(found))])
+                    parts.append(symbol[numbering.of(found)])
                     parts.append(np.array([END]))
                     size += len(found) + 1
                 if size >= LANES * WINDOW:  # a short batch waits for the next
@@ -318,7 +396,7 @@ def train(docs: DataFrame, vocab: Vocabulary, one_in: int = 1, rounds: int = 1,
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([current.tobytes()], pa.binary()), pa.array([tokens], pa.int64())], ["weights", "tokens"])
 
-        models = written(chosen.mapInArrow(learn, "weights binary, tokens long"), "models")
+        models = written(chosen.mapInArrow(lean(learn), "weights binary, tokens long"), "models")
         left = models.count()
         while left > 1:  # a tree, so that no task or driver holds many sets of weights
             left = -(-left // 64)
@@ -343,13 +421,14 @@ def score(docs: DataFrame, usable: Column, one_in: int = 1, rounds: int = 1) ->
     sent = shared(docs.sparkSession, (vocab, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         vocab, weights = shared_value(sent)
         numbering, frequent = Words(vocab.words), len(vocab.words)
         for batch in batches:
             sequences, size, known, counted, share = [], [], [], [], []
             for text in texts(batch):
                 found = tokens_of(text)
-                number = np.fromiter(map(numbering.__getitem__, found), np.int64, len(found))
+                number = numbering.of(found)
                 sequences.append(np.append(vocab.symbol[number], END).astype(np.int16))
                 size.append(len(found) + 1)
                 known.append(int((number < frequent).sum()) + (vocab.counts[END] > 0))
@@ -368,7 +447,7 @@ def score(docs: DataFrame, usable: Column, one_in: int = 1, rounds: int = 1) ->
         for batch in batches:
             row, word, times = [], [], []
             for at, text in enumerate(texts(batch)):
-                found = Counter(w for w in tokens_of(text) if w not in frequent)
+                found = Counter(filterfalse(frequent.__contains__, tokens_of(text)))
                 row.extend([at] * len(found))
                 word.extend(found)
                 times.extend(found.values())
@@ -377,7 +456,7 @@ def score(docs: DataFrame, usable: Column, one_in: int = 1, rounds: int = 1) ->
                 [batch.column("doc_id").take(owner), batch.column("tk").take(owner), pa.array(word, pa.binary()), pa.array(times, pa.int32())],
                 ["doc_id", "tk", "word", "times"])
 
-    scored = written(docs.mapInArrow(run, "doc_id long, tk long, n_tokens long, known long, counted double, network double"), "scored")
+    scored = written(docs.mapInArrow(lean(run), "doc_id long, tk long, n_tokens long, known long, counted double, network double"), "scored")
     rare = docs.mapInArrow(rare_words, "doc_id long, tk long, word binary, times int").join(counts, "word").groupBy("doc_id", "tk").agg(
         F.sum("times").alias("rare_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_counted"))
     # Rows equal in id and text have met in one sum; each gets its part.

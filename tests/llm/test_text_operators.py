@@ -204,6 +204,26 @@ def test_words_of_a_block_are_those_of_each_line(monkeypatch):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_numbers_of_words():
+    numbering = recurrent_lm.Words([b"the", b"of", b"a"])
+    rare = [b"x", b"xyz", b"\xc3\xa4", b"ayz"]
+    number = numbering.of([b"of", *rare, b"a", b"the"])
+    assert number[[0, 5, 6]].tolist() == [1, 2, 0] and number[2] == number[4]
+    assert number[1:5].tolist() == [3 + zlib.crc32(word[-2:]) % recurrent_lm.BUCKETS for word in rare]
+    assert len(numbering.of([])) == 0 and len(numbering) == 3
+
+
+def test_gradients_of_repeated_symbols_add_up():
+    draw = np.random.default_rng(6)
+    flat = recurrent_lm.initial(np.ones(recurrent_lm.SYMBOLS))
+    p, h = recurrent_lm.unpacked(flat), np.zeros((2, recurrent_lm.HIDDEN), np.float32)
+    one, two = np.full((4, 2), 7), draw.integers(0, recurrent_lm.SYMBOLS, (4, 2))
+    found, last = recurrent_lm.gradients(p, h, one, two, np.zeros((4, 2), bool))
+    d, lanes = recurrent_lm.unpacked(found), [recurrent_lm.gradients(p, h[:1], one[:, [i]], two[:, [i]], np.zeros((4, 1), bool)) for i in range(2)]
+    assert np.allclose(found, (lanes[0][0] + lanes[1][0]) / 2, atol=1e-6) and last.shape == h.shape
+    assert np.flatnonzero(np.abs(d["input"]).sum(axis=1)).tolist() == [7]
+
+
 def test_lines_of_odd_rows(spark):
     line = "one two three four"
     rows = line_dedup.deduplicate_lines(frame(spark, [line, line, line, line + "\nx"], [None, 9, 9, 3])).collect()
