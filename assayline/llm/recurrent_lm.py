@@ -22,17 +22,17 @@ alike. A null doc_id is a value. Without training texts the network stays at eve
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import filterfalse, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from assayline.llm.common import Memo, keep_memory, lean, shared, shared_value, text_key, texts, written
+from assayline.llm.common import keep_memory, lean, portions, shared, shared_value, text_key, written
 
 FREQUENT = 1_000_000
 CLASSES, PER_CLASS = 32, 32
@@ -42,21 +42,29 @@ END = BUCKETS  # the rare classes come first
 HIDDEN = 16
 WINDOW, LANES = 32, 64  # steps per truncated window and parallel streams in training
 SCORE_LANES, SCORE_WINDOW = 1024, 64
+# Where a symbol's input weights are; the candidate's first, as in the rows of their gradients.
+PLACES = np.roll(np.arange(SYMBOLS * 3 * HIDDEN).reshape(SYMBOLS, 3 * HIDDEN), HIDDEN, axis=1)
+SCORED = 4096  # states whose symbols are scored at a time
+ONE, TWO = np.float32(1), np.float32(2)
 
 
-class Words(dict):
+class Words:
     """Number of each frequent word; rare words get one of BUCKETS numbers after them, by their last two bytes."""
 
     def __init__(self, words: list[bytes]):
-        super().__init__((word, number) for number, word in enumerate(words))
-        self.frequent = len(words)
-        self.tails = Memo(lambda tail: self.frequent + zlib.crc32(tail) % BUCKETS)
+        self.words = pa.array(words, pa.binary())
 
-    def of(self, found: list[bytes]) -> np.ndarray:
+    def __len__(self) -> int:
+        return len(self.words)
+
+    def of(self, found: pa.Array | list[bytes]) -> np.ndarray:
         """The number of each word."""
-        number = np.fromiter(map(self.get, found, repeat(-1)), np.int64, len(found))
+        found = found if isinstance(found, pa.Array) else pa.array(found, pa.binary())
+        number = pc.fill_null(pc.index_in(found, self.words), -1).to_numpy().astype(np.int64)
         rare = np.flatnonzero(number < 0)
-        number[rare] = [self.tails[found[i][-2:]] for i in rare.tolist()]
+        tails = pc.binary_slice(found.take(pa.array(rare)), -2).dictionary_encode()
+        bucket = np.array([zlib.crc32(tail) % BUCKETS for tail in tails.dictionary.to_pylist()], np.int64)
+        number[rare] = len(self) + bucket[tails.indices.to_numpy()]
         return number
 
 
@@ -72,8 +80,20 @@ class Vocabulary:
     types: int
 
 
-def tokens_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+def words_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in order, and the text each is from."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    words, owner = lists.flatten().cast(pa.binary()), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    there = pc.binary_length(words).to_numpy() > 0  # white space at an end of a text leaves an empty word
+    return words.filter(pa.array(there)), owner[there]
+
+
+def closed(symbols: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of n texts, each text closed by END, and the length of each."""
+    sizes = np.bincount(owner, minlength=n) + 1
+    stream = np.full(len(symbols) + n, END, np.int16)
+    stream[np.arange(len(symbols)) + owner] = symbols
+    return stream, sizes
 
 
 # ---- the network ----
@@ -87,7 +107,7 @@ def shapes() -> dict[str, tuple[int, ...]]:
 def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
     parts, at = {}, 0
     for name, shape in shapes().items():
-        size = int(np.prod(shape))
+        size = math.prod(shape)
         parts[name] = flat[at: at + size].reshape(shape)
         at += size
     return parts
@@ -104,7 +124,7 @@ def initial(counts: np.ndarray, seed: int = 3) -> np.ndarray:
 
 
 def step(h: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One gated recurrent step: (new state, both gates, candidate)."""
+    """One gated recurrent step: (new state, both gates, candidate). The plain form; ``_walk`` does many at once."""
     gates = h @ state[:, : 2 * HIDDEN]
     gates += x[:, : 2 * HIDDEN]
     gates *= 0.5  # the sigmoid, by way of the hyperbolic tangent
@@ -120,17 +140,34 @@ def step(h: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, n
     return new, gates, candidate
 
 
-def _lowered(z: np.ndarray) -> np.ndarray:
-    """The columns less their maximum, in place."""
-    z -= z.max(axis=0)
-    return z
+def _signed(p: dict[str, np.ndarray], kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Input and state weights as ``_walk`` takes them: a sigmoid is 1 / (1 + exp(-x)), a hyperbolic tangent 2 / (1 + exp(-2x)) - 1."""
+    taken = -p["input"].astype(kind)
+    taken[:, 2 * HIDDEN:] *= 2
+    return taken, -np.ascontiguousarray(p["state"][:, : 2 * HIDDEN].T), -2 * np.ascontiguousarray(p["state"][:, 2 * HIDDEN:].T)
 
 
-def _shares(z: np.ndarray) -> np.ndarray:
-    """Probabilities from lowered scores, in place."""
-    np.exp(z, out=z)
-    z /= z.sum(axis=0)
-    return z
+def _walk(old: np.ndarray, x: np.ndarray, to_gates: np.ndarray, to_new: np.ndarray, now: np.ndarray, gates: np.ndarray, new: np.ndarray,
+          part: np.ndarray) -> None:
+    """One step; a lane is a column, so that gates and candidates are whole rows. Fills the new state, both gates and the candidate.
+
+    An exponential that overflows gives the limit, 0 or -1.
+    """
+    np.dot(to_gates, old, out=gates)
+    gates += x[: 2 * HIDDEN]
+    np.exp(gates, out=gates)
+    gates += ONE
+    np.divide(ONE, gates, out=gates)
+    np.multiply(gates[HIDDEN:], old, out=part)
+    np.dot(to_new, part, out=new)
+    new += x[2 * HIDDEN:]
+    np.exp(new, out=new)
+    new += ONE
+    np.divide(TWO, new, out=new)
+    new -= ONE
+    np.subtract(old, new, out=now)
+    now *= gates[:HIDDEN]
+    now += new
 
 
 def _by_group(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -141,29 +178,50 @@ def _by_group(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]
     return order, [(c, ends[c], ends[c + 1]) for c in range(CLASSES) if ends[c] < ends[c + 1]]
 
 
-def _group_scores(hidden: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
-    """Scores of the groups, less the highest; a column per state."""
-    z = p["group"].T @ hidden
-    z += p["group_bias"][:, None]
-    return _lowered(z)
+def _spaced(height: int, width: int, kind: np.dtype) -> np.ndarray:
+    """An empty array whose rows do not start a power of two apart: those would displace each other from the cache."""
+    return np.empty((height, width + 16), kind)[:, :width]
+
 
+def _output_weights(p: dict[str, np.ndarray]) -> np.ndarray:
+    """Per group the weights of all groups' scores, then of its symbols'; the bias is the last column."""
+    w = np.empty((CLASSES, CLASSES + PER_CLASS, HIDDEN + 1), p["group"].dtype)
+    w[:, :CLASSES, :HIDDEN], w[:, :CLASSES, HIDDEN] = p["group"].T, p["group_bias"]
+    w[:, CLASSES:, :HIDDEN], w[:, CLASSES:, HIDDEN] = p["member"].transpose(0, 2, 1), p["member_bias"]
+    return w
 
-def _member_scores(hidden: np.ndarray, runs: list[tuple[int, int, int]], p: dict[str, np.ndarray]) -> np.ndarray:
-    """Scores of the symbols of each column's group, less the highest; the columns are ordered by group."""
-    z = np.empty((PER_CLASS, hidden.shape[1]), hidden.dtype)
+
+def _scores(ordered: np.ndarray, runs: list[tuple[int, int, int]], w: np.ndarray) -> np.ndarray:
+    """Scores of the groups, then of the symbols of each column's group, less the highest of their kind; columns ordered by group.
+
+    ``ordered``: states with a last row of ones.
+    """
+    z = _spaced(w.shape[1], ordered.shape[1], ordered.dtype)
     for c, first, end in runs:
-        z[:, first: end] = p["member"][c].T @ hidden[:, first: end]
-        z[:, first: end] += p["member_bias"][c][:, None]
-    return _lowered(z)
+        np.matmul(w[c], ordered[:, first: end], out=z[:, first: end])
+    for part in (z[:CLASSES], z[CLASSES:]):
+        part -= part.max(axis=0)
+    return z
 
 
-def log_probabilities(hidden: np.ndarray, target: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
+def _ordered(hidden: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The states (a row each) as columns in this order, with a last row of ones."""
+    ordered = _spaced(HIDDEN + 1, len(order), hidden.dtype)
+    ordered[:HIDDEN], ordered[HIDDEN] = np.take(hidden, order, axis=0).T, 1
+    return ordered
+
+
+def log_probabilities(hidden: np.ndarray, target: np.ndarray, p: dict[str, np.ndarray], w: np.ndarray | None = None) -> np.ndarray:
     """Natural log probability of each target symbol from its hidden state."""
-    at, (order, runs), hidden = np.arange(len(target)), _by_group(target), np.ascontiguousarray(hidden.T)
-    z = _group_scores(hidden, p)
-    result = z[target // PER_CLASS, at] - np.log(np.exp(z, out=z).sum(axis=0))
-    z = _member_scores(hidden[:, order], runs, p)
-    result[order] += z[target[order] % PER_CLASS, at] - np.log(np.exp(z, out=z).sum(axis=0))
+    w, result = _output_weights(p) if w is None else w, np.empty(len(target), hidden.dtype)
+    for at in range(0, len(target), SCORED):  # few enough at a time to stay in the cache
+        part = target[at: at + SCORED]
+        order, runs = _by_group(part)
+        z, part, each = _scores(_ordered(hidden[at: at + SCORED], order), runs, w), part[order], np.arange(len(part))
+        found = z[part // PER_CLASS, each] + z[CLASSES + part % PER_CLASS, each]
+        np.exp(z, out=z)
+        found -= np.log(z[:CLASSES].sum(axis=0)) + np.log(z[CLASSES:].sum(axis=0))
+        result[at + order] = found
     return result
 
 
@@ -174,78 +232,68 @@ def gradients(p: dict[str, np.ndarray], h: np.ndarray, source: np.ndarray, targe
     fresh: a text starts here. real: 1 for a token that counts, 0 for padding at a lane's end.
     """
     (steps, lanes), kind, count = source.shape, h.dtype, source.size
-    # Inside, a lane is a column, so that gates and candidates are whole rows; the sigmoid is a hyperbolic tangent of half its argument.
     gate_state, new_state = np.ascontiguousarray(p["state"][:, : 2 * HIDDEN]), np.ascontiguousarray(p["state"][:, 2 * HIDDEN:])
-    to_gates, to_new = np.ascontiguousarray(gate_state.T) * kind.type(0.5), np.ascontiguousarray(new_state.T)
-    taken = np.ascontiguousarray(p["input"][source].transpose(0, 2, 1))
-    taken[:, : 2 * HIDDEN] *= 0.5
-    kept = (~fresh)[:, None, :].astype(kind)
-    before, candidates, states = np.empty((3, steps, HIDDEN, lanes), kind)
-    gates, part, h = np.empty((steps, 2 * HIDDEN, lanes), kind), np.empty((HIDDEN, lanes), kind), np.ascontiguousarray(h.T)
-    for old, kept_now, g, new, now, x in zip(before, kept, gates, candidates, states, taken):
-        np.multiply(h, kept_now, out=old)
-        np.matmul(to_gates, old, out=g)
-        g += x[: 2 * HIDDEN]
-        np.tanh(g, out=g)
-        g *= 0.5
-        g += 0.5
-        np.multiply(g[HIDDEN:], old, out=part)
-        np.matmul(to_new, part, out=new)
-        new += x[2 * HIDDEN:]
-        np.tanh(new, out=new)
-        h = now
-        np.subtract(old, new, out=h)
-        h *= g[:HIDDEN]
-        h += new
-    hidden, flat_target = states.transpose(1, 0, 2).reshape(HIDDEN, count), target.ravel()
-    flat = np.zeros(sum(int(np.prod(s)) for s in shapes().values()), np.float32)
-    d, scale, at = unpacked(flat), np.full(count, 1.0 / count, np.float32), np.arange(count)
+    weights, to_gates, to_new = _signed(p, kind)
+    taken = np.ascontiguousarray(np.take(weights, source, axis=0).transpose(0, 2, 1))
+    kept, starts = (~fresh)[:, None, :].astype(kind), fresh.any(axis=1).tolist()
+    states, candidates = np.empty((steps + 1, HIDDEN, lanes), kind), np.empty((steps, HIDDEN, lanes), kind)
+    gates, part = np.empty((steps, 2 * HIDDEN, lanes), kind), np.empty((HIDDEN, lanes), kind)
+    states[0] = h.T
+    with np.errstate(over="ignore"):
+        for t in range(steps):
+            old = states[t] * kept[t] if starts[t] else states[t]
+            _walk(old, taken[t], to_gates, to_new, states[t + 1], gates[t], candidates[t], part)
+    before = states[:-1] * kept
+    flat, flat_target = np.zeros(sum(map(math.prod, shapes().values())), np.float32), target.ravel()
+    d, scale, at = unpacked(flat), np.full(count, 1.0 / count, kind), np.arange(count)
     if real is not None:
-        scale = (real.ravel() / real.sum()).astype(np.float32)
-    dz = _shares(_group_scores(hidden, p))
-    dz[flat_target // PER_CLASS, at] -= 1
-    dz *= scale
-    d["group"][:], d["group_bias"][:] = hidden @ dz.T, dz.sum(axis=1)
-    d_hidden = p["group"] @ dz
+        scale = (real.ravel() / real.sum()).astype(kind)
+    # The output layer, its columns ordered by group: from scores to their gradients in place.
     order, runs = _by_group(flat_target)
-    ordered, d_ordered = hidden[:, order], np.empty_like(hidden)
-    dm = _shares(_member_scores(ordered, runs, p))
-    dm[flat_target[order] % PER_CLASS, at] -= 1
-    dm *= scale[order]
+    w, ordered = _output_weights(p), _ordered(states[1:].transpose(0, 2, 1).reshape(count, HIDDEN), order)
+    dz, symbol, scale = _scores(ordered, runs, w), flat_target[order], scale[order]
+    np.exp(dz, out=dz)
+    for own in (dz[:CLASSES], dz[CLASSES:]):
+        own *= scale / own.sum(axis=0)
+    dz[symbol // PER_CLASS, at] -= scale
+    dz[CLASSES + symbol % PER_CLASS, at] -= scale
+    dw, d_ordered = np.zeros(w.shape, kind), _spaced(HIDDEN, count, kind)
     for c, first, end in runs:
-        own = dm[:, first: end]
-        d["member"][c] = ordered[:, first: end] @ own.T
-        d_ordered[:, first: end] = p["member"][c] @ own
-    d["member_bias"][[c for c, _, _ in runs]] = np.add.reduceat(dm, [first for _, first, _ in runs], axis=1).T
-    d_hidden[:, order] += d_ordered
-    d_hidden = np.ascontiguousarray(d_hidden.reshape(HIDDEN, steps, lanes).transpose(1, 0, 2))
+        own = dz[:, first: end]
+        np.matmul(own, ordered[:, first: end].T, out=dw[c])
+        np.matmul(w[c, :, :HIDDEN].T, own, out=d_ordered[:, first: end])
+    of_groups = dw[:, :CLASSES].sum(axis=0)
+    d["group"][:], d["group_bias"][:] = of_groups[:, :HIDDEN].T, of_groups[:, HIDDEN]
+    d["member"][:], d["member_bias"][:] = dw[:, CLASSES:, :HIDDEN].transpose(0, 2, 1), dw[:, CLASSES:, HIDDEN]
+    d_rows = np.empty((count, HIDDEN), kind)
+    d_rows[order] = d_ordered.T
+    d_hidden = np.ascontiguousarray(d_rows.reshape(steps, lanes, HIDDEN).transpose(0, 2, 1))
     # What does not depend on later steps is made for the whole window at once.
     update, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    to_candidate = (1 - update) * (1 - candidates * candidates)
-    to_update, to_reset = (before - candidates) * update * (1 - update), before * reset * (1 - reset)
-    carry, d_inputs = np.zeros((HIDDEN, lanes), kind), np.empty((steps, 3 * HIDDEN, lanes), kind)
+    by_state, by_reset = np.empty((steps, 3, HIDDEN, lanes), kind), np.empty((steps, 2, HIDDEN, lanes), kind)
+    by_state[:, 0], by_state[:, 1] = update, (1 - update) * (1 - candidates * candidates)
+    by_state[:, 2] = (before - candidates) * update * (1 - update)
+    by_reset[:, 0], by_reset[:, 1] = before * reset * (1 - reset), reset
+    # Per step: the state's own way back, then the gradients of candidate, update and reset, then the way back through the reset.
+    back, carry, d_reset = np.empty((steps, 5, HIDDEN, lanes), kind), np.zeros((HIDDEN, lanes), kind), np.empty((HIDDEN, lanes), kind)
     for t in range(steps - 1, -1, -1):
-        dh, dt = d_hidden[t], d_inputs[t]
-        da = dt[2 * HIDDEN:]
+        dh, parts = d_hidden[t], back[t]
         dh += carry
-        np.multiply(dh, to_candidate[t], out=da)
-        d_reset = new_state @ da
-        np.multiply(dh, to_update[t], out=dt[:HIDDEN])
-        np.multiply(d_reset, to_reset[t], out=dt[HIDDEN: 2 * HIDDEN])
-        carry = gate_state @ dt[: 2 * HIDDEN]
-        d_reset *= reset[t]
-        carry += d_reset
-        dh *= update[t]
-        carry += dh
-        carry *= kept[t]
-    by_row = lambda x: x.transpose(1, 0, 2).reshape(-1, count)
-    flat_inputs = by_row(d_inputs)
-    d["state"][:, : 2 * HIDDEN] = by_row(before) @ flat_inputs[: 2 * HIDDEN].T
-    d["state"][:, 2 * HIDDEN:] = by_row(reset * before) @ flat_inputs[2 * HIDDEN:].T
-    symbols = source.ravel()
-    for row, own in zip(d["input"].T, flat_inputs):
-        row[:] = np.bincount(symbols, own, SYMBOLS)
-    return flat, h.T
+        np.multiply(dh, by_state[t], out=parts[:3])
+        np.dot(new_state, parts[1], out=d_reset)
+        np.multiply(d_reset, by_reset[t], out=parts[3:])
+        np.dot(gate_state, parts[2: 4].reshape(2 * HIDDEN, lanes), out=carry)
+        carry += parts[0]
+        carry += parts[4]
+        if starts[t]:
+            carry *= kept[t]
+    by_row = lambda x: x.transpose(1, 0, 2).reshape(HIDDEN, count)
+    rows = back[:, 1: 4].reshape(steps, 3 * HIDDEN, lanes).transpose(0, 2, 1).reshape(count, 3 * HIDDEN)
+    d["state"][:, : 2 * HIDDEN] = by_row(before) @ rows[:, HIDDEN:]
+    d["state"][:, 2 * HIDDEN:] = by_row(reset * before) @ rows[:, :HIDDEN]
+    at = np.take(PLACES, source.ravel(), axis=0).ravel()
+    d["input"].ravel()[:] = np.bincount(at, rows.ravel(), SYMBOLS * 3 * HIDDEN)
+    return flat, states[-1].T
 
 
 def trained(flat: np.ndarray, stream: np.ndarray, rate: float) -> np.ndarray:
@@ -260,20 +308,23 @@ def trained(flat: np.ndarray, stream: np.ndarray, rate: float) -> np.ndarray:
     source = np.concatenate([np.array([END], stream.dtype), stream, padding])[:-1].reshape(LANES, length).T
     real = (np.arange(length * LANES) < len(stream)).reshape(LANES, length).T
     fresh = source == END
-    m, v, h = np.zeros_like(flat), np.zeros_like(flat), np.zeros((LANES, HIDDEN), np.float32)
+    m, v, change, h = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat), np.zeros((LANES, HIDDEN), np.float32)
     for count, at in enumerate(range(0, length, WINDOW), 1):
         g, h = gradients(p, h, source[at: at + WINDOW], target[at: at + WINDOW], fresh[at: at + WINDOW], real[at: at + WINDOW])
         g *= min(1.0, 1.0 / max(float(np.sqrt(g @ g)), 1e-12))
         m *= 0.9
-        m += 0.1 * g
+        np.multiply(g, 0.1, out=change)
+        m += change
         v *= 0.99
         g *= g
         g *= 0.01
         v += g
-        size = np.sqrt(v / (1 - 0.99 ** count))
-        size += 1e-4
-        change = m * (rate / (1 - 0.9 ** count))
-        change /= size
+        # rate * (m / (1 - 0.9 ** count)) / (sqrt(v / (1 - 0.99 ** count)) + 1e-4), its constants taken together
+        young = (1 - 0.99 ** count) ** 0.5
+        np.sqrt(v, out=change)
+        change += 1e-4 * young
+        np.divide(m, change, out=change)
+        change *= rate * young / (1 - 0.9 ** count)
         flat -= change
     return flat
 
@@ -281,11 +332,12 @@ def trained(flat: np.ndarray, stream: np.ndarray, rate: float) -> np.ndarray:
 def text_scores(documents: list[np.ndarray], flat: np.ndarray) -> np.ndarray:
     """log10 probability of each sequence of symbols (END included at its end)."""
     p, result = unpacked(flat), np.zeros(len(documents))
+    (weights, to_gates, to_new), w = _signed(p, flat.dtype), _output_weights(p)
     order = np.argsort([-len(d) for d in documents], kind="stable")
     for first in range(0, len(order), SCORE_LANES):
         rows = order[first: first + SCORE_LANES]
         sizes = np.array([len(documents[r]) for r in rows])
-        h, last = np.zeros((len(rows), HIDDEN), np.float32), np.full(len(rows), END, np.int64)
+        h, last = np.zeros((HIDDEN, len(rows)), flat.dtype), np.full(len(rows), END, np.int64)
         for at in range(0, int(sizes[0]), SCORE_WINDOW):
             wide = int((sizes > at).sum())
             long = min(SCORE_WINDOW, int(sizes[0]) - at)
@@ -293,17 +345,21 @@ def text_scores(documents: list[np.ndarray], flat: np.ndarray) -> np.ndarray:
             for lane in range(wide):
                 part = documents[rows[lane]][at: at + long]
                 target[lane, : len(part)] = part
-            source = np.concatenate([last[:wide, None], target[:, :-1]], axis=1)
+            source = np.concatenate([last[:wide, None], target[:, :-1]], axis=1).T.copy()
             last[:wide] = target[:, -1]
-            active = (target >= 0).sum(axis=0)
-            states, h = [], h[:wide]
-            for t in range(long):
-                h = h[: active[t]]
-                h, _, _ = step(h, p["input"][source[: active[t], t]], p["state"])
-                states.append(h)
-            flat_target = np.concatenate([target[: active[t], t] for t in range(long)])
-            lane = np.concatenate([np.arange(active[t]) for t in range(long)])
-            result[rows[:wide]] += np.bincount(lane, log_probabilities(np.concatenate(states), flat_target, p), wide)
+            active = (target >= 0).sum(axis=0).tolist()
+            ends = np.cumsum([0, *active]).tolist()
+            states, h = np.empty((ends[-1], HIDDEN), flat.dtype), h[:, :wide]
+            with np.errstate(over="ignore"):
+                for t, n in enumerate(active):
+                    # The longest texts come first, so those that go on are the first columns.
+                    old, x = np.ascontiguousarray(h[:, :n]), np.take(weights, source[t, :n], axis=0).T
+                    h, gates, new, part = (np.empty((k * HIDDEN, n), flat.dtype) for k in (1, 2, 1, 1))
+                    _walk(old, x, to_gates, to_new, h, gates, new, part)
+                    states[ends[t]: ends[t + 1]] = h.T
+            flat_target = target.T[target.T >= 0]
+            lane = np.concatenate([np.arange(n) for n in active])
+            result[rows[:wide]] += np.bincount(lane, log_probabilities(states, flat_target, p, w), wide)
     return result / np.log(10)
 
 
@@ -314,11 +370,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts; the empty word stands for the end token."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = Counter()
-            for text in texts(batch):
-                found.update(tokens_of(text))
-                found[b""] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+            found = [words_of(part.column("text"))[0].value_counts() for part in portions([batch])]
+            words = pa.chunked_array([part.field("values") for part in found] + [pa.array([b""], pa.binary())])
+            times = pa.chunked_array([part.field("counts") for part in found] + [pa.array([batch.num_rows], pa.int64())])
+            summed = pa.table({"word": words, "n": times}).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            yield from summed.select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches()
 
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -383,16 +439,15 @@ def train(docs: DataFrame, vocab: Vocabulary, one_in: int = 1, rounds: int = 1,
             start, words, symbol, step_size = sent.value
             numbering, current, tokens, parts, size = Words(words), start, 0, [], 0
             for batch in batches:
-                for text in texts(batch):
-                    found = tokens_of(text)
-                    parts.append(symbol[numbering.of(found)])
-                    parts.append(np.array([END]))
-                    size += len(found) + 1
+                for portion in portions([batch]):
+                    found, owner = words_of(portion.column("text"))
+                    parts.append(closed(symbol[numbering.of(found)], owner, portion.num_rows)[0])
+                    size += len(parts[-1])
                 if size >= LANES * WINDOW:  # a short batch waits for the next
-                    current, tokens = trained(current, np.concatenate(parts), step_size), tokens + size
+                    current, tokens = trained(current, np.concatenate(parts).astype(np.int64), step_size), tokens + size
                     parts, size = [], 0
             if parts:
-                current, tokens = trained(current, np.concatenate(parts), step_size), tokens + size
+                current, tokens = trained(current, np.concatenate(parts).astype(np.int64), step_size), tokens + size
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([current.tobytes()], pa.binary()), pa.array([tokens], pa.int64())], ["weights", "tokens"])
 
@@ -426,16 +481,16 @@ def score(docs: DataFrame, usable: Column, one_in: int = 1, rounds: int = 1) ->
         numbering, frequent = Words(vocab.words), len(vocab.words)
         for batch in batches:
             sequences, size, known, counted, share = [], [], [], [], []
-            for text in texts(batch):
-                found = tokens_of(text)
-                number = numbering.of(found)
-                sequences.append(np.append(vocab.symbol[number], END).astype(np.int16))
-                size.append(len(found) + 1)
-                known.append(int((number < frequent).sum()) + (vocab.counts[END] > 0))
-                logs = vocab.log_count[number]
-                counted.append(float(logs.sum()) + vocab.end_log_count)
-                rare = vocab.symbol[number] < BUCKETS
-                share.append(float(vocab.log_share[number].sum() + logs[rare].sum()))
+            for portion in portions([batch]):
+                found, owner = words_of(portion.column("text"))
+                number, n = numbering.of(found), portion.num_rows
+                logs, symbols = vocab.log_count[number], vocab.symbol[number]
+                stream, sizes = closed(symbols, owner, n)
+                sequences.extend(np.split(stream, np.cumsum(sizes)[:-1]))
+                size.extend(sizes)
+                known.extend(np.bincount(owner[number < frequent], minlength=n) + int(vocab.counts[END] > 0))
+                counted.extend(np.bincount(owner, logs, n) + vocab.end_log_count)
+                share.extend(np.bincount(owner, vocab.log_share[number] + np.where(symbols < BUCKETS, logs, 0), n))
             values = text_scores(sequences, weights) + np.array(share) if sequences else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("tk"), pa.array(size, pa.int64()), pa.array(known, pa.int64()),
@@ -443,17 +498,17 @@ def score(docs: DataFrame, usable: Column, one_in: int = 1, rounds: int = 1) ->
                 ["doc_id", "tk", "n_tokens", "known", "counted", "network"])
 
     def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = set(shared_value(sent)[0].words)
-        for batch in batches:
-            row, word, times = [], [], []
-            for at, text in enumerate(texts(batch)):
-                found = Counter(filterfalse(frequent.__contains__, tokens_of(text)))
-                row.extend([at] * len(found))
-                word.extend(found)
-                times.extend(found.values())
-            owner = pa.array(row, pa.int64())
+        frequent = pa.array(shared_value(sent)[0].words, pa.binary())
+        for portion in portions(batches):
+            found, owner = words_of(portion.column("text"))
+            rare = pc.index_in(found, frequent).is_null()
+            word = found.filter(rare).dictionary_encode()
+            kinds = max(len(word.dictionary), 1)
+            each, times = np.unique(owner[rare.to_numpy(zero_copy_only=False)] * kinds + word.indices.to_numpy(), return_counts=True)
+            owner = pa.array(each // kinds)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(owner), batch.column("tk").take(owner), pa.array(word, pa.binary()), pa.array(times, pa.int32())],
+                [portion.column("doc_id").take(owner), portion.column("tk").take(owner), word.dictionary.take(pa.array(each % kinds)),
+                 pa.array(times, pa.int32())],
                 ["doc_id", "tk", "word", "times"])
 
     scored = written(docs.mapInArrow(lean(run), "doc_id long, tk long, n_tokens long, known long, counted double, network double"), "scored")

@@ -213,6 +213,22 @@ def test_numbers_of_words():
     assert len(numbering.of([])) == 0 and len(numbering) == 3
 
 
+def test_words_of_whole_columns():
+    import pyarrow as pa
+
+    texts = [" A  b\x0bC\x0c\r\n\u00c9 ", "", None, "x", "\t\n", " a\x1cb\u0085c b"]
+    found, owner = recurrent_lm.words_of(pa.array(texts))
+    want = [(i, word) for i, text in enumerate(texts) for word in (text or "").encode().lower().split()]
+    assert list(zip(owner.tolist(), found.to_pylist())) == want
+    stream, sizes = recurrent_lm.closed(np.arange(100, 100 + len(want)), owner, len(texts))
+    assert sizes.tolist() == [5, 1, 1, 2, 1, 3]
+    ends = np.cumsum(sizes) - 1
+    assert (stream[ends] == recurrent_lm.END).all() and np.delete(stream, ends).tolist() == list(range(100, 100 + len(want)))
+    assert recurrent_lm.Words([b"b", b"x"]).of(found)[[1, 4, 6]].tolist() == [0, 1, 0]
+    nothing, of = recurrent_lm.words_of(pa.array([], pa.string()))
+    assert len(nothing) == len(of) == len(recurrent_lm.closed(np.zeros(0, np.int64), of, 0)[0]) == 0
+
+
 def test_gradients_of_repeated_symbols_add_up():
     draw = np.random.default_rng(6)
     flat = recurrent_lm.initial(np.ones(recurrent_lm.SYMBOLS))
