@@ -18,7 +18,7 @@ from assayline.operators.evaluate import analyse, message_column
 from assayline.operators.loading import number_rows
 from assayline.operators.skew import attach, without
 from assayline.operators.suite import COMPLETED, FAILED, PARTIAL, RUNNING
-from assayline.session import cut_lineage
+from assayline.session import cut_lineage, written
 
 RULE_FIELDS = ("description", "rule_type", "target_table", "error_message", "sql_query", "severity")
 
@@ -266,9 +266,10 @@ def reconcile_after_delete(runs: DataFrame, results: DataFrame, evidence: DataFr
 def delete_rules(tables: Mapping[str, DataFrame], deleted: DataFrame, actor: str, at: datetime) -> dict[str, DataFrame]:
     """Registry and history without the given rules, or HistoryInconsistent and no change.
 
-    ``tables``: rules, history, runs, results, evidence, tickets.
+    ``tables``: rules, history, runs, results, evidence, tickets. The reconciled runs are written out once, so the check and the
+    runs that are left speak of the same rows, and results and evidence are not counted again.
     """
-    reconciled = reconcile_after_delete(tables["runs"], tables["results"], tables["evidence"], deleted)
+    reconciled = written(reconcile_after_delete(tables["runs"], tables["results"], tables["evidence"], deleted), "reconciled")
     if reconciled.where("outcome = 'inconsistent'").limit(1).count():
         raise HistoryInconsistent("Run history cannot be verified; nothing was deleted.")
     gone = deleted.select("rule_id").distinct()

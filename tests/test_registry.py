@@ -121,6 +121,17 @@ def test_deletion_reconciles_runs(spark):
     assert tickets == {1: "cancelled", 2: "closed", 3: "new"} and [r["ticket_id"] for r in after["events"].collect()] == [1]
 
 
+def test_deletion_counts_results_and_evidence_once(spark, tmp_path):
+    tables = history_tables(spark)
+    for name in ("results", "evidence"):
+        tables[name].write.parquet(str(tmp_path / name))
+        tables[name] = spark.read.parquet(str(tmp_path / name))
+    after = registry.delete_rules(tables, spark.createDataFrame([(1,)], "rule_id bigint"), "ann", NOW)
+    # The runs that are left come from what the check has read, not from results and evidence again.
+    assert not [file for file in after["runs"].inputFiles() if str(tmp_path) in file]
+    assert after["runs"].count() == 4
+
+
 def test_inconsistent_history_blocks_deletion(spark):
     tables = history_tables(spark)
     gone = spark.createDataFrame([(1,)], "rule_id bigint")
